@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import binary, mix, pack, shard
+from lexiforge.llm import binary, jaccard, mix, pack, shard
 from lexiforge.llm._common import materialize, table
 
 
@@ -26,6 +26,10 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op10_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = materialize(binary.packed_matrices(table(spark, sf_dir, "documents")), "matrices")
     return binary.placements(written)
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
     "op5_feistel_shards": op5_feistel_shards,
+    "op7_jaccard_join": op7_jaccard_join,
     "op10_packed_matrices": op10_packed_matrices,
 }
 
