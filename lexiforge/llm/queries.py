@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import binary, jaccard, mix, pack, shard
+from lexiforge.llm import binary, jaccard, mix, pack, rules, secrets, shard
 from lexiforge.llm._common import materialize, table
 
 
@@ -26,10 +26,32 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = materialize(secrets.scan(docs).drop("text"), "scanned")
+    found = secrets.secret_spans(scanned, secrets.thresholds(scanned))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.listed("base_spans"), 256).alias("base_sha256"),
+        secrets.listed("spans").alias("spans"),
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    judged = rules.judge(docs, trusted)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op10_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = materialize(binary.packed_matrices(table(spark, sf_dir, "documents")), "matrices")
     return binary.placements(written)
@@ -91,7 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
     "op5_feistel_shards": op5_feistel_shards,
+    "op6_secret_scan": op6_secret_scan,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_quality_rules": op8_quality_rules,
     "op10_packed_matrices": op10_packed_matrices,
 }
 
