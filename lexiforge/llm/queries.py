@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import binary, jaccard, mix, pack, rules, secrets, shard
+from lexiforge.llm import binary, jaccard, langid, mix, pack, rules, secrets, shard
 from lexiforge.llm._common import materialize, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.remainder(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    judged = langid.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -110,6 +118,7 @@ FROM base JOIN image USING (rn)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
     "op5_feistel_shards": op5_feistel_shards,
