@@ -72,15 +72,19 @@ def sample_copies(sized: DataFrame, goal: DataFrame, max_copies: int = 2, seed:
     docs = docs.withColumn("_whole", F.least(F.floor(rate), F.lit(max_copies)).cast("int"))
     docs = docs.withColumn("_left", F.greatest(F.col("target") - F.col("_whole") * F.col("source_size"), F.lit(0.0)))
     share = F.when(F.col("source_size") > 0, F.col("_left") / F.col("source_size")).otherwise(F.lit(0.0))
+    clipped = lambda c: F.least(F.greatest(c, F.lit(1e-9)), F.lit(1 - 1e-9))
+    docs = docs.withColumn("_level", clipped(share))
     if measure:
         mean = docs.groupBy("_null", "_src").agg((F.sum(F.col(measure) * F.col("size")) / F.sum("size")).alias("_mean"))
         docs = docs.join(mean, ["_null", "_src"])
         share = share * F.col(measure) / F.col("_mean")
-    odds = F.least(F.greatest(share, F.lit(1e-9)), F.lit(1 - 1e-9))
+    odds = clipped(share)
     u = (md5_int(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) + F.lit(0.5)) / F.lit(float(16**13))
     docs = docs.withColumn("_odds", odds).withColumn("_u", u)
     docs = docs.withColumn("_q", (F.col("_u") / (1 - F.col("_u"))) / (F.col("_odds") / (1 - F.col("_odds"))))
-    docs = docs.withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * F.lit(bins)).cast("int"))
+    # Within a source, scaling by its common odds keeps the order and spreads the bins evenly.
+    docs = docs.withColumn("_scaled", F.col("_q") * F.col("_level") / (1 - F.col("_level")))
+    docs = docs.withColumn("_bin", F.least(F.floor(F.col("_scaled") / (1 + F.col("_scaled")) * F.lit(bins)), F.lit(bins - 1)).cast("int"))
     binned = docs.groupBy("_null", "_src", "_bin").agg(F.sum("size").alias("_words"))
     up = Window.partitionBy("_null", "_src").orderBy("_bin")
     binned = binned.withColumn("_before", F.sum("_words").over(up) - F.col("_words")).drop("_words")
