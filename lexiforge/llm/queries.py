@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import binary, jaccard, langid, mix, pack, rules, secrets, shard
+from lexiforge.llm import ann, binary, crf, jaccard, langid, mix, pack, rules, secrets, shard
 from lexiforge.llm._common import materialize, table
 
 
@@ -23,6 +23,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.remainder(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
+    scored = crf.score(docs, crf.train(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -60,6 +68,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op9_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op10_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = materialize(binary.packed_matrices(table(spark, sf_dir, "documents")), "matrices")
     return binary.placements(written)
@@ -120,11 +133,13 @@ FROM base JOIN image USING (rn)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_line_crf": op3_line_crf,
     "op4_mix_sources": op4_mix_sources,
     "op5_feistel_shards": op5_feistel_shards,
     "op6_secret_scan": op6_secret_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
+    "op9_multiprobe_neighbours": op9_multiprobe_neighbours,
     "op10_packed_matrices": op10_packed_matrices,
 }
 
