@@ -1,32 +1,34 @@
 """Packed token-id matrices: best-fit decreasing with a segment-tree capacity search.
 
 Documents are tokenised, overlong ones are cut into pieces without losing an
-id, and pieces are dealt into blocks by a hash of their document.  A block is
-packed by one task: pieces in falling length take the sequence with the least
-room that still holds them.  The room is found in a segment tree over
-capacities, whose leaves count open sequences by room left, in log(capacity)
-steps.  A sequence becomes one row: its ids as a fixed-width little-endian
+id, and pieces are packed in blocks as they come: a task fills blocks of
+``BLOCK_PIECES`` pieces from its part of the input, so ids are never shuffled
+and memory is bounded.  Within a block, pieces in falling length take the
+sequence with the least room that still holds them.  The room is found in a
+segment tree over capacities, whose leaves count open sequences by room left,
+in log(capacity) steps.  A sequence becomes one row: its ids as a fixed-width little-endian
 matrix row, cumulative segment lengths, and positions that restart at 0 with
 each segment.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm._common import buckets_for, materialize
-from lexiforge.llm.tokens import CAPACITY, pieces
+from lexiforge.llm.tokens import CAPACITY, END_ID, cuts, default_vocabulary, encoder
 
 PAD_ID = 0
-#: Pieces in a block on average: 4 MB of ids, thousands of candidates for each gap.
+#: Pieces in a block: thousands of candidates for each gap, some 20 MB of ids.
 BLOCK_PIECES = 8192
-MATRIX = "block int, sequence int, ids binary, n_ids int, cu_lengths array<int>, positions binary, doc_ids array<bigint>, pieces array<int>, starts array<bigint>, crcs array<bigint>"
+MATRIX = "block bigint, sequence int, ids binary, n_ids int, cu_lengths array<int>, positions binary, doc_ids array<bigint>, pieces array<int>, starts array<bigint>"
 
 
 class CapacityTree:
@@ -76,60 +78,82 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[tuple[i
     return placed, opened
 
 
-def pack_block(block: int, rows: pd.DataFrame, capacity: int, pad_id: int) -> Iterator[pd.DataFrame]:
-    rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-    placed, opened = best_fit_decreasing(rows["length"].tolist(), capacity)
+def matrix_schema() -> pa.Schema:
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), ints, pa.binary(), longs, ints, longs)
+    return pa.schema([pa.field(c.split()[0], kind) for c, kind in zip(MATRIX.split(", "), kinds, strict=True)])
+
+
+def pack_block(block: int, rows: list[tuple[int, int, int, np.ndarray]], capacity: int, pad_id: int) -> Iterator[pa.RecordBatch]:
+    """Batches of packed sequences from ``(doc_id, piece, start, ids)`` rows."""
+    rows = sorted(rows, key=lambda r: (-len(r[3]), r[0], r[1], r[2]))
+    placed, opened = best_fit_decreasing([len(r[3]) for r in rows], capacity)
     members: list[list[int]] = [[] for _ in range(opened)]
     for at, (sequence, _) in enumerate(placed):
         members[sequence].append(at)
-    ids, doc_ids, numbers, starts, crcs = (rows[c].to_numpy() for c in ("ids", "doc_id", "piece", "start", "ids_crc32"))
-    out = []
-    for sequence, own in enumerate(members):
-        segments = [np.frombuffer(ids[i], dtype="<u4") for i in own]
-        lengths = [len(s) for s in segments]
-        row = np.full(capacity, pad_id, dtype="<u4")
-        row[: sum(lengths)] = np.concatenate(segments)
-        positions = np.zeros(capacity, dtype="<u2" if capacity <= 65536 else "<u4")
-        positions[: sum(lengths)] = np.concatenate([np.arange(n) for n in lengths])
-        out.append((block, sequence, row.tobytes(), sum(lengths), [0, *np.cumsum(lengths).tolist()], positions.tobytes(), doc_ids[own].tolist(), numbers[own].tolist(), starts[own].tolist(), crcs[own].tolist()))
-        if len(out) == 512:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in MATRIX.split(", ")])
-            out = []
-    if out:
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in MATRIX.split(", ")])
-
-
-def packed_matrices(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, backend: str = "tiktoken", pad_id: int = PAD_ID, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    kind = rows[0][3].dtype
+    places = np.dtype("<u2") if capacity <= 1 << 16 else np.dtype("<u4")
+    for first in range(0, opened, 512):
+        out: list[list] = [[] for _ in range(9)]
+        for sequence in range(first, min(first + 512, opened)):
+            own = [rows[i] for i in members[sequence]]
+            lengths = [len(r[3]) for r in own]
+            used = sum(lengths)
+            row, positions = np.full(capacity, pad_id, kind), np.zeros(capacity, places)
+            row[:used] = np.concatenate([r[3] for r in own])
+            positions[:used] = np.concatenate([np.arange(n) for n in lengths])
+            values = (block, sequence, row.tobytes(), used, [0, *np.cumsum(lengths).tolist()], positions.tobytes(), [r[0] for r in own], [r[1] for r in own], [r[2] for r in own])
+            for column, value in zip(out, values, strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, matrix_schema(), strict=True)], schema=matrix_schema())
+
+
+def packed_matrices(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, backend: str = "tiktoken", pad_id: int = PAD_ID, block_pieces: int = BLOCK_PIECES, id_bytes: int = 2) -> DataFrame:
     """One row for each packed sequence; write it with any Spark writer.
 
-    ``ids`` and ``positions`` are rows of fixed width; ``cu_lengths`` starts at
-    0 and has one more entry than the sequence has segments.  Null and empty
-    texts are one end id each.  doc_id must be a number; null ids are packed as
-    a block's own rows with doc_id -1.
+    ``ids`` (little-endian, ``id_bytes`` 2 or 4 each) and ``positions`` are rows
+    of fixed width; ``cu_lengths`` starts at 0 and has one more entry than the
+    sequence has segments.  Null and empty texts are one end id each; a null
+    doc_id is written as -1; repeated rows are packed each for itself.  A block
+    is numbered by its task and its place in the task, so the same splits of
+    the input give the same rows, after a lost executor too.
     """
-    numbered = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc_id"), "text")
-    cut = materialize(pieces(numbered, path, backend, capacity, with_ids=True), "piece-ids")
-    blocks = buckets_for(cut.count(), block_pieces, 1)
-    # Pieces of one document and repeated rows spread over blocks by what they hold.
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(pack_block(int(key[0]), rows, capacity, pad_id)), ignore_index=True)
-
-    return dealt.groupBy("block").applyInPandas(pack, MATRIX)
-
-
-def placements(matrices: DataFrame) -> DataFrame:
-    """One row for each piece in written matrices: where it lies and the CRC-32 of the ids found there."""
-    each = matrices.select("block", "sequence", "ids", "positions", "cu_lengths", F.posexplode(F.arrays_zip("doc_ids", "pieces", "starts", "crcs")).alias("segment", "of"))
-    start, end = F.element_at("cu_lengths", F.col("segment") + 1), F.element_at("cu_lengths", F.col("segment") + 2)
-    return each.select(
-        F.col("of.doc_ids").alias("doc_id"),
-        F.col("of.pieces").alias("piece"),
-        F.col("of.starts").alias("start"),
-        (end - start).cast("bigint").alias("length"),
-        F.crc32(F.expr("substring(ids, 4 * cu_lengths[segment] + 1, 4 * (cu_lengths[segment + 1] - cu_lengths[segment]))")).alias("ids_crc32"),
-        "block",
-        "sequence",
-        start.cast("bigint").alias("offset"),
-    )
+    where = path or default_vocabulary()
+    kind = np.dtype(f"<u{id_bytes}")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, block, rows = encoder(where, backend), TaskContext.get().partitionId() << 32, []
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [*encode(text.as_py() or ""), END_ID]
+                if max(found) >> 8 * id_bytes:
+                    raise ValueError(f"an id does not fit {id_bytes} bytes")
+                ids = np.array(found, kind)
+                rows.extend((-1 if doc_id is None else doc_id, piece, start, ids[start : start + length]) for piece, (start, length) in enumerate(cuts(len(ids), capacity)))
+                while len(rows) >= block_pieces:
+                    yield from pack_block(block, rows[:block_pieces], capacity, pad_id)
+                    rows, block = rows[block_pieces:], block + 1
+        if rows:
+            yield from pack_block(block, rows, capacity, pad_id)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pack, MATRIX)
+
+
+def placements(matrices: DataFrame, id_bytes: int = 2) -> DataFrame:
+    """One row for each piece in written matrices: where it lies, and the CRC-32 of the ids found there (as 32-bit)."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], f"<u{id_bytes}").astype("<u4")
+                ends = row["cu_lengths"]
+                for at, (doc_id, piece, start) in enumerate(zip(row["doc_ids"], row["pieces"], row["starts"], strict=True)):
+                    values = (doc_id, piece, start, ends[at + 1] - ends[at], zlib.crc32(ids[ends[at] : ends[at + 1]].tobytes()), row["block"], row["sequence"], ends[at])
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "block", "sequence", "offset"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("piece", "sequence") else pa.int64()) for c, n in zip(out, names, strict=True)], names)
+
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, block bigint, sequence int, offset bigint"
+    return matrices.select("block", "sequence", "ids", "cu_lengths", "doc_ids", "pieces", "starts").mapInArrow(read, schema)
