@@ -39,14 +39,14 @@ from lexiforge.llm._common import materialize
 from lexiforge.llm.components import connected_components
 
 #: Entries of the heat table (one byte each), and the most that may be filled.
-HEAT_BITS = 22
+HEAT_BITS = 24
 HEAT_FILL = 1 << (HEAT_BITS - 3)
-#: The least document frequency within prefixes that counts as warm.
-WARM = 8
+#: The least document frequency that counts as warm, over the first COUNTED times a prefix of each document.
+WARM, COUNTED = 2, 1.5
 LONGEST_L = 12
 #: Costs of indexing a shingle, of reading a list entry and of comparing a candidate, relative to each other.
 COST = (1.0, 0.25, 4.0)
-BITMAP_WORDS = 4
+BITMAP_WORDS = 8
 #: Documents whose ids are broadcast to fetch their sets (8 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -80,7 +80,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def described(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, node, n, bitmap words and the hash-ordered prefix of each document."""
+    """doc_id, node, n, bitmap words and the first shingles by hash, whose frequency is counted."""
     for batch in batches:
         nodes, sizes, maps, prefixes, ends = [], [], [], [], [0]
         for text in batch.column(1):
@@ -90,7 +90,7 @@ def described(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterat
             sizes.append(n)
             parity = np.bincount((own >> np.uint64(20)).astype(np.int64) & (64 * BITMAP_WORDS - 1), minlength=64 * BITMAP_WORDS) & 1
             maps.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-            prefixes.append(own[: min(n, n - need(n, percent) + 2)])
+            prefixes.append(own[: min(n, int(COUNTED * (n - need(n, percent))) + 2)])
             ends.append(ends[-1] + len(prefixes[-1]))
         if not nodes:
             continue
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(lambda it: whole_sets(it, k), "node binary, own binary").dropDuplicates(["node"]), "sets")
+    sets = materialize(texts.mapInArrow(lambda it: whole_sets(it, k), "node binary, own binary"), "sets")  # repeated ids repeat links, no more
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("a_own")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("b_own")), "b")
     return materialize(both.select("a", "b", "a_own", "b_own").mapInArrow(lambda it: linked(it, percent), "a binary, b binary"), "links")
 
