@@ -57,6 +57,12 @@ def targets(sizes: DataFrame, share: float, limit: float, weights: tuple[int, ..
     return found.select("source", "source_size", target.alias("target"))
 
 
+def rank_key(doc_id: Column, odds: Column, seed: int) -> Column:
+    """Random odds over inclusion odds."""
+    u = (md5_int(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null"))) + F.lit(0.5)) / F.lit(float(16**13))
+    return (u / (1 - u)) / (odds / (1 - odds))
+
+
 def sample_copies(sized: DataFrame, goal: DataFrame, max_copies: int = 2, seed: int = 23, bins: int = BINS, measure: str | None = None) -> DataFrame:
     """Add ``source_size``, ``target`` and ``copies`` to ``(doc_id, source, size, ...)``.
 
@@ -79,9 +85,8 @@ def sample_copies(sized: DataFrame, goal: DataFrame, max_copies: int = 2, seed:
         docs = docs.join(mean, ["_null", "_src"])
         share = share * F.col(measure) / F.col("_mean")
     odds = clipped(share)
-    u = (md5_int(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) + F.lit(0.5)) / F.lit(float(16**13))
-    docs = docs.withColumn("_odds", odds).withColumn("_u", u)
-    docs = docs.withColumn("_q", (F.col("_u") / (1 - F.col("_u"))) / (F.col("_odds") / (1 - F.col("_odds"))))
+    docs = docs.withColumn("_odds", odds)
+    docs = docs.withColumn("_q", rank_key(F.col("doc_id"), F.col("_odds"), seed))
     # Within a source, scaling by its common odds keeps the order and spreads the bins evenly.
     docs = docs.withColumn("_scaled", F.col("_q") * F.col("_level") / (1 - F.col("_level")))
     docs = docs.withColumn("_bin", F.least(F.floor(F.col("_scaled") / (1 + F.col("_scaled")) * F.lit(bins)), F.lit(bins - 1)).cast("int"))
@@ -96,6 +101,28 @@ def sample_copies(sized: DataFrame, goal: DataFrame, max_copies: int = 2, seed:
     return docs.withColumn("copies", F.col("_whole") + extra).select(*kept, "copies")
 
 
+def draw(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 23) -> DataFrame:
+    """``docs`` with each row repeated as often as the mix takes it; rows not taken are absent.
+
+    The rows taken beyond the certain copies are a prefix of their source's
+    ranking, so each source's last rank key decides every document where it
+    stands and texts are not shuffled.  Rows alike in rank key are taken alike.
+    """
+    mixed = materialize(mix_sources(docs, share, limit, weights, seed), "mixed")
+    whole = F.least(F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), F.lit(int(limit))).cast("int")
+    left = F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0))
+    odds = F.when(F.col("source_size") > 0, left / F.col("source_size")).otherwise(F.lit(0.0))
+    odds = F.least(F.greatest(odds, F.lit(1e-9)), F.lit(1 - 1e-9))
+    known = mixed.withColumns({"whole": whole, "odds": odds})
+    known = known.withColumn("last", F.when(F.col("copies") > F.col("whole"), rank_key(F.col("doc_id"), F.col("odds"), seed)))
+    sources = known.groupBy("source").agg(F.first("whole").alias("_whole"), F.first("odds").alias("_odds"), F.max("last").alias("_last"))
+    sources = sources.withColumnRenamed("source", "_source")
+    joined = docs.join(sources, F.col("source").eqNullSafe(F.col("_source")))
+    more = (F.col("_last").isNotNull() & (word_count(F.col("text")) > 0) & (rank_key(F.col("doc_id"), F.col("_odds"), seed) <= F.col("_last"))).cast("int")
+    counted = joined.withColumn("_copies", F.col("_whole") + more).filter("_copies > 0")
+    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def mix_sources(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 23) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` of each document.
 
