@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm._common import WORD
 
+#: A power of two.
 BUCKETS = 1 << 13
 #: Documents whose mean log-likelihood ratio is below this are dropped.
 THRESHOLD = -0.25
 SMOOTHING = 1.0
-TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
+#: Runs of letters and digits (all but ASCII counts as letters) and runs of ASCII punctuation, in lower-case text.
+TOKEN = r"[a-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]+"
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 50
 #: Trusted ids that are broadcast (8 bytes each); more are joined.
@@ -42,17 +44,17 @@ def text_counts(docs: DataFrame) -> DataFrame:
     counted = words.select(
         *docs.columns,
         "n_words",
-        (F.length("_text") - F.regexp_count("_text", F.lit(r"[\x20\x09-\x0D]"))).cast("bigint").alias("word_chars"),
+        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         lines.alias("_lines"),
         windows.alias("_windows"),
     )
-    placed = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
     counted = counted.withColumn("_sorted", F.when(twice, placed))
     s = F.col("_sorted")
     again = F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | (F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))))
-    counted = counted.withColumn("_starts", F.array_sort(F.transform(again, lambda x: x["i"])))
+    counted = counted.withColumn("_starts", F.sort_array(F.transform(again, lambda x: x["i"])))
     # Words covered by windows at sorted starts: up to 3 each, fewer where the next window begins sooner.
     covered = F.aggregate(
         F.col("_starts"),
@@ -75,9 +77,9 @@ def features(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     hashes = F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
     hashed = docs.withColumn("_hashes", hashes)
     h = F.col("_hashes")
-    ones = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+    ones = F.transform(h, lambda x: x.bitwiseAND(F.lit(buckets - 1)).cast("int"))
     shorter = F.greatest(F.size(h) - 1, F.lit(0))
-    pair = lambda a, b: (F.pmod(F.shiftleft(a, 1).bitwiseXOR(b), F.lit(buckets)) + buckets).cast("int")
+    pair = lambda a, b: (F.shiftleft(a, 1).bitwiseXOR(b).bitwiseAND(F.lit(buckets - 1)) + buckets).cast("int")
     twos = F.zip_with(F.slice(h, F.lit(1), shorter), F.slice(h, F.lit(2), shorter), pair)
     return hashed.withColumn("_features", F.concat(ones, twos)).drop("_hashes")
 
