@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from lexiforge.functions.text import lower_cp
 
@@ -65,7 +66,7 @@ def ngram(n: int, a: Column, b: Column, *modes: str) -> Column:
     return F.when(F.length(b) == 0, 0).otherwise(total - F.greatest(over, F.lit(0)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence, one row of the table at a time."""
 

@@ -10,6 +10,8 @@ generation is the order of suggestions, so every candidate carries it as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,10 @@ def _cut(w: Column, start: Column, end: Column) -> Column:
     return F.substr(w, start, F.greatest(end - start + 1, F.lit(0)))
 
 
+def _at(f: Callable[[Column, int], Column], d: int) -> Callable[[Column], Column]:
+    return lambda i: f(i, d)
+
+
 def capitals(w: Column) -> Column:
     return F.array(_one(CAPITALS, F.lit(0), F.lit(0), upper_cp(w)))
 
@@ -64,7 +70,7 @@ def long_swaps(w: Column) -> Column:
         out = F.concat(_cut(w, F.lit(1), i - 1), F.substr(w, j, F.lit(1)), _cut(w, i + 1, j - 1), F.substr(w, i, F.lit(1)), F.substr(w, j + 1))
         return _one(LONG_SWAP, i, F.lit(d), out)
 
-    return F.concat(*[F.transform(_to(F.length(w) - d), lambda i, d=d: pair(i, d)) for d in range(2, MOST_DISTANCE + 1)])
+    return F.concat(*[F.transform(_to(F.length(w) - d), _at(pair, d)) for d in range(2, MOST_DISTANCE + 1)])
 
 
 def key_slips(w: Column, keyboard: str) -> Column:
@@ -116,7 +122,7 @@ def moves(w: Column) -> Column:
         i = n - k + 1
         return _one(MOVE, k + 1000, F.lit(d), F.concat(_cut(w, F.lit(1), i - d - 1), F.substr(w, i, F.lit(1)), _cut(w, i - d, i - 1), F.substr(w, i + 1)))
 
-    return F.concat(*[F.transform(_to(n - d), lambda i, d=d, f=f: f(i, d)) for f in (right, left) for d in range(2, MOST_DISTANCE + 1)])
+    return F.concat(*[F.transform(_to(n - d), _at(f, d)) for f in (right, left) for d in range(2, MOST_DISTANCE + 1)])
 
 
 def double_pairs(w: Column) -> Column:
@@ -267,9 +273,9 @@ def similar_roots(words: DataFrame, lexicon: DataFrame, most: int = MOST_ROOTS)
     The length band is an equi-join on length; ties go to the smaller entry.
     """
     band = words.select("w", F.explode(F.sequence(F.length("w") - LENGTH_BAND, F.length("w") + LENGTH_BAND)).alias("clen"))
-    roots = lexicon.select("entry_id", F.col("word").alias("root"), "clen", "flags")
-    low = lower_cp(F.col("root"))
-    scored = band.join(roots, "clen").withColumn("score", ngram(3, F.col("w"), low, LONGER_WORSE) + common_prefix(F.col("w"), F.col("root")))
+    # Lower case is a column of the smaller side, so that it is not computed for each pair.
+    roots = lexicon.select("entry_id", F.col("word").alias("root"), lower_cp(F.col("word")).alias("low"), "clen")
+    scored = band.join(roots, "clen").withColumn("score", ngram(3, F.col("w"), F.col("low"), LONGER_WORSE) + common_prefix(F.col("w"), F.col("root")))
     place = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("score"), "entry_id"))
     return scored.withColumn("place", place).filter(F.col("place") <= most).select("w", "entry_id", "root", "score", "place")
 
@@ -297,14 +303,14 @@ def similar_forms(words: DataFrame, lexicon: DataFrame, forms: DataFrame, config
     swaps and weighted two-grams, and the best few are kept.
     """
     roots = similar_roots(words, lexicon)
-    own = forms.select("entry_id", "surface", "pfx_append", "sfx_append", F.coalesce("sfx_rule", F.lit(-1)).alias("rule"))
+    own = forms.select("entry_id", "surface", lower_cp(F.col("surface")).alias("low"), "pfx_append", "sfx_append", F.coalesce("sfx_rule", F.lit(-1)).alias("rule"))
     grown = roots.join(own, "entry_id").filter(F.endswith(F.col("w"), F.col("sfx_append")) & F.startswith(F.col("w"), F.col("pfx_append")))
     grown = grown.withColumn("n", F.row_number().over(Window.partitionBy("w", "entry_id").orderBy("rule", "surface"))).filter(F.col("n") <= MOST_EXPANSIONS)
-    w, s = F.col("w"), lower_cp(F.col("surface"))
-    first = grown.withColumns({"guess": ngram_full(w, s) + common_prefix(w, F.col("surface")), "least": similarity_threshold(w)}).filter(F.col("guess") > F.col("least"))
+    w, low = F.col("w"), F.col("low")
+    least = words.select("w", similarity_threshold(w).alias("least"))
+    first = grown.join(least, "w").withColumn("guess", ngram_full(w, low) + common_prefix(w, F.col("surface"))).filter(F.col("guess") > F.col("least"))
     kept = first.withColumn("n", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("guess"), "place", "surface"))).filter(F.col("n") <= MOST_GUESSES)
-    kept = kept.withColumn("low", s).withColumn("lcs", lcs_length("w", "low"))
-    low = F.col("low")
+    kept = kept.withColumn("lcs", lcs_length("w", "low"))
     two = ngram(2, w, low, ANY_MISMATCH, WEIGHTED) + ngram(2, low, w, ANY_MISMATCH, WEIGHTED)
     factor = F.lit((10.0 - config.numbers["MAXDIFF"]) / 5.0 if "MAXDIFF" in config.numbers else 1.0)
     total = (

@@ -372,7 +372,7 @@ generator(
     "keyboard_candidates",
     lambda w: suggest.key_slips(w, CONFIG.keyboard),
     " UNION ALL ".join([
-        each("k", "0", "left(w, k - 1) || upper(substr(w, k, 1)) || substr(w, k + 1)", f"{SEQ.format(end='len(w)')} WHERE upper(substr(w, k, 1)) <> substr(w, k, 1) AND len(upper(substr(w, k, 1))) = 1"),
+        each("k", "0", "left(w, k - 1) || upper(substr(w, k, 1)) || substr(w, k + 1)", f"{SEQ.format(end='len(w)')} WHERE upper(substr(w, k, 1)) <> substr(w, k, 1) AND substr(w, k, 1) <> 'ß'"),
         each("k", "ord + 1", "left(w, k - 1) || near || substr(w, k + 1)", f"{SEQ.format(end='len(w)')} JOIN {neighbours_sql(CONFIG.keyboard)} ON c = substr(w, k, 1)"),
     ]),
 )
