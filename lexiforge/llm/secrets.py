@@ -81,13 +81,13 @@ def match_spans(text: Column, pattern: str, kind: int, value_group: int | None =
 
 
 def upper_tail(z: Column) -> Column:
-    """1 - Phi(z): a rational approximation near 0, a continued fraction beyond 2."""
+    """1 - Phi(z): a rational approximation near 0, a continued fraction beyond 3."""
     a = F.abs(z)
     density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
     t = 1 / (1 + 0.2316419 * a)
     near = density * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     far = density / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65)))))
-    tail = F.when(a > 2, far).otherwise(near)
+    tail = F.when(a > 3, far).otherwise(near)
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
