@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,6 +68,36 @@ def ngram(n: int, a: Column, b: Column, *modes: str) -> Column:
     return F.when(F.length(b) == 0, 0).otherwise(total - F.greatest(over, F.lit(0)))
 
 
+def _ngram(n: int, a: str, b: str, longer_worse: bool, any_mismatch: bool, weighted: bool) -> int:
+    if not b:
+        return 0
+    total = 0
+    for j in range(1, n + 1):
+        starts = range(len(a) - j + 1)
+        hits = sum(a[i : i + j] in b for i in starts)
+        if weighted:
+            missed = len(starts) - hits
+            ends = sum(a[i : i + j] not in b for i in {0, len(a) - j} if i in starts)
+            total += hits - missed - ends
+        else:
+            total += hits
+            if hits < 2:
+                break
+    over = len(b) - len(a) - 2 if longer_worse else abs(len(b) - len(a)) - 2 if any_mismatch else 0
+    return total - max(over, 0)
+
+
+def ngram_batched(n: int, *modes: str) -> Callable[[Column, Column], Column]:
+    """:func:`ngram` over Arrow batches, for many pairs: several times faster than the expression."""
+    chosen = LONGER_WORSE in modes and ANY_MISMATCH not in modes, ANY_MISMATCH in modes, WEIGHTED in modes
+
+    @F.pandas_udf(IntegerType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _ngram(n, x, y, *chosen) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return score
+
+
 @F.pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence, one row of the table at a time."""

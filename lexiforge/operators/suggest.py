@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.functions.similarity import ANY_MISMATCH, LONGER_WORSE, WEIGHTED, common_positions, common_prefix, is_swap, lcs_length, ngram
+from lexiforge.functions.similarity import ANY_MISMATCH, LONGER_WORSE, WEIGHTED, common_positions, common_prefix, is_swap, lcs_length, ngram_batched
 from lexiforge.functions.text import ALLCAP, INITCAP, captype, init_upper, lower_cp, upper_cp
 from lexiforge.operators.spell import suggestion_variants
 from lexiforge.sources.affix import AffixConfig
@@ -275,7 +275,7 @@ def similar_roots(words: DataFrame, lexicon: DataFrame, most: int = MOST_ROOTS)
     band = words.select("w", F.explode(F.sequence(F.length("w") - LENGTH_BAND, F.length("w") + LENGTH_BAND)).alias("clen"))
     # Lower case is a column of the smaller side, so that it is not computed for each pair.
     roots = lexicon.select("entry_id", F.col("word").alias("root"), lower_cp(F.col("word")).alias("low"), "clen")
-    scored = band.join(roots, "clen").withColumn("score", ngram(3, F.col("w"), F.col("low"), LONGER_WORSE) + common_prefix(F.col("w"), F.col("root")))
+    scored = band.join(roots, "clen").withColumn("score", ngram_batched(3, LONGER_WORSE)(F.col("w"), F.col("low")) + common_prefix(F.col("w"), F.col("root")))
     place = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("score"), "entry_id"))
     return scored.withColumn("place", place).filter(F.col("place") <= most).select("w", "entry_id", "root", "score", "place")
 
@@ -286,13 +286,13 @@ def similarity_threshold(w: Column) -> Column:
     def masked(start: int) -> Column:
         return F.array_join(F.transform(F.split(w, ""), lambda c, i: F.when((i >= start) & ((i - start) % 4 == 0), F.lit("*")).otherwise(c)), "")
 
-    total = sum((F.aggregate(F.array(masked(s)), F.lit(0), lambda a, m: a + ngram_full(w, m)) for s in (1, 2, 3)), F.lit(0))
+    total = ngram_full(w, masked(1)) + ngram_full(w, masked(2)) + ngram_full(w, masked(3))
     return F.floor(total / 3).cast("int") - 1
 
 
 def ngram_full(a: Column, b: Column, most: int = 12) -> Column:
     """The n-gram score at the word's own length; levels beyond ``most`` add nothing unless words share so long a run."""
-    return ngram(most, a, b, ANY_MISMATCH)
+    return ngram_batched(most, ANY_MISMATCH)(a, b)
 
 
 def similar_forms(words: DataFrame, lexicon: DataFrame, forms: DataFrame, config: AffixConfig, most: int = MOST_NGRAM) -> DataFrame:
@@ -311,11 +311,12 @@ def similar_forms(words: DataFrame, lexicon: DataFrame, forms: DataFrame, config
     first = grown.join(least, "w").withColumn("guess", ngram_full(w, low) + common_prefix(w, F.col("surface"))).filter(F.col("guess") > F.col("least"))
     kept = first.withColumn("n", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("guess"), "place", "surface"))).filter(F.col("n") <= MOST_GUESSES)
     kept = kept.withColumn("lcs", lcs_length("w", "low"))
-    two = ngram(2, w, low, ANY_MISMATCH, WEIGHTED) + ngram(2, low, w, ANY_MISMATCH, WEIGHTED)
+    kept = kept.withColumn("two", ngram_batched(2, ANY_MISMATCH, WEIGHTED)(w, low) + ngram_batched(2, ANY_MISMATCH, WEIGHTED)(low, w)).withColumn("four", ngram_batched(4, ANY_MISMATCH)(w, low))
+    two = F.col("two")
     factor = F.lit((10.0 - config.numbers["MAXDIFF"]) / 5.0 if "MAXDIFF" in config.numbers else 1.0)
     total = (
         2 * F.col("lcs") - F.abs(F.length(w) - F.length(low)) + common_prefix(w, low) + (common_positions(w, low) > 0).cast("int")
-        + F.when(is_swap(w, low), 10).otherwise(0) + ngram(4, w, low, ANY_MISMATCH) + two
+        + F.when(is_swap(w, low), 10).otherwise(0) + F.col("four") + two
         + F.when(two < (F.length(w) + F.length(low)) * factor, -1000).otherwise(0)
     )
     scored = kept.withColumn("total", F.when(w == low, total + 2000).otherwise(total))

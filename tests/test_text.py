@@ -83,6 +83,7 @@ def test_similarity(spark):
     a, b = F.col("a"), F.col("b")
     for modes in ((), ("longer_worse",), ("any_mismatch",), ("any_mismatch", "weighted")):
         assert [r[0] for r in df.select(similarity.ngram(3, a, b, *modes)).collect()] == [brute_ngram(3, x, y, modes) for x, y in pairs]
+        assert [r[0] for r in df.select(similarity.ngram_batched(3, *modes)(a, b)).collect()] == [brute_ngram(3, x, y, modes) for x, y in pairs]
     assert [r[0] for r in df.select(similarity.lcs_length("a", "b")).collect()] == [4, 0, 2, 3, 8, 1]
     assert [r[0] for r in df.select(similarity.common_prefix(a, b)).collect()][:2] == [1, 0]
     assert [r[0] for r in df.select(similarity.is_swap(a, b)).collect()] == [False] * 6
