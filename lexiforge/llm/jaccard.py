@@ -17,7 +17,9 @@ No group of copies is expanded into pairs:
 1. documents with equal sets are one node;
 2. within each prefix shingle's group, all nodes are compared with the group's
    first node (a star); found links are joined into components;
-3. then only pairs of different components are compared, and of those at least
+3. the same is done around another member of each group that still holds
+   several components;
+4. then only pairs of different components are compared, and of those at least
    one lies outside the group's largest component.  A parity bitmap of each set
    bounds the symmetric difference from below and ends most comparisons inside
    the join.
@@ -43,9 +45,12 @@ HEAT_BITS = 24
 HEAT_FILL = 1 << (HEAT_BITS - 3)
 #: The least document frequency that counts as warm, over the first COUNTED times a prefix of each document.
 WARM, COUNTED = 2, 1.5
-LONGEST_L = 12
-#: Costs of indexing a shingle, of reading a list entry and of comparing a candidate, relative to each other.
+#: L is at most this, or this part of the prefix that any document needs.
+LONGEST_L, LONGEST_PART = 12, 1 / 3
+#: Costs of indexing a shingle, of reading a list entry and of comparing a candidate of 50 shingles, relative to each other.
 COST = (1.0, 0.25, 4.0)
+#: Candidates expected of a shingle that is not known to be warm.
+EXPECTED = 0.05
 BITMAP_WORDS = 8
 #: Documents whose ids are broadcast to fetch their sets (8 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
@@ -103,16 +108,18 @@ def described(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterat
 
 
 def adapted(warmth: np.ndarray, n: int, percent: int) -> int:
-    """The L of least estimated cost; ``warmth`` is heat in prefix order."""
-    need_n = need(n, percent)
-    most = min(LONGEST_L, need_n)
-    base = n - need_n
-    if not warmth[: base + 1].any():
-        return 1
-    lists = np.cumsum(np.exp2(warmth[: base + most].astype(np.float64)))
+    """The L of least estimated cost; ``warmth`` is heat in prefix order.
+
+    Comparing costs as much as the document is long, so long documents ask for
+    more shared shingles.
+    """
+    base = n - need(n, percent)
+    most = min(max(LONGEST_L, int(LONGEST_PART * base)), need(n, percent))
+    heat = warmth[: base + most].astype(np.float64)
+    lists = np.cumsum(np.where(heat > 0, np.exp2(heat), EXPECTED))
     levels = np.arange(1, most + 1)
     read = lists[base + levels - 1]
-    return int(levels[np.argmin(COST[0] * (base + levels) + COST[1] * read + COST[2] * read / levels)])
+    return int(levels[np.argmin(COST[0] * (base + levels) + COST[1] * read + COST[2] * n / 50 * read / levels)])
 
 
 def prefix_rows(batches: Iterable[pa.RecordBatch], k: int, percent: int, heat: np.ndarray, warm: bool) -> Iterator[pa.RecordBatch]:
@@ -244,22 +251,40 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
     # Stars: every node against the first node of each of its groups.
     facts = ["node", "n", *bits]
-    stars = shared.filter(F.col("node") > F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    # Only those that share enough groups with the same first node; the others are left to the pairs below.
+    lead_l = shared.filter(F.col("node") == F.col("lead")).select("token", F.col("l").alias("lead_l"))
+    met = shared.filter(F.col("node") > F.col("lead")).join(lead_l, "token")
+    stars = met.groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("l"), F.min("lead_l")).alias("least"))
+    stars = stars.filter(F.col("shared") >= F.col("least")).select("a", "b")
     for s in ("a", "b"):
         stars = stars.join(nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in facts]), F.col(s) == F.col(f"{s}_node"))
     stars = stars.filter(possible(percent, "a_", "b_")).select("a", "b")
     links = verified(stars, docs, nodes, k, percent)
     parts = connected_components(links)
 
+    full = materialize(shared.select("token", "node", "l").join(nodes.select(*facts), "node"), "full")
+
+    def open_groups(parts: DataFrame, tag: str) -> DataFrame:
+        """Members of groups that still hold several components, with each group's largest one."""
+        known_parts = full.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        tally = known_parts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
+        main = tally.groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "main")
+        return materialize(known_parts.join(main, "token"), tag)
+
+    # A second round of stars, around another member in each group: who is not near the first node
+    # is mostly near some other member, and one found link is enough.
+    left = open_groups(parts, "open-stars")
+    around = left.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "node").alias("order"), "node", "part", "n", *bits)).alias("c"))
+    around = around.select("token", *[F.col(f"c.{c}").alias(f"a_{c}") for c in ("node", "part", "n", *bits)])
+    tried = side(left, "b_", ["node", "part", "n", *bits]).join(around, "token").filter((F.col("a_part") != F.col("b_part")) & possible(percent, "a_", "b_"))
+    links = links.unionByName(verified(tried.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), docs, nodes, k, percent))
+    parts = connected_components(links)
+
     # The rest: pairs of different components that share enough prefix shingles.
-    full = shared.select("token", "node", "l").join(nodes.select(*facts), "node").join(parts, "node", "left")
-    full = materialize(full.withColumn("part", F.coalesce("part", "node")), "full")
-    tally = full.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
-    main = tally.groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "main")
-    open_groups = materialize(full.join(main, "token"), "open")
+    left = open_groups(parts, "open")
     columns = ["node", "l", "part", "n", *bits]
-    outside = side(open_groups.filter(F.col("part") != F.col("main")), "a_", columns)
-    inside = side(open_groups, "b_", [*columns, "main"])
+    outside = side(left.filter(F.col("part") != F.col("main")), "a_", columns)
+    inside = side(left, "b_", [*columns, "main"])
     cross = outside.join(inside, "token").filter(
         (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("b_main")) | (F.col("a_node") < F.col("b_node"))) & possible(percent, "a_", "b_")
     )
