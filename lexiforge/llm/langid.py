@@ -39,6 +39,7 @@ LEAST_COUNT = 2
 PENALTY = -7.0
 #: Words up to which a text's evidence grows; beyond, the mean alone decides how sure the score is.
 EVIDENCE_WORDS = 40
+#: Scored chunks after which the cache starts over.
 CACHE = 400_000
 
 
@@ -49,7 +50,9 @@ class Model:
     langs: list[str]
     words: dict[str, tuple[float, ...]]
     grams: dict[str, tuple[float, ...]]
-    cache: dict[str, tuple[tuple[float, ...], int]] = field(default_factory=dict)
+    #: Scored chunks: their rows in a table of sums (one column a language) and word numbers (the last).
+    rows: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray | None = None
 
     def word(self, word: str) -> tuple[float, ...]:
         known = self.words.get(word)
@@ -70,24 +73,31 @@ class Model:
             return (0.0,) * len(self.langs), 0
         return tuple(map(sum, zip(*map(self.word, words), strict=True))), len(words)
 
+    def learn(self, chunk: str) -> int:
+        row = len(self.rows)
+        if self.table is None or row == len(self.table):
+            grown = np.zeros((2 * row + 4096, len(self.langs) + 1))
+            grown[:row] = self.table[:row] if self.table is not None else 0
+            self.table = grown
+        sums, words = self.chunk(chunk)
+        self.table[row] = (*sums, words)
+        self.rows[chunk] = row
+        return row
+
     def score(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the probability; ties go to the first language by name."""
-        if not self.langs:
+        counts = Counter((text or "").split())
+        if not self.langs or not counts:
             return UNKNOWN, 0.0
-        total, count = np.zeros(len(self.langs)), 0
-        cache = self.cache
-        for chunk, times in Counter((text or "").split()).items():
-            known = cache.get(chunk)
-            if known is None:
-                known = self.chunk(chunk)
-                if len(cache) < CACHE:
-                    cache[chunk] = known
-            if known[1]:
-                total += np.multiply(known[0], times)
-                count += known[1] * times
+        if len(self.rows) > CACHE:
+            self.rows.clear()
+        at = [self.rows.get(chunk, -1) for chunk in counts]
+        if -1 in at:
+            at = [self.learn(chunk) if row < 0 else row for chunk, row in zip(counts, at, strict=True)]
+        *total, count = np.fromiter(counts.values(), np.float64, len(counts)) @ self.table[at]
         if not count:
             return UNKNOWN, 0.0
-        mean = total / count * min(count, EVIDENCE_WORDS) * math.log(10)
+        mean = np.array(total) / count * min(count, EVIDENCE_WORDS) * math.log(10)
         best = int(np.argmax(mean))
         return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
 
