@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Word separators of every contract: the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whether Spark removes a query's shuffle files as soon as the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +50,28 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     Cuts the lineage: whoever reads the result again, after a lost executor
-    too, reads files and repeats none of the work before.
+    too, reads files and repeats none of the work before.  Shuffle files of the
+    write go when it ends.
     """
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_path = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that reads them has been written itself."""
+    for written in tables:
+        spark = written.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written._written_path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def md5_int(*parts: Column, digits: int = 13) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm._common import materialize
+from lexiforge.llm._common import materialize, release
 
 #: Rounds that no input reaches: their number is of the order of log(nodes) ** 2.
 MOST_ROUNDS = 200
@@ -29,10 +29,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         own = low.select("u", F.col("low").alias("v"))
         rest = large.join(low, "u").filter(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         small = materialize(own.union(rest).distinct(), "small-star")
+        release(edges, large)
         # Done when each node has one smaller neighbour and that one has none.
         open_ = small.groupBy("u").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("u").union(small.select("v").join(small.select(F.col("u").alias("v")), "v", "left_semi"))
         if open_.isEmpty():
             roots = small.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("part"))
-            return materialize(small.select(F.col("u").alias("node"), F.col("v").alias("part")).union(roots), "parts")
+            parts = materialize(small.select(F.col("u").alias("node"), F.col("v").alias("part")).union(roots), "parts")
+            release(small)
+            return parts
         edges = small
     raise RuntimeError("components did not settle")

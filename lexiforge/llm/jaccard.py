@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm._common import materialize
+from lexiforge.llm._common import materialize, release
 from lexiforge.llm.components import connected_components
 
 #: Entries of the heat table (one byte each), and the most that may be filled.
@@ -84,9 +84,16 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, which bounds what a task holds beside its texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def described(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """doc_id, node, n, bitmap words and the first shingles by hash, whose frequency is counted."""
-    for batch in batches:
+    for batch in sliced(batches):
         nodes, sizes, maps, prefixes, ends = [], [], [], [], [0]
         for text in batch.column(1):
             own = shingle_set(text.as_py(), k)
@@ -126,7 +133,7 @@ def prefix_rows(batches: Iterable[pa.RecordBatch], k: int, percent: int, heat: n
     """(token, node, n, l) for each prefix shingle; only warm ones or only the others."""
     seen: set[bytes] = set()  # a shortcut for copies within a task; others are dropped later
     mask = np.uint64(len(heat) - 1)
-    for batch in batches:
+    for batch in sliced(batches):
         tokens, nodes, sizes, levels = [], [], [], []
         for text in batch.column(0):
             own = shingle_set(text.as_py(), k)
@@ -156,9 +163,31 @@ def prefix_rows(batches: Iterable[pa.RecordBatch], k: int, percent: int, heat: n
 
 
 def whole_sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        sets = [shingle_set(text.as_py(), k) for text in batch.column(0)]
+        nodes, sizes, maps = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], [parity_map(s).tobytes() for s in sets]
+        owns = pa.array([s.tobytes() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), owns], ["node", "n", "map", "own"])
+
+
+def parity_map(own: np.ndarray) -> np.ndarray:
+    """Bytes of a parity bitmap with 4 to 8 bits a shingle; XOR of its halves is the map of half the size."""
+    bits = max(64, 4 << len(own).bit_length())
+    parity = np.bincount((own >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8))
+
+
+def near(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose maps, folded to one size, don't rule a link out."""
     for batch in batches:
-        sets = [shingle_set(text.as_py(), k).tobytes() for text in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "own"])
+        keep = []
+        for x, y, total in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+            a, b = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            while len(a) != len(b):
+                half = max(len(a), len(b)) // 2
+                a, b = (m if len(m) == half else m[:half] ^ m[half:] for m in (a, b))
+            keep.append(int(np.bitwise_count(a ^ b).sum()) * (100 + percent) <= total.as_py() * (100 - percent))
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def linked(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -185,6 +214,7 @@ def heat_table(described_docs: DataFrame) -> np.ndarray:
         least += 1
     slot = F.col("token").bitwiseAND(F.lit((1 << HEAT_BITS) - 1))
     found = warm.filter(F.col("heat") >= least).groupBy(slot.alias("slot")).agg(F.max("heat").alias("heat")).toArrow()  # at most HEAT_FILL rows
+    release(warm)
     table = np.zeros(1 << HEAT_BITS, np.uint8)
     table[found.column("slot").to_numpy()] = found.column("heat").to_numpy()
     return table
@@ -203,17 +233,31 @@ def side(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return df.select("token", *[F.col(c).alias(f"{prefix}{c}") for c in columns])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes that link, by their whole sets."""
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, spent: list[DataFrame] | None = None) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes that link, by their whole sets.
+
+    Maps of a size in proportion to the set go first, so that few sets are sent
+    to pairs that don't link.  ``spent`` tables are released once the pairs are
+    written.
+    """
     pairs = materialize(pairs, "pairs")
+    release(*spent or [])
     parts = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(nodes.join(parts, "node").select(F.col("first_id").alias("_wanted")), "wanted")
+    found = wanted = materialize(nodes.join(parts, "node").select(F.col("first_id").alias("_wanted")), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(lambda it: whole_sets(it, k), "node binary, own binary"), "sets")  # repeated ids repeat links, no more
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("a_own")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("b_own")), "b")
-    return materialize(both.select("a", "b", "a_own", "b_own").mapInArrow(lambda it: linked(it, percent), "a binary, b binary"), "links")
+    sets = materialize(texts.mapInArrow(lambda it: whole_sets(it, k), "node binary, n int, map binary, own binary"), "sets")  # repeated ids repeat links, no more
+
+    def beside(left: DataFrame, end: str, *columns: str) -> DataFrame:
+        return left.join(sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end)
+
+    mapped = beside(beside(pairs, "a", "n", "map"), "b", "n", "map").select("a", "b", "a_map", "b_map", (F.col("a_n") + F.col("b_n")).alias("total"))
+    close = materialize(mapped.mapInArrow(lambda it: near(it, percent), "a binary, b binary"), "near")
+    both = beside(beside(close, "a", "own"), "b", "own").select("a", "b", "a_own", "b_own")
+    links = materialize(both.mapInArrow(lambda it: linked(it, percent), "a binary, b binary"), "links")
+    release(pairs, found, sets, close)
+    return links
 
 
 def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -235,6 +279,8 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     nodes = materialize(
         known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in bits]), "nodes"
     )
+    own_ids = materialize(known.select("doc_id", "node", F.col("n").cast("bigint").alias("n_shingles")), "ids")
+    release(known)
 
     def index(warm: bool) -> DataFrame:
         rows = docs.select("text").mapInArrow(lambda it: prefix_rows(it, k, percent, heat.value, warm), "token bigint, node binary, n int, l int")
@@ -248,6 +294,7 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     ends = warm.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter(F.col("lead") < F.col("last"))
     shared = cold.select("token", "node", "l", "lead").unionByName(warm.join(ends, "token").select("token", "node", "l", "lead"))
     shared = materialize(shared.dropDuplicates(["token", "node"]), "shared")
+    release(warm)
 
     # Stars: every node against the first node of each of its groups.
     facts = ["node", "n", *bits]
@@ -262,14 +309,12 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     links = verified(stars, docs, nodes, k, percent)
     parts = connected_components(links)
 
-    full = materialize(shared.select("token", "node", "l").join(nodes.select(*facts), "node"), "full")
-
     def open_groups(parts: DataFrame, tag: str) -> DataFrame:
         """Members of groups that still hold several components, with each group's largest one."""
-        known_parts = full.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        known_parts = shared.select("token", "node", "l").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
         tally = known_parts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
         main = tally.groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "main")
-        return materialize(known_parts.join(main, "token"), tag)
+        return materialize(known_parts.join(main, "token").join(nodes.select(*facts), "node"), tag)
 
     # A second round of stars, around another member in each group: who is not near the first node
     # is mostly near some other member, and one found link is enough.
@@ -277,11 +322,13 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     around = left.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "node").alias("order"), "node", "part", "n", *bits)).alias("c"))
     around = around.select("token", *[F.col(f"c.{c}").alias(f"a_{c}") for c in ("node", "part", "n", *bits)])
     tried = side(left, "b_", ["node", "part", "n", *bits]).join(around, "token").filter((F.col("a_part") != F.col("b_part")) & possible(percent, "a_", "b_"))
-    links = links.unionByName(verified(tried.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), docs, nodes, k, percent))
+    tried = tried.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    links = links.unionByName(verified(tried, docs, nodes, k, percent, spent=[left, parts]))
     parts = connected_components(links)
 
     # The rest: pairs of different components that share enough prefix shingles.
     left = open_groups(parts, "open")
+    release(shared, parts)
     columns = ["node", "l", "part", "n", *bits]
     outside = side(left.filter(F.col("part") != F.col("main")), "a_", columns)
     inside = side(left, "b_", [*columns, "main"])
@@ -291,12 +338,12 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     least = F.least(F.min("a_l"), F.min("b_l"))
     ordered = cross.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), "a_l", "b_l")
     candidates = ordered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), least.alias("least")).filter(F.col("shared") >= F.col("least")).select("a", "b")
-    more = verified(candidates, docs, nodes, k, percent)
+    more = verified(candidates, docs, nodes, k, percent, spent=[left])
     parts = connected_components(links.unionByName(more))
 
     labeled = nodes.select("node", "first_id").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     first = labeled.groupBy("part").agg(F.min("first_id").alias("component_id"))
     by_node = labeled.join(first, "part").select("node", "component_id")
     # A node's id may be that of a third of all rows: its side is the small one, and the large side is split where skewed.
-    own = known.select("doc_id", "node", F.col("n").cast("bigint").alias("n_shingles")).join(by_node, "node", "left")
+    own = own_ids.join(by_node, "node", "left")
     return own.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
