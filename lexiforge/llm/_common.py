@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: Word separators of every contract: the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Whether Spark removes a query's shuffle files as soon as the query ends.
+#: Rows of an Arrow batch; whether Spark removes a query's shuffle files as soon as the query ends.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -66,6 +67,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return written
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Python receive at most ``rows`` rows at a time, which bounds a worker's memory where texts are long."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote, once all that reads them has been written itself."""
     for written in tables:

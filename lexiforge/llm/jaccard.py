@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm._common import materialize, release
+from lexiforge.llm._common import materialize, release, small_batches
 from lexiforge.llm.components import connected_components
 
 #: Entries of the heat table (one byte each), and the most that may be filled.
@@ -84,16 +84,9 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, which bounds what a task holds beside its texts."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def described(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """doc_id, node, n, bitmap words and the first shingles by hash, whose frequency is counted."""
-    for batch in sliced(batches):
+    for batch in batches:
         nodes, sizes, maps, prefixes, ends = [], [], [], [], [0]
         for text in batch.column(1):
             own = shingle_set(text.as_py(), k)
@@ -133,7 +126,7 @@ def prefix_rows(batches: Iterable[pa.RecordBatch], k: int, percent: int, heat: n
     """(token, node, n, l) for each prefix shingle; only warm ones or only the others."""
     seen: set[bytes] = set()  # a shortcut for copies within a task; others are dropped later
     mask = np.uint64(len(heat) - 1)
-    for batch in sliced(batches):
+    for batch in batches:
         tokens, nodes, sizes, levels = [], [], [], []
         for text in batch.column(0):
             own = shingle_set(text.as_py(), k)
@@ -163,7 +156,7 @@ def prefix_rows(batches: Iterable[pa.RecordBatch], k: int, percent: int, heat: n
 
 
 def whole_sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
+    for batch in batches:
         sets = [shingle_set(text.as_py(), k) for text in batch.column(0)]
         nodes, sizes, maps = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], [parity_map(s).tobytes() for s in sets]
         owns = pa.array([s.tobytes() for s in sets], pa.binary())
@@ -270,6 +263,7 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     empty result.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = ", ".join(f"b{i} bigint" for i in range(BITMAP_WORDS))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lexiforge.llm._common import materialize
+from lexiforge.llm._common import materialize, small_batches
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -147,6 +147,7 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
 
     Without labelled rows the model knows no language and finds every text unknown.
     """
+    small_batches(docs.sparkSession)
     sample = materialize(training_sample(docs, per_lang), "lang-sample")
     counts = sample.mapInArrow(counted, "lang string, kind int, entry string, n bigint").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "lang-counts")
@@ -170,6 +171,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     A null text, or one without letters, is ``und`` with score 0.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast(model)
 
