@@ -178,7 +178,7 @@ def near(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
             a, b = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
             while len(a) != len(b):
                 half = max(len(a), len(b)) // 2
-                a, b = (m if len(m) == half else m[:half] ^ m[half:] for m in (a, b))
+                a, b = (m if len(m) <= half else m[:half] ^ m[half:] for m in (a, b))
             keep.append(int(np.bitwise_count(a ^ b).sum()) * (100 + percent) <= total.as_py() * (100 - percent))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,3 +348,20 @@ def test_probe_order():
 def test_digest_of_no_spans(spark):
     none = spark.createDataFrame([(1, "plain")], "doc_id bigint, text string")
     assert secrets.find_secrets(none).select(F.sha2(secrets.listed("base_spans"), 256)).head()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_maps_fold_and_never_rule_out_a_link():
+    rng = np.random.default_rng(7)
+    for n in (1, 7, 63, 64, 500, 5000):
+        own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        other = own[: max(1, len(own) * 19 // 20)]
+        a, b = jaccard.parity_map(own), jaccard.parity_map(other)
+        while len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        assert np.bitwise_count(a ^ b).sum() <= len(own) - len(other)
+        rows = pa.RecordBatch.from_pydict({"a": [b"x"], "b": [b"y"], "a_map": [jaccard.parity_map(own).tobytes()], "b_map": [jaccard.parity_map(other).tobytes()], "total": [len(own) + len(other)]})
+        if 100 * len(other) >= 90 * len(own):
+            assert next(jaccard.near([rows], 90)).num_rows == 1
+    far = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    rows = pa.RecordBatch.from_pydict({"a": [b"x"], "b": [b"y"], "a_map": [jaccard.parity_map(far).tobytes()], "b_map": [jaccard.parity_map(own).tobytes()], "total": [len(own) + 500]})
+    assert next(jaccard.near([rows], 90)).num_rows == 0
