@@ -85,7 +85,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def described(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, node, n, bitmap words and the first shingles by hash, whose frequency is counted."""
+    """doc_id, key, node, n, bitmap words and the first shingles by hash, whose frequency is counted."""
     for batch in batches:
         nodes, sizes, maps, prefixes, ends = [], [], [], [], [0]
         for text in batch.column(1):
@@ -102,8 +102,8 @@ def described(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterat
         columns = np.stack(maps)
         tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(prefixes))))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(np.ascontiguousarray(columns[:, i])) for i in range(BITMAP_WORDS)], tokens],
-            ["doc_id", "node", "n", *[f"b{i}" for i in range(BITMAP_WORDS)], "tokens"],
+            [batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(np.ascontiguousarray(columns[:, i])) for i in range(BITMAP_WORDS)], tokens],
+            ["doc_id", "key", "node", "n", *[f"b{i}" for i in range(BITMAP_WORDS)], "tokens"],
         )
 
 
@@ -262,18 +262,32 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     the smallest other id of their component, or null.  An empty table gives an
     empty result.
     """
+    rows = component_rows(docs, k, percent, F.lit(None).cast("bigint"))
+    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("lead.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFrame:
+    """``(doc_id, key, n_shingles, lead)`` of each row of ``docs (doc_id, text)``.
+
+    ``key`` is a bigint made of the text that tells the rows of one id apart.
+    ``lead`` is the struct (no_id, doc_id, key) of the component's first row: by
+    doc_id, null last, then by key.  It is null where there are no shingles.
+    """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
+    keyed, docs = docs.select("doc_id", "text", key.alias("key")), docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = ", ".join(f"b{i} bigint" for i in range(BITMAP_WORDS))
-    known = materialize(docs.mapInArrow(lambda it: described(it, k, percent), f"doc_id {kind}, node binary, n int, {words}, tokens array<bigint>"), "described")
+    known = materialize(keyed.mapInArrow(lambda it: described(it, k, percent), f"doc_id {kind}, key bigint, node binary, n int, {words}, tokens array<bigint>"), "described")
     heat = spark.sparkContext.broadcast(heat_table(known))
     bits = [f"b{i}" for i in range(BITMAP_WORDS)]
     nodes = materialize(
-        known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in bits]), "nodes"
+        known.filter("n > 0")
+        .groupBy("node")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first_row"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in bits]),
+        "nodes",
     )
-    own_ids = materialize(known.select("doc_id", "node", F.col("n").cast("bigint").alias("n_shingles")), "ids")
+    own_ids = materialize(known.select("doc_id", "key", "node", F.col("n").cast("bigint").alias("n_shingles")), "ids")
     release(known)
 
     def index(warm: bool) -> DataFrame:
@@ -335,9 +349,8 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     more = verified(candidates, docs, nodes, k, percent, spent=[left])
     parts = connected_components(links.unionByName(more))
 
-    labeled = nodes.select("node", "first_id").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    first = labeled.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    by_node = labeled.join(first, "part").select("node", "component_id")
+    labeled = nodes.select("node", "first_row").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    first = labeled.groupBy("part").agg(F.min("first_row").alias("lead"))
+    by_node = labeled.join(first, "part").select("node", "lead")
     # A node's id may be that of a third of all rows: its side is the small one, and the large side is split where skewed.
-    own = own_ids.join(by_node, "node", "left")
-    return own.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return own_ids.join(by_node, "node", "left").select("doc_id", "key", "n_shingles", "lead")

@@ -63,12 +63,13 @@ def rank_key(doc_id: Column, odds: Column, seed: int) -> Column:
     return (u / (1 - u)) / (odds / (1 - odds))
 
 
-def sample_copies(sized: DataFrame, goal: DataFrame, max_copies: int = 2, seed: int = 23, bins: int = BINS, measure: str | None = None) -> DataFrame:
+def sample_copies(sized: DataFrame, goal: DataFrame, max_copies: int = 2, seed: int = 23, bins: int = BINS, measure: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Add ``source_size``, ``target`` and ``copies`` to ``(doc_id, source, size, ...)``.
 
     ``measure`` names a positive column that raises or lowers a document's
     inclusion odds within its source (None: all alike).  Repeated rows of one
-    doc_id are sampled each for itself.  Sources without words have target 0
+    doc_id are sampled each for itself, in the order of size and then of the
+    columns ``ties``.  Sources without words have target 0
     and no copies.
     """
     keyed = sized.withColumns({"_null": F.col("source").isNull(), "_src": F.coalesce("source", F.lit(""))})
@@ -94,7 +95,7 @@ def sample_copies(sized: DataFrame, goal: DataFrame, max_copies: int = 2, seed:
     up = Window.partitionBy("_null", "_src").orderBy("_bin")
     binned = binned.withColumn("_before", F.sum("_words").over(up) - F.col("_words")).drop("_words")
     docs = docs.join(binned, ["_null", "_src", "_bin"])
-    within = Window.partitionBy("_null", "_src", "_bin").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_null", "_src", "_bin").orderBy("_q", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     extra = F.when((F.col("_whole") < max_copies) & (F.col("size") > 0) & (start + F.col("size") / 2 <= F.col("_left")), 1).otherwise(0)
     kept = [c for c in sized.columns] + ["source_size", "target"]
@@ -105,20 +106,26 @@ def draw(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple
     """``docs`` with each row repeated as often as the mix takes it; rows not taken are absent.
 
     The rows taken beyond the certain copies are a prefix of their source's
-    ranking, so each source's last rank key decides every document where it
-    stands and texts are not shuffled.  Rows alike in rank key are taken alike.
+    ranking, so each source's last place decides every document where it stands
+    and texts are not shuffled.  A place is rank key, id, size and text hash:
+    rows of one id are told apart by their texts, and those of equal text are
+    taken alike.
     """
-    mixed = materialize(mix_sources(docs, share, limit, weights, seed), "mixed")
+    text_hash = F.xxhash64("text")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_hash.alias("text_hash")), "sized")
+    mixed = materialize(sample_copies(sized, targets(sized, share, limit, weights), int(limit), seed, ties=("text_hash",)), "mixed")
     whole = F.least(F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), F.lit(int(limit))).cast("int")
     left = F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0))
     odds = F.when(F.col("source_size") > 0, left / F.col("source_size")).otherwise(F.lit(0.0))
     odds = F.least(F.greatest(odds, F.lit(1e-9)), F.lit(1 - 1e-9))
     known = mixed.withColumns({"whole": whole, "odds": odds})
-    known = known.withColumn("last", F.when(F.col("copies") > F.col("whole"), rank_key(F.col("doc_id"), F.col("odds"), seed)))
+    place = lambda odds, size, text_hash: F.struct(rank_key(F.col("doc_id"), odds, seed).alias("q"), F.col("doc_id").alias("doc_id"), size.alias("size"), text_hash.alias("text_hash"))
+    known = known.withColumn("last", F.when(F.col("copies") > F.col("whole"), place(F.col("odds"), F.col("size"), F.col("text_hash"))))
     sources = known.groupBy("source").agg(F.first("whole").alias("_whole"), F.first("odds").alias("_odds"), F.max("last").alias("_last"))
     sources = sources.withColumnRenamed("source", "_source")
     joined = docs.join(sources, F.col("source").eqNullSafe(F.col("_source")))
-    more = (F.col("_last").isNotNull() & (word_count(F.col("text")) > 0) & (rank_key(F.col("doc_id"), F.col("_odds"), seed) <= F.col("_last"))).cast("int")
+    size = word_count(F.col("text"))
+    more = (F.col("_last").isNotNull() & (size > 0) & (place(F.col("_odds"), size, text_hash) <= F.col("_last"))).cast("int")
     counted = joined.withColumn("_copies", F.col("_whole") + more).filter("_copies > 0")
     return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 

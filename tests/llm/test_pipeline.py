@@ -1,8 +1,8 @@
 import pytest
 
 import corpus_pipeline
-from lexiforge.llm import queries
-from tests.llm.test_operators import docs  # noqa: F401
+from lexiforge.llm import mix, queries, stages
+from tests.llm.test_operators import EN, docs, prose  # noqa: F401
 
 
 def test_stages_keep_columns_and_rerun(spark, docs, tmp_path):  # noqa: F811
@@ -30,3 +30,22 @@ def test_stages_keep_columns_and_rerun(spark, docs, tmp_path):  # noqa: F811
 @pytest.mark.parametrize("n", range(1, 11))
 def test_one_query_for_each_operator(n):
     assert sum(name.startswith(f"op{n}_") for name in queries.QUERIES) == 1
+
+
+def test_near_duplicates_are_decided_by_row(spark):
+    a, b, c, d, e = (prose(100, EN, 70 + i) for i in range(5))
+    near = lambda t: t + " end"
+    rows = [(1, b), (3, a), (3, near(b)), (50, near(a)), (3, c), (3, c), (None, near(d)), (9, d), (9, near(d)), (None, e), (None, near(e)), (4, ""), (4, ""), (None, ""), (None, "")]
+    got = stages.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "").collect()
+    ids = sorted((r["doc_id"] or 0, r["text"]) for r in got if r["doc_id"] != 9 and not (r["text"] or "").startswith(e))
+    assert ids == sorted([(1, b), (3, a), (3, c), (4, ""), (0, ""), (0, "")])
+    assert [r["text"].startswith(d) for r in got if r["doc_id"] == 9] == [True]
+    assert [r["doc_id"] for r in got if r["text"].startswith(e)] == [None]
+
+
+def test_rows_of_one_id_are_drawn_each_for_itself(spark):
+    rows = [(7 if i % 5 else i, prose(20, EN, 500 + i), f"s{i % 3}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    drawn, want = mix.draw(df).toPandas(), mix.mix_sources(df).toPandas()
+    words = drawn.assign(size=drawn["text"].str.split().str.len()).groupby("source")["size"].sum()
+    assert words.to_dict() == want.groupby("source")["taken"].sum().to_dict()
