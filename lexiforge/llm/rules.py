@@ -22,8 +22,8 @@ BUCKETS = 1 << 13
 #: Documents whose mean log-likelihood ratio is below this are dropped.
 THRESHOLD = -0.25
 SMOOTHING = 1.0
-#: Runs of letters and digits (all but ASCII counts as letters) and runs of ASCII punctuation, in lower-case text.
-TOKEN = r"[a-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]+"
+#: Runs of letters and numbers of any script, and runs of other characters but ASCII white space, in lower-case text.
+TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 50
 #: Trusted ids that are broadcast (8 bytes each); more are joined.

@@ -318,6 +318,14 @@ def test_rules_repeats(spark):
     assert got == {1: (6, 0), 2: (6, 0), 3: (5, 0), 4: (6, 1), 5: (0, 0)}
 
 
+def test_rules_split_words_at_any_punctuation(spark):
+    text = "Été—noir “mot” fin… a\u00a0b 漢字。漢 x1-y"
+    want = ["été", "—", "noir", "“", "mot", "”", "fin", "…", "a", "\u00a0", "b", "漢字", "。", "漢", "x1", "-", "y"]
+    df = spark.createDataFrame([(text, want)], "text string, want array<string>")
+    got = rules.features(df).select("_features", F.transform("want", lambda t: F.xxhash64(t).bitwiseAND(F.lit(rules.BUCKETS - 1)).cast("int")).alias("ones")).first()
+    assert len(got["_features"]) == 2 * len(want) - 1 and got["_features"][: len(want)] == got["ones"]
+
+
 def test_neighbours(spark):
     n, d = 600, 16
     x = rng.normal(size=(n, d))
