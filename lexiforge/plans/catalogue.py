@@ -361,6 +361,18 @@ generator(
     lambda w: suggest.substitutions(w, ALPHABET),
     each("c - 1", "k", f"left(w, n - k) || substr('{ALPHABET}', c, 1) || substr(w, n - k + 2)", f"(SELECT *, unnest(range(1, n + 1)) AS k FROM {ALPHABET_SQL}) WHERE substr('{ALPHABET}', c, 1) <> substr(w, n - k + 1, 1)"),
 )
+TRY = CONFIG.try_chars
+TRY_SQL = f"(SELECT w, unnest(range(1, {len(TRY)} + 1)) AS c, len(w) AS n FROM t)"
+generator(
+    "insert_candidates_all",
+    lambda w: suggest.insertions(w, TRY),
+    each("c - 1", "k", f"left(w, n - k) || substr('{TRY}', c, 1) || substr(w, n - k + 1)", f"(SELECT *, unnest(range(0, n + 1)) AS k FROM {TRY_SQL})"),
+)
+generator(
+    "substitute_candidates_all",
+    lambda w: suggest.substitutions(w, TRY),
+    each("c - 1", "k", f"left(w, n - k) || substr('{TRY}', c, 1) || substr(w, n - k + 2)", f"(SELECT *, unnest(range(1, n + 1)) AS k FROM {TRY_SQL}) WHERE substr('{TRY}', c, 1) <> substr(w, n - k + 1, 1)"),
+)
 
 
 def neighbours_sql(keyboard: str) -> str:
