@@ -125,6 +125,13 @@ def captype_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("lang", text.captype(F.col("token")).alias("captype")).agg(F.sum("n").alias("n"))
 
 
+@query()
+def captype_histogram_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all tokens, accented ones too."""
+    counts = tokens(table(spark, sf_dir, "documents"), "lang").groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("lang", text.captype(F.col("token")).alias("captype")).agg(F.sum("n").alias("n"))
+
+
 @query("""
 SELECT token, rtrim(token, '.') AS word, CAST(len(token) - len(rtrim(token, '.')) AS INTEGER) AS dots, count(*) AS n
 FROM (SELECT unnest(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS token FROM conversations) GROUP BY ALL""")
@@ -175,6 +182,18 @@ def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", text.distance(F.col("a"), F.col("b")).alias("distance"))
 
 
+@query()
+def edit_distance_within_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of words at a distance of at most two, wherever they differ.
+
+    They share a key left by deleting at most two characters of each, without case and accents.
+    """
+    once = suggest.deletion_keys(text.fold(text.lower_cp(F.col("w"))))
+    keyed = bench_words(spark, sf_dir).select("w", F.explode(F.array_distinct(F.flatten(F.transform(once, suggest.deletion_keys)))).alias("key"))
+    pairs = keyed.select("key", F.col("w").alias("a")).join(keyed.select("key", F.col("w").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    return pairs.withColumn("distance", text.distance(F.col("a"), F.col("b"))).filter("distance <= 2")
+
+
 PAIRS_SQL = f"WITH t AS ({BENCH_SQL}) SELECT a.w AS a, b.w AS b FROM t a JOIN t b ON left(a.w, 2) = left(b.w, 2) AND a.w < b.w"
 
 
