@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target number of words.  A document's expected number of
-copies is its source's target over its source's size, times its own measure
-relative to the source's mean.  The whole part is allocated with certainty;
-for the fraction, documents are ranked by random odds over inclusion odds and
-taken in that order until the source's remaining words are met.
+Each source gets a target number of words.  Within a source, a document's
+expected number of copies is proportional to its measure, the bit length of its
+size, up to the limit; what the limit cuts off goes to the others, so that the
+expected words are the target.  The whole part is allocated with certainty.
+Its fraction is the document's inclusion probability: documents are ranked by
+random odds over inclusion odds and taken in that order until the source's
+remaining words are met.
 
 The ranking never sorts a source in one task.  The rank key is mapped to
 [0, 1) and cut into bins; word counts by source and bin tell how many words lie
-before a bin, and only within a bin are documents ordered.
+before a bin, and only within a bin are documents ordered.  All that is kept of a
+source is a row for each measure, some forty.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm._common import WORD, materialize, md5_int
+from lexiforge.llm._common import WORD, buckets_for, materialize, md5_int, release
 
 WEIGHTS = (3, 1, 2)
-BINS = 4096
+#: The least number of bins of a source's ranking, and documents to a bin where there are many.
+BINS, BIN_ROWS = 4096, 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -57,49 +61,74 @@ def targets(sizes: DataFrame, share: float, limit: float, weights: tuple[int, ..
     return found.select("source", "source_size", target.alias("target"))
 
 
-def rank_key(doc_id: Column, odds: Column, seed: int) -> Column:
-    """Random odds over inclusion odds."""
-    u = (md5_int(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null"))) + F.lit(0.5)) / F.lit(float(16**13))
-    return (u / (1 - u)) / (odds / (1 - odds))
+def measure(size: Column) -> Column:
+    """What a document's inclusion probability is proportional to: the bit length of its words plus one."""
+    return F.length(F.bin(size + 1))
 
 
-def sample_copies(sized: DataFrame, goal: DataFrame, max_copies: int = 2, seed: int = 23, bins: int = BINS, measure: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``source_size``, ``target`` and ``copies`` to ``(doc_id, source, size, ...)``.
+def clipped(odds: Column) -> Column:
+    return F.least(F.greatest(odds, F.lit(1e-9)), F.lit(1 - 1e-9))
 
-    ``measure`` names a positive column that raises or lowers a document's
-    inclusion odds within its source (None: all alike).  Repeated rows of one
-    doc_id are sampled each for itself, in the order of size and then of the
-    columns ``ties``.  Sources without words have target 0
-    and no copies.
+
+def rank_key(doc_id: Column, text_hash: Column, odds: Column, seed: int) -> Column:
+    """Random odds over inclusion odds; rows of one id are told apart by their texts."""
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    u = (md5_int(F.lit(seed), named(doc_id), named(text_hash)) + F.lit(0.5)) / F.lit(float(16**13))
+    p = clipped(odds)
+    return (u / (1 - u)) / (p / (1 - p))
+
+
+def shares(sized: DataFrame, goal: DataFrame, limit: float) -> DataFrame:
+    """``(source, measure, source_size, target, whole, odds, remaining)``: certain copies and inclusion probability by source and measure.
+
+    The expected copies ``min(limit, level * measure)`` have one level a source,
+    found as for targets: from the largest measure down, the first at which the
+    level that spends the rest of the target keeps it within the limit.
+    ``remaining`` are the source's words beyond the certain copies.
     """
-    keyed = sized.withColumns({"_null": F.col("source").isNull(), "_src": F.coalesce("source", F.lit(""))})
-    side = goal.select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_src"), "source_size", "target")
-    docs = keyed.join(side, ["_null", "_src"])
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    docs = docs.withColumn("_whole", F.least(F.floor(rate), F.lit(max_copies)).cast("int"))
-    docs = docs.withColumn("_left", F.greatest(F.col("target") - F.col("_whole") * F.col("source_size"), F.lit(0.0)))
-    share = F.when(F.col("source_size") > 0, F.col("_left") / F.col("source_size")).otherwise(F.lit(0.0))
-    clipped = lambda c: F.least(F.greatest(c, F.lit(1e-9)), F.lit(1 - 1e-9))
-    docs = docs.withColumn("_level", clipped(share))
-    if measure:
-        mean = docs.groupBy("_null", "_src").agg((F.sum(F.col(measure) * F.col("size")) / F.sum("size")).alias("_mean"))
-        docs = docs.join(mean, ["_null", "_src"])
-        share = share * F.col(measure) / F.col("_mean")
-    odds = clipped(share)
-    docs = docs.withColumn("_odds", odds)
-    docs = docs.withColumn("_q", rank_key(F.col("doc_id"), F.col("_odds"), seed))
+    by_measure = sized.groupBy("source", measure(F.col("size")).alias("measure")).agg(F.sum("size").alias("words"))
+    goal = goal.withColumnRenamed("source", "_source")
+    known = by_measure.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    down = Window.partitionBy("source").orderBy(F.desc("measure"))
+    whole_source = Window.partitionBy("source")
+    spent = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * F.lit(float(limit))
+    rest = F.sum(F.col("words") * F.col("measure")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    known = known.withColumn("level", F.try_divide(F.col("target") - spent, rest.cast("double")))
+    fits = F.when(F.col("level") * F.col("measure") <= F.lit(float(limit)), F.struct((-F.col("measure")).alias("m"), "level"))
+    known = known.withColumn("level", F.min(fits).over(whole_source)["level"])
+    copies = F.when(F.col("source_size") == 0, F.lit(0.0)).when(F.col("level").isNull(), F.lit(float(limit))).otherwise(F.least(F.lit(float(limit)), F.col("level") * F.col("measure")))
+    known = known.withColumn("copies", copies).withColumn("whole", F.floor("copies").cast("int"))
+    remaining = F.greatest(F.col("target") - F.sum(F.col("words") * F.col("whole")).over(whole_source), F.lit(0.0))
+    return known.select("source", "measure", "source_size", "target", "whole", (F.col("copies") - F.col("whole")).alias("odds"), remaining.alias("remaining"))
+
+
+def sample_copies(sized: DataFrame, share: DataFrame, max_copies: int = 2, seed: int = 23) -> DataFrame:
+    """``(doc_id, source, size, text_hash, source_size, target, whole, odds, copies)`` of ``sized (doc_id, source, size, text_hash)``, a stored table.
+
+    Rows alike in id, size and text are interchangeable.  Sources without words
+    have target 0 and no copies.
+    """
+    docs = sized.withColumn("measure", measure(F.col("size"))).withColumnRenamed("source", "_source")
+    docs = docs.join(share.withColumnRenamed("measure", "_measure"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("measure") == F.col("_measure"))).drop("_source", "_measure")
+    docs = docs.withColumn("q", rank_key(F.col("doc_id"), F.col("text_hash"), F.col("odds"), seed))
     # Within a source, scaling by its common odds keeps the order and spreads the bins evenly.
-    docs = docs.withColumn("_scaled", F.col("_q") * F.col("_level") / (1 - F.col("_level")))
-    docs = docs.withColumn("_bin", F.least(F.floor(F.col("_scaled") / (1 + F.col("_scaled")) * F.lit(bins)), F.lit(bins - 1)).cast("int"))
-    binned = docs.groupBy("_null", "_src", "_bin").agg(F.sum("size").alias("_words"))
-    up = Window.partitionBy("_null", "_src").orderBy("_bin")
-    binned = binned.withColumn("_before", F.sum("_words").over(up) - F.col("_words")).drop("_words")
-    docs = docs.join(binned, ["_null", "_src", "_bin"])
-    within = Window.partitionBy("_null", "_src", "_bin").orderBy("_q", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    extra = F.when((F.col("_whole") < max_copies) & (F.col("size") > 0) & (start + F.col("size") / 2 <= F.col("_left")), 1).otherwise(0)
-    kept = [c for c in sized.columns] + ["source_size", "target"]
-    return docs.withColumn("copies", F.col("_whole") + extra).select(*kept, "copies")
+    bins = buckets_for(sized.count(), BIN_ROWS, BINS)
+    common = clipped(F.when(F.col("source_size") > 0, F.col("remaining") / F.col("source_size")).otherwise(F.lit(0.0)))
+    docs = docs.withColumn("scaled", F.col("q") * common / (1 - common))
+    docs = docs.withColumn("bin", F.least(F.floor(F.col("scaled") / (1 + F.col("scaled")) * F.lit(bins)), F.lit(bins - 1)).cast("int"))
+    keyed = docs.withColumns({"no_source": F.col("source").isNull(), "named": F.coalesce("source", F.lit(""))})
+    binned = keyed.groupBy("no_source", "named", "bin").agg(F.sum("size").alias("words"))
+    up = Window.partitionBy("no_source", "named").orderBy("bin")
+    binned = binned.withColumn("before", F.sum("words").over(up) - F.col("words")).drop("words")
+    ranked = keyed.join(binned, ["no_source", "named", "bin"])
+    within = Window.partitionBy("no_source", "named", "bin").orderBy("q", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    extra = F.when((F.col("whole") < max_copies) & (F.col("size") > 0) & (start + F.col("size") / 2 <= F.col("remaining")), 1).otherwise(0)
+    return ranked.select("doc_id", "source", "size", "text_hash", "source_size", "target", "whole", "odds", (F.col("whole") + extra).alias("copies"))
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.col("text").cast("binary")).alias("text_hash")), "sized")
 
 
 def draw(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 23) -> DataFrame:
@@ -109,25 +138,24 @@ def draw(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple
     ranking, so each source's last place decides every document where it stands
     and texts are not shuffled.  A place is rank key, id, size and text hash:
     rows of one id are told apart by their texts, and those of equal text are
-    taken alike.
+    taken alike.  Columns pass through whatever their names.
     """
-    text_hash = F.xxhash64("text")
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_hash.alias("text_hash")), "sized")
-    mixed = materialize(sample_copies(sized, targets(sized, share, limit, weights), int(limit), seed, ties=("text_hash",)), "mixed")
-    whole = F.least(F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), F.lit(int(limit))).cast("int")
-    left = F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0))
-    odds = F.when(F.col("source_size") > 0, left / F.col("source_size")).otherwise(F.lit(0.0))
-    odds = F.least(F.greatest(odds, F.lit(1e-9)), F.lit(1 - 1e-9))
-    known = mixed.withColumns({"whole": whole, "odds": odds})
-    place = lambda odds, size, text_hash: F.struct(rank_key(F.col("doc_id"), odds, seed).alias("q"), F.col("doc_id").alias("doc_id"), size.alias("size"), text_hash.alias("text_hash"))
-    known = known.withColumn("last", F.when(F.col("copies") > F.col("whole"), place(F.col("odds"), F.col("size"), F.col("text_hash"))))
-    sources = known.groupBy("source").agg(F.first("whole").alias("_whole"), F.first("odds").alias("_odds"), F.max("last").alias("_last"))
-    sources = sources.withColumnRenamed("source", "_source")
-    joined = docs.join(sources, F.col("source").eqNullSafe(F.col("_source")))
-    size = word_count(F.col("text"))
-    more = (F.col("_last").isNotNull() & (size > 0) & (place(F.col("_odds"), size, text_hash) <= F.col("_last"))).cast("int")
-    counted = joined.withColumn("_copies", F.col("_whole") + more).filter("_copies > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    sized = sizes(docs)
+    by_measure = materialize(shares(sized, targets(sized, share, limit, weights), limit), "shares")
+    mixed = sample_copies(sized, by_measure, int(limit), seed)
+    place = lambda doc_id, odds, size, text_hash: F.struct(rank_key(doc_id, text_hash, odds, seed).alias("q"), doc_id.alias("doc_id"), size.alias("size"), text_hash.alias("text_hash"))
+    taken = F.when(F.col("copies") > F.col("whole"), place(F.col("doc_id"), F.col("odds"), F.col("size"), F.col("text_hash")))
+    last = mixed.groupBy("source").agg(F.max(taken).alias("last"))
+    last = materialize(last.withColumnRenamed("source", "source_of"), "last")
+    known = materialize(by_measure.join(last, F.col("source").eqNullSafe(F.col("source_of"))).select("source", "measure", "whole", "odds", "last"), "known")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    rows = rows.withColumns({"size": word_count(F.col("row.text")), "text_hash": F.md5(F.col("row.text").cast("binary"))})
+    met = rows.join(known, F.col("row.source").eqNullSafe(F.col("source")) & (measure(F.col("size")) == F.col("measure")))
+    own = place(F.col("row.doc_id"), F.col("odds"), F.col("size"), F.col("text_hash"))
+    more = (F.col("last").isNotNull() & (F.col("size") > 0) & (F.col("whole") < int(limit)) & (own <= F.col("last"))).cast("int")
+    counted = met.select("row", (F.col("whole") + more).alias("copies")).filter("copies > 0")
+    release(sized)
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 23) -> DataFrame:
@@ -135,6 +163,6 @@ def mix_sources(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights
 
     A null text has size 0; a null source is a source of its own, ordered last.
     """
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    mixed = sample_copies(sized, targets(sized, share, limit, weights), int(limit), seed)
-    return mixed.withColumn("taken", F.col("copies") * F.col("size"))
+    sized = sizes(docs)
+    mixed = sample_copies(sized, shares(sized, targets(sized, share, limit, weights), limit), int(limit), seed)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
