@@ -84,9 +84,9 @@ def matrix_schema() -> pa.Schema:
     return pa.schema([pa.field(c.split()[0], kind) for c, kind in zip(MATRIX.split(", "), kinds, strict=True)])
 
 
-def pack_block(block: int, rows: list[tuple[int, int, int, np.ndarray]], capacity: int, pad_id: int) -> Iterator[pa.RecordBatch]:
+def pack_block(block: int, rows: list[tuple[int | None, int, int, np.ndarray]], capacity: int, pad_id: int) -> Iterator[pa.RecordBatch]:
     """Batches of packed sequences from ``(doc_id, piece, start, ids)`` rows."""
-    rows = sorted(rows, key=lambda r: (-len(r[3]), r[0], r[1], r[2]))
+    rows = sorted(rows, key=lambda r: (-len(r[3]), r[0] is not None, r[0] or 0, r[1], r[2]))
     placed, opened = best_fit_decreasing([len(r[3]) for r in rows], capacity)
     members: list[list[int]] = [[] for _ in range(opened)]
     for at, (sequence, _) in enumerate(placed):
@@ -114,7 +114,8 @@ def packed_matrices(docs: DataFrame, capacity: int = CAPACITY, path: str | None
     ``ids`` (little-endian, ``id_bytes`` 2 or 4 each) and ``positions`` are rows
     of fixed width; ``cu_lengths`` starts at 0 and has one more entry than the
     sequence has segments.  Null and empty texts are one end id each; a null
-    doc_id is written as -1; repeated rows are packed each for itself.  A block
+    doc_id stays null; repeated rows are packed each for itself; ties in length
+    go by id, piece and start.  A very long text becomes many pieces.  A block
     is numbered by its task and its place in the task, so the same splits of
     the input give the same rows, after a lost executor too.
     """
@@ -129,7 +130,7 @@ def packed_matrices(docs: DataFrame, capacity: int = CAPACITY, path: str | None
                 if max(found) >> 8 * id_bytes:
                     raise ValueError(f"an id does not fit {id_bytes} bytes")
                 ids = np.array(found, kind)
-                rows.extend((-1 if doc_id is None else doc_id, piece, start, ids[start : start + length]) for piece, (start, length) in enumerate(cuts(len(ids), capacity)))
+                rows.extend((doc_id, piece, start, ids[start : start + length]) for piece, (start, length) in enumerate(cuts(len(ids), capacity)))
                 while len(rows) >= block_pieces:
                     yield from pack_block(block, rows[:block_pieces], capacity, pad_id)
                     rows, block = rows[block_pieces:], block + 1

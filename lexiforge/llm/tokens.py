@@ -37,21 +37,29 @@ def byte_alphabet() -> dict[str, int]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, backend: str = "tiktoken") -> Callable[[str], list[int]]:
-    """A function from text to ids; special tokens' strings are ordinary text."""
+def encoder(path: str, backend: str = "tiktoken", special: bool = True) -> Callable[[str], list[int]]:
+    """A function from text to ids.
+
+    Strings of special tokens in a text become their ids, as ``tokenizers`` has
+    it by default; with ``special=False`` they are ordinary text.
+    """
     if backend == "tokenizers":
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
+        own.encode_special_tokens = not special
         return lambda text: own.encode(text, add_special_tokens=False).ids
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        stored = json.load(f)
+    added = {token["content"]: token["id"] for token in stored["added_tokens"]}
     alphabet = byte_alphabet()
-    ranks = {bytes(alphabet[c] for c in word): rank for word, rank in vocabulary.items() if all(c in alphabet for c in word)}
-    return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ranks = {bytes(alphabet[c] for c in word): rank for word, rank in stored["model"]["vocab"].items() if word not in added and all(c in alphabet for c in word)}
+    own = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added if special else {})
+    if not special:
+        return own.encode_ordinary
+    return lambda text: own.encode(text, allowed_special="all") if any(s in text for s in added) else own.encode_ordinary(text)
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
