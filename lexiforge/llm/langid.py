@@ -4,13 +4,14 @@ A word that the model knows is scored by its log relative frequency in each
 language.  An unseen word is scored by its character n-grams instead: the
 longest order at which any of its n-grams is known counts, as the mean over
 those n-grams; shorter orders are tried down to single characters.  A text's
-score in a language is the mean over its words.  What a language lacks costs
+score in a language is the sum over its words.  What a language lacks costs
 that model's penalty.
 
 The model is fitted on a bounded sample of labelled texts
-(``TRAIN_PER_LANG`` texts of each language, the first ones by a hash of their
-id) and kept to the most frequent entries, so it has a proven size and is
-broadcast.  Every text is scored whole.
+(``TRAIN_PER_LANG`` texts of each language, the first ones by a hash of id and
+text) and kept to the most frequent entries, so it has a proven size and is
+broadcast.  Every text is scored whole, by the sum over all its words; no
+language is left out, however many there are.
 """
 
 from __future__ import annotations
@@ -27,51 +28,50 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lexiforge.llm._common import materialize, small_batches
+from lexiforge.llm._common import materialize, release
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of any script: word characters but numbers and the underscore.
+LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 ORDERS = (5, 4, 3, 2, 1)
-#: Bounds of the model: labelled texts of a language, languages, entries of a language and kind.
-TRAIN_PER_LANG, MOST_LANGS, WORDS_PER_LANG, GRAMS_PER_LANG = 1500, 200, 20_000, 10_000
-LEAST_COUNT = 2
+#: Bounds of the fitted model: labelled texts of a language and in all, and entries of a language and kind.
+TRAIN_PER_LANG, TRAIN_ROWS, WORDS_PER_LANG, GRAMS_PER_LANG = 1500, 300_000, 20_000, 10_000
 #: Log-frequency (base 10) of what a language's model lacks.
 PENALTY = -7.0
-#: Words up to which a text's evidence grows; beyond, the mean alone decides how sure the score is.
-EVIDENCE_WORDS = 40
 #: Scored chunks after which the cache starts over.
-CACHE = 400_000
+CACHE = 100_000
 
 
 @dataclass
 class Model:
-    """Log-frequency vectors, one entry for each language in ``langs``."""
+    """Log-frequencies by entry: a row of ``values`` for each, a column for each language in ``langs``."""
 
     langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: dict[str, int]
+    grams: dict[str, int]
+    values: np.ndarray
     #: Scored chunks: their rows in a table of sums (one column a language) and word numbers (the last).
     rows: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
 
-    def word(self, word: str) -> tuple[float, ...]:
+    def word(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.values[known]
         marked = f"<{word}>"
         for n in ORDERS:
             grams = [marked] if len(marked) <= n else [marked[i : i + n] for i in range(len(marked) - n + 1)]
             found = [v for g in grams if (v := self.grams.get(g)) is not None]
             if found:
-                return tuple(sum(x) / len(found) for x in zip(*found, strict=True))
-        return (PENALTY,) * len(self.langs)
+                return self.values[found].sum(0) / len(found)
+        return np.full(len(self.langs), PENALTY)
 
-    def chunk(self, chunk: str) -> tuple[tuple[float, ...], int]:
+    def chunk(self, chunk: str) -> tuple[np.ndarray, int]:
         """Sum of the scores of the words in a white-space separated chunk, and their number."""
         words = LETTERS.findall(chunk.lower())
-        if not words:
-            return (0.0,) * len(self.langs), 0
-        return tuple(map(sum, zip(*map(self.word, words), strict=True))), len(words)
+        if len(words) == 1:
+            return self.word(words[0]), 1
+        return sum(map(self.word, words), np.zeros(len(self.langs))), len(words)
 
     def learn(self, chunk: str) -> int:
         row = len(self.rows)
@@ -85,7 +85,7 @@ class Model:
         return row
 
     def score(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of the probability; ties go to the first language by name."""
+        """The language of the highest sum of scores and its share of the probability; ties go to the first language by name."""
         counts = Counter((text or "").split())
         if not self.langs or not counts:
             return UNKNOWN, 0.0
@@ -97,9 +97,9 @@ class Model:
         *total, count = np.fromiter(counts.values(), np.float64, len(counts)) @ self.table[at]
         if not count:
             return UNKNOWN, 0.0
-        mean = np.array(total) / count * min(count, EVIDENCE_WORDS) * math.log(10)
-        best = int(np.argmax(mean))
-        return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
+        total = np.array(total) * math.log(10)
+        best = int(np.argmax(total))
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def remainder(doc_id: Column, of: int) -> Column:
@@ -107,20 +107,23 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(of)).cast("int")
 
 
-def training_sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most_langs: int = MOST_LANGS) -> DataFrame:
-    """At most ``per_lang`` labelled texts of each of the ``most_langs`` largest languages: ``(lang, text)``.
+def training_sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most_rows: int = TRAIN_ROWS) -> DataFrame:
+    """At most ``per_lang`` labelled texts of each language: ``(lang, text)``.
 
-    Ids are chosen on the narrow table, by hash: first the least hashes of each
-    of many parts, then of the language, so no language is sorted in one task.
+    Where languages are many, each has fewer, down to one, so that all together
+    have ``most_rows`` and none is left out.  Rows are taken by a hash of id and
+    text: those below a share that the number of the language's distinct hashes
+    sets, and of these the first ones.  So no language is sorted in one task,
+    however many rows it has; rows that repeat are limited before they are dealt.
     """
-    ids = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("_order"))
-    langs = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("many"), "lang").limit(most_langs)
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(256))
-    near = ids.withColumn("_part", part).withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_part").orderBy("_order", "doc_id"))).filter(F.col("_place") <= per_lang)
-    first = near.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id"))).filter(F.col("_place") <= per_lang)
-    chosen = first.join(langs.select("lang"), "lang", "left_semi").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    # At most per_lang * most_langs ids.
-    return docs.join(F.broadcast(chosen.distinct()), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
+    order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", order.alias("_order"))
+    counts = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("_order").alias("many")), "lang-rows")
+    take = max(1, min(per_lang, most_rows // max(1, counts.count())))
+    share = counts.select(F.col("lang").alias("_lang"), (F.lit(1.5 * take + 20) / F.col("many")).alias("_share"))
+    near = rows.join(share, F.col("lang") == F.col("_lang")).filter(F.col("_order") <= F.col("_share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id", "text"))
+    return near.withColumn("_place", place).filter(F.col("_place") <= take).select("lang", "text")
 
 
 def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,33 +149,38 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     """Fit on ``docs (doc_id, text, lang)``; rows with null text or lang are not used.
 
     Without labelled rows the model knows no language and finds every text unknown.
+    Rows that repeat are learnt as often as the sample takes them.
     """
-    small_batches(docs.sparkSession)
     sample = materialize(training_sample(docs, per_lang), "lang-sample")
     counts = sample.mapInArrow(counted, "lang string, kind int, entry string, n bigint").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "lang-counts")
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     most = F.when(F.col("kind") == 0, WORDS_PER_LANG).otherwise(GRAMS_PER_LANG)
-    ranked = counts.filter(F.col("n") >= LEAST_COUNT).withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "entry"))).filter(F.col("place") <= most)
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "entry"))
+    ranked = counts.withColumn("place", place).filter(F.col("place") <= most)
     logs = ranked.join(totals, ["lang", "kind"]).select("lang", "kind", "entry", F.log10(F.col("n") / F.col("total")).alias("log"))
-    rows = logs.toArrow().to_pydict()  # at most (WORDS_PER_LANG + 5 * GRAMS_PER_LANG) * MOST_LANGS entries
+    rows = logs.toArrow().to_pydict()  # at most WORDS_PER_LANG + 5 * GRAMS_PER_LANG entries a language
+    release(sample, counts)
     langs = sorted(set(rows["lang"]))
     at = {lang: i for i, lang in enumerate(langs)}
-    tables: tuple[dict[str, list[float]], dict[str, list[float]]] = ({}, {})
-    for lang, kind, entry, log in zip(rows["lang"], rows["kind"], rows["entry"], rows["log"], strict=True):
-        vector = tables[kind > 0].setdefault(entry, [PENALTY] * len(langs))
-        vector[at[lang]] = max(log, vector[at[lang]]) if vector[at[lang]] != PENALTY else log
-    return Model(langs, *({entry: tuple(v) for entry, v in table.items()} for table in tables))
+    tables: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    places = [tables[kind > 0].setdefault(entry, len(tables[kind > 0])) for kind, entry in zip(rows["kind"], rows["entry"], strict=True)]
+    values = [np.full((len(table), len(langs)), -np.inf) for table in tables]
+    for lang, kind, place, log in zip(rows["lang"], rows["kind"], places, rows["log"], strict=True):
+        own = values[kind > 0]
+        own[place, at[lang]] = max(log, own[place, at[lang]])
+    grams = {entry: row + len(tables[0]) for entry, row in tables[1].items()}
+    return Model(langs, tables[0], grams, np.nan_to_num(np.concatenate(values), neginf=PENALTY))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; all other columns pass through.
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its score; all other columns pass through.
 
-    A null text, or one without letters, is ``und`` with score 0.
+    A null text, or one without letters, is ``und`` with score 0; input columns
+    of the two names are replaced.  Repeated rows are judged alike.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(lang, score)
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             at = batch.schema.get_field_index("text")
             found = [own.score(text.as_py()) for text in batch.column(at)]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, lang, score])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
     return docs.mapInArrow(judge, schema)
