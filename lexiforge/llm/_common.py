@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of every contract: the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch; whether Spark removes a query's shuffle files as soon as the query ends.
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bounds of what Python receives at a time, in rows and bytes; whether Spark removes a query's shuffle files as soon as the query ends.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -22,15 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share for intermediate tables.
 
-    It is ``spark.checkpoint.dir`` where the cluster names one.  Where it is
-    unset, a local session gets a temporary folder of its own and any other
-    session uses the warehouse, which is shared as well.
+    It is ``spark.checkpoint.dir``.  Where that is unset, a local session gets a
+    temporary folder of its own; a cluster must name one, since no other folder
+    is known to be shared.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = getattr(spark.sparkContext, "_lexiforge_shared", None)
     if own is None:
         own = f"file://{tempfile.mkdtemp(prefix='lexiforge-')}"
@@ -47,32 +49,40 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots written as they are) that hold within the block alone."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def batch_limits(spark: SparkSession):
+    """Within the block, Python receives few rows and few bytes at a time, which bounds a worker's memory where texts are long."""
+    return settings(spark, **BATCH_LIMITS)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     Cuts the lineage: whoever reads the result again, after a lost executor
     too, reads files and repeats none of the work before.  Shuffle files of the
-    write go when it ends.
+    write go when it ends.  Python receives bounded batches meanwhile.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with settings(spark, **BATCH_LIMITS, **{SHUFFLE_CLEANUP: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
     written = spark.read.schema(df.schema).parquet(path)
     written._written_path = path
     return written
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Have Python receive at most ``rows`` rows at a time, which bounds a worker's memory where texts are long."""
-    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= rows:
-        spark.conf.set(BATCH_ROWS, str(rows))
-
-
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote, once all that reads them has been written itself."""
     for written in tables:
@@ -81,6 +91,14 @@ def release(*tables: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def md5_int(*parts: Column, digits: int = 13) -> Column:
     """A non-negative integer of ``4 * digits`` bits from the MD5 of the joined parts.
 

@@ -15,9 +15,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``(node, part)`` for each end of ``links (a, b)``; part is the smallest node of the component.
 
     Each round connects a node's larger neighbours to its least neighbour, then
-    its smaller ones.  Minima are aggregated before they are joined back, so a
-    hub's neighbours never meet in one task.  Every round is written to the
-    shared folder, which cuts the lineage.
+    its smaller ones.  Minima are aggregated before they are joined back: a hub's
+    side of that join is one row, so its neighbours are never sorted against each
+    other and adaptive execution splits them over tasks where they outgrow one.
+    Every round is written to the shared folder, which cuts the lineage.
     """
     edges = materialize(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(MOST_ROUNDS):

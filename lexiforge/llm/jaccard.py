@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm._common import materialize, release, small_batches
+from lexiforge.llm._common import materialize, release
 from lexiforge.llm.components import connected_components
 
 #: Entries of the heat table (one byte each), and the most that may be filled.
@@ -52,6 +52,8 @@ COST = (1.0, 0.25, 4.0)
 #: Candidates expected of a shingle that is not known to be warm.
 EXPECTED = 0.05
 BITMAP_WORDS = 8
+#: Pairs of a shingle's group that meet in one task.
+TASK_PAIRS = 1_000_000
 #: Documents whose ids are broadcast to fetch their sets (8 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -122,12 +124,13 @@ def adapted(warmth: np.ndarray, n: int, percent: int) -> int:
     return int(levels[np.argmin(COST[0] * (base + levels) + COST[1] * read + COST[2] * n / 50 * read / levels)])
 
 
-def prefix_rows(batches: Iterable[pa.RecordBatch], k: int, percent: int, heat: np.ndarray, warm: bool) -> Iterator[pa.RecordBatch]:
-    """(token, node, n, l) for each prefix shingle; only warm ones or only the others."""
+def prefix_lists(batches: Iterable[pa.RecordBatch], k: int, percent: int, heat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """node, l, and the prefix shingles: those known to be warm apart from the others."""
     seen: set[bytes] = set()  # a shortcut for copies within a task; others are dropped later
     mask = np.uint64(len(heat) - 1)
+    empty = np.empty(0, np.uint64)
     for batch in batches:
-        tokens, nodes, sizes, levels = [], [], [], []
+        nodes, levels, lists, ends = [], [], ([], []), ([0], [0])
         for text in batch.column(0):
             own = shingle_set(text.as_py(), k)
             n = len(own)
@@ -143,16 +146,15 @@ def prefix_rows(batches: Iterable[pa.RecordBatch], k: int, percent: int, heat: n
             warmth = warmth[order]
             level = adapted(warmth, n, percent)
             length = n - need(n, percent) + level
-            picked = own[order[:length]][(warmth[:length] > 0) == warm]
-            if len(picked):
-                tokens.append(picked)
-                nodes.extend([node] * len(picked))
-                sizes.append(np.full(len(picked), n, np.int32))
-                levels.append(np.full(len(picked), level, np.int32))
-        if tokens:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(np.concatenate(tokens))), pa.array(nodes, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(levels))], ["token", "node", "n", "l"]
-            )
+            first, cold = own[order[:length]], int(np.searchsorted(warmth[:length], 1))
+            nodes.append(node)
+            levels.append(level)
+            for part, tokens, end in zip((first[:cold], first[cold:]), lists, ends, strict=True):
+                tokens.append(part)
+                end.append(end[-1] + len(part))
+        if nodes:
+            columns = [pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(signed(np.concatenate([*tokens, empty])))) for tokens, end in zip(lists, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(levels, pa.int32()), *columns], ["node", "l", "cold", "warm"])
 
 
 def whole_sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -222,8 +224,8 @@ def possible(percent: int, a: str, b: str) -> Column:
     return sizes & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def side(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
-    return df.select("token", *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+def side(df: DataFrame, prefix: str, columns: list[str], *cell: Column) -> DataFrame:
+    return df.select("token", *[c.alias("cell") for c in cell], *[F.col(c).alias(f"{prefix}{c}") for c in columns])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, spent: list[DataFrame] | None = None) -> DataFrame:
@@ -274,7 +276,6 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
     doc_id, null last, then by key.  It is null where there are no shingles.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     keyed, docs = docs.select("doc_id", "text", key.alias("key")), docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = ", ".join(f"b{i} bigint" for i in range(BITMAP_WORDS))
@@ -290,19 +291,19 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
     own_ids = materialize(known.select("doc_id", "key", "node", F.col("n").cast("bigint").alias("n_shingles")), "ids")
     release(known)
 
-    def index(warm: bool) -> DataFrame:
-        rows = docs.select("text").mapInArrow(lambda it: prefix_rows(it, k, percent, heat.value, warm), "token bigint, node binary, n int, l int")
-        return rows
+    # Each text is hashed once for its prefix, stored as two lists of 8 bytes a shingle.
+    prefixes = materialize(docs.select("text").mapInArrow(lambda it: prefix_lists(it, k, percent, heat.value), "node binary, l int, cold array<bigint>, warm array<bigint>"), "prefixes")
 
     # A shingle's group counts if it has two nodes.  Groups of rare shingles are
     # small; those of warm ones are counted before they meet.
     by_token = Window.partitionBy("token")
-    cold = index(False).select("*", F.min("node").over(by_token).alias("lead"), F.max("node").over(by_token).alias("last")).filter(F.col("lead") < F.col("last"))
-    warm = materialize(index(True), "warm-index")
+    cold = prefixes.select("node", "l", F.explode("cold").alias("token"))
+    cold = cold.select("*", F.min("node").over(by_token).alias("lead"), F.max("node").over(by_token).alias("last")).filter(F.col("lead") < F.col("last"))
+    warm = prefixes.select("node", "l", F.explode("warm").alias("token"))
     ends = warm.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter(F.col("lead") < F.col("last"))
     shared = cold.select("token", "node", "l", "lead").unionByName(warm.join(ends, "token").select("token", "node", "l", "lead"))
     shared = materialize(shared.dropDuplicates(["token", "node"]), "shared")
-    release(warm)
+    release(prefixes)
 
     # Stars: every node against the first node of each of its groups.
     facts = ["node", "n", *bits]
@@ -321,7 +322,9 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
         """Members of groups that still hold several components, with each group's largest one."""
         known_parts = shared.select("token", "node", "l").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
         tally = known_parts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
-        main = tally.groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "main")
+        pairs = (F.sum("many") - F.max("many")) * F.sum("many")
+        cells = F.least(F.ceil(pairs / F.lit(TASK_PAIRS)), F.sum("many") - F.max("many")).cast("int").alias("cells")
+        main = tally.groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count(F.lit(1)).alias("parts"), cells).filter("parts > 1").drop("parts")
         return materialize(known_parts.join(main, "token").join(nodes.select(*facts), "node"), tag)
 
     # A second round of stars, around another member in each group: who is not near the first node
@@ -334,13 +337,14 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
     links = links.unionByName(verified(tried, docs, nodes, k, percent, spent=[left, parts]))
     parts = connected_components(links)
 
-    # The rest: pairs of different components that share enough prefix shingles.
+    # The rest: pairs of different components that share enough prefix shingles.  A group of many
+    # pairs is dealt into cells: who is outside the main component into one each, everybody into all.
     left = open_groups(parts, "open")
     release(shared, parts)
     columns = ["node", "l", "part", "n", *bits]
-    outside = side(left.filter(F.col("part") != F.col("main")), "a_", columns)
-    inside = side(left, "b_", [*columns, "main"])
-    cross = outside.join(inside, "token").filter(
+    outside = side(left.filter(F.col("part") != F.col("main")), "a_", columns, F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    inside = side(left, "b_", [*columns, "main"], F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    cross = outside.join(inside, ["token", "cell"]).filter(
         (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("b_main")) | (F.col("a_node") < F.col("b_node"))) & possible(percent, "a_", "b_")
     )
     least = F.least(F.min("a_l"), F.min("b_l"))

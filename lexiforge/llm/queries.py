@@ -13,8 +13,8 @@ from lexiforge.llm._common import materialize, table
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = langid.remainder(F.col("doc_id"), 4) == 2
-    model = langid.train(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    held_out = F.coalesce(langid.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = langid.train(docs.filter(F.col("doc_id").isNotNull() & ~held_out).select("doc_id", "text", "lang"))
     judged = langid.predict(docs.select("doc_id", "text"), model)
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -25,7 +25,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = langid.remainder(F.col("doc_id"), 5) == 0
+    held_out = F.coalesce(langid.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
     scored = crf.score(docs, crf.train(docs, labels))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -80,7 +80,7 @@ def op10_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(text) AS text_hash FROM documents
 ), by_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -96,21 +96,33 @@ WITH sized AS (
 ), water AS (SELECT arg_min(level, ratio) AS water FROM leveled WHERE level <= ratio
 ), goals AS (
   SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target FROM ranked, water
-), docs AS (
-  SELECT doc_id, s.source, size, source_size, target,
-         CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS whole,
-         (('0x' || substr(md5('23:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
-), parts AS (
-  SELECT *, greatest(target - whole * source_size, 0) AS rest,
-         least(greatest(CASE WHEN source_size > 0 THEN greatest(target - whole * source_size, 0) / source_size ELSE 0 END, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) AS p
-  FROM docs
-), keyed AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q FROM parts
+), measured AS (SELECT *, len(bin(size + 1)) AS measure FROM sized
+), by_measure AS (SELECT source, measure, CAST(sum(size) AS BIGINT) AS words FROM measured GROUP BY ALL
+), spent AS (
+  SELECT m.source, measure, words, source_size, target,
+         (target - coalesce(sum(words) OVER (PARTITION BY m.source ORDER BY measure DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2.0::DOUBLE)
+         / nullif(CAST(sum(words * measure) OVER (PARTITION BY m.source ORDER BY measure DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE), 0) AS level
+  FROM by_measure m JOIN goals g ON m.source IS NOT DISTINCT FROM g.source
+), levels AS (
+  SELECT source AS of_source, arg_max(level, measure) AS level FROM spent WHERE level * measure <= 2.0 GROUP BY source
+), expected AS (
+  SELECT s.source, measure, words, source_size, target,
+         CASE WHEN source_size = 0 THEN 0.0::DOUBLE WHEN l.level IS NULL THEN 2.0::DOUBLE ELSE least(2.0::DOUBLE, l.level * measure) END AS copies
+  FROM spent s LEFT JOIN levels l ON s.source IS NOT DISTINCT FROM l.of_source
+), shares AS (
+  SELECT source, measure, source_size, target, CAST(floor(copies) AS INTEGER) AS whole, copies - floor(copies) AS odds,
+         greatest(target - sum(words * CAST(floor(copies) AS BIGINT)) OVER (PARTITION BY source), 0) AS remaining
+  FROM expected
+), keyed AS (
+  SELECT doc_id, d.source, size, text_hash, source_size, target, whole, remaining, least(greatest(odds, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) AS p,
+         (('0x' || substr(md5('23:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text_hash, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM measured d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source AND d.measure = s.measure
+), ordered AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q FROM keyed
 ), placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size, text_hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ordered
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST((whole + CASE WHEN whole < 2 AND size > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+       CAST((whole + CASE WHEN whole < 2 AND size > 0 AND before + size / 2 <= remaining THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM placed
 """
 

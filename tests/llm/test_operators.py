@@ -9,8 +9,9 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from lexiforge.llm import ann, binary, crf, jaccard, langid, mix, pack, rules, secrets, shard, tokens
+from lexiforge.llm import ann, binary, crf, jaccard, langid, mix, pack, rules, secrets, shard, stages, tokens
 from lexiforge.llm.components import connected_components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -58,16 +59,73 @@ def test_language(spark, docs):
 
 
 def test_backoff_uses_longest_known_grams():
-    model = langid.Model(["a", "b"], {"the": (-1.0, -7.0)}, {"<xy": (-2.0, -3.0), "xy>": (-4.0, -5.0), "x": (0.0, 0.0)})
-    assert model.word("the") == (-1.0, -7.0) and model.word("xy") == (-3.0, -4.0) and model.word("q") == (langid.PENALTY,) * 2
-    assert model.score("12 !")[0] == langid.UNKNOWN
+    model = langid.Model(["a", "b"], {"the": 0}, {"<xy": 1, "xy>": 2, "x": 3}, np.array([(-1.0, -7.0), (-2.0, -3.0), (-4.0, -5.0), (0.0, 0.0)]))
+    assert model.word("the").tolist() == [-1.0, -7.0] and model.word("xy").tolist() == [-3.0, -4.0] and model.word("q").tolist() == [langid.PENALTY] * 2
+    for text in ("12 !", "² ½ ⅷ", "_"):
+        assert model.score(text) == (langid.UNKNOWN, 0.0)
+
+
+def test_language_against_brute_force(spark, docs):
+    """Counts, back-off and sums written out, on the sample that the operator takes."""
+    labelled = docs.filter("doc_id % 4 <> 2")
+    model = langid.train(labelled)
+    counts = defaultdict(Counter)
+    for r in langid.training_sample(labelled).collect():
+        for word in re.findall(r"[^\W\d_]+", r["text"].lower()):
+            counts[r["lang"], 0][word] += 1
+            for n in langid.ORDERS:
+                marked = f"<{word}>"
+                for i in range(max(1, len(marked) - n + 1)):
+                    counts[r["lang"], n][marked[i : i + n]] += 1
+    langs = sorted({lang for lang, _ in counts})
+
+    def known(lang, kinds, entry):
+        found = [math.log10(counts[lang, n][entry] / sum(counts[lang, n].values())) for n in kinds if counts[lang, n][entry]]
+        return max(found, default=None)
+
+    def vector(kinds, entry):
+        found = [known(lang, kinds, entry) for lang in langs]
+        return None if all(x is None for x in found) else [langid.PENALTY if x is None else x for x in found]
+
+    def brute(text):
+        total, words = np.zeros(len(langs)), re.findall(r"[^\W\d_]+", (text or "").lower())
+        for word in words:
+            own = vector([0], word)
+            for n in langid.ORDERS if own is None else ():
+                marked = f"<{word}>"
+                met = [v for i in range(max(1, len(marked) - n + 1)) if (v := vector(langid.ORDERS, marked[i : i + n])) is not None]
+                if met:
+                    own = np.mean(met, 0)
+                    break
+            total += [langid.PENALTY] * len(langs) if own is None else own
+        if not words:
+            return langid.UNKNOWN, 0.0
+        total = total * math.log(10)
+        return langs[int(np.argmax(total))], float(1 / np.exp(total - total.max()).sum())
+
+    more = [(1, "the ünd xyzzy"), (2, "ich the"), (3, "q"), (4, "é ung ing")]
+    asked = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    got = langid.predict(asked.unionByName(asked), model).collect()
+    assert len(got) == 2 * asked.count()
+    for r in got:
+        lang, score = brute(r["text"])
+        assert r["lang_pred"] == lang and math.isclose(r["score"], score, rel_tol=1e-9)
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"w{i % 40} x", f"l{i % 40}") for i in range(400)] + [(7, "same", "hot")] * 500
+    sample = langid.training_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5), per_lang=9, most_rows=82)
+    assert sample.groupBy("lang").count().filter("count BETWEEN 1 AND 2").count() == 41
 
 
 def test_tokens_and_round_trip(spark, docs):
-    reference = tokens.encoder(tokens.default_vocabulary(), "tokenizers")
+    plain = Tokenizer.from_file(tokens.default_vocabulary())
+    reference = lambda text: plain.encode(text, add_special_tokens=False).ids
     fast = tokens.encoder(tokens.default_vocabulary())
-    for text in ("", " a  b\n\n c", "don't STOP 12345 ünï — 漢字 ​", "  lead", "tail  "):
-        assert fast(text) == reference(text)
+    for text in ("", " a  b\n\n c", "don't STOP 12345 ünï — 漢字 ​", "  lead", "tail  ", "hello <|endoftext|> x", "<|endoftext|><|endoftext|>\n<|endoftext"):
+        assert fast(text) == reference(text) == tokens.encoder(tokens.default_vocabulary(), "tokenizers")(text)
+    text = "a <|endoftext|>"
+    assert tokens.encoder(tokens.default_vocabulary(), "tokenizers", False)(text) == tokens.encoder(tokens.default_vocabulary(), special=False)(text) != fast(text)
     got = pack.pack_documents(docs).toPandas()
     check_packing(got, docs, reference, ["sequence_id"])
     ideal = math.ceil(got["length"].sum() / 1024)
@@ -79,10 +137,10 @@ def check_packing(got, docs, encode, sequence):
     want = Counter()
     for r in pandas_docs(docs).itertuples():
         ids = np.array([*encode(r.text or ""), 2], "<u4")
-        doc_id = -1 if pd.isna(r.doc_id) else int(r.doc_id)
+        doc_id = None if pd.isna(r.doc_id) else int(r.doc_id)
         for p, (s, n) in enumerate(tokens.cuts(len(ids))):
             want[doc_id, p, s, n, zlib.crc32(ids[s : s + n].tobytes())] += 1
-    have = Counter((-1 if pd.isna(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples())
+    have = Counter((None if pd.isna(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples())
     assert have == want
     for _, own in got.groupby(sequence):
         own = own.sort_values("offset")
@@ -176,6 +234,26 @@ def test_mix(spark, docs):
     taken = got[got["copies"] > 0].groupby("doc_id", dropna=False)["copies"].sum()
     assert drawn.set_index("doc_id")["count"].sort_index().tolist() == taken.sort_index().tolist()
     assert mix.mix_sources(docs.limit(0)).count() == 0 and mix.draw(docs.limit(0)).count() == 0
+    clashing = docs.withColumnsRenamed({"lang": "whole", "n_chars": "row", "piece": "last"}).withColumn("copies", F.lit("x"))
+    assert mix.draw(clashing).columns == clashing.columns and mix.draw(clashing).count() == mix.draw(docs).count()
+
+
+def test_mix_prefers_documents_by_their_odds(spark):
+    """Taken shares follow the measure, within what chance allows, and so does the order of the ranking."""
+    rows = [(i, " ".join(["w"] * (3 if i % 2 else 127)), "s0") for i in range(2000)] + [(9000 + i, " ".join(["w"] * 100), "s1") for i in range(2000)]
+    got = mix.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), share=0.5).toPandas()
+    own = got[got["source"] == "s1"]
+    assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 100
+    weights = got[got["source"] == "s0"].groupby("size")["copies"].mean()
+    expected = 8 / 3  # bit lengths of 128 and of 4
+    assert abs(own["target"].iloc[0] * 3 - got[got["source"] == "s0"]["target"].iloc[0]) < 1e-6
+    level = got[got["source"] == "s0"]["target"].iloc[0] / (1000 * 3 * 3 + 1000 * 127 * 8)
+    if 8 * level < 1:
+        assert abs(weights[127] / weights[3] - expected) < 0.5
+    else:
+        assert abs(weights[127] - min(2, 8 * level)) < 0.02 and abs(weights[3] - 3 * level) < 0.06
+    q = lambda p: spark.range(500).select("id", mix.rank_key(F.col("id"), F.lit("h"), F.when(F.col("id") % 2 == 0, F.lit(p)).otherwise(F.lit(0.5)), 1).alias("q")).orderBy("q").toPandas()["id"].tolist()
+    assert q(0.9) != q(0.5) != q(0.1) and sum(i % 2 == 0 for i in q(0.9)[:200]) > 140
 
 
 def brute_targets(size, weight, share, limit):
@@ -230,6 +308,85 @@ def test_secrets(spark, docs):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_redaction_leaves_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a token=abcdef1 b", 5, "s")], "doc_id bigint, text string, spans int, row string")
+    got = stages.redact_secrets(spark, rows, "").collect()
+    assert [tuple(r) for r in got] == [(1, "a [SECRET] b", 5, "s")]
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é " + " ".join(f"AKIA{i:020d}" for i in range(700))
+    got = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["base_spans"]
+    assert [(s["start"], s["end"]) for s in got if s["kind"] == 1] == [(m.start(), m.end()) for m in re.finditer(secrets.ACCESS, text)]
+    assert [r[0] for r in spark.createDataFrame([([3, 1, 4, 1, 5],), ([],), ([2],)], "v array<bigint>").select(secrets.sums_before(F.col("v"))).collect()] == [[0, 3, 4, 8, 9], [], [0]]
+
+
+def brute_scores(run):
+    body = re.sub(secrets.ASIDE, "", run)
+    symbols, s2, s3, change, rho = next(e for e in secrets.ENCODINGS if set(body) <= set(e[0]))
+    n, k = len(body), len(symbols)
+    x = np.array([symbols.index(c) for c in body], float)
+    classes = lambda c: 0 if c.isdigit() else 1 if c.islower() else 2
+    one = len({classes(c) for c in symbols}) == 1
+    kinds = [int(i >= k // 2) for i in x] if one else [classes(c) for c in body]
+    parts = Counter(int(i >= k // 2) for i in range(k)) if one else Counter(map(classes, symbols))
+    even = 1 - sum((m / k) ** 2 for m in parts.values())
+    observed = np.array([Counter(body)[c] for c in symbols])
+    chi2 = ((observed - n / k) ** 2 / (n / k)).sum()
+    mean = k * (1 + (n - 1) * s2) - n
+    sd = k / n * 2 * math.sqrt(n * (n - 1) / 2 * (s2 - s2**2) + n * (n - 1) * (n - 2) * (s3 - s2**2))
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    change_sd = math.sqrt((n - 1) * change * (1 - change))
+    centred = x - (k - 1) / 2
+    serial = (centred[1:] * centred[:-1]).sum() / ((n - 1) * (k * k - 1) / 12)
+    root = math.sqrt(n - 1)
+    return [
+        n, (chi2 - mean) / sd, (k - 1 - mean) / sd, (changes - (n - 1) * change) / change_sd, (n - 1) * (even - change) / change_sd, (serial - rho) * root, -rho * root,
+        (chi2 - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n), (changes - (n - 1) * even) / math.sqrt((n - 1) * even * (1 - even)), serial * root,
+    ]
+
+
+def test_battery_against_brute_force(spark):
+    r = np.random.default_rng(11)
+    runs = ["".join(r.choice(list(e[0]), int(r.integers(20, 90)))) for e in secrets.ENCODINGS for _ in range(6)]
+    runs += ["some_snake_case_identifier_name", "path/to/some/File2", "a" * 30, "ab" * 20, "abcdefghij" * 4, "0123456789" * 5, "-" * 30, "-_/abc" * 5]
+    got = spark.createDataFrame(list(enumerate(runs)), "i int, run string").select("run", secrets.scores(F.col("run")).alias("s"), secrets.battery(F.col("run")).alias("tenths")).collect()
+    for row in got:
+        body = re.sub(secrets.ASIDE, "", row["run"])
+        if len(body) < secrets.LEAST_SYMBOLS:
+            assert row["tenths"] == 0
+            continue
+        want = brute_scores(row["run"])
+        assert np.allclose(list(row["s"]), want, rtol=1e-9, atol=1e-9)
+        z, w, u = np.array(want[1:7:2]), np.array(want[2:7:2]), want[7:]
+        p = 0.5 * math.erfc((z @ w) / math.sqrt(w @ w) / math.sqrt(2))
+        regular = u[0] < -secrets.TOO_EVEN or u[1] > secrets.TOO_EVEN or abs(u[2]) > secrets.TOO_EVEN
+        assert row["tenths"] == 0 if regular else abs(row["tenths"] - math.floor(-10 * math.log10(p))) <= 1
+
+
+def test_alphabet_decides_evidence(spark):
+    """One pattern of coincidences, classes and places, written in alphabets of 10, 26 and 62 symbols."""
+    r = np.random.default_rng(12)
+    at = r.integers(0, 10, 40)
+    runs = ["".join(alphabet[i] for i in at) for alphabet in (secrets.DIGITS, secrets.LOWER, "aB3cD5eF7g")]
+    got = [x["t"] for x in spark.createDataFrame([(x,) for x in runs], "run string").select(secrets.battery(F.col("run")).alias("t")).collect()]
+    assert len(set(got)) == 3
+
+
+def test_thresholds_are_benjamini_hochberg(spark):
+    r = np.random.default_rng(13)
+    tests = [(int(s), int(t)) for s in range(3) for t in np.concatenate([r.integers(0, 12, 400), r.integers(25, 90, 10 * s)])]
+    rows = [(1, [(0, 3, 30, s, t) for s, t in tests]), (2, []), (3, None)]
+    scanned = spark.createDataFrame(rows, "doc_id int, tested_spans array<struct<start:bigint,kind:int,end:bigint,stratum:int,tenths:int>>")
+    want = {}
+    for stratum in range(3):
+        own = sorted((t for s, t in tests if s == stratum), reverse=True)
+        passed = [t for t in own if 10 ** (-t / 10) * len(own) <= 0.001 * sum(x >= t for x in own)]
+        if passed:
+            want[stratum] = min(passed)
+    assert secrets.thresholds(scanned, 0.001) == want and set(want) == {1, 2}
+
+
 def test_short_assignment_consumes_its_match(spark):
     df = spark.createDataFrame([(1, "secret=token:abcdefgh"), (2, "Password: 'abc.def'")], "doc_id bigint, text string")
     got = {r["doc_id"]: [tuple(s) for s in r["base_spans"]] for r in secrets.find_secrets(df).collect()}
