@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -60,9 +62,10 @@ def test_language(spark, docs):
 
 def test_backoff_uses_longest_known_grams():
     model = langid.Model(["a", "b"], {"the": 0}, {"<xy": 1, "xy>": 2, "x": 3}, np.array([(-1.0, -7.0), (-2.0, -3.0), (-4.0, -5.0), (0.0, 0.0)]))
-    assert model.word("the").tolist() == [-1.0, -7.0] and model.word("xy").tolist() == [-3.0, -4.0] and model.word("q").tolist() == [langid.PENALTY] * 2
-    for text in ("12 !", "² ½ ⅷ", "_"):
-        assert model.score(text) == (langid.UNKNOWN, 0.0)
+    assert model.found("the") == [0] and model.found("xy") == [1, 2] and model.found("x") == [3] and model.found("q") == []
+    model.learn(["the", "xy", "q-the", "12"])
+    assert model.table.tolist() == [[-1.0, -7.0, 1], [-3.0, -4.0, 1], [-8.0, -14.0, 2], [0, 0, 0]]
+    assert model.score(["12 !", "² ½ ⅷ", "_", None, "", "the"]) == [(langid.UNKNOWN, 0.0)] * 5 + [("a", 1 / (1 + 1e-6))]
 
 
 def test_language_against_brute_force(spark, docs):
@@ -455,7 +458,7 @@ def test_components(spark):
 
 
 def test_rules(spark, docs):
-    got = rules.judge(docs.drop("lang"), docs.filter("doc_id < 20").select("doc_id")).toPandas()
+    got = rules.judge(docs.drop("lang"), docs.filter("doc_id < 20").select("doc_id"), keep_text=True).toPandas()
     assert len(got) == docs.count()
     for r in got.itertuples():
         w = (r.text or "").encode().split()
@@ -479,8 +482,36 @@ def test_rules_split_words_at_any_punctuation(spark):
     text = "Été—noir “mot” fin… a\u00a0b 漢字。漢 x1-y"
     want = ["été", "—", "noir", "“", "mot", "”", "fin", "…", "a", "\u00a0", "b", "漢字", "。", "漢", "x1", "-", "y"]
     df = spark.createDataFrame([(text, want)], "text string, want array<string>")
-    got = rules.features(df).select("_features", F.transform("want", lambda t: F.xxhash64(t).bitwiseAND(F.lit(rules.BUCKETS - 1)).cast("int")).alias("ones")).first()
-    assert len(got["_features"]) == 2 * len(want) - 1 and got["_features"][: len(want)] == got["ones"]
+    got = df.select(rules.features(rules.token_buckets(F.col("text"))).alias("features"), F.transform("want", lambda t: F.xxhash64(t).bitwiseAND(F.lit(rules.BUCKETS - 1)).cast("int")).alias("ones")).first()
+    assert len(got["features"]) == 2 * len(want) - 1 and got["features"][: len(want)] == got["ones"]
+
+
+def test_ratios_against_brute_force(spark, docs):
+    """Buckets, multinomials, ratios and means written out."""
+    buckets = 64
+    trusted = {i for i in range(0, 20, 2)} | {104, 999}
+    named = spark.createDataFrame([(i,) for i in [*trusted, None, 4]], "doc_id bigint")
+    clashing = docs.withColumns({"n_words": F.lit("x"), "ones": F.lit(1), "trusted": F.lit(2), "kept": F.lit(3)})
+    got = rules.judge(clashing, named, buckets=buckets, keep_text=True).toPandas()
+    assert len(got) == docs.count() and {"ones", "trusted", "piece", "text"} <= set(got.columns) and (got["ones"] == 1).all()
+    tokens_of = lambda t: regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+", (t or "").lower())
+
+    def buckets_of(text):
+        ones = [xxhash.xxh64_intdigest(t.encode(), 42) % buckets for t in tokens_of(text)]
+        return ones, [((2 * a) ^ b) % buckets for a, b in zip(ones, ones[1:], strict=False)]
+
+    raw, good = (Counter(), Counter()), (Counter(), Counter())
+    for r in got.itertuples():
+        for kind, own in enumerate(buckets_of(r.text)):
+            raw[kind].update(own)
+            if r.doc_id in trusted:
+                good[kind].update(own)
+    ratio = [[math.log((good[k][b] + 1) / (good[k].total() + buckets)) - math.log((raw[k][b] + 1) / (raw[k].total() + buckets)) for b in range(buckets)] for k in range(2)]
+    for r in got.itertuples():
+        own = [ratio[kind][b] for kind, found in enumerate(buckets_of(r.text)) for b in found]
+        assert math.isclose(r.llr, sum(own) / len(own) if own else 0.0, rel_tol=1e-9, abs_tol=1e-12)
+        assert r.kept == (not r.base_failed and r.llr >= rules.THRESHOLD)
+    assert len({round(x, 6) for x in got["llr"]}) > 10
 
 
 def test_neighbours(spark):
