@@ -9,27 +9,31 @@ a heap.  The candidates of all tables are reranked by exact distance.
 
 The index is fitted on a bounded sample (``SAMPLE`` vectors by hash of their
 id): the mean, the spread that sets the width, and the number of probes, which
-doubles until the sample's own true neighbours are found at ``TARGET`` recall.
+grows until the sample's own true neighbours are found at ``TARGET`` recall.
 Every vector is indexed.  Structured data need few probes; isotropic data need
-many.
+many.  Where ``MOST_PROBES`` do not reach the target, probing is given up and all
+queries are answered by an exact scan, in blocks.
 
 Buckets are dealt to cells, whose number follows the input.  A query travels
 once to each cell that holds a bucket it probes, meets the members bucket by
 bucket as a matrix product, and leaves with its best few; candidate pairs never
-become rows.  Equal vectors are one entry with their smallest ids, and entries
-of a bucket spread over cells, so neither copies nor a full bucket fill a task.
+become rows.  Equal vectors are one entry with their smallest ids.  The fullest
+bucket sets over how many cells the entries of a bucket spread, and queries come
+in as many waves as keep those that meet in a cell few; so neither copies nor a
+full bucket nor many queries fill a task.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +41,10 @@ from lexiforge.llm._common import buckets_for, materialize
 
 TABLES, DIRECTIONS, WIDTH = 4, 8, 2.0
 SAMPLE, SAMPLE_QUERIES, TARGET, MOST_PROBES = 4096, 128, 0.95, 1024
-CELL_ENTRIES = 40_000
-#: Parts over which a bucket's entries spread.
-SPREAD = 4
-MISSING_BLOCK = 1000
+#: Entries of a cell, entries of one bucket in a cell, and queries that meet in a cell.
+CELL_ENTRIES, BUCKET_ENTRIES, CELL_QUERIES = 40_000, 10_000, 20_000
+#: Queries that one exact scan answers, and those of a matrix product.
+SCAN_QUERIES, SCAN_ROWS = 10_000, 500
 RESULT = "query_id bigint, vec_id bigint, score double"
 
 
@@ -50,6 +54,7 @@ class Index:
     directions: np.ndarray  # (tables, dimension, directions)
     shift: np.ndarray
     width: float
+    #: 0 where no number of probes reaches the target.
     probes: int
 
     def places(self, x: np.ndarray) -> np.ndarray:
@@ -91,7 +96,10 @@ def probe_steps(place: np.ndarray, probes: int) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, seed: int = 5, tables: int = TABLES, directions: int = DIRECTIONS) -> Index:
-    """Fit on sampled vectors; the sample is thinner than the input, so its neighbours are farther and recall there is a cautious estimate."""
+    """Fit on sampled vectors; the sample is thinner than the input, so its neighbours are farther and recall there is a cautious estimate.
+
+    A sample too small to tell gives 0 probes: an exact scan is cheap there.
+    """
     rng = np.random.default_rng(seed)
     mean = sample.mean(0)
     a = rng.standard_normal((tables, sample.shape[1], directions))
@@ -99,10 +107,11 @@ def fit(sample: np.ndarray, seed: int = 5, tables: int = TABLES, directions: int
     index = Index(mean, a, rng.random((tables, directions)) * WIDTH * spread, WIDTH * spread, 1)
     queries = min(SAMPLE_QUERIES, len(sample))
     if len(sample) < 12:
-        index.probes = MOST_PROBES
+        index.probes = 0
         return index
-    q = sample[:queries]
-    apart = (q**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * q @ sample.T
+    centred = sample - mean
+    q = centred[:queries]
+    apart = (q**2).sum(1)[:, None] + (centred**2).sum(1) - 2 * q @ centred.T
     apart[np.arange(queries), np.arange(queries)] = np.inf
     near = np.argpartition(apart, 10, axis=1)[:, :10]
     places = index.places(sample)
@@ -116,8 +125,8 @@ def fit(sample: np.ndarray, seed: int = 5, tables: int = TABLES, directions: int
             for j in np.flatnonzero((np.abs(step) <= 1).all(1)):
                 first[i, j] = min(first[i, j], codes.get(int(((step[j] + 1) * base).sum()), MOST_PROBES))
     index.probes = 1
-    while index.probes < MOST_PROBES and (first < index.probes).mean() < TARGET:
-        index.probes = int(index.probes * 1.5) + 1
+    while index.probes and (first < index.probes).mean() < TARGET:
+        index.probes = min(int(index.probes * 1.5) + 1, MOST_PROBES) if index.probes < MOST_PROBES else 0
     return index
 
 
@@ -129,19 +138,29 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.coalesce(fine, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
-def best(query_ids: np.ndarray, q: np.ndarray, entries: list[np.ndarray], x: np.ndarray, keep: int) -> Iterator[tuple[int, int, float]]:
-    """The nearest ``keep`` ids of each query among entries; the matrix product preselects, exact differences decide."""
-    rough = (x**2).sum(1) - 2 * (q @ x.T)
-    take = min(len(x), keep + 6)
-    near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(x) else np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
+def best(query_ids: np.ndarray, q: np.ndarray, entries: list[np.ndarray], x: np.ndarray, keep: int, centre: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """The nearest ``keep`` ids of each query among entries.
+
+    A centred matrix product rules out only what lies farther than the
+    ``keep + 1`` nearest by more than its rounding error; exact differences decide.
+    """
+    y, p = x - centre, q - centre
+    norms = (y**2).sum(1)
+    rough = norms - 2 * (p @ y.T)
+    if len(x) > keep + 1:
+        error = 4 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (np.sqrt((p**2).sum(1)) + np.sqrt(norms.max())) ** 2
+        least = np.partition(rough, keep, axis=1)[:, keep] + error
+    else:
+        least = np.full(len(q), np.inf)
     for row, query_id in enumerate(query_ids.tolist()):
-        exact = np.sqrt(((x[near[row]] - q[row]) ** 2).sum(1))
-        found = sorted((s, i) for s, at in zip(exact.tolist(), near[row].tolist(), strict=True) for i in entries[at].tolist() if i != query_id)[:keep]
+        near = np.flatnonzero(rough[row] <= least[row])
+        exact = np.sqrt(((x[near] - q[row]) ** 2).sum(1))
+        found = sorted((s, i) for s, at in zip(exact.tolist(), near.tolist(), strict=True) for i in entries[at].tolist() if i != query_id)[:keep]
         for score, vec_id in found:
             yield query_id, vec_id, score
 
 
-def cell_best(rows: pd.DataFrame, keep: int) -> pd.DataFrame:
+def cell_best(rows: pd.DataFrame, keep: int, centre: np.ndarray) -> pd.DataFrame:
     members = rows[rows["members"].notna()]
     asking = rows[rows["members"].isna()]
     found: dict[int, dict[int, float]] = defaultdict(dict)
@@ -161,7 +180,7 @@ def cell_best(rows: pd.DataFrame, keep: int) -> pd.DataFrame:
         for name, start, end in zip(names.tolist(), starts.tolist(), ends.tolist(), strict=True):
             if visitors := probing.get(name):
                 at = order[start:end]
-                for query_id, vec_id, score in best(ids[visitors], q[visitors], [entries[i] for i in at], x[at], keep):
+                for query_id, vec_id, score in best(ids[visitors], q[visitors], [entries[i] for i in at], x[at], keep, centre):
                     own = found[query_id]
                     own[vec_id] = score
                     if len(own) > 8 * keep:
@@ -175,9 +194,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
     Ties go to the smaller id; if there are no more than k others, all are
     found.  Rows without an id or with a vector that is null, empty, zero or
-    not finite take no part, nor do those of another dimension than the most
-    common one.  Repeated rows count once.  A query that meets fewer than k
-    candidates is answered by an exact scan.
+    not finite take no part.  Repeated rows count once.  Vectors of another
+    dimension than the most common one, queries that meet fewer than k
+    candidates, and all queries where probing cannot reach its target are
+    answered by an exact scan among the vectors of their dimension.
     """
     spark: SparkSession = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -185,15 +205,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     place = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
     entries = rows.withColumn("_place", place).filter(F.col("_place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("members"))
     entries = materialize(entries, "entries")
-    asked = usable(queries, id_col, vector_col).withColumnRenamed("vec_id", "query_id").distinct()
+    asked = materialize(usable(queries, id_col, vector_col).withColumnRenamed("vec_id", "query_id").distinct(), "asked")
     sizes = entries.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("members")).alias("ids")).orderBy(F.desc("n"), "d").head()
     if sizes is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    entries, asked = entries.filter(F.size("v") == sizes["d"]), materialize(asked.filter(F.size("v") == sizes["d"]), "asked")
-    sample = entries.orderBy(F.xxhash64(F.get("members", F.lit(0)))).limit(SAMPLE).select("v").collect()  # at most SAMPLE rows
-    index = spark.sparkContext.broadcast(fit(np.array([r["v"] for r in sample]), seed))
-    cells = buckets_for(TABLES * sizes["n"], CELL_ENTRIES, spark.sparkContext.defaultParallelism)
-    schema = "cell int, query_id bigint, members array<bigint>, buckets array<bigint>, v array<double>"
+    usual = F.size("v") == sizes["d"]
+    sample = entries.filter(usual).orderBy(F.xxhash64(F.get("members", F.lit(0)))).limit(SAMPLE).select("v").collect()  # at most SAMPLE rows
+    index = fit(np.array([r["v"] for r in sample]), seed)
+    found = probed(entries.filter(usual), asked.filter(usual), index, sizes["n"], k) if index.probes else None
+    left = asked
+    if found is not None:
+        enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query_id")
+        left = asked.filter(~usual).unionByName(asked.filter(usual).join(enough, "query_id", "left_anti"))
+    exact = scanned(entries, materialize(left, "left"), k)
+    found = found.unionByName(exact).distinct() if found is not None and exact is not None else exact if found is None else found
+    if found is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def probed(entries: DataFrame, asked: DataFrame, fitted: Index, n: int, k: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: each cell's nearest of each query that visits it."""
+    spark = entries.sparkSession
+    index = spark.sparkContext.broadcast(fitted)
+    cells = buckets_for(TABLES * n, CELL_ENTRIES, spark.sparkContext.defaultParallelism)
+
+    def bucketed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                own = index.value
+                keys = own.keys(np.floor(own.places(np.stack(batch["v"].to_numpy()))))
+                yield pd.DataFrame({"bucket": keys.view(np.int64).ravel()})
+
+    fullest = entries.select("v").mapInPandas(bucketed, "bucket bigint").groupBy("bucket").count().agg(F.max("count").alias("most"))
+    spread = -(-materialize(fullest, "fullest").head()["most"] // BUCKET_ENTRIES)
+    meeting = asked.count() * min(1.0, TABLES * fitted.probes * spread / cells)
+    waves = max(1, math.ceil(meeting / CELL_QUERIES))
 
     def cell_of(key: np.ndarray, part: np.ndarray) -> np.ndarray:
         return ((key >> np.uint64(17)) * np.uint64(0x94D049BB133111EB) + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(cells)
@@ -203,9 +251,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         for batch in batches:
             if len(batch):
                 keys = own.keys(np.floor(own.places(np.stack(batch["v"].to_numpy()))))
-                part = np.array([m[0] % SPREAD for m in batch["members"]], np.uint64)
+                part = np.array([m[0] % spread for m in batch["members"]], np.uint64)
                 for key in keys:
-                    yield pd.DataFrame({"cell": cell_of(key, part), "query_id": None, "members": batch["members"], "buckets": [[k] for k in key.view(np.int64).tolist()], "v": batch["v"]}).astype({"cell": "int32"})
+                    cell, buckets = cell_of(key, part).astype(np.int64), [[k] for k in key.view(np.int64).tolist()]
+                    for wave in range(waves):
+                        yield pd.DataFrame({"cell": cell * waves + wave, "query_id": None, "members": batch["members"], "buckets": buckets, "v": batch["v"]})
 
     def probing(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = index.value
@@ -215,37 +265,42 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 visits: dict[int, list[int]] = defaultdict(list)
                 for t in range(len(places)):
                     keys = own.keys(np.floor(places[t]).astype(np.int64) + probe_steps(places[t], own.probes))
-                    for part in range(SPREAD):
+                    for part in range(spread):
                         for cell, key in zip(cell_of(keys, np.full(len(keys), part, np.uint64)).tolist(), keys.view(np.int64).tolist(), strict=True):
-                            visits[cell].append(key)
-                yield pd.DataFrame({"cell": list(visits), "query_id": query_id, "members": None, "buckets": list(visits.values()), "v": [v] * len(visits)}).astype({"cell": "int32"})
+                            visits[cell * waves + query_id % waves].append(key)
+                yield pd.DataFrame({"cell": list(visits), "query_id": query_id, "members": None, "buckets": list(visits.values()), "v": [v] * len(visits)})
 
+    schema = "cell bigint, query_id bigint, members array<bigint>, buckets array<bigint>, v array<double>"
     dealt = entries.mapInPandas(indexed, schema).unionByName(asked.mapInPandas(probing, schema))
-    found = dealt.groupBy("cell").applyInPandas(lambda rows: cell_best(rows, k), RESULT).distinct()
-    found = materialize(found, "found")
-    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query_id")
-    missing = materialize(asked.join(enough, "query_id", "left_anti"), "missing")
-    if not missing.isEmpty():
-        found = found.unionByName(scan_missing(entries, missing, k)).distinct()
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return materialize(dealt.groupBy("cell").applyInPandas(lambda rows: cell_best(rows, k, index.value.mean), RESULT).distinct(), "found")
 
 
-def scan_missing(entries: DataFrame, missing: DataFrame, k: int) -> DataFrame:
-    """Exact neighbours of the given queries, MISSING_BLOCK of them against all entries at a time."""
+def scanned(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
+    """Exact neighbours of the given queries (a stored table), SCAN_QUERIES of them against all entries at a time; None without queries."""
     spark = entries.sparkSession
-    numbered = materialize(missing.withColumn("_block", F.floor(F.monotonically_increasing_id() / MISSING_BLOCK)), "missing")
-    parts = None
-    for (block,) in sorted(numbered.select("_block").distinct().collect()):
-        rows = numbered.filter(F.col("_block") == block).select("query_id", "v").collect()  # at most MISSING_BLOCK rows
-        asked = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), np.array([r["v"] for r in rows])))
-
-        def scan(batches: Iterable[pa.RecordBatch], asked=asked) -> Iterator[pd.DataFrame]:
-            ids, q = asked.value
+    blocks = -(-asked.count() // SCAN_QUERIES)
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.lit(max(1, blocks))))
+    found = []
+    for block in range(blocks):
+        rows = numbered.filter(F.col("block") == block).select("query_id", "v").collect()  # SCAN_QUERIES rows, more or less
+        by_size: dict[int, list] = defaultdict(list)
+        for r in rows:
+            by_size[len(r["v"])].append(r)
+        queries = {d: (np.array([r["query_id"] for r in own], np.int64), np.array([r["v"] for r in own])) for d, own in by_size.items()}
+        shared = spark.sparkContext.broadcast(queries)
+
+        def scan(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch):
-                    yield pd.DataFrame(best(ids, q, batch["members"].tolist(), np.stack(batch["v"].to_numpy()), k), columns=["query_id", "vec_id", "score"])
-
-        found = materialize(entries.select("members", "v").mapInPandas(scan, RESULT), "scanned")
-        parts = found if parts is None else parts.unionByName(found)
-    return parts
+                lengths = batch["v"].map(len)
+                for d, (ids, q) in shared.value.items():
+                    own = batch[lengths == d]
+                    if len(own):
+                        x, members = np.stack(own["v"].to_numpy()), own["members"].tolist()
+                        for at in range(0, len(ids), SCAN_ROWS):
+                            part = slice(at, at + SCAN_ROWS)
+                            yield pd.DataFrame(best(ids[part], q[part], members, x, k, x.mean(0)), columns=["query_id", "vec_id", "score"])
+
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        nearest_few = entries.select("members", "v").mapInPandas(scan, RESULT).distinct().withColumn("place", place).filter(F.col("place") <= k).drop("place")
+        found.append(materialize(nearest_few, "scanned"))
+    return reduce(DataFrame.unionByName, found) if found else None
