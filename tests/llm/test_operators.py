@@ -63,8 +63,9 @@ def test_language(spark, docs):
 def test_backoff_uses_longest_known_grams():
     model = langid.Model(["a", "b"], {"the": 0}, {"<xy": 1, "xy>": 2, "x": 3}, np.array([(-1.0, -7.0), (-2.0, -3.0), (-4.0, -5.0), (0.0, 0.0)]))
     assert model.found("the") == [0] and model.found("xy") == [1, 2] and model.found("x") == [3] and model.found("q") == []
-    model.learn(["the", "xy", "q-the", "12"])
-    assert model.table.tolist() == [[-1.0, -7.0, 1], [-3.0, -4.0, 1], [-8.0, -14.0, 2], [0, 0, 0]]
+    model.learn(["the", "xy", "q"])
+    assert model.table.tolist() == [[-1.0, -7.0], [-3.0, -4.0], [langid.PENALTY] * 2]
+    assert langid.word_counts("The a²b ½ ⅷ the_X1 é") == Counter({"the": 2, "a": 1, "b": 1, "x": 1, "é": 1})
     assert model.score(["12 !", "² ½ ⅷ", "_", None, "", "the"]) == [(langid.UNKNOWN, 0.0)] * 5 + [("a", 1 / (1 + 1e-6))]
 
 
@@ -202,6 +203,59 @@ def test_crf(spark):
     assert crf.score(df, None).filter("score <> 0").count() == 0
 
 
+def test_crf_learns_changes_within_a_document(spark):
+    """Bad documents whose second half is as good as any: those lines are found good, and transitions allow the change."""
+    good = lambda i: [f"A plain line of words number {prose(8, EN, i * 9 + k)}." for k in range(8)]
+    junk = lambda i: [" ".join(f"{w}***" for w in prose(8, EN, 5000 + i * 7 + k).split()) for k in range(8)]
+    rows = [(i, "\n".join(good(i)), 1) for i in range(60)] + [(100 + i, "\n".join(junk(i) + good(200 + i)[:2]), 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    model = crf.train(df, df.select("doc_id", "label"))
+    alone = {name: model.score("\n".join(lines)) for name, lines in {"good": good(900), "junk": junk(900), "both": junk(901) + good(901)}.items()}
+    assert alone["good"] > 0.9 and alone["junk"] < 0.1 and 0.25 < alone["both"] < 0.75
+    frozen = crf.Field(model.mean, model.scale, model.weights, np.zeros((2, 2)))
+    assert abs(frozen.score("\n".join(junk(902) + good(902)[:1] + junk(903))) - model.score("\n".join(junk(902) + good(902)[:1] + junk(903)))) > 1e-4
+
+
+def test_crf_gradient_and_expectations():
+    r = np.random.default_rng(21)
+    x = r.normal(size=(4, 6, crf.WIDTH)).astype(np.float32)
+    there = np.arange(6) < np.array([6, 1, 4, 3])[:, None]
+    x[~there] = 0
+    y, theta = np.array([0, 1, 1, 0]), r.normal(size=crf.WIDTH + 4) * 0.3
+    value, gradient = crf.slope(theta, x, y, there)
+    for at in [*range(0, crf.WIDTH, 7), *range(crf.WIDTH, crf.WIDTH + 4)]:
+        step = np.zeros_like(theta)
+        step[at] = 1e-5
+        assert math.isclose((crf.slope(theta + step, x, y, there)[0] - crf.slope(theta - step, x, y, there)[0]) / 2e-5, gradient[at], rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_crf_score_matches_enumeration(spark):
+    r = np.random.default_rng(22)
+    text = "One line.\n\n###\nanother, of more words here!\n ok\nONE ***\nlast"
+    x, lengths = crf.line_features(text)
+    model = crf.Field(x.mean(0), x.std(0) + 0.5, r.normal(size=crf.WIDTH), r.normal(size=(2, 2)))
+    u = ((x - model.mean) / model.scale) @ model.weights
+    n, total, good = len(u), 0.0, np.zeros(len(u))
+    for code in range(1 << n):
+        y = [(code >> i) & 1 for i in range(n)]
+        p = math.exp(sum(u[i] * y[i] for i in range(n)) + sum(model.transitions[y[i], y[i + 1]] for i in range(n - 1)))
+        total += p
+        good += p * np.array(y)
+    want = float((good / total * lengths).sum() / lengths.sum())
+    assert math.isclose(model.score(text), want, rel_tol=1e-9)
+    rows = [(1, text), (1, text), (None, text), (2, None)]
+    got = sorted(r["score"] for r in crf.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect())
+    assert got[0] == 0 and np.allclose(got[1:], want)
+
+
+def test_crf_sample_is_bounded(spark):
+    rows = [(1, "same line of text\n" * 5, 1)] * 300 + [(i, f"line {i} here\nand more\n" * 400, i % 2) for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int").repartition(6)
+    assert crf.train(df, df.select("doc_id", "label"), docs_bound=20) is not None
+    x = np.arange(2000.0).reshape(1000, 2)
+    assert len(crf.spread_chains(x)) == crf.TRAIN_CHAINS * crf.CHAIN and crf.spread_chains(x)[-1, 0] == 1998 and crf.spread_chains(x[:9]) is not None
+
+
 def test_crf_marginals_match_enumeration():
     x = rng.normal(size=(5, crf.WIDTH)).astype(np.float32)
     w, t = rng.normal(size=crf.WIDTH) * 0.1, rng.normal(size=(2, 2))
@@ -535,6 +589,42 @@ def test_neighbours(spark):
     assert sorted(few["vec_id"]) == [1, 2, 3] and ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute_neighbours(x, ids, q, k=10):
+    dist = np.sqrt(((x - x[q]) ** 2).sum(1))
+    return sorted((s, i) for s, i in zip(dist.tolist(), ids, strict=True) if i != ids[q])[:k]
+
+
+def test_exact_scan_and_rerank_against_brute_force(spark, monkeypatch):
+    """Shifted, tied and odd-sized vectors, over several blocks of queries."""
+    r = np.random.default_rng(31)
+    monkeypatch.setattr(ann, "SCAN_QUERIES", 7)
+    x = np.round(r.normal(size=(400, 5)), 1) * 1e-3 + 1e6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, [float(i), 1.0]) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(ann, "MOST_PROBES", 1)  # no target is reached: all by exact scan
+    monkeypatch.setattr(ann, "TARGET", 1.1)
+    got = ann.nearest(df, df.filter("vec_id % 20 = 0")).toPandas()
+    for q in range(0, 400, 20):
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert list(zip(own["score"], own["vec_id"], strict=True)) == brute_neighbours(x, list(range(400)), q)
+    assert got[got["query_id"] == 1000]["vec_id"].tolist() == [1001, 1002, 1003, 1004, 1005]
+    many = r.normal(size=(500, 8)) * 1e-3 + 1e6
+    found = list(ann.best(np.array([3]), many[3:4], [np.array([i]) for i in range(500)], many, 10, many.mean(0)))
+    assert [(s, i) for _, i, s in found] == brute_neighbours(many, list(range(500)), 3)
+
+
+def test_buckets_spread_and_queries_come_in_waves(spark, monkeypatch):
+    r = np.random.default_rng(32)
+    centres = r.normal(size=(20, 12)) * 4
+    x = centres[r.integers(0, 20, 1500)] + r.normal(size=(1500, 12)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    for name, value in {"CELL_ENTRIES": 300, "BUCKET_ENTRIES": 20, "CELL_QUERIES": 3}.items():
+        monkeypatch.setattr(ann, name, value)
+    got = ann.nearest(df, df.filter("vec_id % 50 = 0")).toPandas()
+    hits = sum(len({i for _, i in brute_neighbours(x, list(range(1500)), q)} & set(got[got["query_id"] == q]["vec_id"])) for q in range(0, 1500, 50))
+    assert hits >= 0.9 * 300
+
+
 def test_probe_order():
     steps = ann.probe_steps(np.array([0.1, 2.95, 5.5]), 6)
     assert steps[0].tolist() == [0, 0, 0] and sorted(map(tuple, steps[1:4].tolist())) == [(-1, 0, 0), (-1, 1, 0), (0, 1, 0)]
