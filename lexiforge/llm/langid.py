@@ -31,15 +31,26 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from lexiforge.llm._common import materialize, release
 
 UNKNOWN = "und"
-#: Letters of any script: word characters but numbers and the underscore.
-LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+#: Runs of word characters but decimal digits and the underscore; few hold other numbers.
+WORD_RUNS = re.compile(r"[^\W\d_]+")
+OTHER_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Bounds of the fitted model: labelled texts of a language and in all, and entries of a language and kind.
 TRAIN_PER_LANG, TRAIN_ROWS, WORDS_PER_LANG, GRAMS_PER_LANG = 1500, 300_000, 20_000, 10_000
 #: Log-frequency (base 10) of what a language's model lacks.
 PENALTY = -7.0
-#: Scored chunks after which the cache starts over.
-CACHE = 100_000
+#: Scored words after which the cache starts over, and texts scored at a time.
+CACHE, BLOCK = 200_000, 256
+
+
+def word_counts(text: str | None) -> Counter:
+    """How often each word occurs: a run of letters of any script, in lower case."""
+    counts = Counter(WORD_RUNS.findall((text or "").lower()))
+    for run in [run for run in counts if not run.isalpha()]:
+        times = counts.pop(run)
+        for word in filter(None, OTHER_NUMBERS.split(run)):
+            counts[word] += times
+    return counts
 
 
 @dataclass
@@ -50,56 +61,57 @@ class Model:
     words: dict[str, int]
     grams: dict[str, int]
     values: np.ndarray
-    #: Scored chunks: their rows in a table of sums (one column a language) and word numbers (the last).
+    #: Scored words: their rows in a table of scores, a column for each language.
     rows: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
 
-    def word(self, word: str) -> np.ndarray:
+    def found(self, word: str) -> list[int]:
+        """The rows of ``values`` whose mean is the word's score; none where nothing of it is known."""
         known = self.words.get(word)
         if known is not None:
-            return self.values[known]
+            return [known]
         marked = f"<{word}>"
         for n in ORDERS:
             grams = [marked] if len(marked) <= n else [marked[i : i + n] for i in range(len(marked) - n + 1)]
             found = [v for g in grams if (v := self.grams.get(g)) is not None]
             if found:
-                return self.values[found].sum(0) / len(found)
-        return np.full(len(self.langs), PENALTY)
-
-    def chunk(self, chunk: str) -> tuple[np.ndarray, int]:
-        """Sum of the scores of the words in a white-space separated chunk, and their number."""
-        words = LETTERS.findall(chunk.lower())
-        if len(words) == 1:
-            return self.word(words[0]), 1
-        return sum(map(self.word, words), np.zeros(len(self.langs))), len(words)
-
-    def learn(self, chunk: str) -> int:
-        row = len(self.rows)
-        if self.table is None or row == len(self.table):
-            grown = np.zeros((2 * row + 4096, len(self.langs) + 1))
-            grown[:row] = self.table[:row] if self.table is not None else 0
-            self.table = grown
-        sums, words = self.chunk(chunk)
-        self.table[row] = (*sums, words)
-        self.rows[chunk] = row
-        return row
-
-    def score(self, text: str | None) -> tuple[str, float]:
+                return found
+        return []
+
+    def learn(self, words: list[str]) -> None:
+        """Score words that the cache lacks."""
+        at, sizes = [], np.zeros(len(words), np.int64)
+        for row, word in enumerate(words):
+            found = self.found(word)
+            at += found
+            sizes[row] = len(found)
+            self.rows[word] = len(self.rows)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        scores = np.empty((len(words), len(self.langs)))
+        for lang in range(len(self.langs)):
+            scores[:, lang] = np.bincount(owner, self.values[at, lang], len(words)) / np.maximum(sizes, 1)
+        scores[sizes == 0] = PENALTY
+        self.table = scores if self.table is None else np.concatenate([self.table, scores])
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of the highest sum of scores and its share of the probability; ties go to the first language by name."""
-        counts = Counter((text or "").split())
-        if not self.langs or not counts:
-            return UNKNOWN, 0.0
-        if len(self.rows) > CACHE:
-            self.rows.clear()
-        at = [self.rows.get(chunk, -1) for chunk in counts]
-        if -1 in at:
-            at = [self.learn(chunk) if row < 0 else row for chunk, row in zip(counts, at, strict=True)]
-        *total, count = np.fromiter(counts.values(), np.float64, len(counts)) @ self.table[at]
-        if not count:
-            return UNKNOWN, 0.0
-        total = np.array(total) * math.log(10)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        judged = []
+        for first in range(0, len(texts), BLOCK):
+            if len(self.rows) > CACHE:
+                self.rows, self.table = {}, None
+            counted = list(map(word_counts, texts[first : first + BLOCK]))
+            if unseen := list(dict.fromkeys(word for counts in counted for word in counts if word not in self.rows)):
+                self.learn(unseen)
+            for counts in counted:
+                if not counts:
+                    judged.append((UNKNOWN, 0.0))
+                    continue
+                total = np.fromiter(counts.values(), np.float64, len(counts)) @ self.table[[self.rows[word] for word in counts]] * math.log(10)
+                best = int(np.argmax(total))
+                judged.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return judged
 
 
 def remainder(doc_id: Column, of: int) -> Column:
@@ -131,7 +143,7 @@ def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for word, times in Counter(LETTERS.findall(text.lower())).items():
+            for word, times in word_counts(text).items():
                 counts[lang, 0, word] += times
                 marked = f"<{word}>"
                 for n in ORDERS:
@@ -187,7 +199,7 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
         own = shared.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            found = [own.score(text.as_py()) for text in batch.column(at)]
+            found = own.score(batch.column(at).to_pylist())
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, lang, score])
 
