@@ -67,17 +67,18 @@ def batch_limits(spark: SparkSession):
     return settings(spark, **BATCH_LIMITS)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table.
+def materialize(df: DataFrame, tag: str, *more: DataFrame) -> DataFrame:
+    """Write ``df``, then ``more`` of its kind, to one folder in the shared folder and return the written table.
 
     Cuts the lineage: whoever reads the result again, after a lost executor
-    too, reads files and repeats none of the work before.  Shuffle files of the
+    too, reads files and repeats none of the work before.  Shuffle files of each
     write go when it ends.  Python receives bounded batches meanwhile.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
     with settings(spark, **BATCH_LIMITS, **{SHUFFLE_CLEANUP: "true"}):
-        df.write.parquet(path)
+        for part in (df, *more):
+            part.write.mode("append").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._written_path = path
     return written

@@ -52,6 +52,8 @@ COST = (1.0, 0.25, 4.0)
 #: Candidates expected of a shingle that is not known to be warm.
 EXPECTED = 0.05
 BITMAP_WORDS = 8
+#: Shingles are counted and grouped in as many slices by hash, one after the other, so that the disk holds the shuffle of one.
+SLICES = 4
 #: Pairs of a shingle's group that meet in one task.
 TASK_PAIRS = 1_000_000
 #: Documents whose ids are broadcast to fetch their sets (8 bytes each); more are joined.
@@ -195,14 +197,19 @@ def linked(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def slices(rows: DataFrame) -> list[DataFrame]:
+    return [rows.filter(F.pmod(F.col("token"), F.lit(SLICES)) == i) for i in range(SLICES)]
+
+
 def heat_table(described_docs: DataFrame) -> np.ndarray:
     """Binary logarithms of document frequency, by the low bits of the shingle's hash.
 
     At most HEAT_FILL shingles are entered: the frequency from which a shingle
     counts as warm doubles until they fit.
     """
-    counts = described_docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= WARM)
-    warm = materialize(counts.select("token", F.floor(F.log2("df")).cast("int").alias("heat")), "warm")
+    counts = [rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= WARM) for rows in slices(described_docs.select(F.explode("tokens").alias("token")))]
+    first, *more = [c.select("token", F.floor(F.log2("df")).cast("int").alias("heat")) for c in counts]
+    warm = materialize(first, "warm", *more)
     by_heat = {r["heat"]: r["many"] for r in warm.groupBy("heat").agg(F.count(F.lit(1)).alias("many")).collect()}  # at most 64 rows
     least = min(by_heat, default=0)
     while sum(many for heat, many in by_heat.items() if heat >= least) > HEAT_FILL:
@@ -297,12 +304,13 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
     # A shingle's group counts if it has two nodes.  Groups of rare shingles are
     # small; those of warm ones are counted before they meet.
     by_token = Window.partitionBy("token")
-    cold = prefixes.select("node", "l", F.explode("cold").alias("token"))
-    cold = cold.select("*", F.min("node").over(by_token).alias("lead"), F.max("node").over(by_token).alias("last")).filter(F.col("lead") < F.col("last"))
-    warm = prefixes.select("node", "l", F.explode("warm").alias("token"))
-    ends = warm.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter(F.col("lead") < F.col("last"))
-    shared = cold.select("token", "node", "l", "lead").unionByName(warm.join(ends, "token").select("token", "node", "l", "lead"))
-    shared = materialize(shared.dropDuplicates(["token", "node"]), "shared")
+    parts = []
+    for cold, warm in zip(slices(prefixes.select("node", "l", F.explode("cold").alias("token"))), slices(prefixes.select("node", "l", F.explode("warm").alias("token"))), strict=True):
+        cold = cold.select("*", F.min("node").over(by_token).alias("lead"), F.max("node").over(by_token).alias("last")).filter(F.col("lead") < F.col("last"))
+        ends = warm.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter(F.col("lead") < F.col("last"))
+        both = cold.select("token", "node", "l", "lead").unionByName(warm.join(ends, "token").select("token", "node", "l", "lead"))
+        parts.append(both.dropDuplicates(["token", "node"]))
+    shared = materialize(parts[0], "shared", *parts[1:])
     release(prefixes)
 
     # Stars: every node against the first node of each of its groups.
@@ -320,12 +328,17 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
 
     def open_groups(parts: DataFrame, tag: str) -> DataFrame:
         """Members of groups that still hold several components, with each group's largest one."""
-        known_parts = shared.select("token", "node", "l").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        tally = known_parts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
-        pairs = (F.sum("many") - F.max("many")) * F.sum("many")
-        cells = F.least(F.ceil(pairs / F.lit(TASK_PAIRS)), F.sum("many") - F.max("many")).cast("int").alias("cells")
-        main = tally.groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count(F.lit(1)).alias("parts"), cells).filter("parts > 1").drop("parts")
-        return materialize(known_parts.join(main, "token").join(nodes.select(*facts), "node"), tag)
+
+        def of(rows: DataFrame) -> DataFrame:
+            known_parts = rows.select("token", "node", "l").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+            tally = known_parts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
+            pairs = (F.sum("many") - F.max("many")) * F.sum("many")
+            cells = F.least(F.ceil(pairs / F.lit(TASK_PAIRS)), F.sum("many") - F.max("many")).cast("int").alias("cells")
+            main = tally.groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count(F.lit(1)).alias("parts"), cells).filter("parts > 1").drop("parts")
+            return known_parts.join(main, "token").join(nodes.select(*facts), "node")
+
+        first, *more = map(of, slices(shared))
+        return materialize(first, tag, *more)
 
     # A second round of stars, around another member in each group: who is not near the first node
     # is mostly near some other member, and one found link is enough.
