@@ -62,9 +62,14 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def batch_limits(spark: SparkSession):
-    """Within the block, Python receives few rows and few bytes at a time, which bounds a worker's memory where texts are long."""
-    return settings(spark, **BATCH_LIMITS)
+def limit_batches(spark: SparkSession) -> None:
+    """Have Python receive few rows and few bytes at a time, which bounds memory where texts are long.
+
+    Operators whose result runs Python only after they return call this, each
+    for itself; the session keeps the limits, which change no result.
+    """
+    for name, value in BATCH_LIMITS.items():
+        spark.conf.set(name, value)
 
 
 def materialize(df: DataFrame, tag: str, *more: DataFrame) -> DataFrame:
@@ -76,7 +81,8 @@ def materialize(df: DataFrame, tag: str, *more: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    with settings(spark, **BATCH_LIMITS, **{SHUFFLE_CLEANUP: "true"}):
+    limit_batches(spark)
+    with settings(spark, **{SHUFFLE_CLEANUP: "true"}):
         for part in (df, *more):
             part.write.mode("append").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm._common import limit_batches
 from lexiforge.llm.tokens import CAPACITY, END_ID, cuts, default_vocabulary, encoder
 
 PAD_ID = 0
@@ -119,6 +120,7 @@ def packed_matrices(docs: DataFrame, capacity: int = CAPACITY, path: str | None
     is numbered by its task and its place in the task, so the same splits of
     the input give the same rows, after a lost executor too.
     """
+    limit_batches(docs.sparkSession)
     where = path or default_vocabulary()
     kind = np.dtype(f"<u{id_bytes}")
 

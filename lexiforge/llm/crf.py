@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexiforge.llm._common import batch_limits
+from lexiforge.llm._common import limit_batches
 
 TRAIN_DOCS, TRAIN_CHAINS, CHAIN, EPOCHS, RATE, RIDGE, EVIDENCE = 3000, 4, 64, 150, 0.05, 1e-3, 2.0
 CLASSES = ("lower", "upper", "digit", "symbol", "bang", "space", "mark")
@@ -225,8 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, docs_bound: int = TRAIN_DOCS) -> F
             found = [spread_chains(line_features(t.as_py() or "")[0]).astype("<f4").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["order", "label", "x"])
 
-    with batch_limits(docs.sparkSession):
-        sample = rows.mapInArrow(described, "order bigint, label int, x binary").orderBy("order").limit(docs_bound).toArrow()
+    limit_batches(docs.sparkSession)
+    sample = rows.mapInArrow(described, "order bigint, label int, x binary").orderBy("order").limit(docs_bound).toArrow()
     chains = [(np.frombuffer(x, "<f4").reshape(-1, WIDTH), int(label)) for label, x in zip(sample.column(1).to_pylist(), sample.column(2).to_pylist(), strict=True) if x]
     chains.sort(key=lambda c: (c[1], len(c[0]), c[0].tobytes()))  # in an order that partitions cannot change
     return fit(chains) if chains else None
@@ -239,6 +239,7 @@ def score(docs: DataFrame, model: Field | None) -> DataFrame:
     model.  Repeated rows and equal texts score alike, whatever their ids.
     """
     docs = docs.drop("score")
+    limit_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

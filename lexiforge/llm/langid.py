@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lexiforge.llm._common import materialize, release
+from lexiforge.llm._common import limit_batches, materialize, release
 
 UNKNOWN = "und"
 #: Runs of word characters but decimal digits and the underscore; few hold other numbers.
@@ -40,7 +40,7 @@ TRAIN_PER_LANG, TRAIN_ROWS, WORDS_PER_LANG, GRAMS_PER_LANG = 1500, 300_000, 20_0
 #: Log-frequency (base 10) of what a language's model lacks.
 PENALTY = -7.0
 #: Scored words after which the cache starts over, and texts scored at a time.
-CACHE, BLOCK = 200_000, 256
+CACHE, BLOCK = 100_000, 256
 
 
 def word_counts(text: str | None) -> Counter:
@@ -193,6 +193,7 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.drop(lang, score)
+    limit_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexiforge.llm._common import limit_batches
+
 #: Splitting pattern of byte-level BPE (fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 2
@@ -95,6 +97,7 @@ def pieces(docs: DataFrame, path: str | None = None, backend: str = "tiktoken",
     A null text counts as empty and gives the end id alone.  ``ids`` holds
     little-endian unsigned 32-bit ids.  Repeated rows give repeated pieces.
     """
+    limit_batches(docs.sparkSession)
     where = path or default_vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
