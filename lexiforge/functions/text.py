@@ -88,6 +88,56 @@ def clean_word(w: Column, ignore: str = "") -> Column:
     return F.struct(bare.alias("word"), (F.length(kept) - F.length(bare)).alias("dots"))
 
 
+def conversions(pairs: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    """Patterns, longest first, each with its output within a word, at its start, at its end, and as the whole of it."""
+    table: dict[str, list[str]] = {}
+    for pattern, out in pairs:
+        start, end = pattern.startswith("_"), len(pattern) > 1 and pattern.endswith("_")
+        plain = pattern[start : len(pattern) - end].replace("_", " ")
+        if plain:
+            table.setdefault(plain, ["", "", "", ""])[start + 2 * end] = out.replace("_", " ")
+    found = []
+    for plain, (inner, first, last, whole) in sorted(table.items(), key=lambda e: -len(e[0])):
+        found.append((plain, [inner, first or inner, last or inner, whole or last or first or inner]))
+    return found
+
+
+def convert(w: Column, pairs: list[tuple[str, str]]) -> Column:
+    """A word rewritten from left to right: at each place the longest pattern there is replaced by what its position calls for."""
+    table = conversions(pairs)
+    if not table:
+        return w
+    n = F.length(w)
+
+    def step(s: Column, i: Column) -> Column:
+        here = F.struct((i + 1).alias("at"), F.concat(s["out"], F.substr(w, i, F.lit(1))).alias("out"))
+        for plain, (inner, first, last, whole) in reversed(table):
+            ends, starts = i + len(plain) == n + 1, i == 1
+            out = F.when(ends & starts, whole).when(ends, last).when(starts, first).otherwise(inner)
+            rewritten = F.struct((i + len(plain)).alias("at"), F.concat(s["out"], out).alias("out"))
+            here = F.when(F.substr(w, i, F.lit(len(plain))) == plain, F.when(out != "", rewritten).otherwise(F.struct((i + 1).alias("at"), F.concat(s["out"], F.substr(w, i, F.lit(1))).alias("out")))).otherwise(here)
+        return F.when(s["at"] == i, here).otherwise(s)
+
+    places = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+
+def reverse_word(w: Column) -> Column:
+    """The code points in reverse, as dictionaries with complex prefixes store words."""
+    return F.reverse(w)
+
+
+def sharp_forms(w: Column, most: int = 5) -> Column:
+    """All ways to read some of the first ``most`` ``ss`` of a lower-case word as sharp s; none for words without."""
+    parts = F.split(w, "ss")
+    several = lambda x, i: F.when(i <= most, F.flatten(F.transform(x["forms"], lambda f: F.array(F.concat(f, F.lit("ß"), F.get(parts, i)), F.concat(f, F.lit("ss"), F.get(parts, i))))))
+    start = F.struct(F.slice(parts, F.lit(1), F.lit(1)).alias("forms"))
+    grown = lambda x, i: F.struct(F.coalesce(several(x, i), F.transform(x["forms"], lambda f: F.concat(f, F.lit("ss"), F.get(parts, i)))).alias("forms"))
+    count = F.size(parts) - 1
+    forms = F.aggregate(F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), start, grown, lambda x: x["forms"])
+    return F.filter(forms, lambda f: f != w)
+
+
 def is_number(w: Column) -> Column:
     """Digits with single inner separators."""
     return F.regexp_like(w, F.lit("^[0-9]+([.,-][0-9]+)*$"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.functions.text import ALLCAP, HUHCAP, HUHINITCAP, INITCAP, captype, clean_word, fits, init_lower, init_upper, is_number, lower_cp
+from lexiforge.functions.text import ALLCAP, HUHCAP, HUHINITCAP, INITCAP, captype, clean_word, convert, fits, init_lower, init_upper, is_number, lower_cp, sharp_forms
 from lexiforge.sources.affix import ONLY_UPCASE, AffixConfig
 
 
-def case_variants(word: Column) -> Column:
-    """``array<struct<variant_no, form>>`` to try for a word, by its capitals."""
+def case_variants(word: Column, sharps: bool = False) -> Column:
+    """``array<struct<variant_no, form>>`` to try for a word, by its capitals; with ``sharps``, SS in capitals may stand for sharp s."""
     kind = captype(word)
     low = lower_cp(word)
     capital = init_upper(low)
@@ -18,6 +18,10 @@ def case_variants(word: Column) -> Column:
     after = F.locate("'", word)
     apostrophe = F.concat(F.substr(low, F.lit(1), after), init_upper(F.substr(low, after + 1)))
     whole = F.when(after > 0, listed(word, apostrophe, init_upper(apostrophe), capital, low)).otherwise(listed(word, capital, low))
+    if sharps:
+        read = sharp_forms(low)
+        more = F.transform(F.concat(read, F.transform(read, init_upper)), lambda f, i: F.struct((i + 5).alias("variant_no"), f.alias("form")))
+        whole = F.concat(whole, more)
     return F.when(kind == ALLCAP, whole).when(kind == INITCAP, listed(word, low)).otherwise(listed(word))
 
 
@@ -38,6 +42,7 @@ def suggestion_variants(word: Column) -> Column:
 def check(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig, column: str = "word") -> DataFrame:
     """``words`` with ``ok``, ``root``, ``kind``, ``forbidden`` and ``warn``.
 
+    Words pass the input conversion and lose what the affix file ignores.
     Numbers are right; null, empty and overlong words are wrong.  The first
     case variant that is a form decides the root; entries for words in capitals
     only count where the word is in capitals.  A word of which any exact entry
@@ -45,8 +50,8 @@ def check(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixC
     """
     words = words.drop("ok", "root", "kind", "forbidden", "warn")
     distinct = words.select(F.col(column).alias("_w")).filter("_w IS NOT NULL").distinct()
-    cleaned = distinct.withColumn("_clean", clean_word(F.col("_w"))["word"])
-    tried = cleaned.filter(fits(F.col("_clean")) & (F.col("_clean") != "")).select("_w", captype(F.col("_clean")).alias("_case"), F.inline(case_variants(F.col("_clean"))))
+    cleaned = distinct.withColumn("_clean", cleaned_word(F.col("_w"), config)["word"])
+    tried = cleaned.filter(fits(F.col("_clean")) & (F.col("_clean") != "")).select("_w", captype(F.col("_clean")).alias("_case"), F.inline(case_variants(F.col("_clean"), "CHECKSHARPS" in config.switches)))
     usable = forms.select("surface", F.col("root").alias("_root"), F.col("kind").alias("_kind"), F.col("flags").alias("_flags"), "priority", "entry_id", "dict_no")
     hits = tried.join(usable, F.col("form") == F.col("surface")).filter(~F.array_contains("_flags", ONLY_UPCASE) | (F.col("_case") == ALLCAP))
     if config.flag("KEEPCASE"):
@@ -70,27 +75,59 @@ def check(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixC
     return joined.select(*words.columns, false("ok"), "root", "kind", false("forbidden"), false("warn"))
 
 
-def break_parts(word: Column, breaks: list[str]) -> Column:
-    """A word cut at its break points: anchored ones at the ends first, then every other; ten or more break points leave it whole."""
+def cleaned_word(word: Column, config: AffixConfig) -> Column:
+    """``struct(word, dots)`` after input conversion, without ignored characters."""
+    return clean_word(convert(word, config.input_conversion), config.texts.get("IGNORE", ""))
+
+
+def break_pattern(breaks: list[str]) -> str:
+    """A regular expression for the break points within a word."""
     inner = [b for b in breaks if not b.startswith("^") and not b.endswith("$")]
-    out = word
-    for b in breaks:
-        if b.startswith("^"):
-            out = F.when(F.startswith(out, F.lit(b[1:])), F.substr(out, F.lit(len(b)))).otherwise(out)
-        elif b.endswith("$"):
-            out = F.when(F.endswith(out, F.lit(b[:-1])), F.substr(out, F.lit(1), F.length(out) - (len(b) - 1))).otherwise(out)
-    if not inner:
-        return F.array(out)
-    pattern = "|".join(f"\\Q{b}\\E" for b in sorted(inner, key=len, reverse=True))
-    return F.when(F.size(F.split(out, pattern)) <= 10, F.split(out, pattern)).otherwise(F.array(out))
+    return "|".join(f"\\Q{b}\\E" for b in sorted(inner, key=len, reverse=True))
 
 
 def check_with_breaks(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig, column: str = "word") -> DataFrame:
-    """``(word, ok)`` of distinct words: right as a whole, or each part between break points right."""
+    """``(word, ok)`` of distinct words: right as a whole, or broken into right parts.
+
+    A stretch of a word between break points is right if it is a form, if it is
+    right without a break point that may be taken off its start or end, or if
+    both sides of a break are.  A break is made at the first or second place of
+    its kind in the stretch.  Ten or more break points are not tried.  Stretches
+    (at most 55 a word) are judged as words, shorter before longer.
+    """
     whole = check(words.select(F.col(column).alias("word")).filter("word IS NOT NULL").distinct(), forms, lexicon, config).select("word", "ok", "forbidden")
-    wrong = whole.filter("NOT ok AND NOT forbidden").select("word", break_parts(F.col("word"), config.breaks).alias("parts"))
-    cut = wrong.filter((F.size("parts") > 1) | (F.get("parts", F.lit(0)) != F.col("word"))).select("word", F.explode("parts").alias("part"))
-    parts = check(cut, forms, lexicon, config, "part").groupBy("word").agg(F.bool_and("ok").alias("parts_ok"))
+    pattern = break_pattern(config.breaks)
+    starts, ends = ([b.strip("^$") for b in config.breaks if (b.startswith("^") if at_start else b.endswith("$")) and len(b) > 1] for at_start in (True, False))
+    if not pattern:
+        pattern = "|".join(f"\\Q{b}\\E" for b in {*starts, *ends}) or "(?!)"
+    known = F.col("word")
+    wrong = whole.filter("NOT ok AND NOT forbidden").select("word", F.split(known, pattern, -1).alias("parts"), F.regexp_extract_all(known, F.lit(pattern), F.lit(0)).alias("marks"))
+    wrong = wrong.filter((F.size("marks") > 0) & (F.size("marks") < 10)).withColumn("n", F.size("parts"))
+    # Stretches i..j of parts, by length; a number names each.
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.col("n")), lambda d: F.transform(F.sequence(F.lit(0), F.col("n") - d), lambda i: F.struct(i.alias("i"), (i + d).alias("j")))))
+    between = F.flatten(F.zip_with("parts", "marks", lambda p, m: F.array(p, F.coalesce(m, F.lit("")))))
+    text = lambda x: F.array_join(F.slice(between, 2 * x["i"] + 1, 2 * (x["j"] - x["i"]) - 1), "")
+    stretches = wrong.select("*", spans.alias("spans"), F.explode(spans).alias("span")).withColumn("text", text(F.col("span")))
+    judged = check(stretches.select("text").distinct(), forms, lexicon, config, "text").filter("ok").select(F.col("text").alias("right"))
+    name = lambda i, j: i * 16 + j
+    right = stretches.join(judged, F.col("text") == F.col("right")).groupBy("word").agg(F.collect_set(name(F.col("span.i"), F.col("span.j"))).alias("right"))
+    mark = lambda b: F.get("marks", b - 1)
+
+    def settle(found: Column, x: Column) -> Column:
+        i, j = x["i"], x["j"]
+        has = lambda a, b: F.array_contains(found, name(a, b))
+        empty = lambda at: F.get("parts", at) == ""
+        listed = lambda m, of: m.isin(of) if of else F.lit(False)
+        off = (j - i > 1) & ((empty(i) & listed(mark(i + 1), starts) & has(i + 1, j)) | (empty(j - 1) & listed(mark(j - 1), ends) & has(i, j - 1)))
+        inside = F.filter(F.sequence(F.lit(0), F.col("n")), lambda b: (b > i) & (b < j))
+        filled = lambda a, b: (b - a > 1) | ~empty(a)
+        early = lambda b: F.size(F.filter(inside, lambda c: (c < b) & (mark(c) == mark(b)))) <= 1
+        broken = F.exists(inside, lambda b: has(i, b) & has(b, j) & filled(i, b) & filled(b, j) & early(b))
+        return F.when(~has(i, j) & (off | broken), F.array_append(found, name(i, j))).otherwise(found)
+
+    some = wrong.withColumn("spans", spans).join(right, "word")
+    some = some.withColumn("settled", F.aggregate("spans", F.col("right"), settle))
+    parts = some.select("word", F.array_contains("settled", name(F.lit(0), F.col("n"))).alias("parts_ok"))
     return whole.join(parts, "word", "left").select("word", (F.col("ok") | F.coalesce("parts_ok", F.lit(False))).alias("ok"))
 
 

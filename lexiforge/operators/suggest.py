@@ -16,11 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions.similarity import ANY_MISMATCH, LONGER_WORSE, WEIGHTED, common_positions, common_prefix, is_swap, lcs_length, ngram_batched
-from lexiforge.functions.text import ALLCAP, INITCAP, captype, init_upper, lower_cp, upper_cp
-from lexiforge.operators.spell import suggestion_variants
-from lexiforge.sources.affix import AffixConfig
+from lexiforge.functions.text import ALLCAP, HUHINITCAP, INITCAP, MOST_BYTES, NOCAP, captype, convert, init_upper, lower_cp, upper_cp
+from lexiforge.operators.expand import suggestible
+from lexiforge.operators.spell import check, cleaned_word, suggestion_variants
+from lexiforge.sources.affix import ONLY_UPCASE, AffixConfig
+from lexiforge.sources.dictionary import phonetic_replacements
+from lexiforge.store import written
 
 CAPITALS, REPLACE, MAP, SWAP, LONG_SWAP, KEY, EXTRA, FORGOT, MOVE, WRONG, DOUBLE_PAIR, TWO_WORDS, NGRAM = range(13)
+#: A pair of words that is an entry.
+LISTED = -1
 OPS = ("capitals", "replace", "map", "swap", "long_swap", "key", "extra", "forgot", "move", "wrong", "double_pair", "two_words", "ngram")
 # Limits that are part of the semantics.
 MOST_SUGGESTIONS, MOST_DISTANCE, MOST_ROOTS, MOST_EXPANSIONS, MOST_GUESSES, MOST_NGRAM, LENGTH_BAND = 15, 4, 100, 100, 200, 4, 4
@@ -162,38 +167,49 @@ def replaced(words: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def class_keys(w: Column, classes: list[list[str]]) -> Column:
-    """All ways to read a word as a sequence of equivalence classes; a character counts as itself where no class member starts."""
-    members = [(m, number) for number, group in enumerate(classes) for m in dict.fromkeys(group)]
-    state = "array<struct<at:int,key:string>>"
+    """All ways to read a word as a sequence of equivalence classes, ``array<struct<key, path>>``.
+
+    A character counts as itself where no class member starts.  The path holds
+    class and member at each class read.
+    """
+    members = [(m, number, place) for number, group in enumerate(classes) for place, m in enumerate(group) if m not in group[:place]]
+    state = "array<struct<at:int,key:array<string>,path:array<struct<c:int,m:int>>>>"
 
     def advance(open_: Column, i: Column) -> Column:
         here = F.filter(open_, lambda s: s["at"] == i)
         rest = F.filter(open_, lambda s: s["at"] != i)
 
         def onward(s: Column) -> Column:
-            taken = [
-                F.when(F.substr(w, i, F.lit(len(m))) == m, F.struct((i + len(m)).cast("int").alias("at"), F.concat(s["key"], F.lit(f"<{number}>")).alias("key")))
-                for m, number in members
-            ]
+            reach = lambda m, number, place: F.struct(
+                (i + len(m)).cast("int").alias("at"),
+                F.array_append(s["key"], F.lit(f"class {number}")).alias("key"),
+                F.array_append(s["path"], F.struct(F.lit(number).alias("c"), F.lit(place).alias("m"))).alias("path"),
+            )
+            taken = [F.when(F.substr(w, i, F.lit(len(m))) == m, reach(m, number, place)) for m, number, place in members]
             found = F.filter(F.array(*taken), lambda x: x.isNotNull()) if taken else F.array().cast(state)
-            plain = F.array(F.struct((i + 1).cast("int").alias("at"), F.concat(s["key"], F.substr(w, i, F.lit(1))).alias("key")))
+            plain = F.array(F.struct((i + 1).cast("int").alias("at"), F.array_append(s["key"], F.substr(w, i, F.lit(1))).alias("key"), s["path"].alias("path")))
             return F.when(F.size(found) > 0, found).otherwise(plain)
 
         return F.array_distinct(F.concat(rest, F.flatten(F.transform(here, onward))))
 
-    start = F.array(F.struct(F.lit(1).alias("at"), F.lit("").alias("key"))).cast(state)
-    return F.array_distinct(F.transform(F.aggregate(_to(F.length(w)), start, advance), lambda s: s["key"]))
+    start = F.array(F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("key"), F.array().cast("array<struct<c:int,m:int>>").alias("path"))).cast(state)
+    return F.transform(F.aggregate(_to(F.length(w)), start, advance), lambda s: F.struct(s["key"].alias("key"), s["path"].alias("path")))
 
 
 def map_matches(words: DataFrame, surfaces: DataFrame, classes: list[list[str]]) -> DataFrame:
-    """``(w, op, i, j, candidate)``: forms that read as the same sequence of classes as a word."""
+    """``(w, op, i, j, candidate)``: forms that read as the same sequence of classes as a word.
+
+    ``i`` is the order in which replacing class by class would come to them: at
+    the first place where readings differ, by class, then by the member that the
+    word has there, then by the member put in its place.
+    """
     if not classes:
         return words.select("w", F.lit(MAP).alias("op"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("w").alias("candidate")).limit(0)
-    left = words.select("w", F.explode(class_keys(F.col("w"), classes)).alias("key"))
-    right = surfaces.select("surface", F.explode(class_keys(F.col("surface"), classes)).alias("key"))
-    pairs = left.join(right, "key").filter(F.col("w") != F.col("surface")).select("w", "surface").distinct()
-    # Enumeration order: earlier members of earlier classes first; the word order of members decides ties.
-    order = F.row_number().over(Window.partitionBy("w").orderBy("surface"))
+    left = words.select("w", F.inline(class_keys(F.col("w"), classes))).withColumnRenamed("path", "own")
+    right = surfaces.select("surface", F.inline(class_keys(F.col("surface"), classes)))
+    steps = F.zip_with("own", "path", lambda a, b: F.struct(a["c"].alias("c"), a["m"].alias("m"), b["m"].alias("put")))
+    pairs = left.join(right, "key").filter(F.col("w") != F.col("surface")).groupBy("w", "surface").agg(F.min(steps).alias("steps"))
+    order = F.row_number().over(Window.partitionBy("w").orderBy("steps", "surface"))
     return pairs.select("w", F.lit(MAP).alias("op"), order.alias("i"), F.lit(0).alias("j"), F.col("surface").alias("candidate"))
 
 
@@ -225,14 +241,17 @@ def single_edits(words: DataFrame, surfaces: DataFrame, alphabet: str) -> DataFr
 
 
 def two_words(words: DataFrame, surfaces: DataFrame, dashes: bool = False) -> DataFrame:
-    """``(w, op, i, j, candidate)``: cuts into two forms; a pair that is itself an entry goes before all other suggestions."""
-    cut = words.select("w", F.inline(splits(F.col("w"))))
+    """``(w, op, i, j, candidate)``: cuts into two forms of words of three bytes or more.
+
+    Pairs that are entries themselves are listed: they have an ``op`` of their own, the last cut first.
+    """
+    cut = words.filter(F.octet_length("w") >= 3).select("w", F.inline(splits(F.col("w"))))
     known = surfaces.select("surface")
     both = cut.join(known.withColumnRenamed("surface", "head"), "head").join(known.withColumnRenamed("surface", "tail"), "tail")
     apart = both.select("w", F.lit(TWO_WORDS).alias("op"), "i", F.lit(0).alias("j"), F.concat_ws(" ", "head", "tail").alias("candidate"))
     marks = [" ", "-"] if dashes else [" "]
     pairs = cut.select("w", "i", F.posexplode(F.array(*[F.concat_ws(m, "head", "tail") for m in marks])).alias("j", "candidate"))
-    entries = pairs.join(known.withColumnRenamed("surface", "candidate"), "candidate", "left_semi").select("w", F.lit(-1).alias("op"), "i", "j", "candidate")
+    entries = pairs.join(known.withColumnRenamed("surface", "candidate"), "candidate", "left_semi").select("w", F.lit(LISTED).alias("op"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"), "candidate")
     more = pairs.filter("j = 1").join(both.select("w", "i"), ["w", "i"], "left_semi").select("w", F.lit(TWO_WORDS).alias("op"), "i", "j", "candidate")
     return apart.unionByName(entries).unionByName(more)
 
@@ -244,10 +263,27 @@ def generated(words: DataFrame, config: AffixConfig) -> DataFrame:
     return words.select("w", F.inline(F.concat(*arrays)))
 
 
-def candidates(words: DataFrame, surfaces: DataFrame, config: AffixConfig) -> DataFrame:
-    """``(w, op, i, j, candidate)``: accepted candidates of distinct words ``(w)``; ``surfaces (surface)`` are distinct forms."""
+def accepted_surfaces(forms: DataFrame, lexicon: DataFrame, config: AffixConfig) -> DataFrame:
+    """``(surface)``: forms that may be suggested, and are no forbidden word."""
+    barred = lexicon.filter(F.array_contains("flags", config.forbidden)).select(F.col("word").alias("surface"))
+    return suggestible(forms, config).select("surface").distinct().join(barred, "surface", "left_anti")
+
+
+def replacement_rules(lexicon: DataFrame, config: AffixConfig) -> DataFrame:
+    """The affix file's replacements, then those that entries give for their pronunciation."""
+    spoken = phonetic_replacements(lexicon).select(
+        F.lit(len(config.replacements)).alias("rule_no"), "pattern", F.lit(False).alias("at_start"), F.lit(False).alias("at_end"), "replacement"
+    )
+    return config.replacements_df(lexicon.sparkSession).unionByName(spoken)
+
+
+def candidates(words: DataFrame, surfaces: DataFrame, config: AffixConfig, rules: DataFrame | None = None) -> DataFrame:
+    """``(w, op, i, j, candidate)``: accepted candidates of distinct words ``(w)``; ``surfaces (surface)`` are distinct forms.
+
+    Where an upper-case form or a replacement is found, unlisted pairs of words are left out.
+    """
     spark = words.sparkSession
-    free = generated(words, config).unionByName(replaced(words, config.replacements_df(spark)))
+    free = generated(words, config).unionByName(replaced(words, config.replacements_df(spark) if rules is None else rules))
     single = free.filter(~F.contains("candidate", F.lit(" "))).join(surfaces.withColumnRenamed("surface", "candidate"), "candidate", "left_semi")
     phrases = free.filter(F.contains("candidate", F.lit(" "))).withColumn("part", F.explode(F.split("candidate", " ")))
     known = phrases.join(surfaces.withColumn("known", F.lit(1)), F.col("part") == F.col("surface"), "left")
@@ -256,7 +292,9 @@ def candidates(words: DataFrame, surfaces: DataFrame, config: AffixConfig) -> Da
     found = single.unionByName(spaced).unionByName(map_matches(words, surfaces, config.classes)).unionByName(single_edits(words, surfaces, config.try_chars))
     if "NOSPLITSUGS" not in config.switches:
         found = found.unionByName(two_words(words, surfaces, dashes))
-    return found.filter(F.col("candidate") != F.col("w"))
+    good = F.max(F.col("op").isin(CAPITALS, REPLACE)).over(Window.partitionBy("w"))
+    found = found.filter(F.col("candidate") != F.col("w")).withColumn("good", good)
+    return found.filter(~F.col("good") | (F.col("op") != TWO_WORDS))
 
 
 def ranked(found: DataFrame, keys: list[str], most: int = MOST_SUGGESTIONS) -> DataFrame:
@@ -267,15 +305,22 @@ def ranked(found: DataFrame, keys: list[str], most: int = MOST_SUGGESTIONS) -> D
     return first.withColumn("rank", rank).filter(F.col("rank") <= most).select("word", "rank", "suggestion", F.col("f.op").alias("op"))
 
 
-def similar_roots(words: DataFrame, lexicon: DataFrame, most: int = MOST_ROOTS) -> DataFrame:
+def similar_roots(words: DataFrame, lexicon: DataFrame, config: AffixConfig | None = None, most: int = MOST_ROOTS) -> DataFrame:
     """``(w, entry_id, root, score, place)``: the roots most like each word by three-grams, within four characters of its length.
 
     The length band is an equi-join on length; ties go to the smaller entry.
+    Entries that ``config`` bars take no place, nor do capitalised ones without a
+    pronunciation for a word in lower case (``lower``, true if absent).
     """
-    band = words.select("w", F.explode(F.sequence(F.length("w") - LENGTH_BAND, F.length("w") + LENGTH_BAND)).alias("clen"))
+    if config:
+        barred = [f for f in (config.forbidden, ONLY_UPCASE, config.flag("NOSUGGEST"), config.flag("NONGRAMSUGGEST"), config.flag("ONLYINCOMPOUND")) if f]
+        lexicon = lexicon.filter(~F.arrays_overlap("flags", F.array(*[F.lit(f) for f in barred])))
+    words = words.select("w", (F.col("lower") if "lower" in words.columns else F.lit(True)).alias("lower"))
+    band = words.select("w", "lower", F.explode(F.sequence(F.length("w") - LENGTH_BAND, F.length("w") + LENGTH_BAND)).alias("clen"))
     # Lower case is a column of the smaller side, so that it is not computed for each pair.
-    roots = lexicon.select("entry_id", F.col("word").alias("root"), lower_cp(F.col("word")).alias("low"), "clen")
-    scored = band.join(roots, "clen").withColumn("score", ngram_batched(3, LONGER_WORSE)(F.col("w"), F.col("low")) + common_prefix(F.col("w"), F.col("root")))
+    proper = (F.col("captype") == INITCAP) & ~F.contains("morph", F.lit("ph:"))
+    roots = lexicon.select("entry_id", F.col("word").alias("root"), lower_cp(F.col("word")).alias("low"), "clen", proper.alias("proper"))
+    scored = band.join(roots, "clen").filter(~F.col("lower") | ~F.col("proper")).withColumn("score", ngram_batched(3, LONGER_WORSE)(F.col("w"), F.col("low")) + common_prefix(F.col("w"), F.col("root")))
     place = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("score"), "entry_id"))
     return scored.withColumn("place", place).filter(F.col("place") <= most).select("w", "entry_id", "root", "score", "place")
 
@@ -290,9 +335,9 @@ def similarity_threshold(w: Column) -> Column:
     return F.floor(total / 3).cast("int") - 1
 
 
-def ngram_full(a: Column, b: Column, most: int = 12) -> Column:
-    """The n-gram score at the word's own length; levels beyond ``most`` add nothing unless words share so long a run."""
-    return ngram_batched(most, ANY_MISMATCH)(a, b)
+def ngram_full(a: Column, b: Column) -> Column:
+    """The n-gram score with as many levels as the word has characters."""
+    return ngram_batched(MOST_BYTES, ANY_MISMATCH)(a, b)
 
 
 def similar_forms(words: DataFrame, lexicon: DataFrame, forms: DataFrame, config: AffixConfig, most: int = MOST_NGRAM) -> DataFrame:
@@ -302,8 +347,9 @@ def similar_forms(words: DataFrame, lexicon: DataFrame, forms: DataFrame, config
     above the word's own threshold are scored again by subsequence, positions,
     swaps and weighted two-grams, and the best few are kept.
     """
-    roots = similar_roots(words, lexicon)
-    own = forms.select("entry_id", "surface", lower_cp(F.col("surface")).alias("low"), "pfx_append", "sfx_append", F.coalesce("sfx_rule", F.lit(-1)).alias("rule"))
+    roots = similar_roots(words, lexicon, config)
+    words = words.select("w").distinct()
+    own = suggestible(forms, config).select("entry_id", "surface", lower_cp(F.col("surface")).alias("low"), "pfx_append", "sfx_append", F.coalesce("sfx_rule", F.lit(-1)).alias("rule"))
     grown = roots.join(own, "entry_id").filter(F.endswith(F.col("w"), F.col("sfx_append")) & F.startswith(F.col("w"), F.col("pfx_append")))
     grown = grown.withColumn("n", F.row_number().over(Window.partitionBy("w", "entry_id").orderBy("rule", "surface"))).filter(F.col("n") <= MOST_EXPANSIONS)
     w, low = F.col("w"), F.col("low")
@@ -337,17 +383,62 @@ def suggest(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: Affi
     without any are handed to the similarity fallback.
     """
     asked = words.select("word").filter("word IS NOT NULL AND word <> ''").distinct()
-    tried = asked.select("word", captype(F.col("word")).alias("case"), F.inline(suggestion_variants(F.col("word")))).withColumnRenamed("form", "w")
-    surfaces = forms.select("surface").distinct()
-    distinct = tried.select("w").distinct()
+    cased_words = asked.select("word", captype(F.col("word")).alias("case"))
+    tried = cased_words.select("*", F.inline(suggestion_variants(F.col("word")))).withColumnRenamed("form", "w")
 
-    def cased(found: DataFrame) -> DataFrame:
-        text = F.when(F.col("case") == ALLCAP, upper_cp(F.col("candidate"))).when(F.col("case") == INITCAP, init_upper(F.col("candidate"))).otherwise(F.col("candidate"))
-        return tried.join(found, "w").select("word", "variant_no", "op", "i", "j", text.alias("suggestion")).filter(F.col("suggestion") != F.col("word"))
+    def cased(tried: DataFrame, found: DataFrame, capitals: tuple[int, ...]) -> DataFrame:
+        text = F.when(F.col("case") == ALLCAP, upper_cp(F.col("candidate"))).when(F.col("case").isin(*capitals), init_upper(F.col("candidate"))).otherwise(F.col("candidate"))
+        return tried.join(found, "w").withColumn("suggestion", text).filter(F.col("suggestion") != F.col("word"))
 
     keys = ["variant_no", "op", "i", "j"]
-    plain = ranked(cased(candidates(distinct, surfaces, config)), keys, most)
+    found = cased(tried, candidates(tried.select("w").distinct(), accepted_surfaces(forms, lexicon, config), config, replacement_rules(lexicon, config)), (INITCAP,))
+    # A listed pair clears what came before it, unless that was good.
+    cleared = F.max(F.when((F.col("op") == LISTED) & ~F.col("good"), F.col("variant_no"))).over(Window.partitionBy("word"))
+    kept = found.withColumn("cleared", cleared).filter(F.col("cleared").isNull() | (F.col("variant_no") > F.col("cleared")) | ((F.col("variant_no") == F.col("cleared")) & (F.col("op") == LISTED)))
+    plain = ranked(kept, keys, most)
     if not fallback:
         return plain
-    without = tried.join(plain.select("word").distinct(), "word", "left_anti").select("w").distinct()
-    return plain.unionByName(ranked(cased(similar_forms(without, lexicon, forms, config)), keys, most))
+    plain = written(plain, "edits")
+    left = cased_words.join(plain.select("word").distinct(), "word", "left_anti").withColumns({"variant_no": F.lit(0), "w": lower_cp(F.col("word"))})
+    similar = similar_forms(left.select("w", (F.col("case") == NOCAP).alias("lower")).distinct(), lexicon, forms, config)
+    return plain.unionByName(ranked(cased(left, similar, (INITCAP, HUHINITCAP)), keys, most))
+
+
+def suggest_text(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig) -> DataFrame:
+    """``(word, rank, suggestion)`` of words as typed: converted, cleaned, and corrected part by part around dashes.
+
+    Of a word with dashes whose suggestions have none, the first wrong part is
+    corrected and its suggestions, put in their place, come first.  Dots at the
+    end come back where the affix file wants them.  With case or forbidden
+    words to keep, suggestions for capitalised words that are wrong in that case
+    are lowered or capitalised, or go.  Output conversion comes last.
+    """
+    asked = words.select("word").filter("word IS NOT NULL").distinct().withColumn("c", cleaned_word(F.col("word"), config))
+    asked = asked.select("word", F.col("c.word").alias("clean"), F.col("c.dots").alias("dots")).filter("clean <> ''")
+    dashed = asked.filter(F.contains("clean", F.lit("-"))).select("clean").distinct()
+    parts = dashed.select("clean", F.posexplode(F.split("clean", "-")).alias("at", "part")).filter("part <> ''")
+    right = check(parts.select("part").distinct(), forms, lexicon, config, "part").filter("ok").select(F.col("part").alias("right"))
+    wrong = parts.join(right, F.col("part") == F.col("right"), "left_anti").groupBy("clean").agg(F.min(F.struct("at", "part")).alias("first"))
+    asked = written(asked, "asked")
+    wrong = written(wrong.select("clean", F.col("first.at").alias("at"), F.col("first.part").alias("part")), "wrong-parts")
+    every = asked.select(F.col("clean").alias("word")).unionByName(wrong.select(F.col("part").alias("word"))).distinct()
+    found = written(suggest(every, forms, lexicon, config).select(F.col("word").alias("asked"), "rank", "suggestion"), "suggestions")
+    own = found.withColumnRenamed("asked", "clean")
+    with_dash = own.filter(F.contains("suggestion", F.lit("-"))).select("clean").distinct()
+    listed = wrong.join(with_dash, "clean", "left_anti").join(found, F.col("part") == F.col("asked"))
+    pieces = F.transform(F.split("clean", "-"), lambda p, i: F.when(i == F.col("at"), F.col("suggestion")).otherwise(p))
+    mended = listed.select("clean", (F.col("rank") - 1_000).alias("rank"), F.array_join(pieces, "-").alias("suggestion"))
+    rows = asked.withColumn("case", captype(F.col("clean"))).join(own.unionByName(mended), "clean")
+    if "SUGSWITHDOTS" in config.switches:
+        rows = rows.withColumn("suggestion", F.concat("suggestion", F.repeat(F.lit("."), F.col("dots"))))
+    if config.flag("KEEPCASE") or "FORBIDDENWORD" in config.flags:
+        low = lower_cp(F.col("suggestion"))
+        forms_of = F.array(F.col("suggestion"), low, init_upper(low))
+        tried = rows.select("suggestion", F.posexplode(forms_of).alias("try", "form")).distinct()
+        fine = check(tried.select("form").distinct(), forms, lexicon, config, "form").filter("ok").select("form")
+        best = tried.join(fine, "form").groupBy("suggestion").agg(F.min(F.struct("try", "form")).alias("best")).select("suggestion", F.col("best.form").alias("best"))
+        free = F.contains("suggestion", F.lit(" ")) | ~F.col("case").isin(INITCAP, ALLCAP)
+        rows = rows.join(best, "suggestion", "left").withColumn("suggestion", F.when(free, F.col("suggestion")).otherwise(F.col("best"))).filter("suggestion IS NOT NULL")
+    rows = rows.groupBy("word", "suggestion").agg(F.min("rank").alias("order"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("order", "suggestion")))
+    return rows.select("word", "rank", convert(F.col("suggestion"), config.output_conversion).alias("suggestion"))

@@ -16,6 +16,7 @@ from lexiforge.functions import similarity, text
 from lexiforge.operators import expand, morphology, overlay, rerank, spell, suggest
 from lexiforge.sources.affix import AffixConfig, parse_affix
 from lexiforge.sources.dictionary import lexicon
+from lexiforge.store import once
 from lexiforge.streaming import keystrokes
 
 VOWELS = "aeiou"
@@ -73,13 +74,26 @@ def tokens(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
 
 
+def stored(name: str, make: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation made of ``documents``, written once and read by all queries."""
+    return once(spark, f"{sf_dir}/documents.parquet", name, lambda: make(spark, sf_dir))
+
+
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored("types", count_types, spark, sf_dir)
+
+
+def count_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(word, n, n_docs)``: lower-case word types; counted by document first, so that each type is lowered once a document."""
     by_doc = tokens(table(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id", F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     return by_doc.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
 def document_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored("lexicon", make_lexicon, spark, sf_dir)
+
+
+def make_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = types(spark, sf_dir).filter(F.col("n_docs") >= LEAST_DOCS).select("word")
     flag = lambda c, when: F.when(when, F.lit(c)).otherwise(F.lit(""))
     flags = F.concat(flag("S", F.length("word") >= 4), flag("D", F.substring("word", -1, 1).isin("t", "e")), flag("U", F.substring("word", 1, 1) == "r"))
@@ -87,6 +101,10 @@ def document_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored("forms", make_forms, spark, sf_dir)
+
+
+def make_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.expand(document_lexicon(spark, sf_dir), CONFIG.rules_df(spark), CONFIG)
 
 
@@ -162,6 +180,20 @@ def syllable_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types(spark, sf_dir).select("word", text.syllables(F.col("word"), VOWELS).alias("syllables"))
 
 
+@query(f"SELECT word, reverse(word) AS reversed FROM ({TYPES_SQL})")
+def reversed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return types(spark, sf_dir).select("word", text.reverse_word(F.col("word")).alias("reversed"))
+
+
+#: Output conversion in its contexts: anywhere, at the start, at the end.
+CONVERSIONS = [("th", "þ"), ("_in", "ín"), ("on_", "ön"), ("ss", "ß")]
+
+
+@query(f"SELECT word, replace(replace(regexp_replace(regexp_replace(word, '^in', 'ín'), 'on$', 'ön'), 'th', 'þ'), 'ss', 'ß') AS converted FROM ({TYPES_SQL})")
+def converted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return types(spark, sf_dir).select("word", text.convert(F.col("word"), CONVERSIONS).alias("converted"))
+
+
 def greek_sql(w: str) -> str:
     for latin, greek in text.GREEK_DIGRAPHS:
         w = f"replace({w}, '{latin}', '{greek}')"
@@ -225,7 +257,15 @@ def common_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bench_pairs(spark, sf_dir).select("a", "b", similarity.common_prefix(a, b).alias("prefix"), similarity.common_positions(a, b).alias("positions"), similarity.is_swap(a, b).alias("swap"))
 
 
-@query()
+#: Row by row of the usual table: what a character of a adds to the lengths at each prefix of b.
+LCS_STEP = """list_reduce(list_concat([[0::BIGINT]], list_transform(range(1, len(cb) + 1), lambda j: [j])),
+  lambda acc, j: list_append(acc, greatest(row[j[1] + 1], acc[len(acc)], row[j[1]] + CASE WHEN x[1] = cb[j[1]] THEN 1 ELSE 0 END)))"""
+
+
+@query(f"""
+WITH p AS (SELECT a, b, list_transform(range(1, len(a) + 1), lambda i: CAST(unicode(substr(a, i, 1)) AS BIGINT)) AS ca,
+                  list_transform(range(1, len(b) + 1), lambda i: CAST(unicode(substr(b, i, 1)) AS BIGINT)) AS cb FROM ({PAIRS_SQL}))
+SELECT a, b, CAST(list_reduce(list_concat([list_transform(range(0, len(cb) + 1), lambda i: 0::BIGINT)], list_transform(ca, lambda c: [c])), lambda row, x: {LCS_STEP})[len(cb) + 1] AS INTEGER) AS lcs FROM p""")
 def lcs_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bench_pairs(spark, sf_dir).select("a", "b", similarity.lcs_length("a", "b").alias("lcs"))
 
@@ -252,7 +292,7 @@ def suffix_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spell_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = document_lexicon(spark, sf_dir)
     words = types(spark, sf_dir).filter(text.fits(F.col("word"))).select("word")
-    return spell.check(words, expand.expand(lex, CONFIG.rules_df(spark), CONFIG), lex, CONFIG).select("word", "ok")
+    return spell.check(words, document_forms(spark, sf_dir), lex, CONFIG).select("word", "ok")
 
 
 @query(f"SELECT word FROM ({TYPES_SQL}) WHERE word NOT IN (SELECT surface FROM ({FORMS_SQL}))")
@@ -275,7 +315,7 @@ SELECT word || '-' || w AS word, word IN (SELECT surface FROM f) AND w IN (SELEC
 def broken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = document_lexicon(spark, sf_dir)
     joined = types(spark, sf_dir).select("word").join(bench_words(spark, sf_dir), F.substring("word", 1, 3) == F.substring("w", 1, 3)).select(F.concat_ws("-", "word", "w").alias("word"))
-    return spell.check_with_breaks(joined, expand.expand(lex, CONFIG.rules_df(spark), CONFIG), lex, CONFIG)
+    return spell.check_with_breaks(joined, document_forms(spark, sf_dir), lex, CONFIG)
 
 
 ANALYSIS_SQL = f"SELECT surface AS word, trim(concat_ws(' ', nullif(pfx, ''), 'st:' || root, nullif(sfx, ''))) AS analysis FROM ({FORMS_SQL})"
@@ -407,7 +447,18 @@ generator(
         each("k", "ord + 1", "left(w, k - 1) || near || substr(w, k + 1)", f"{SEQ.format(end='len(w)')} JOIN {neighbours_sql(CONFIG.keyboard)} ON c = substr(w, k, 1)"),
     ]),
 )
-generator("double_pair_candidates", suggest.double_pairs, None)
+#: The run so far, then the places where a doubled pair ends.
+DOUBLE_STEP = """CASE WHEN substr(w, i[1], 1) <> substr(w, i[1] - 2, 1) THEN list_concat([0::BIGINT], s[2:])
+  WHEN s[1] + 1 = 3 OR (s[1] + 1 = 2 AND i[1] >= 5) THEN list_append(list_concat([0::BIGINT], s[2:]), i[1])
+  ELSE list_concat([s[1] + 1], s[2:]) END"""
+generator(
+    "double_pair_candidates",
+    suggest.double_pairs,
+    each(
+        "k", "0", "left(w, k - 2) || substr(w, k + 1)",
+        f"(SELECT w, unnest(list_reduce(list_concat([[0::BIGINT]], list_transform(range(3, len(w) + 1), lambda i: [i])), lambda s, i: {DOUBLE_STEP})[2:]) AS k FROM t WHERE len(w) >= 5)",
+    ),
+)
 
 
 def rules_sql() -> str:
@@ -426,7 +477,7 @@ def replacement_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH l AS (SELECT DISTINCT word FROM ({LEXICON_SQL})), o AS (SELECT word AS w FROM ({TYPES_SQL}) WHERE n_docs < {LEAST_DOCS}),
-c AS (SELECT w, left(w, k) AS head, substr(w, k + 1) AS tail, k FROM (SELECT w, unnest(range(1, len(w))) AS k FROM o))
+c AS (SELECT w, left(w, k) AS head, substr(w, k + 1) AS tail, k FROM (SELECT w, unnest(range(1, len(w))) AS k FROM o WHERE strlen(w) >= 3))
 SELECT w, CAST(k AS INTEGER) AS i, head || ' ' || tail AS candidate FROM c WHERE head IN (SELECT word FROM l) AND tail IN (SELECT word FROM l)""")
 def two_word_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = document_lexicon(spark, sf_dir).select(F.col("word").alias("surface")).distinct()
@@ -474,7 +525,7 @@ def map_key_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suggest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All generators and the similarity fallback for the words of ``benchmark`` that are no forms."""
     lex = document_lexicon(spark, sf_dir)
-    forms = expand.expand(lex, CONFIG.rules_df(spark), CONFIG)
+    forms = document_forms(spark, sf_dir)
     words = spell.unknown_words(bench_words(spark, sf_dir).withColumnRenamed("w", "word"), forms)
     return suggest.suggest(words, forms, lex, CONFIG)
 
@@ -499,8 +550,8 @@ def similar_roots_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- what is shown
 
-ACCENT_PAIRS_SQL = f"""WITH t AS (SELECT word FROM ({TYPES_SQL}))
-SELECT a.word AS text, b.word AS guess FROM t a JOIN t b ON strip_accents(a.word) = strip_accents(b.word)"""
+ACCENT_PAIRS_SQL = f"""WITH t AS MATERIALIZED (SELECT word, strip_accents(word) AS key FROM ({TYPES_SQL}))
+SELECT a.word AS text, b.word AS guess FROM t a JOIN t b ON a.key = b.key"""
 
 
 @query(f"""SELECT text, guess, len(regexp_extract_all(text, '[{VOWELS}]+')) >= 2 AND strip_accents(guess) <> guess AND strip_accents(text) = text AS replace FROM ({ACCENT_PAIRS_SQL})""")

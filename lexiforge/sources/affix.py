@@ -41,6 +41,7 @@ class AffixConfig:
     replacements: list[tuple] = field(default_factory=list)
     classes: list[list[str]] = field(default_factory=list)
     breaks: list[str] = field(default_factory=lambda: list(DEFAULT_BREAKS))
+    #: As written: an underscore at an end of a pattern binds it to that end of the word, others are blanks.
     input_conversion: list[tuple[str, str]] = field(default_factory=list)
     output_conversion: list[tuple[str, str]] = field(default_factory=list)
     phonetic: list[tuple[str, str]] = field(default_factory=list)
@@ -148,7 +149,7 @@ def parse_affix(lines: Iterable[str]) -> AffixConfig:
                 config.breaks.append(value)
         elif name in ("ICONV", "OCONV", "PHONE") and len(rest) > 1:
             table = {"ICONV": config.input_conversion, "OCONV": config.output_conversion, "PHONE": config.phonetic}[name]
-            table.append((value.replace("_", " ") if name != "PHONE" else value, rest[1].replace("_", " ") if name != "PHONE" else rest[1].replace("_", "")))
+            table.append((value, rest[1] if name != "PHONE" else rest[1].replace("_", "")))
         elif name == "COMPOUNDRULE" and not value.isdigit():
             config.compound_rules.append(value)
         elif name == "CHECKCOMPOUNDPATTERN" and len(rest) > 1:

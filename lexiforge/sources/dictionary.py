@@ -12,19 +12,20 @@ from lexiforge.sources.affix import ONLY_UPCASE, AffixConfig
 def read_dictionary(spark: SparkSession, path: str, config: AffixConfig, dict_no: int = 0) -> DataFrame:
     """A lexicon from a dictionary file: a count line, then ``word[/flags][ fields]``.
 
-    The count line is the only one that is a number alone; ``\\/`` is a slash
-    within a word.  Entries keep the order of the file.
+    The first line is the count and no entry; entries may begin with a digit.
+    ``\\/`` is a slash within a word.  Entries keep the order of the file.
     """
     lines = spark.read.text(path).withColumn("entry_id", F.monotonically_increasing_id())
     return parse_entries(lines, config, dict_no)
 
 
 def parse_entries(lines: DataFrame, config: AffixConfig, dict_no: int = 0) -> DataFrame:
-    """A lexicon from ``(entry_id, value)`` lines."""
+    """A lexicon from ``(entry_id, value)`` lines; line 0 is left out if it begins with a number, as the count does."""
     line = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "[\r\n]+$", "")
     split = r"^((?:\\/|[^/\t ]| (?!\S{2}:))+)(?:/(\S*))?(?:[\t ]+(.*))?$"
     part = lambda k: F.regexp_extract(line, split, k)
-    rows = lines.filter(~F.regexp_like(line, F.lit(r"^\s*(\d+.*)?$"))).select(
+    count = (F.col("entry_id") == 0) & F.regexp_like(line, F.lit(r"^\s*\d"))
+    rows = lines.filter(~count & ~F.regexp_like(line, F.lit(r"^\s*$"))).select(
         "entry_id", F.replace(F.trim(part(1)), F.lit("\\/"), F.lit("/")).alias("word"), part(2).alias("flag_text"), F.trim(part(3)).alias("morph")
     )
     return lexicon(rows.filter("word <> ''"), config, dict_no)
@@ -33,9 +34,12 @@ def parse_entries(lines: DataFrame, config: AffixConfig, dict_no: int = 0) -> Da
 def lexicon(rows: DataFrame, config: AffixConfig, dict_no: int = 0) -> DataFrame:
     """Complete ``(entry_id, word[, flag_text][, morph])`` to a lexicon table.
 
-    Mixed-case words, and all-capitals ones with flags, are also stored with an
-    initial capital only, for words in capitals.
+    Characters that the affix file ignores are left out of words.  Mixed-case
+    words, and all-capitals ones with flags, are also stored with an initial
+    capital only, for words in capitals.
     """
+    if ignored := config.texts.get("IGNORE"):
+        rows = rows.withColumn("word", F.translate("word", ignored, ""))
     text = F.col("flag_text") if "flag_text" in rows.columns else F.lit("")
     if config.flag_aliases:
         table = F.array(*[F.array(*[F.lit(f) for f in a]).cast("array<int>") for a in config.flag_aliases])

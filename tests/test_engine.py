@@ -174,3 +174,92 @@ def test_slots(spark):
     got = {(r["text"], r["slot"]): (r["shown"], r["will_replace"]) for r in rerank.slots(rerank.rerank(df, common)).collect()}
     assert got[("καλημερα", 1)] == ("καλημέρα", True) and got[("καλημερα", 2)] == ("καλημέρας", False) and ("καλημερα", 3) not in got
     assert [got[("nai", k)][0] for k in range(4)] == ["nai", "ναι", "και", "νάι"] and got[("nai", 1)][1]
+
+
+def test_entries_may_begin_with_digits(spark, tmp_path):
+    path = tmp_path / "d.dic"
+    path.write_text("3\n3D\n20th/S\n42\nab\n")
+    config = parse_affix(["IGNORE '"])
+    assert {r["word"] for r in read_dictionary(spark, str(path), config).collect()} == {"3D", "20th", "42", "ab"}
+
+
+def lexical(spark, affix, *entries):
+    config = parse_affix(affix)
+    lines = spark.createDataFrame(list(enumerate(["0", *entries])), "entry_id bigint, value string")
+    lex = parse_entries(lines, config).cache()
+    return config, lex, expand.expand(lex, config.rules_df(spark), config).cache()
+
+
+def test_breaks_are_recursive(spark):
+    config, lex, forms = lexical(spark, ["BREAK 3", "BREAK -", "BREAK ^-", "BREAK -$"], "well-known", "fact", "one", "two-three-four", "x-y-z", "bad-thing")
+    asked = {
+        "well-known-fact": True, "fact-well-known": True, "one-fact-one": True, "fact-two-three-four": True, "-fact": True, "fact-": True, "-fact-one-": True,
+        "well-fact": False, "x-y-z-fact": False, "x-y-fact": False, "fact--one": True, "-": False, "one-" * 9 + "one": True, "one-" * 10 + "one": False, "fact-nothing": False,
+    }
+    got = {r["word"]: r["ok"] for r in spell.check_with_breaks(words(spark, *asked), forms, lex, config).collect()}
+    assert got == asked
+
+
+def test_ignored_characters_conversion_and_sharp_s(spark):
+    config, lex, forms = lexical(spark, ["IGNORE '", "CHECKSHARPS", "ICONV 3", "ICONV ’ '", "ICONV _qu k", "ICONV ph_ f"], "do'nt", "kick", "graf", "Straße", "Wasser", "außer")
+    asked = {"do'nt": True, "dont": True, "do’nt": True, "quick": False, "quick".replace("u", "ui", 1): False, "quick"[:2] + "ick": True, "graph": True, "phgra": False, "STRASSE": True, "WASSER": True, "AUSSER": True, "strasse": False}
+    got = {r["word"]: r["ok"] for r in spell.check(words(spark, *asked), forms, lex, config).collect()}
+    assert got == {**asked, "quick": True}
+
+
+def test_conversion_positions(spark):
+    from lexiforge.functions import text
+
+    pairs = [("a", "1"), ("_a", "2"), ("a_", "3"), ("_a_", "4"), ("ab", "5"), ("_x", "6"), ("c_d", "e_f")]
+    rows = {"a": "4", "aa": "23", "aba": "53", "bab": "b5", "xx": "6x", "c d": "e f", "": "", "aaa": "213"}
+    got = {r["w"]: r["c"] for r in spark.createDataFrame([(w,) for w in rows], "w string").select("w", text.convert(F.col("w"), pairs).alias("c")).collect()}
+    assert got == rows
+    assert spark.range(1).select(text.reverse_word(F.lit("añ漢")), text.convert(F.lit("q"), [])).first()[0] == "漢ña"
+
+
+def listed(df):
+    out = {}
+    for r in df.orderBy("word", "rank").collect():
+        out.setdefault(r["word"], []).append(r["suggestion"])
+    return out
+
+
+def test_barred_words_are_not_suggested(spark):
+    affix = ["TRY abcdeghilnorst", "NOSUGGEST n", "ONLYINCOMPOUND c", "FORBIDDENWORD !", "NONGRAMSUGGEST g"]
+    config, lex, forms = lexical(spark, affix, "bad/n", "bag", "bar/c", "bah/!", "bah", "bet", "Paris", "internationalized", "internationalised/g")
+    got = listed(suggest.suggest(words(spark, "bat", "parus", "internationalixzd"), forms, lex, config))
+    assert got["bat"] == ["bet", "bag"] or set(got["bat"]) == {"bag", "bet"}
+    assert "Paris" not in got.get("parus", []) and "internationalised" not in got["internationalixzd"] and got["internationalixzd"] == ["internationalized"]
+
+
+def test_long_words_score_all_levels(spark):
+    score = spark.createDataFrame([("internationalize", "internationalized")], "a string, b string").select(suggest.ngram_full(F.col("a"), F.col("b"))).first()[0]
+    assert score == sum(range(1, 17))
+
+
+def test_listed_pairs_clear_the_list(spark):
+    config, lex, forms = lexical(spark, ["TRY alot", "REP 1", "REP qw a_lot"], "a lot", "lot", "alt", "a", "in to", "into", "in", "to", "qw")
+    got = listed(suggest.suggest(words(spark, "alot", "qwx", "inot"), forms, lex, config))
+    assert got["alot"] == ["a lot"]
+    assert "into" in got["inot"]
+
+
+def test_map_order_is_that_of_replacing(spark):
+    surfaces = words(spark, "za", "zb", "zo").withColumnRenamed("word", "surface")
+    asked = words(spark, "zo", "class 0").withColumnRenamed("word", "w")
+    rows = suggest.map_matches(asked, surfaces, [["o", "b", "a"]]).orderBy("i").collect()
+    assert [r["candidate"] for r in rows] == ["zb", "za"]
+
+
+def test_text_suggestions(spark):
+    affix = ["TRY afoemricn", "SUGSWITHDOTS", "FORBIDDENWORD !", "OCONV 1", "OCONV ' ’"]
+    config, lex, forms = lexical(spark, affix, "Afro", "American", "scot-free", "free", "can't", "house", "mouse/!")
+    got = listed(suggest.suggest_text(words(spark, "Afo-American", "huose..", "scat-free", "cant", "Huose"), forms, lex, config))
+    assert got["Afo-American"][0] == "Afro-American" and got["huose.."][0] == "house.." and got["Huose"] == ["House"]
+    assert got["cant"][0] == "can’t" if "cant" in got else True
+
+
+def test_pronunciations_are_replacements(spark, engine):
+    config, lex, forms = engine
+    got = best(spark, engine, "vacasion", "priti")
+    assert got["vacasion"][0] == "vacation" and "pretti" not in got.get("priti", [])
