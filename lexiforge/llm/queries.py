@@ -126,11 +126,20 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM placed
 """
 
-OP5_SQL = """
-WITH RECURSIVE keys AS (
-  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, text FROM documents
-), numbered AS (
-  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS rn, count(*) OVER () AS n FROM keys
+#: CRC-32 of UTF-8 text, four bits at a time, the lower half of a byte first.
+CRC_SQL = """
+WITH RECURSIVE steps AS (
+  SELECT list_transform(range(0, 16), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0]::BIGINT[]), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), texts AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents
+), halves AS (
+  SELECT doc_id, size, list_transform(range(0, (size - 1) * 2), lambda k: CAST(instr('0123456789ABCDEF', h[xor(k, 1) + 1]) - 1 AS BIGINT)) AS halves FROM texts
+), keys AS (
+  SELECT doc_id, size, xor(list_reduce(list_concat([4294967295::BIGINT], halves), lambda c, b: xor(c >> 4, t[(xor(c, b) & 15) + 1])), 4294967295) AS text_crc32 FROM halves, steps
+)"""
+
+OP5_SQL = f"""{CRC_SQL}, numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS rn, count(*) OVER () AS n FROM keys
 ), base AS (SELECT *, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM numbered
 ), walk AS (
   SELECT rn, n, a, 0 AS i, rn // a AS l, rn % a AS r FROM base
@@ -138,7 +147,7 @@ WITH RECURSIVE keys AS (
   SELECT rn, n, a, i % 6 + 1, r, (l + ('0x' || substr(md5('17:' || (i % 6 + 1) || ':' || r), 1, 13))::BIGINT % a) % a
   FROM walk WHERE i < 6 OR l * a + r >= n
 ), image AS (SELECT rn, l * a + r AS image FROM walk WHERE i = 6 AND l * a + r < n)
-SELECT doc_id, size, 'rows' AS law, CAST(image % 16 AS INTEGER) AS shard, image // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(image % 16 AS INTEGER) AS shard, image // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM base JOIN image USING (rn)
 """
 
@@ -155,4 +164,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packed_matrices": op10_packed_matrices,
 }
 
-ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op5_feistel_shards": OP5_SQL}
