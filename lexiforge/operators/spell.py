@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.text import ALLCAP, HUHCAP, HUHINITCAP, INITCAP, captype, clean_word, convert, fits, init_lower, init_upper, is_number, lower_cp, sharp_forms
+from lexiforge.operators import compound
 from lexiforge.sources.affix import ONLY_UPCASE, AffixConfig
 
 
@@ -46,7 +47,9 @@ def check(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixC
     Numbers are right; null, empty and overlong words are wrong.  The first
     case variant that is a form decides the root; entries for words in capitals
     only count where the word is in capitals.  A word of which any exact entry
-    is forbidden is wrong whatever else it could be.
+    is forbidden is wrong whatever else it could be.  Words without a form may be
+    compounds (``kind`` compound, ``root`` of the first part).  Where the affix
+    file forbids words with a warning, they are wrong.
     """
     words = words.drop("ok", "root", "kind", "forbidden", "warn")
     distinct = words.select(F.col(column).alias("_w")).filter("_w IS NOT NULL").distinct()
@@ -58,6 +61,14 @@ def check(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixC
         hits = hits.filter((F.col("variant_no") == 0) | ~F.array_contains("_flags", config.flag("KEEPCASE")))
     if config.flag("ONLYINCOMPOUND"):
         hits = hits.filter(~F.array_contains("_flags", config.flag("ONLYINCOMPOUND")))
+    if compound.enabled(config):
+        left = tried.join(hits.select("_w").distinct(), "_w", "left_anti").withColumn("capital", F.col("_case").isin(INITCAP, ALLCAP))
+        whole = compound.compounds(left.select(F.col("form").alias("word"), "capital"), forms, config).withColumnRenamed("word", "form")
+        made = left.join(whole, ["form", "capital"]).select(
+            "_w", "_case", "variant_no", "form", F.col("form").alias("surface"), F.get("roots", F.lit(0)).alias("_root"), F.lit("compound").alias("_kind"),
+            F.array().cast("array<int>").alias("_flags"), F.lit(9).alias("priority"), "entry_id", F.lit(0).alias("dict_no"),
+        )
+        hits = hits.unionByName(made)
     best = hits.groupBy("_w").agg(F.min(F.struct("variant_no", "priority", "dict_no", "entry_id", "_root", "_kind", "_flags")).alias("hit"))
     barred = lexicon.filter(F.array_contains("flags", config.forbidden)).select(F.col("word").alias("form")).distinct()
     bad = tried.filter("variant_no = 0").join(barred, "form", "left_semi").select("_w", F.lit(True).alias("_bad"))
@@ -72,6 +83,8 @@ def check(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixC
     )
     joined = words.join(verdict, F.col(column) == F.col("_w"), "left").drop("_w")
     false = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    if "FORBIDWARN" in config.switches:
+        joined = joined.withColumn("ok", F.col("ok") & ~F.col("warn"))
     return joined.select(*words.columns, false("ok"), "root", "kind", false("forbidden"), false("warn"))
 
 

@@ -15,20 +15,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.functions import phonetic
 from lexiforge.functions.similarity import ANY_MISMATCH, LONGER_WORSE, WEIGHTED, common_positions, common_prefix, is_swap, lcs_length, ngram_batched
 from lexiforge.functions.text import ALLCAP, HUHINITCAP, INITCAP, MOST_BYTES, NOCAP, captype, convert, init_upper, lower_cp, upper_cp
+from lexiforge.operators import compound
 from lexiforge.operators.expand import suggestible
+from lexiforge.operators.rewrite import REPLACE, _to, replaced
 from lexiforge.operators.spell import check, cleaned_word, suggestion_variants
 from lexiforge.sources.affix import ONLY_UPCASE, AffixConfig
 from lexiforge.sources.dictionary import phonetic_replacements
 from lexiforge.store import written
 
-CAPITALS, REPLACE, MAP, SWAP, LONG_SWAP, KEY, EXTRA, FORGOT, MOVE, WRONG, DOUBLE_PAIR, TWO_WORDS, NGRAM = range(13)
+CAPITALS, MAP, SWAP, LONG_SWAP, KEY, EXTRA, FORGOT, MOVE, WRONG, DOUBLE_PAIR, TWO_WORDS, NGRAM, PHONETIC, COMPOUND = (0, *range(2, 15))
 #: A pair of words that is an entry.
 LISTED = -1
-OPS = ("capitals", "replace", "map", "swap", "long_swap", "key", "extra", "forgot", "move", "wrong", "double_pair", "two_words", "ngram")
+OPS = ("capitals", "replace", "map", "swap", "long_swap", "key", "extra", "forgot", "move", "wrong", "double_pair", "two_words", "ngram", "phonetic", "compound")
 # Limits that are part of the semantics.
 MOST_SUGGESTIONS, MOST_DISTANCE, MOST_ROOTS, MOST_EXPANSIONS, MOST_GUESSES, MOST_NGRAM, LENGTH_BAND = 15, 4, 100, 100, 200, 4, 4
+MOST_PHONETIC, MOST_COMPOUND, SOUND_BAND, LEAST_SOUND_SCORE = 2, 3, 3, 2
 
 CANDIDATES = "array<struct<op:int,i:int,j:int,candidate:string>>"
 
@@ -37,11 +41,6 @@ def _one(op: int, i: Column, j: Column, candidate: Column) -> Column:
     return F.struct(F.lit(op).alias("op"), i.cast("int").alias("i"), j.cast("int").alias("j"), candidate.alias("candidate"))
 
 
-def _to(n: Column) -> Column:
-    """1..n, empty for n < 1."""
-    return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-
-
 def _cut(w: Column, start: Column, end: Column) -> Column:
     """Characters start..end (1-based, inclusive); empty if end < start."""
     return F.substr(w, start, F.greatest(end - start + 1, F.lit(0)))
@@ -151,21 +150,6 @@ def splits(w: Column) -> Column:
     return F.transform(_to(F.length(w) - 1), lambda i: F.struct(i.alias("i"), F.substr(w, F.lit(1), i).alias("head"), F.substr(w, i + 1).alias("tail")))
 
 
-def replaced(words: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(w, op, i, j, candidate)``: each occurrence of each rule's pattern replaced, in the order of rules and positions.
-
-    Rules meet words on the pattern's first character, not on all pairs.
-    """
-    starts = words.select("w", F.explode(F.array_distinct(F.filter(F.split("w", ""), lambda c: c != ""))).alias("c"))
-    keyed = rules.filter("pattern <> ''").withColumn("c", F.substring("pattern", 1, 1))
-    met = starts.join(keyed, "c").filter(F.contains(F.col("w"), F.col("pattern")))
-    n, size = F.length("w"), F.length("pattern")
-    fits = lambda i: (F.substr(F.col("w"), i, size) == F.col("pattern")) & (~F.col("at_start") | (i == 1)) & (~F.col("at_end") | (i + size == n + 1))
-    each = met.select("*", F.explode(F.filter(_to(n - size + 1), fits)).alias("at"))
-    out = F.concat(F.expr("left(w, at - 1)"), F.col("replacement"), F.substr(F.col("w"), F.col("at") + size))
-    return each.select("w", F.lit(REPLACE).alias("op"), F.col("rule_no").alias("i"), F.col("at").alias("j"), out.alias("candidate"))
-
-
 def class_keys(w: Column, classes: list[list[str]]) -> Column:
     """All ways to read a word as a sequence of equivalence classes, ``array<struct<key, path>>``.
 
@@ -297,6 +281,22 @@ def candidates(words: DataFrame, surfaces: DataFrame, config: AffixConfig, rules
     return found.filter(~F.col("good") | (F.col("op") != TWO_WORDS))
 
 
+def compound_candidates(words: DataFrame, forms: DataFrame, config: AffixConfig) -> DataFrame:
+    """``(w, op, i, j, candidate)``: edits of distinct words ``(w)`` that are compounds, in the order of generation."""
+    spelled = F.concat(deletions(F.col("w")), insertions(F.col("w"), config.try_chars), substitutions(F.col("w"), config.try_chars))
+    listed = spelled if config.try_chars else deletions(F.col("w"))
+    every = generated(words, config).unionByName(replaced(words, config.replacements_df(words.sparkSession)))
+    every = every.unionByName(words.select("w", F.inline(listed))).filter((F.col("candidate") != F.col("w")) & ~F.contains("candidate", F.lit(" ")))
+    right = compound.compounds(every.select(F.col("candidate").alias("word")).distinct(), suggestible_parts(forms, config), config).select(F.col("word").alias("candidate"))
+    order = F.row_number().over(Window.partitionBy("w").orderBy("op", "i", "j", "candidate"))
+    return every.join(right, "candidate", "left_semi").select("w", F.lit(COMPOUND).alias("op"), order.alias("i"), F.lit(0).alias("j"), "candidate")
+
+
+def suggestible_parts(forms: DataFrame, config: AffixConfig) -> DataFrame:
+    barred = config.flag("NOSUGGEST")
+    return forms.filter(~F.array_contains("flags", barred)) if barred else forms
+
+
 def ranked(found: DataFrame, keys: list[str], most: int = MOST_SUGGESTIONS) -> DataFrame:
     """Keep each word's first occurrence of a suggestion and its ``most`` first suggestions, with ``rank`` from 1."""
     order = F.struct(*keys)
@@ -305,12 +305,12 @@ def ranked(found: DataFrame, keys: list[str], most: int = MOST_SUGGESTIONS) -> D
     return first.withColumn("rank", rank).filter(F.col("rank") <= most).select("word", "rank", "suggestion", F.col("f.op").alias("op"))
 
 
-def similar_roots(words: DataFrame, lexicon: DataFrame, config: AffixConfig | None = None, most: int = MOST_ROOTS) -> DataFrame:
-    """``(w, entry_id, root, score, place)``: the roots most like each word by three-grams, within four characters of its length.
+def scored_roots(words: DataFrame, lexicon: DataFrame, config: AffixConfig | None = None) -> DataFrame:
+    """``(w, entry_id, root, low, clen, score)``: how like each word the roots within four characters of its length are, by three-grams.
 
-    The length band is an equi-join on length; ties go to the smaller entry.
-    Entries that ``config`` bars take no place, nor do capitalised ones without a
-    pronunciation for a word in lower case (``lower``, true if absent).
+    The length band is an equi-join on length.  Entries that ``config`` bars are
+    left out, as are capitalised ones without a pronunciation for a word in lower
+    case (``lower``, true if absent).
     """
     if config:
         barred = [f for f in (config.forbidden, ONLY_UPCASE, config.flag("NOSUGGEST"), config.flag("NONGRAMSUGGEST"), config.flag("ONLYINCOMPOUND")) if f]
@@ -320,9 +320,34 @@ def similar_roots(words: DataFrame, lexicon: DataFrame, config: AffixConfig | No
     # Lower case is a column of the smaller side, so that it is not computed for each pair.
     proper = (F.col("captype") == INITCAP) & ~F.contains("morph", F.lit("ph:"))
     roots = lexicon.select("entry_id", F.col("word").alias("root"), lower_cp(F.col("word")).alias("low"), "clen", proper.alias("proper"))
-    scored = band.join(roots, "clen").filter(~F.col("lower") | ~F.col("proper")).withColumn("score", ngram_batched(3, LONGER_WORSE)(F.col("w"), F.col("low")) + common_prefix(F.col("w"), F.col("root")))
+    met = band.join(roots, "clen").filter(~F.col("lower") | ~F.col("proper"))
+    return met.select("w", "entry_id", "root", "low", "clen", (ngram_batched(3, LONGER_WORSE)(F.col("w"), F.col("low")) + common_prefix(F.col("w"), F.col("root"))).alias("score"))
+
+
+def similar_roots(words: DataFrame, lexicon: DataFrame, config: AffixConfig | None = None, most: int = MOST_ROOTS) -> DataFrame:
+    """``(w, entry_id, root, score, place)``: the roots most like each word; ties go to the smaller entry."""
     place = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("score"), "entry_id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= most).select("w", "entry_id", "root", "score", "place")
+    return scored_roots(words, lexicon, config).withColumn("place", place).filter(F.col("place") <= most).select("w", "entry_id", "root", "score", "place")
+
+
+def sounding_roots(words: DataFrame, lexicon: DataFrame, surfaces: DataFrame, config: AffixConfig, earlier: DataFrame, most: int = MOST_PHONETIC) -> DataFrame:
+    """``(w, op, i, j, candidate)``: accepted roots whose phonetic code is most like the word's.
+
+    Each root's code is computed once.  Roots that contain a suggestion made
+    ``earlier (w, candidate)`` are left out.
+    """
+    code = phonetic.coder(config.phonetic)
+    words = words.select("w", "lower").withColumn("code", code(upper_cp(F.col("w")))) if "lower" in words.columns else words.select("w", F.lit(True).alias("lower"), code(upper_cp(F.col("w"))).alias("code"))
+    codes = lexicon.select(F.col("word").alias("root")).distinct().withColumn("root_code", code(upper_cp(F.col("root"))))
+    near = scored_roots(words, lexicon, config).filter((F.col("score") > LEAST_SOUND_SCORE) & (F.abs(F.length("w") - F.col("clen")) <= SOUND_BAND))
+    sound = near.join(words.select("w", "code"), "w").join(codes, "root").withColumn("sound", 2 * ngram_batched(3, LONGER_WORSE)(F.col("code"), F.col("root_code")))
+    kept = sound.withColumn("place", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("sound"), "entry_id"))).filter(F.col("place") <= MOST_ROOTS)
+    total = F.col("sound") + 2 * lcs_length("w", "low") - F.abs(F.length("w") - F.length("low")) + common_prefix(F.col("w"), F.col("low"))
+    kept = kept.withColumn("total", total).join(surfaces.withColumnRenamed("surface", "root"), "root", "left_semi").dropDuplicates(["w", "root"])
+    said = earlier.groupBy("w").agg(F.collect_set("candidate").alias("said"))
+    fresh = kept.join(said, "w", "left").filter(~F.exists(F.coalesce("said", F.array().cast("array<string>")), lambda x: F.contains(F.col("root"), x)))
+    ordered = fresh.withColumn("n", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("total"), "place"))).filter(F.col("n") <= most)
+    return ordered.select("w", F.lit(PHONETIC).alias("op"), F.col("n").alias("i"), F.lit(0).alias("j"), F.col("root").alias("candidate"))
 
 
 def similarity_threshold(w: Column) -> Column:
@@ -400,7 +425,15 @@ def suggest(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: Affi
         return plain
     plain = written(plain, "edits")
     left = cased_words.join(plain.select("word").distinct(), "word", "left_anti").withColumns({"variant_no": F.lit(0), "w": lower_cp(F.col("word"))})
-    similar = similar_forms(left.select("w", (F.col("case") == NOCAP).alias("lower")).distinct(), lexicon, forms, config)
+    if compound.enabled(config):
+        joined = written(ranked(cased(tried.join(left.select("word").distinct(), "word", "left_semi"), compound_candidates(left.select("w").distinct(), forms, config), (INITCAP,)), keys, config.numbers.get("MAXCPDSUGS", MOST_COMPOUND)), "compound-edits")
+        plain = plain.unionByName(joined)
+        left = left.join(joined.select("word").distinct(), "word", "left_anti")
+    asked_low = left.select("w", (F.col("case") == NOCAP).alias("lower")).distinct()
+    similar = similar_forms(asked_low, lexicon, forms, config)
+    if config.phonetic:
+        similar = written(similar, "similar")
+        similar = similar.unionByName(sounding_roots(asked_low, lexicon, accepted_surfaces(forms, lexicon, config), config, similar.select("w", "candidate")))
     return plain.unionByName(ranked(cased(left, similar, (INITCAP, HUHINITCAP)), keys, most))
 
 

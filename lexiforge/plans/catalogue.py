@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.functions import similarity, text
-from lexiforge.operators import expand, morphology, overlay, rerank, spell, suggest
+from lexiforge.functions import phonetic, similarity, text
+from lexiforge.operators import compound, expand, morphology, overlay, rerank, spell, suggest
 from lexiforge.sources.affix import AffixConfig, parse_affix
 from lexiforge.sources.dictionary import lexicon
 from lexiforge.store import once
@@ -130,21 +130,14 @@ def token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types(spark, sf_dir)
 
 
-def case_sql(w: str) -> str:
-    upper = f"len(regexp_replace({w}, '[^A-Z]', '', 'g'))"
-    return f"""CASE WHEN {upper} = 0 THEN 0 WHEN {upper} = 1 AND regexp_matches({w}, '^[A-Z]') THEN 1
-      WHEN {upper} = len({w}) OR {upper} + len(regexp_replace({w}, '[A-Za-z]', '', 'g')) = len({w}) THEN 2
-      WHEN {upper} > 1 AND regexp_matches({w}, '^[A-Z]') THEN 4 ELSE 3 END"""
+#: Characters that change when lowered, and those that change neither way, among a token's.
+CASE_SQL = """SELECT lang, CAST(CASE WHEN u = 0 THEN 0 WHEN u = 1 AND first THEN 1 WHEN u = n OR u + neutral = n THEN 2 WHEN first THEN 4 ELSE 3 END AS INTEGER) AS captype, sum(k)::BIGINT AS n
+FROM (SELECT lang, token, count(*) AS k, len(token) AS n, len(list_filter(c, lambda x: lower(x) <> x)) AS u, len(list_filter(c, lambda x: lower(x) = x AND upper(x) = x AND x <> 'ß')) AS neutral, lower(c[1]) <> c[1] AS first
+      FROM (SELECT lang, token, string_split(token, '') AS c FROM ({tokens})) GROUP BY lang, token, c) GROUP BY 1, 2"""
 
 
-@query(f"SELECT lang, CAST({case_sql('token')} AS INTEGER) AS captype, count(*) AS n FROM ({TOKENS_SQL}) WHERE regexp_full_match(token, '[A-Za-z]+') GROUP BY ALL")
+@query(CASE_SQL.format(tokens=TOKENS_SQL))
 def captype_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens(table(spark, sf_dir, "documents"), "lang").filter(F.regexp_like("token", F.lit("^[A-Za-z]+$"))).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("lang", text.captype(F.col("token")).alias("captype")).agg(F.sum("n").alias("n"))
-
-
-@query()
-def captype_histogram_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all tokens, accented ones too."""
     counts = tokens(table(spark, sf_dir, "documents"), "lang").groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("lang", text.captype(F.col("token")).alias("captype")).agg(F.sum("n").alias("n"))
@@ -205,17 +198,14 @@ def greekify_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.greekify(F.col("p_name")).alias("greek"))
 
 
-@query(f"""
-WITH t AS (SELECT w FROM ({BENCH_SQL}) WHERE regexp_full_match(w, '[a-z]+'))
-SELECT a.w AS a, b.w AS b, CAST(levenshtein(a.w, b.w) AS DOUBLE) AS distance FROM t a JOIN t b ON left(a.w, 2) = left(b.w, 2) AND a.w < b.w""")
-def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = bench_words(spark, sf_dir).filter(F.regexp_like("w", F.lit("^[a-z]+$"))).withColumn("p", F.substring("w", 1, 2))
-    pairs = words.select("p", F.col("w").alias("a")).join(words.select("p", F.col("w").alias("b")), "p").filter("a < b")
-    return pairs.select("a", "b", text.distance(F.col("a"), F.col("b")).alias("distance"))
+#: Sharp s, which is two bytes, becomes one: the SQL's distance counts bytes.
+PLAIN_SQL = "replace(strip_accents(w), 'ß', '1')"
+PAIRS_SQL = f"""WITH t AS MATERIALIZED (SELECT w, {PLAIN_SQL} AS plain FROM ({BENCH_SQL}))
+SELECT a.w AS a, b.w AS b, CAST(levenshtein(a.plain, b.plain) AS DOUBLE) AS distance FROM t a JOIN t b ON a.w < b.w AND levenshtein(a.plain, b.plain) <= 2"""
 
 
-@query()
-def edit_distance_within_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(PAIRS_SQL)
+def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of words at a distance of at most two, wherever they differ.
 
     They share a key left by deleting at most two characters of each, without case and accents.
@@ -226,12 +216,8 @@ def edit_distance_within_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("distance", text.distance(F.col("a"), F.col("b"))).filter("distance <= 2")
 
 
-PAIRS_SQL = f"WITH t AS ({BENCH_SQL}) SELECT a.w AS a, b.w AS b FROM t a JOIN t b ON left(a.w, 2) = left(b.w, 2) AND a.w < b.w"
-
-
 def bench_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = bench_words(spark, sf_dir).withColumn("p", F.substring("w", 1, 2))
-    return words.select("p", F.col("w").alias("a")).join(words.select("p", F.col("w").alias("b")), "p").filter("a < b").select("a", "b")
+    return edit_distance_pairs(spark, sf_dir).select("a", "b")
 
 
 def grams(j: int) -> str:
@@ -362,6 +348,81 @@ def multi_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spell.first_dictionary(types(spark, sf_dir), both).select("word", "dict_no")
 
 
+# ---- compounds: words of four letters or more begin and end them, of five or fewer stand within
+
+COMPOUND_AFFIX = AFFIX + """
+COMPOUNDBEGIN B
+COMPOUNDMIDDLE M
+COMPOUNDEND E
+COMPOUNDWORDMAX {most}
+CHECKCOMPOUNDDUP
+CHECKCOMPOUNDTRIPLE
+"""
+COMPOUND_CONFIG: AffixConfig = parse_affix(COMPOUND_AFFIX.format(most=3).splitlines())
+PAIR_CONFIG: AffixConfig = parse_affix(COMPOUND_AFFIX.format(most=2).splitlines())
+COMPOUND_PARTS_SQL = f"""
+  SELECT surface, root, concat_ws(' ', 'pa:' || surface, 'st:' || root, nullif(sfx, '')) AS described, kind = 'root' AND len(root) >= 4 AS first, kind = 'root' AND len(root) <= 5 AS inner_, kind IN ('root', 'suffix') AND len(root) >= 4 AS last
+  FROM ({FORMS_SQL}) WHERE len(surface) >= 3 AND (kind IN ('root', 'suffix'))"""
+JOINT_SQL = "NOT (substr(w, pos, 1) = substr(w, pos + 1, 1) AND (substr(w, pos - 1, 1) = substr(w, pos, 1) OR substr(w, pos + 2, 1) = substr(w, pos, 1)))"
+COMPOUND_SQL = f"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT DISTINCT surface, root, described, first, inner_, last FROM ({COMPOUND_PARTS_SQL})),
+o AS (SELECT word AS w FROM ({TYPES_SQL}) WHERE len(word) >= 6 AND word NOT IN (SELECT surface FROM ({FORMS_SQL}))),
+heads AS (SELECT w, unnest(range(3, len(w) - 2)) AS pos FROM o),
+p AS (
+  SELECT w, pos, 1 AS n, root, described FROM heads JOIN k ON k.surface = left(w, pos) AND k.first WHERE {JOINT_SQL}
+  UNION ALL
+  SELECT w, pos + e, n + 1, k.root, p.described || ' ' || k.described FROM (SELECT *, unnest(range(3, len(w) - pos - 2)) AS e FROM p WHERE n < {{most}} - 1) p
+  JOIN k ON k.surface = substr(w, pos + 1, e) AND k.inner_ AND k.root <> p.root WHERE {JOINT_SQL.replace("pos", "(pos + e)")}),
+whole AS (SELECT w, p.described || ' ' || k.described AS analysis FROM p JOIN k ON k.surface = substr(w, pos + 1) AND k.last AND k.root <> p.root)
+"""
+
+
+def compound_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored("compound-forms", make_compound_forms, spark, sf_dir)
+
+
+def make_compound_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = lambda c, when: F.when(when, F.array(F.lit(ord(c)))).otherwise(F.array().cast("array<int>"))
+    flags = F.array_sort(F.concat("flags", have("B", F.col("clen") >= 4), have("M", F.col("clen") <= 5), have("E", F.col("clen") >= 4)))
+    return expand.expand(document_lexicon(spark, sf_dir).withColumn("flags", flags), COMPOUND_CONFIG.rules_df(spark), COMPOUND_CONFIG)
+
+
+def unknown_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spell.unknown_words(types(spark, sf_dir), document_forms(spark, sf_dir))
+
+
+@query(f"{COMPOUND_SQL.replace("{most}", "3")} SELECT DISTINCT w AS word FROM whole")
+def compound_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word types that are no forms but up to three."""
+    return compound.compounds(unknown_types(spark, sf_dir), compound_forms(spark, sf_dir), COMPOUND_CONFIG).select("word")
+
+
+@query(f"{COMPOUND_SQL.replace("{most}", "2")} SELECT DISTINCT w AS word, analysis FROM whole")
+def compound_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All analyses in two parts."""
+    return compound.analyze_compounds(unknown_types(spark, sf_dir), compound_forms(spark, sf_dir), PAIR_CONFIG)
+
+
+#: Rules without context, longest first, so that SQL can follow them.
+SOUNDS = [
+    ("SCH", "X"), ("TH", "0"), ("CH", "X"), ("PH", "F"), ("QU", "KW"), ("B", "P"), ("C", "K"), ("D", "T"), ("F", "F"), ("G", "K"), ("J", "J"), ("K", "K"), ("L", "L"),
+    ("M", "M"), ("N", "N"), ("P", "P"), ("R", "R"), ("S", "S"), ("T", "T"), ("V", "F"), ("W", "W"), ("X", "KS"), ("Z", "S"), ("A", ""), ("E", ""), ("I", ""), ("O", ""), ("U", ""),
+]
+
+
+def sounds_sql() -> str:
+    """The outputs of several letters stand as digits at first: their K is not said twice."""
+    marks = {"KW": "1", "KS": "2"}
+    cases = " ".join(f"WHEN '{a}' THEN '{marks.get(b, b)}'" for a, b in SOUNDS)
+    raw = f"array_to_string(list_transform(regexp_extract_all(upper(word), '{'|'.join(a for a, _ in SOUNDS)}'), lambda x: CASE x {cases} END), '')"
+    return f"SELECT word, coalesce(replace(replace(regexp_replace({raw}, 'K([12])', '\\1', 'g'), '1', 'KW'), '2', 'KS'), '') AS code FROM ({TYPES_SQL})"
+
+
+@query(sounds_sql())
+def phonetic_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return types(spark, sf_dir).select("word", phonetic.coder(SOUNDS)(text.upper_cp(F.col("word"))).alias("code"))
+
+
 # ---- candidates
 
 
@@ -377,7 +438,6 @@ def generator(name: str, make: Callable, sql: str | None) -> None:
     query(f"WITH t AS ({BENCH_SQL}) {sql}" if sql else None)(run)
 
 
-ALPHABET = "esianrt"
 EACH = "SELECT w, CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, {out} AS candidate FROM {of}"
 SEQ = "(SELECT w, unnest(range(1, {end} + 1)) AS k FROM t)"
 
@@ -409,26 +469,15 @@ generator(
         + [each("k + 1000", str(d), f"left(w, len(w) - k - {d}) || substr(w, len(w) - k + 1, 1) || substr(w, len(w) - k + 1 - {d}, {d}) || substr(w, len(w) - k + 2)", SEQ.format(end=f"len(w) - {d}")) for d in (2, 3, 4)]
     ),
 )
-ALPHABET_SQL = f"(SELECT w, unnest(range(1, {len(ALPHABET)} + 1)) AS c, len(w) AS n FROM t)"
-generator(
-    "insert_candidates",
-    lambda w: suggest.insertions(w, ALPHABET),
-    each("c - 1", "k", f"left(w, n - k) || substr('{ALPHABET}', c, 1) || substr(w, n - k + 1)", f"(SELECT *, unnest(range(0, n + 1)) AS k FROM {ALPHABET_SQL})"),
-)
-generator(
-    "substitute_candidates",
-    lambda w: suggest.substitutions(w, ALPHABET),
-    each("c - 1", "k", f"left(w, n - k) || substr('{ALPHABET}', c, 1) || substr(w, n - k + 2)", f"(SELECT *, unnest(range(1, n + 1)) AS k FROM {ALPHABET_SQL}) WHERE substr('{ALPHABET}', c, 1) <> substr(w, n - k + 1, 1)"),
-)
 TRY = CONFIG.try_chars
 TRY_SQL = f"(SELECT w, unnest(range(1, {len(TRY)} + 1)) AS c, len(w) AS n FROM t)"
 generator(
-    "insert_candidates_all",
+    "insert_candidates",
     lambda w: suggest.insertions(w, TRY),
     each("c - 1", "k", f"left(w, n - k) || substr('{TRY}', c, 1) || substr(w, n - k + 1)", f"(SELECT *, unnest(range(0, n + 1)) AS k FROM {TRY_SQL})"),
 )
 generator(
-    "substitute_candidates_all",
+    "substitute_candidates",
     lambda w: suggest.substitutions(w, TRY),
     each("c - 1", "k", f"left(w, n - k) || substr('{TRY}', c, 1) || substr(w, n - k + 2)", f"(SELECT *, unnest(range(1, n + 1)) AS k FROM {TRY_SQL}) WHERE substr('{TRY}', c, 1) <> substr(w, n - k + 1, 1)"),
 )
