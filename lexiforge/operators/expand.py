@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.sources.affix import ONLY_UPCASE, AffixConfig
+from lexiforge.sources.affix import ONLY_UPCASE, AffixConfig, mirrored
 
 FORM_COLUMNS = ("surface", "entry_id", "dict_no", "root", "flags", "morph", "kind", "pfx_rule", "sfx_rule", "sfx2_rule", "pfx_append", "sfx_append", "pfx_morph", "sfx_morph", "cont_flags", "priority")
 #: Rules are broadcast up to this many; a rule is some 200 bytes.
@@ -49,7 +49,17 @@ def expand(lexicon: DataFrame, rules: DataFrame, config: AffixConfig) -> DataFra
     affix, halves of a circumfix that must meet each other, cross products that
     both sides allow.  ``priority`` orders analyses of one surface: root,
     prefix, suffix, prefix and suffix, two suffixes, prefix and two suffixes.
+    With complex prefixes, where two prefixes but one suffix may meet, words and
+    rules are expanded backwards; ``sfx2_rule`` is then the outer prefix.
     """
+    if "COMPLEXPREFIXES" in config.switches:
+        back = mirrored(config)
+        turned = expand(lexicon.withColumn("word", F.reverse("word")), back.rules_df(lexicon.sparkSession), back)
+        kinds = {"prefix": "suffix", "suffix": "prefix", "two_suffixes": "two_prefixes", "prefix_two_suffixes": "two_prefixes_suffix"}
+        swapped = {f"{a}_{c}": F.col(f"{b}_{c}") for a, b in (("pfx", "sfx"), ("sfx", "pfx")) for c in ("rule", "morph")}
+        swapped |= {f"{a}_append": F.reverse(f"{b}_append") for a, b in (("pfx", "sfx"), ("sfx", "pfx"))}
+        kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("kind")), F.col("kind"))
+        return turned.withColumns({**swapped, "surface": F.reverse("surface"), "root": F.reverse("root"), "kind": kind})
     small = F.broadcast if rule_count(config) <= BROADCAST_RULES else (lambda df: df)
     full = "FULLSTRIP" in config.switches
     need, circumfix = F.lit(config.flag("NEEDAFFIX")), F.lit(config.flag("CIRCUMFIX"))

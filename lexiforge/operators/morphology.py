@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.text import field
+from lexiforge.operators import compound
 from lexiforge.operators.spell import case_variants
+from lexiforge.sources.affix import AffixConfig
 
 #: Tags that make up an inflection's signature (fixed values of the format).
 SIGNATURE_TAGS = ("ds:", "is:", "ts:")
@@ -19,16 +21,26 @@ def description(forms: DataFrame) -> Column:
     return F.array_join(F.filter(parts, lambda x: x != ""), " ")
 
 
-def analyze(words: DataFrame, forms: DataFrame) -> DataFrame:
-    """``(word, analysis)``: all distinct analyses of distinct words, over their case variants."""
+def analyze(words: DataFrame, forms: DataFrame, config: AffixConfig | None = None) -> DataFrame:
+    """``(word, analysis)``: all distinct analyses of distinct words, over their case variants.
+
+    With an affix file that has compounds, words without a form are analysed as such.
+    """
     tried = words.select("word").filter("word IS NOT NULL").distinct().select("word", F.inline(case_variants(F.col("word"))))
-    return tried.join(forms, F.col("form") == F.col("surface")).select("word", description(forms).alias("analysis")).distinct()
+    whole = tried.join(forms, F.col("form") == F.col("surface")).select("word", description(forms).alias("analysis")).distinct()
+    if config is None or not compound.enabled(config):
+        return whole
+    left = tried.join(whole.select("word").distinct(), "word", "left_anti").select("word", "form")
+    found = compound.analyze_compounds(left.select(F.col("form").alias("word")), forms, config).withColumnRenamed("word", "form")
+    return whole.unionByName(left.join(found, "form").select("word", "analysis").distinct())
 
 
 def stem(analyses: DataFrame) -> DataFrame:
     """``(word, stem)``: the stems that analyses name; parts of a compound stay in front of its last stem."""
-    parts = F.array_join(F.concat(field(F.col("analysis"), "pa"), field(F.col("analysis"), "sp")), "")
-    stems = F.transform(field(F.col("analysis"), "st"), lambda s: F.concat(parts, s))
+    parts = field(F.col("analysis"), "pa")
+    head = F.array_join(F.concat(F.when(F.size(parts) > 1, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(F.slice(parts, 1, 1)), field(F.col("analysis"), "sp")), "")
+    last = F.when(F.size(parts) > 1, F.element_at(F.split("analysis", r"(?:^|\s)pa:"), -1)).otherwise(F.col("analysis"))
+    stems = F.transform(field(last, "st"), lambda s: F.concat(head, s))
     return analyses.select("word", F.explode(stems).alias("stem")).distinct()
 
 
@@ -55,3 +67,11 @@ def generate_from(words: DataFrame, forms: DataFrame, wanted: list[str]) -> Data
         same = same | (F.col("sig") == F.array(*[F.lit(x) for x in s]).cast("array<string>"))
     roots = words.select("word").distinct().join(described.select(F.col("surface").alias("word"), "root").distinct(), "word")
     return roots.join(described.filter(same).select("root", F.col("surface").alias("generated")), "root").select("word", "generated").distinct()
+
+
+def generate_described(asked: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(word, code, generated)``: for each ``(word, code)``, forms of the word's root with the description's signature."""
+    described = forms.select("surface", "root", signature(description(forms)).alias("sig")).distinct()
+    roots = described.select(F.col("surface").alias("word"), "root").distinct()
+    wanted = asked.select("word", "code", signature(F.col("code")).alias("sig")).distinct().join(roots, "word")
+    return wanted.join(described.withColumnRenamed("surface", "generated"), ["root", "sig"]).select("word", "code", "generated").distinct()

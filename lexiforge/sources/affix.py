@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiforge.sources.lines import existing, file_lines
+
 # Defaults of the format.
 DEFAULT_KEYBOARD = "qwertyuiop|asdfghjkl|zxcvbnm"
 DEFAULT_BREAKS = ("-", "^-", "-$")
@@ -55,6 +57,10 @@ class AffixConfig:
     def try_chars(self) -> str:
         return self.texts.get("TRY", "")
 
+    @property
+    def charset(self) -> str:
+        return self.texts.get("SET", "UTF-8")
+
     @property
     def keyboard(self) -> str:
         return self.texts.get("KEY", DEFAULT_KEYBOARD)
@@ -92,6 +98,16 @@ class AffixConfig:
         return spark.createDataFrame(self.replacements, REPLACEMENTS)
 
 
+def mirrored(config: AffixConfig) -> AffixConfig:
+    """The same affixes for words read backwards: prefixes become suffixes and the other way round."""
+    rules = []
+    for number, kind, flag, cross, strip, append, condition, _, continuation, morph in config.rules:
+        other = "SFX" if kind == "PFX" else "PFX"
+        back = "".join(reversed(re.findall(r"\[[^\]]*\]|.", condition)))
+        rules.append((number, other, flag, cross, strip[::-1], append[::-1], back, condition_regex(other, back), continuation, morph))
+    return replace(config, rules=rules, switches=config.switches - {"COMPLEXPREFIXES"})
+
+
 def condition_regex(kind: str, condition: str) -> str:
     """A condition as a regular expression on the stem before stripping: a suffix's looks at the end, a prefix's at the start."""
     if condition == ".":
@@ -170,6 +186,8 @@ def parse_affix(lines: Iterable[str]) -> AffixConfig:
     return config
 
 
-def load_affix(spark: SparkSession, path: str) -> AffixConfig:
-    """Parse an affix file from any store that Spark reads; such files are small, so the driver holds the lines."""
-    return parse_affix(r["value"] for r in spark.read.text(path, wholetext=False).collect())
+def load_affix(spark: SparkSession, path: str, key: str | None = None) -> AffixConfig:
+    """Parse an affix file, plain or compressed, from any store that Spark reads, in the character set it names; such files are small, so the driver holds it."""
+    data = bytes(spark.read.format("binaryFile").load(existing(spark, path)).select("content").first()["content"])
+    first = parse_affix(file_lines(data, "ISO8859-1", key))
+    return parse_affix(file_lines(data, first.charset, key))

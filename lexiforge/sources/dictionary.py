@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions.text import ALLCAP, HUHCAP, HUHINITCAP, captype, decode_flags, field, init_upper, lower_cp
 from lexiforge.sources.affix import ONLY_UPCASE, AffixConfig
+from lexiforge.sources.lines import read_lines
 
 
-def read_dictionary(spark: SparkSession, path: str, config: AffixConfig, dict_no: int = 0) -> DataFrame:
+def read_dictionary(spark: SparkSession, path: str, config: AffixConfig, dict_no: int = 0, key: str | None = None) -> DataFrame:
     """A lexicon from a dictionary file: a count line, then ``word[/flags][ fields]``.
 
     The first line is the count and no entry; entries may begin with a digit.
-    ``\\/`` is a slash within a word.  Entries keep the order of the file.
+    ``\\/`` is a slash within a word.  Entries keep the order of the file, which
+    is in the affix file's character set and may be compressed, under ``key``.
     """
-    lines = spark.read.text(path).withColumn("entry_id", F.monotonically_increasing_id())
-    return parse_entries(lines, config, dict_no)
+    return parse_entries(read_lines(spark, path, config.charset, key), config, dict_no)
 
 
 def parse_entries(lines: DataFrame, config: AffixConfig, dict_no: int = 0) -> DataFrame:
