@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import phonetic, similarity, text
-from lexiforge.operators import compound, expand, morphology, overlay, rerank, spell, suggest
+from lexiforge.operators import command, compound, expand, morphology, overlay, rerank, spell, suggest
 from lexiforge.sources.affix import AffixConfig, parse_affix
 from lexiforge.sources.dictionary import lexicon
 from lexiforge.store import once
@@ -152,6 +152,15 @@ def clean_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("c", text.clean_word(F.col("token"))).select("token", "c.word", "c.dots", "n")
 
 
+@query("""
+SELECT token, regexp_matches(token, '^\\P{L}') AS punctuation_first, token <> lower(token) AND substr(token, 2) = lower(substr(token, 2)) AS capital_first, count(*) AS n
+FROM (SELECT unnest(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS token FROM conversations) GROUP BY token""")
+def first_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[^ \\t\\r\\n]+"), F.lit(0))).alias("token"))
+    counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("token", text.punctuation_first(F.col("token")).alias("punctuation_first"), text.capital_first(F.col("token")).alias("capital_first"), "n")
+
+
 NUMBERS = "[0-9.,-]*[0-9][0-9.,-]*"
 
 
@@ -317,6 +326,26 @@ def stem_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.stem(morphology.analyze(types(spark, sf_dir), document_forms(spark, sf_dir)))
 
 
+@query(f"SELECT DISTINCT surface AS word, root AS answer FROM ({FORMS_SQL}) WHERE surface IN ({BENCH_SQL})")
+def xml_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems asked for as XML requests, one a word of ``benchmark``."""
+    asked = bench_words(spark, sf_dir).select("w", F.concat(F.lit("<?xml?><query type='stem'><word>"), "w", F.lit("</word></query>")).alias("word"))
+    found = command.answer(asked, document_forms(spark, sf_dir)).join(asked.withColumnRenamed("word", "request"), "request")
+    return found.select(F.col("w").alias("word"), F.explode("answers").alias("answer"))
+
+
+#: Two prefixes and one suffix: prefix V continues prefix U.
+TURNED_CONFIG: AffixConfig = parse_affix([*(r.replace("un .", "un/V .") for r in AFFIX.splitlines()), "PFX V Y 1", "PFX V 0 re .", "COMPLEXPREFIXES"])
+TURNED_SQL = f"""
+SELECT surface, root, kind FROM ({FORMS_SQL})
+UNION ALL SELECT 're' || surface, root, CASE kind WHEN 'prefix' THEN 'two_prefixes' ELSE 'two_prefixes_suffix' END FROM ({FORMS_SQL}) WHERE kind IN ('prefix', 'prefix_suffix')"""
+
+
+@query(TURNED_SQL)
+def complex_prefix_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expand.expand(document_lexicon(spark, sf_dir), TURNED_CONFIG.rules_df(spark), TURNED_CONFIG).select("surface", "root", "kind")
+
+
 GENERATE_SQL = f"""
 WITH f AS (SELECT surface, root, pfx || '|' || sfx AS sig FROM ({FORMS_SQL})), t AS ({BENCH_SQL}),
 p AS (SELECT a.w AS word, b.w AS example FROM t a JOIN t b ON left(a.w, 3) = left(b.w, 3) AND a.w <> b.w)
