@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import ann, binary, crf, jaccard, langid, mix, pack, rules, secrets, shard
+from lexiforge.llm import ann, binary, collide, crf, jaccard, langid, merkle, mix, pack, rules, secrets, shard, whiten
 from lexiforge.llm._common import materialize, table
 
 
@@ -78,6 +78,20 @@ def op10_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.placements(written)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents")), claim="claim")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_rns_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op13_collision_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collide.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 OP4_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(text) AS text_hash FROM documents
@@ -127,10 +141,11 @@ FROM placed
 """
 
 #: CRC-32 of UTF-8 text, four bits at a time, the lower half of a byte first.
-CRC_SQL = """
+CRC_STEPS_SQL = """
 WITH RECURSIVE steps AS (
   SELECT list_transform(range(0, 16), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0]::BIGINT[]), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
-), texts AS (
+)"""
+CRC_SQL = CRC_STEPS_SQL + """, texts AS (
   SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents
 ), halves AS (
   SELECT doc_id, size, list_transform(range(0, (size - 1) * 2), lambda k: CAST(instr('0123456789ABCDEF', h[xor(k, 1) + 1]) - 1 AS BIGINT)) AS halves FROM texts
@@ -151,6 +166,57 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(image % 16 AS INTEGER) AS s
 FROM base JOIN image USING (rn)
 """
 
+LEAF_SQL = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Trees are numbered by language; tree -1 is that of their roots.
+OP11_SQL = f"""{CRC_STEPS_SQL}, ids AS (
+  SELECT *, string_split(hex(encode(CAST(doc_id AS VARCHAR))), '') AS h FROM documents
+), leaves AS (
+  SELECT doc_id, lang, {LEAF_SQL.format(text="text")} AS leaf, {LEAF_SQL.format(text=LOWER_SQL)} AS lowered,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, len(h)), lambda k: CAST(instr('0123456789ABCDEF', h[xor(k, 1) + 1]) - 1 AS BIGINT))), lambda c, b: xor(c >> 4, t[(xor(c, b) & 15) + 1])), 4294967295) % 3 = 0 AS tampered
+  FROM ids, steps
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), nodes AS (
+  SELECT tree, 0 AS level, place AS idx, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 8, n
+), subroots AS (SELECT tree, digest AS subroot, level AS top FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, tree AS idx, subroot AS digest, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM upper WHERE n > 1 GROUP BY level, idx // 8, n
+), every AS (
+  SELECT tree, level, idx, digest FROM nodes UNION ALL SELECT -1, level, idx, digest FROM upper
+), runs AS (
+  SELECT e.tree, e.level, e.idx, coalesce(string_agg(o.digest, '' ORDER BY o.idx) FILTER (WHERE o.idx < e.idx), '') AS before, coalesce(string_agg(o.digest, '' ORDER BY o.idx) FILTER (WHERE o.idx > e.idx), '') AS after
+  FROM every e JOIN every o ON e.tree = o.tree AND e.level = o.level AND e.idx // 8 = o.idx // 8 GROUP BY ALL
+), whole AS (
+  SELECT p.*, subroot, top, (SELECT digest FROM upper WHERE n = 1) AS root, (SELECT max(level) FROM upper) AS last, row_number() OVER () AS r FROM placed p JOIN subroots USING (tree)
+), walk AS (
+  SELECT r, tree, place AS own, 0 AS level, top, last, tree AS again, '' AS path, CASE WHEN tampered THEN lowered ELSE leaf END AS folded FROM whole
+  UNION ALL
+  SELECT r, CASE WHEN w.tree >= 0 AND w.level = top THEN -1 ELSE w.tree END, CASE WHEN w.tree >= 0 AND w.level = top THEN again ELSE own // 8 END, CASE WHEN w.tree >= 0 AND w.level = top THEN 0 ELSE w.level + 1 END, top, last, again,
+         CASE WHEN w.tree >= 0 AND w.level = top THEN path ELSE path || before || after END, CASE WHEN w.tree >= 0 AND w.level = top THEN folded ELSE sha256(before || folded || after) END
+  FROM walk w JOIN runs s ON w.tree = s.tree AND w.level = s.level AND w.own = s.idx WHERE w.tree >= 0 OR w.level < last
+)
+SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM whole JOIN walk USING (r) WHERE walk.tree = -1 AND level = walk.last
+"""
+
+OP13_SQL = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), fine AS (
+  SELECT *, sqrt(list_dot_product(v, v)) AS size FROM u
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), parts AS (SELECT a, least(a, min(b)) AS part FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, coalesce(part, vec_id) AS component_id, vec_id = coalesce(part, vec_id) AS kept FROM u LEFT JOIN parts ON a = vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -162,6 +228,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_multiprobe_neighbours": op9_multiprobe_neighbours,
     "op10_packed_matrices": op10_packed_matrices,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_rns_whitening": op12_rns_whitening,
+    "op13_collision_dedup": op13_collision_dedup,
 }
 
-ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op5_feistel_shards": OP5_SQL}
+ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op5_feistel_shards": OP5_SQL, "op11_merkle_manifest": OP11_SQL, "op13_collision_dedup": OP13_SQL}

@@ -22,6 +22,9 @@ CONTRACTS = {
     "op8_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op9_multiprobe_neighbours": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
     "op10_packed_matrices": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint"},
+    "op11_merkle_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
+    "op12_rns_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    "op13_collision_dedup": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
 }
 
 
@@ -31,7 +34,8 @@ def folder(spark, docs, tmp_path_factory):  # noqa: F811
     docs.drop("piece").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(20)] + [(None, 1, 0), (3, None, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     x = np.random.default_rng(5).normal(size=(300, 8))
-    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(400, None)], "vec_id bigint, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(400, None, 0), (401, x[0].tolist(), 0), (402, x[0].tolist(), None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -45,6 +49,12 @@ def test_contract(spark, docs, folder, name):  # noqa: F811
     if name == "op9_multiprobe_neighbours":
         assert sorted(set(got["query_id"])) == [0, 100, 200] and len(got) == 30
         return
+    if name == "op12_rns_whitening":
+        assert len(got) == 302 * 8 and sorted(set(got["component"])) == list(range(1, 9)) and set(got["n"]) == {300}
+        return
+    if name == "op13_collision_dedup":
+        assert len(got) == 303 and got.set_index("vec_id").loc[401, "component_id"] == 0 and got["kept"].sum() == 302
+        return
     if "piece" not in kinds:
         assert len(got) == len(plain)
     if "held_out" in kinds:
@@ -62,7 +72,8 @@ def test_contract(spark, docs, folder, name):  # noqa: F811
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_agrees(spark, folder, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    for name_ in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{folder}/{name_}.parquet/*.parquet'")
     got = queries.QUERIES[name](spark, folder)
     columns = sorted(c for c in got.columns if c != "grown_shard")
     rows = lambda found: sorted(str([None if pd.isna(v) else float(v) if isinstance(v, (int, float, np.number)) else v for v in r]) for r in found)
