@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import phonetic
 from lexiforge.functions.similarity import ANY_MISMATCH, LONGER_WORSE, WEIGHTED, common_positions, common_prefix, is_swap, lcs_length, ngram_batched
 from lexiforge.functions.text import ALLCAP, HUHINITCAP, INITCAP, MOST_BYTES, NOCAP, captype, convert, init_upper, lower_cp, upper_cp
-from lexiforge.operators import compound
+from lexiforge.operators import compound, root_index
 from lexiforge.operators.expand import suggestible
 from lexiforge.operators.rewrite import REPLACE, _to, replaced
 from lexiforge.operators.spell import check, cleaned_word, suggestion_variants
@@ -305,6 +305,14 @@ def ranked(found: DataFrame, keys: list[str], most: int = MOST_SUGGESTIONS) -> D
     return first.withColumn("rank", rank).filter(F.col("rank") <= most).select("word", "rank", "suggestion", F.col("f.op").alias("op"))
 
 
+def likely_roots(lexicon: DataFrame, config: AffixConfig | None) -> DataFrame:
+    """The entries that the similarity fallback may use."""
+    if config is None:
+        return lexicon
+    barred = [f for f in (config.forbidden, ONLY_UPCASE, config.flag("NOSUGGEST"), config.flag("NONGRAMSUGGEST"), config.flag("ONLYINCOMPOUND")) if f]
+    return lexicon.filter(~F.arrays_overlap("flags", F.array(*[F.lit(f) for f in barred])))
+
+
 def scored_roots(words: DataFrame, lexicon: DataFrame, config: AffixConfig | None = None) -> DataFrame:
     """``(w, entry_id, root, low, clen, score)``: how like each word the roots within four characters of its length are, by three-grams.
 
@@ -312,9 +320,7 @@ def scored_roots(words: DataFrame, lexicon: DataFrame, config: AffixConfig | Non
     left out, as are capitalised ones without a pronunciation for a word in lower
     case (``lower``, true if absent).
     """
-    if config:
-        barred = [f for f in (config.forbidden, ONLY_UPCASE, config.flag("NOSUGGEST"), config.flag("NONGRAMSUGGEST"), config.flag("ONLYINCOMPOUND")) if f]
-        lexicon = lexicon.filter(~F.arrays_overlap("flags", F.array(*[F.lit(f) for f in barred])))
+    lexicon = likely_roots(lexicon, config)
     words = words.select("w", (F.col("lower") if "lower" in words.columns else F.lit(True)).alias("lower"))
     band = words.select("w", "lower", F.explode(F.sequence(F.length("w") - LENGTH_BAND, F.length("w") + LENGTH_BAND)).alias("clen"))
     # Lower case is a column of the smaller side, so that it is not computed for each pair.
@@ -324,10 +330,12 @@ def scored_roots(words: DataFrame, lexicon: DataFrame, config: AffixConfig | Non
     return met.select("w", "entry_id", "root", "low", "clen", (ngram_batched(3, LONGER_WORSE)(F.col("w"), F.col("low")) + common_prefix(F.col("w"), F.col("root"))).alias("score"))
 
 
-def similar_roots(words: DataFrame, lexicon: DataFrame, config: AffixConfig | None = None, most: int = MOST_ROOTS) -> DataFrame:
-    """``(w, entry_id, root, score, place)``: the roots most like each word; ties go to the smaller entry."""
-    place = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("score"), "entry_id"))
-    return scored_roots(words, lexicon, config).withColumn("place", place).filter(F.col("place") <= most).select("w", "entry_id", "root", "score", "place")
+def similar_roots(words: DataFrame, lexicon: DataFrame, config: AffixConfig | None = None, most: int = MOST_ROOTS, index: DataFrame | None = None) -> DataFrame:
+    """``(w, entry_id, root, score, place)``: the roots most like each word; ties go to the smaller entry.
+
+    ``index`` is :func:`root_index.index_roots` of :func:`likely_roots`, if it is at hand.
+    """
+    return root_index.similar_roots(words, likely_roots(lexicon, config), most, index)
 
 
 def sounding_roots(words: DataFrame, lexicon: DataFrame, surfaces: DataFrame, config: AffixConfig, earlier: DataFrame, most: int = MOST_PHONETIC) -> DataFrame:
@@ -365,14 +373,14 @@ def ngram_full(a: Column, b: Column) -> Column:
     return ngram_batched(MOST_BYTES, ANY_MISMATCH)(a, b)
 
 
-def similar_forms(words: DataFrame, lexicon: DataFrame, forms: DataFrame, config: AffixConfig, most: int = MOST_NGRAM) -> DataFrame:
+def similar_forms(words: DataFrame, lexicon: DataFrame, forms: DataFrame, config: AffixConfig, most: int = MOST_NGRAM, index: DataFrame | None = None) -> DataFrame:
     """``(w, op, i, j, candidate)``: the similarity fallback for words without other suggestions.
 
     The best roots are expanded by affixes that the word shows too; expansions
     above the word's own threshold are scored again by subsequence, positions,
     swaps and weighted two-grams, and the best few are kept.
     """
-    roots = similar_roots(words, lexicon, config)
+    roots = similar_roots(words, lexicon, config, index=index)
     words = words.select("w").distinct()
     own = suggestible(forms, config).select("entry_id", "surface", lower_cp(F.col("surface")).alias("low"), "pfx_append", "sfx_append", F.coalesce("sfx_rule", F.lit(-1)).alias("rule"))
     grown = roots.join(own, "entry_id").filter(F.endswith(F.col("w"), F.col("sfx_append")) & F.startswith(F.col("w"), F.col("pfx_append")))
@@ -400,7 +408,7 @@ def similar_forms(words: DataFrame, lexicon: DataFrame, forms: DataFrame, config
     return scored.filter(F.col("n") <= config.numbers.get("MAXNGRAMSUGS", most)).select("w", F.lit(NGRAM).alias("op"), F.col("n").alias("i"), F.lit(0).alias("j"), F.col("surface").alias("candidate"))
 
 
-def suggest(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig, fallback: bool = True, most: int = MOST_SUGGESTIONS) -> DataFrame:
+def suggest(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig, fallback: bool = True, most: int = MOST_SUGGESTIONS, index: DataFrame | None = None) -> DataFrame:
     """``(word, rank, suggestion, op)`` of distinct words.
 
     Case variants are tried in turn; suggestions follow the word's capitals and
@@ -430,7 +438,7 @@ def suggest(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: Affi
         plain = plain.unionByName(joined)
         left = left.join(joined.select("word").distinct(), "word", "left_anti")
     asked_low = left.select("w", (F.col("case") == NOCAP).alias("lower")).distinct()
-    similar = similar_forms(asked_low, lexicon, forms, config)
+    similar = similar_forms(asked_low, lexicon, forms, config, index=index)
     if config.phonetic:
         similar = written(similar, "similar")
         similar = similar.unionByName(sounding_roots(asked_low, lexicon, accepted_surfaces(forms, lexicon, config), config, similar.select("w", "candidate")))

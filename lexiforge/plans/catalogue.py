@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import phonetic, similarity, text
-from lexiforge.operators import command, compound, expand, morphology, overlay, rerank, spell, suggest
+from lexiforge.operators import command, compound, expand, morphology, overlay, rerank, root_index, spell, suggest
 from lexiforge.sources.affix import AffixConfig, parse_affix
 from lexiforge.sources.dictionary import lexicon
 from lexiforge.store import once
@@ -97,7 +97,19 @@ def make_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = types(spark, sf_dir).filter(F.col("n_docs") >= LEAST_DOCS).select("word")
     flag = lambda c, when: F.when(when, F.lit(c)).otherwise(F.lit(""))
     flags = F.concat(flag("S", F.length("word") >= 4), flag("D", F.substring("word", -1, 1).isin("t", "e")), flag("U", F.substring("word", 1, 1) == "r"))
-    return lexicon(words.select("word", F.xxhash64("word").alias("entry_id"), flags.alias("flag_text")), CONFIG)
+    return lexicon(words.select("word", entry_id(F.col("word")).alias("entry_id"), flags.alias("flag_text")), CONFIG)
+
+
+def entry_id(word: Column) -> Column:
+    """The order of entries, which SQL can follow."""
+    return F.conv(F.substring(F.md5(word), 1, 13), 16, 10).cast("bigint")
+
+
+ENTRY_SQL = "('0x' || substr(md5({}), 1, 13))::BIGINT"
+
+
+def document_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored("root-index", lambda spark, sf_dir: root_index.index_roots(suggest.likely_roots(document_lexicon(spark, sf_dir), CONFIG)), spark, sf_dir)
 
 
 def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -605,7 +617,7 @@ def suggest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = document_lexicon(spark, sf_dir)
     forms = document_forms(spark, sf_dir)
     words = spell.unknown_words(bench_words(spark, sf_dir).withColumnRenamed("w", "word"), forms)
-    return suggest.suggest(words, forms, lex, CONFIG)
+    return suggest.suggest(words, forms, lex, CONFIG, index=document_roots(spark, sf_dir))
 
 
 GRAM = "len(list_filter(range(1, len(w) - {j} + 2), lambda i: contains(root, substr(w, i, {j}))))"
@@ -617,13 +629,13 @@ g AS (SELECT w, root, {GRAM.format(j=1)} AS g1, {GRAM.format(j=2)} AS g2, {GRAM.
              list_max(list_filter(range(0, least(len(w), len(root)) + 1), lambda k: left(w, k) = left(root, k))) AS head
       FROM o JOIN l ON abs(len(w) - len(root)) <= 4),
 s AS (SELECT w, root, g1 + CASE WHEN g1 < 2 THEN 0 ELSE g2 + CASE WHEN g2 < 2 THEN 0 ELSE g3 END END - greatest(len(root) - len(w) - 2, 0) + head AS score FROM g)
-SELECT w, max(score)::INTEGER AS best, count(*) FILTER (WHERE place <= 100) AS n, sum(score) FILTER (WHERE place <= 100)::BIGINT AS total
-FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY score DESC) AS place FROM s) GROUP BY w""")
+SELECT w, root, score::INTEGER AS score, place::INTEGER AS place
+FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY score DESC, {ENTRY_SQL.format("root")}) AS place FROM s) WHERE place <= 100""")
 def similar_roots_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred roots most like each word of ``benchmark`` that is none, by the gram index."""
     lex = document_lexicon(spark, sf_dir)
     words = bench_words(spark, sf_dir).join(lex.select(F.col("word").alias("w")).distinct(), "w", "left_anti")
-    found = suggest.similar_roots(words, lex)
-    return found.groupBy("w").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
+    return suggest.similar_roots(words, lex, index=document_roots(spark, sf_dir)).select("w", "root", "score", "place")
 
 
 # ---- what is shown
