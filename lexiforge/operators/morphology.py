@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.functions.text import field
+from lexiforge.functions.text import clean_word, field
 from lexiforge.operators import compound
 from lexiforge.operators.spell import case_variants
 from lexiforge.sources.affix import AffixConfig
@@ -26,7 +26,8 @@ def analyze(words: DataFrame, forms: DataFrame, config: AffixConfig | None = Non
 
     With an affix file that has compounds, words without a form are analysed as such.
     """
-    tried = words.select("word").filter("word IS NOT NULL").distinct().select("word", F.inline(case_variants(F.col("word"))))
+    cleaned = words.select("word").filter("word IS NOT NULL").distinct().withColumn("c", clean_word(F.col("word")))
+    tried = cleaned.select("word", F.inline(case_variants(F.col("c.word"), dots=F.col("c.dots"))))
     whole = tried.join(forms, F.col("form") == F.col("surface")).select("word", description(forms).alias("analysis")).distinct()
     if config is None or not compound.enabled(config):
         return whole

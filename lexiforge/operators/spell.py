@@ -10,40 +10,59 @@ from lexiforge.operators import compound
 from lexiforge.sources.affix import ONLY_UPCASE, AffixConfig
 
 
-def case_variants(word: Column, sharps: bool = False) -> Column:
-    """``array<struct<variant_no, form>>`` to try for a word, by its capitals; with ``sharps``, SS in capitals may stand for sharp s."""
+def numbered(*forms: tuple[int, Column, Column | None]) -> Column:
+    """``array<struct<variant_no, form>>`` of ``(number, form, condition)``; forms whose condition does not hold are left out."""
+    every = [F.struct(F.lit(n).alias("variant_no"), form.alias("form")) if when is None else F.when(when, F.struct(F.lit(n).alias("variant_no"), form.alias("form"))) for n, form, when in forms]
+    return F.filter(F.array(*every), lambda x: x.isNotNull())
+
+
+#: Variants up to this one have the word's own capitals.
+AS_TYPED = 1
+
+
+def case_variants(word: Column, sharps: bool = False, dots: Column | None = None) -> Column:
+    """``array<struct<variant_no, form>>`` to try for a word, by its capitals.
+
+    Where ``dots`` were cut from its end, forms are tried with a dot too, as
+    abbreviations have.  With ``sharps``, SS in capitals may stand for sharp s.
+    """
     kind = captype(word)
     low = lower_cp(word)
     capital = init_upper(low)
-    listed = lambda *forms: F.array(*[F.struct(F.lit(i).alias("variant_no"), f.alias("form")) for i, f in enumerate(forms)])
+    dotted = lambda w: F.concat(w, F.lit("."))
+    cut = F.lit(False) if dots is None else dots > 0
     after = F.locate("'", word)
     apostrophe = F.concat(F.substr(low, F.lit(1), after), init_upper(F.substr(low, after + 1)))
-    whole = F.when(after > 0, listed(word, apostrophe, init_upper(apostrophe), capital, low)).otherwise(listed(word, capital, low))
+    own = [(0, word, None), (AS_TYPED, dotted(word), cut)]
+    lowered = [(5, low, None), (6, dotted(low), cut), (7, dotted(capital), cut)]
+    whole = numbered(*own, (2, apostrophe, after > 0), (3, init_upper(apostrophe), after > 0), (4, capital, None), *lowered)
     if sharps:
         read = sharp_forms(low)
-        more = F.transform(F.concat(read, F.transform(read, init_upper)), lambda f, i: F.struct((i + 5).alias("variant_no"), f.alias("form")))
-        whole = F.concat(whole, more)
-    return F.when(kind == ALLCAP, whole).when(kind == INITCAP, listed(word, low)).otherwise(listed(word))
+        read = F.concat(read, F.transform(read, init_upper))
+        read = F.concat(read, F.when(cut, F.transform(read, dotted)).otherwise(F.array().cast("array<string>")))
+        whole = F.concat(whole, F.transform(read, lambda f, i: F.struct((i + 8).alias("variant_no"), f.alias("form"))))
+    return F.when(kind == ALLCAP, whole).when(kind == INITCAP, numbered(own[0], *lowered)).otherwise(numbered(*own))
 
 
-def suggestion_variants(word: Column) -> Column:
-    """``array<struct<variant_no, form>>`` for which suggestions are sought."""
+def suggestion_variants(word: Column, dotted: Column) -> Column:
+    """``array<struct<variant_no, form>>`` for which suggestions are sought: as typed, with other capitals and, for an abbreviation in lower case, with its dot."""
     kind = captype(word)
     low = lower_cp(word)
-    listed = lambda *forms: F.array(*[F.struct(F.lit(i).alias("variant_no"), f.alias("form")) for i, f in enumerate(forms)])
+    listed = lambda *forms: numbered(*[(i, f, None) for i, f in enumerate(forms)])
     return (
         F.when(kind == INITCAP, listed(word, low))
         .when(kind == ALLCAP, listed(low, init_upper(low)))
         .when(kind == HUHINITCAP, listed(word, init_lower(word), low, init_upper(low)))
         .when(kind == HUHCAP, listed(word, low))
-        .otherwise(listed(word))
+        .otherwise(numbered((0, word, None), (1, init_upper(word), None), (2, F.concat(word, F.lit(".")), dotted)))
     )
 
 
 def check(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig, column: str = "word") -> DataFrame:
     """``words`` with ``ok``, ``root``, ``kind``, ``forbidden`` and ``warn``.
 
-    Words pass the input conversion and lose what the affix file ignores.
+    Words pass the input conversion and lose what the affix file ignores; those
+    that end in dots are right without and, as abbreviations, with one.
     Numbers are right; null, empty and overlong words are wrong.  The first
     case variant that is a form decides the root; entries for words in capitals
     only count where the word is in capitals.  A word of which any exact entry
@@ -53,12 +72,13 @@ def check(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixC
     """
     words = words.drop("ok", "root", "kind", "forbidden", "warn")
     distinct = words.select(F.col(column).alias("_w")).filter("_w IS NOT NULL").distinct()
-    cleaned = distinct.withColumn("_clean", cleaned_word(F.col("_w"), config)["word"])
-    tried = cleaned.filter(fits(F.col("_clean")) & (F.col("_clean") != "")).select("_w", captype(F.col("_clean")).alias("_case"), F.inline(case_variants(F.col("_clean"), "CHECKSHARPS" in config.switches)))
+    cleaned = distinct.withColumn("_c", cleaned_word(F.col("_w"), config)).select("_w", F.col("_c")["word"].alias("_clean"), F.col("_c")["dots"].alias("_dots"))
+    forms_of = case_variants(F.col("_clean"), "CHECKSHARPS" in config.switches, F.col("_dots"))
+    tried = cleaned.filter(fits(F.col("_clean")) & (F.col("_clean") != "")).select("_w", captype(F.col("_clean")).alias("_case"), F.inline(forms_of))
     usable = forms.select("surface", F.col("root").alias("_root"), F.col("kind").alias("_kind"), F.col("flags").alias("_flags"), "priority", "entry_id", "dict_no")
     hits = tried.join(usable, F.col("form") == F.col("surface")).filter(~F.array_contains("_flags", ONLY_UPCASE) | (F.col("_case") == ALLCAP))
     if config.flag("KEEPCASE"):
-        hits = hits.filter((F.col("variant_no") == 0) | ~F.array_contains("_flags", config.flag("KEEPCASE")))
+        hits = hits.filter((F.col("variant_no") <= AS_TYPED) | ~F.array_contains("_flags", config.flag("KEEPCASE")))
     if config.flag("ONLYINCOMPOUND"):
         hits = hits.filter(~F.array_contains("_flags", config.flag("ONLYINCOMPOUND")))
     if compound.enabled(config):

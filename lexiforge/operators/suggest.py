@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import phonetic
 from lexiforge.functions.similarity import ANY_MISMATCH, LONGER_WORSE, WEIGHTED, common_positions, common_prefix, is_swap, lcs_length, ngram_batched
-from lexiforge.functions.text import ALLCAP, HUHINITCAP, INITCAP, MOST_BYTES, NOCAP, captype, convert, init_upper, lower_cp, upper_cp
+from lexiforge.functions.text import ALLCAP, HUHCAP, HUHINITCAP, INITCAP, MOST_BYTES, NOCAP, captype, convert, init_upper, lower_cp, upper_cp
 from lexiforge.operators import compound, root_index
 from lexiforge.operators.expand import suggestible
 from lexiforge.operators.rewrite import REPLACE, _to, replaced
@@ -408,23 +408,77 @@ def similar_forms(words: DataFrame, lexicon: DataFrame, forms: DataFrame, config
     return scored.filter(F.col("n") <= config.numbers.get("MAXNGRAMSUGS", most)).select("w", F.lit(NGRAM).alias("op"), F.col("n").alias("i"), F.lit(0).alias("j"), F.col("surface").alias("candidate"))
 
 
+#: Places of suggestions that are put first: parted at a dot, in lower case, with an initial capital; parts with their capitals come before all.
+AT_DOT, LOWERED, CAPITALISED, PARTED = -2, -3, -4, -5
+#: Suggestions that no generator made.
+SPELLED = -2
+
+
+def put_first(cased_words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig) -> DataFrame:
+    """Words ``(word, clean, case)`` of mixed capitals with what is suggested before all else.
+
+    ``something.The`` in two, and the word in lower case or with an initial
+    capital, if that is right; where the affix file keeps case, words in capitals
+    in lower case too.  What comes later in this order stands first.
+    """
+    clean = F.col("clean")
+    low = lower_cp(clean)
+    dot = F.locate(".", clean)
+    mixed = F.col("case").isin(HUHCAP, HUHINITCAP)
+    keep = (F.col("case") == ALLCAP) & F.lit(bool(config.flag("KEEPCASE")))
+    row = lambda place, form, when: F.when(when, F.struct(F.lit(place).alias("variant_no"), form.alias("candidate")))
+    parted = F.concat(F.substr(clean, F.lit(1), dot), F.lit(" "), F.substr(clean, dot + 1))
+    every = F.array(
+        row(AT_DOT, parted, mixed & (dot > 0) & (captype(F.substr(clean, dot + 1)) == INITCAP)), row(LOWERED, low, mixed | keep), row(CAPITALISED, init_upper(low), F.col("case") == HUHINITCAP)
+    )
+    offered = cased_words.select("*", F.inline(F.filter(every, lambda x: x.isNotNull())))
+    asked = offered.filter(F.col("variant_no") != AT_DOT).select("candidate").distinct()
+    right = check(asked, forms, lexicon, config, "candidate").filter("ok").select("candidate")
+    spelled = offered.filter(F.col("variant_no") != AT_DOT).join(right, "candidate", "left_semi")
+    zero = F.lit(0)
+    return offered.filter(F.col("variant_no") == AT_DOT).unionByName(spelled).withColumns({"w": clean, "op": F.lit(SPELLED), "i": zero, "j": zero, "good": F.lit(False)})
+
+
+def capitals_of_parts(found: DataFrame) -> DataFrame:
+    """Of words in mixed capitals, pairs suggested for their lower-case form get their second word's capital, unless the word ends that way, and go first."""
+    space = F.locate(" ", F.col("candidate"))
+    second = F.substr(F.col("candidate"), space + 1)
+    size = F.length(second)
+    from_low = ((F.col("case") == HUHCAP) & (F.col("variant_no") == 1)) | ((F.col("case") == HUHINITCAP) & (F.col("variant_no") >= 2))
+    differs = (space > 0) & (size < F.length("clean")) & (F.substr(F.col("clean"), F.length("clean") - size + 1) != second)
+    moved = from_low & differs
+    # The later of those moved stands before the earlier.
+    turned = {c: F.when(moved, -F.col(c)).otherwise(F.col(c)) for c in ("op", "i", "j")}
+    return found.withColumns({
+        **turned, "variant_no": F.when(moved, PARTED - F.col("variant_no")).otherwise(F.col("variant_no")),
+        "candidate": F.when(moved, F.concat(F.substr(F.col("candidate"), F.lit(1), space), init_upper(second))).otherwise(F.col("candidate")),
+    })
+
+
 def suggest(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig, fallback: bool = True, most: int = MOST_SUGGESTIONS, index: DataFrame | None = None) -> DataFrame:
     """``(word, rank, suggestion, op)`` of distinct words.
 
-    Case variants are tried in turn; suggestions follow the word's capitals and
-    occur once, in the order of (variant, generator, position).  Words left
-    without any are handed to the similarity fallback.
+    Case variants are tried in turn, and a word that ends in a dot also as an
+    abbreviation; suggestions follow the word's capitals and occur once, in the
+    order of (variant, generator, position).  Words left without any are handed
+    to the similarity fallback.
     """
-    asked = words.select("word").filter("word IS NOT NULL AND word <> ''").distinct()
-    cased_words = asked.select("word", captype(F.col("word")).alias("case"))
-    tried = cased_words.select("*", F.inline(suggestion_variants(F.col("word")))).withColumnRenamed("form", "w")
-
-    def cased(tried: DataFrame, found: DataFrame, capitals: tuple[int, ...]) -> DataFrame:
-        text = F.when(F.col("case") == ALLCAP, upper_cp(F.col("candidate"))).when(F.col("case").isin(*capitals), init_upper(F.col("candidate"))).otherwise(F.col("candidate"))
-        return tried.join(found, "w").withColumn("suggestion", text).filter(F.col("suggestion") != F.col("word"))
+    word, clean = F.col("word"), F.rtrim(F.col("word"), F.lit("."))
+    asked = words.select("word").filter("word IS NOT NULL").distinct().withColumns({"clean": clean, "dotted": clean != word}).filter("clean <> ''")
+    cased_words = written(asked.withColumn("case", captype(F.col("clean"))), "asked")
+    tried = written(cased_words.select("*", F.inline(suggestion_variants(F.col("clean"), F.col("dotted")))).withColumnRenamed("form", "w").drop("dotted"), "tried")
+    cased_words = cased_words.drop("dotted")
+
+    def cased(rows: DataFrame) -> DataFrame:
+        big = upper_cp(F.col("candidate"))
+        big = F.replace(big, F.lit("ß"), F.lit("SS")) if "CHECKSHARPS" in config.switches else big
+        text = F.when(F.col("case") == ALLCAP, big).when(F.col("case").isin(INITCAP, HUHINITCAP), init_upper(F.col("candidate"))).otherwise(F.col("candidate"))
+        return rows.withColumn("suggestion", text).filter((F.col("suggestion") != word) & (F.col("suggestion") != F.col("clean")))
 
     keys = ["variant_no", "op", "i", "j"]
-    found = cased(tried, candidates(tried.select("w").distinct(), accepted_surfaces(forms, lexicon, config), config, replacement_rules(lexicon, config)), (INITCAP,))
+    surfaces = written(accepted_surfaces(forms, lexicon, config), "surfaces")
+    found = tried.join(candidates(tried.select("w").distinct(), surfaces, config, replacement_rules(lexicon, config)), "w")
+    found = cased(capitals_of_parts(found).unionByName(put_first(cased_words, forms, lexicon, config)))
     # A listed pair clears what came before it, unless that was good.
     cleared = F.max(F.when((F.col("op") == LISTED) & ~F.col("good"), F.col("variant_no"))).over(Window.partitionBy("word"))
     kept = found.withColumn("cleared", cleared).filter(F.col("cleared").isNull() | (F.col("variant_no") > F.col("cleared")) | ((F.col("variant_no") == F.col("cleared")) & (F.col("op") == LISTED)))
@@ -432,17 +486,18 @@ def suggest(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: Affi
     if not fallback:
         return plain
     plain = written(plain, "edits")
-    left = cased_words.join(plain.select("word").distinct(), "word", "left_anti").withColumns({"variant_no": F.lit(0), "w": lower_cp(F.col("word"))})
+    left = written(cased_words.join(plain.select("word").distinct(), "word", "left_anti").withColumns({"variant_no": F.lit(0), "w": lower_cp(F.col("clean"))}), "left")
     if compound.enabled(config):
-        joined = written(ranked(cased(tried.join(left.select("word").distinct(), "word", "left_semi"), compound_candidates(left.select("w").distinct(), forms, config), (INITCAP,)), keys, config.numbers.get("MAXCPDSUGS", MOST_COMPOUND)), "compound-edits")
+        made = compound_candidates(left.select("w").distinct(), forms, config)
+        joined = written(ranked(cased(tried.join(left.select("word").distinct(), "word", "left_semi").join(made, "w")), keys, config.numbers.get("MAXCPDSUGS", MOST_COMPOUND)), "compound-edits")
         plain = plain.unionByName(joined)
         left = left.join(joined.select("word").distinct(), "word", "left_anti")
     asked_low = left.select("w", (F.col("case") == NOCAP).alias("lower")).distinct()
     similar = similar_forms(asked_low, lexicon, forms, config, index=index)
     if config.phonetic:
         similar = written(similar, "similar")
-        similar = similar.unionByName(sounding_roots(asked_low, lexicon, accepted_surfaces(forms, lexicon, config), config, similar.select("w", "candidate")))
-    return plain.unionByName(ranked(cased(left, similar, (INITCAP, HUHINITCAP)), keys, most))
+        similar = similar.unionByName(sounding_roots(asked_low, lexicon, surfaces, config, similar.select("w", "candidate")))
+    return plain.unionByName(ranked(cased(left.join(similar, "w")), keys, most))
 
 
 def suggest_text(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig) -> DataFrame:
@@ -456,20 +511,21 @@ def suggest_text(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config:
     """
     asked = words.select("word").filter("word IS NOT NULL").distinct().withColumn("c", cleaned_word(F.col("word"), config))
     asked = asked.select("word", F.col("c.word").alias("clean"), F.col("c.dots").alias("dots")).filter("clean <> ''")
+    asked = asked.withColumn("key", F.when(F.col("dots") > 0, F.concat("clean", F.lit("."))).otherwise(F.col("clean")))
     dashed = asked.filter(F.contains("clean", F.lit("-"))).select("clean").distinct()
     parts = dashed.select("clean", F.posexplode(F.split("clean", "-")).alias("at", "part")).filter("part <> ''")
     right = check(parts.select("part").distinct(), forms, lexicon, config, "part").filter("ok").select(F.col("part").alias("right"))
     wrong = parts.join(right, F.col("part") == F.col("right"), "left_anti").groupBy("clean").agg(F.min(F.struct("at", "part")).alias("first"))
     asked = written(asked, "asked")
     wrong = written(wrong.select("clean", F.col("first.at").alias("at"), F.col("first.part").alias("part")), "wrong-parts")
-    every = asked.select(F.col("clean").alias("word")).unionByName(wrong.select(F.col("part").alias("word"))).distinct()
+    every = asked.select(F.col("key").alias("word")).unionByName(wrong.select(F.col("part").alias("word"))).distinct()
     found = written(suggest(every, forms, lexicon, config).select(F.col("word").alias("asked"), "rank", "suggestion"), "suggestions")
-    own = found.withColumnRenamed("asked", "clean")
-    with_dash = own.filter(F.contains("suggestion", F.lit("-"))).select("clean").distinct()
-    listed = wrong.join(with_dash, "clean", "left_anti").join(found, F.col("part") == F.col("asked"))
+    own = found.withColumnRenamed("asked", "key")
+    with_dash = own.filter(F.contains("suggestion", F.lit("-"))).select("key").distinct()
+    listed = wrong.join(asked.select("clean", "key").distinct(), "clean").join(with_dash, "key", "left_anti").join(found, F.col("part") == F.col("asked"))
     pieces = F.transform(F.split("clean", "-"), lambda p, i: F.when(i == F.col("at"), F.col("suggestion")).otherwise(p))
-    mended = listed.select("clean", (F.col("rank") - 1_000).alias("rank"), F.array_join(pieces, "-").alias("suggestion"))
-    rows = asked.withColumn("case", captype(F.col("clean"))).join(own.unionByName(mended), "clean")
+    mended = listed.select("key", (F.col("rank") - 1_000).alias("rank"), F.array_join(pieces, "-").alias("suggestion"))
+    rows = asked.withColumn("case", captype(F.col("clean"))).join(own.unionByName(mended), "key")
     if "SUGSWITHDOTS" in config.switches:
         rows = rows.withColumn("suggestion", F.concat("suggestion", F.repeat(F.lit("."), F.col("dots"))))
     if config.flag("KEEPCASE") or "FORBIDDENWORD" in config.flags:
