@@ -471,10 +471,15 @@ def listed(spark: SparkSession, sf_dir: str, candidates: Column) -> DataFrame:
     return bench_words(spark, sf_dir).select("w", F.inline(candidates)).select("w", "i", "j", "candidate")
 
 
+#: What each generator gives for the words of a relation t.
+GENERATOR_SQL: dict[str, str | None] = {}
+
+
 def generator(name: str, make: Callable, sql: str | None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return listed(spark, sf_dir, make(F.col("w")))
 
+    GENERATOR_SQL[name] = sql
     run.__name__ = name
     query(f"WITH t AS ({BENCH_SQL}) {sql}" if sql else None)(run)
 
@@ -556,11 +561,13 @@ def rules_sql() -> str:
     return "(VALUES " + ", ".join(f"({n}, {quote(p)}, {str(a).lower()}, {str(b).lower()}, {quote(r)})" for n, p, a, b, r in CONFIG.replacements) + ") AS rules(rule_no, pattern, at_start, at_end, replacement)"
 
 
-@query(f"""
-WITH t AS ({BENCH_SQL})
+REPLACED_SQL = f"""
 SELECT w, CAST(rule_no AS INTEGER) AS i, CAST(k AS INTEGER) AS j, left(w, k - 1) || replacement || substr(w, k + len(pattern)) AS candidate
 FROM (SELECT *, unnest(range(1, len(w) - len(pattern) + 2)) AS k FROM t JOIN {rules_sql()} ON contains(w, pattern))
-WHERE substr(w, k, len(pattern)) = pattern AND (NOT at_start OR k = 1) AND (NOT at_end OR k + len(pattern) = len(w) + 1)""")
+WHERE substr(w, k, len(pattern)) = pattern AND (NOT at_start OR k = 1) AND (NOT at_end OR k + len(pattern) = len(w) + 1)"""
+
+
+@query(f"WITH t AS ({BENCH_SQL}) {REPLACED_SQL}")
 def replacement_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.replaced(bench_words(spark, sf_dir), CONFIG.replacements_df(spark)).select("w", "i", "j", "candidate")
 
@@ -620,6 +627,105 @@ def suggest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.suggest(words, forms, lex, CONFIG, index=document_roots(spark, sf_dir))
 
 
+# ---- words as typed: capitals and abbreviations count
+
+TYPED = r"\p{L}+\.?"
+LONGEST_ABBREVIATION = 5
+CASED_SQL = f"""SELECT word FROM (SELECT token AS word, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{TYPED}')) AS token FROM documents) GROUP BY ALL)
+WHERE n_docs >= {LEAST_DOCS} AND (word NOT LIKE '%.' OR len(word) <= {LONGEST_ABBREVIATION})"""
+
+
+def kind_sql(w: str) -> str:
+    """The capitals of a word, as captype_histogram tells them."""
+    chars = f"string_split({w}, '')"
+    capitals, neutral = f"len(list_filter({chars}, lambda x: lower(x) <> x))", f"len(list_filter({chars}, lambda x: lower(x) = x AND upper(x) = x AND x <> 'ß'))"
+    first = f"lower(left({w}, 1)) <> left({w}, 1)"
+    return f"CASE WHEN {capitals} = 0 THEN 0 WHEN {capitals} = 1 AND {first} THEN 1 WHEN {capitals} + {neutral} = len({w}) OR {capitals} = len({w}) THEN 2 WHEN {first} THEN 4 ELSE 3 END"
+
+
+def init_sql(w: str) -> str:
+    return f"(upper(left({w}, 1)) || substr({w}, 2))"
+
+
+#: Entries, and those that only words in capitals may be.
+CASED_ENTRIES_SQL = f"""shown AS MATERIALIZED ({CASED_SQL}),
+hidden AS (SELECT DISTINCT {init_sql("lower(word)")} AS word FROM (SELECT word, {kind_sql("word")} AS kind FROM shown) WHERE kind >= 3 AND {init_sql("lower(word)")} NOT IN (SELECT word FROM shown))"""
+#: Of words (word, clean): the forms that make them right.
+VERDICT_SQL = f"""kinds AS (SELECT word, clean, word <> clean AS dotted, {kind_sql("clean")} AS kind, lower(clean) AS low FROM asked),
+forms AS (SELECT word, kind, unnest(list_concat([clean], CASE WHEN dotted THEN [clean || '.'] ELSE [] END, CASE WHEN kind = 2 THEN [{init_sql("low")}] ELSE [] END, CASE WHEN kind IN (1, 2) THEN [low] ELSE [] END,
+  CASE WHEN dotted AND kind IN (1, 2) THEN [low || '.', {init_sql("low")} || '.'] ELSE [] END)) AS form FROM kinds),
+right_ AS MATERIALIZED (SELECT DISTINCT word FROM forms WHERE form IN (SELECT word FROM shown) OR (kind = 2 AND form IN (SELECT word FROM hidden)))"""
+
+
+def typed_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TYPED), F.lit(0)))).alias("word"))
+        found = found.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
+        kept = found.filter((F.col("n_docs") >= LEAST_DOCS) & (~F.endswith("word", F.lit(".")) | (F.length("word") <= LONGEST_ABBREVIATION)))
+        return lexicon(kept.select("word", entry_id(F.col("word")).alias("entry_id")), CONFIG)
+
+    return stored("typed-lexicon", make, spark, sf_dir)
+
+
+def typed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored("typed-forms", lambda spark, sf_dir: expand.expand(typed_lexicon(spark, sf_dir), CONFIG.rules_df(spark), CONFIG), spark, sf_dir)
+
+
+def typed_words(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, name).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TYPED), F.lit(0)))).alias("word")).distinct()
+
+
+@query(f"""WITH {CASED_ENTRIES_SQL}, asked AS (SELECT DISTINCT word, rtrim(word, '.') AS clean FROM (SELECT unnest(regexp_extract_all(text, '{TYPED}')) AS word FROM conversations)), {VERDICT_SQL}
+SELECT word, word IN (SELECT word FROM right_) AS ok FROM asked""")
+def typed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of conversations as they were typed, with capitals and dots."""
+    return spell.check(typed_words(spark, sf_dir, "conversations"), typed_forms(spark, sf_dir), typed_lexicon(spark, sf_dir), CONFIG).select("word", "ok")
+
+
+EVERY_SQL = " UNION ALL ".join(
+    [f"SELECT w, {suggest.CAPITALS} AS op, 0 AS i, 0 AS j, upper(w) AS candidate FROM t", f"SELECT w, {suggest.REPLACE}, i, j, candidate FROM ({REPLACED_SQL})"]
+    + [
+        f"SELECT w, {op}, i, j, candidate FROM ({GENERATOR_SQL[name]})"
+        for op, name in (
+            (suggest.SWAP, "swap_candidates"), (suggest.LONG_SWAP, "long_swap_candidates"), (suggest.KEY, "keyboard_candidates"), (suggest.EXTRA, "delete_candidates"), (suggest.FORGOT, "insert_candidates"),
+            (suggest.MOVE, "move_candidates"), (suggest.WRONG, "substitute_candidates"), (suggest.DOUBLE_PAIR, "double_pair_candidates"),
+        )
+    ]
+)
+TYPED_SUGGESTIONS_SQL = f"""WITH {CASED_ENTRIES_SQL}, asked AS (SELECT DISTINCT word, rtrim(word, '.') AS clean FROM (SELECT unnest(regexp_extract_all(text, '{TYPED}')) AS word FROM benchmark)), {VERDICT_SQL},
+wrong AS MATERIALIZED (SELECT * FROM kinds WHERE word NOT IN (SELECT word FROM right_)),
+v AS MATERIALIZED (SELECT word, clean, kind, x.n AS variant_no, x.w AS w FROM (SELECT *, unnest(CASE kind
+    WHEN 1 THEN [{{'n': 0, 'w': clean}}, {{'n': 1, 'w': low}}] WHEN 2 THEN [{{'n': 0, 'w': low}}, {{'n': 1, 'w': {init_sql("low")}}}]
+    WHEN 4 THEN [{{'n': 0, 'w': clean}}, {{'n': 1, 'w': lower(left(clean, 1)) || substr(clean, 2)}}, {{'n': 2, 'w': low}}, {{'n': 3, 'w': {init_sql("low")}}}]
+    WHEN 3 THEN [{{'n': 0, 'w': clean}}, {{'n': 1, 'w': low}}]
+    ELSE list_concat([{{'n': 0, 'w': clean}}, {{'n': 1, 'w': {init_sql("clean")}}}], CASE WHEN dotted THEN [{{'n': 2, 'w': clean || '.'}}] ELSE [] END) END) AS x FROM wrong)),
+t AS MATERIALIZED (SELECT DISTINCT w FROM v), every AS ({EVERY_SQL}),
+single AS (SELECT w, op, min({{'i': i::BIGINT, 'j': j::BIGINT}}) AS spot, candidate FROM every WHERE NOT contains(candidate, ' ') AND candidate IN (SELECT word FROM shown) GROUP BY ALL),
+spaced AS (SELECT w, op, spot, candidate FROM (SELECT w, op, {{'i': i::BIGINT, 'j': j::BIGINT}} AS spot, candidate, unnest(string_split(candidate, ' ')) AS part FROM every WHERE contains(candidate, ' '))
+  GROUP BY ALL HAVING bool_and(part IN (SELECT word FROM shown))),
+cuts AS (SELECT w, left(w, k) AS head, substr(w, k + 1) AS tail, k FROM (SELECT w, unnest(range(1, len(w))) AS k FROM t WHERE strlen(w) >= 3)),
+pairs AS (SELECT w, {suggest.TWO_WORDS} AS op, {{'i': k::BIGINT, 'j': m.j::BIGINT}} AS at, head || m.mark || tail AS candidate FROM cuts, (VALUES (0, ' '), (1, '-')) AS m(j, mark) WHERE head IN (SELECT word FROM shown) AND tail IN (SELECT word FROM shown)),
+found AS (SELECT *, max(op <= 1) OVER (PARTITION BY w) AS good FROM (SELECT * FROM single UNION ALL SELECT * FROM spaced UNION ALL SELECT * FROM pairs) WHERE candidate <> w),
+kept AS (SELECT word, clean, kind, variant_no, w, op, spot.i AS i, spot.j AS j, candidate FROM v JOIN found USING (w) WHERE NOT good OR op <> {suggest.TWO_WORDS}),
+told AS (SELECT *, kind >= 3 AND variant_no >= kind - 2 AND contains(candidate, ' ') AND len(substr(candidate, instr(candidate, ' ') + 1)) < len(clean) AND right(clean, len(substr(candidate, instr(candidate, ' ') + 1))) <> substr(candidate, instr(candidate, ' ') + 1) AS moved FROM kept),
+all_ AS (
+  SELECT word, clean, kind, CASE WHEN moved THEN {suggest.PARTED} - variant_no ELSE variant_no END AS variant_no, CASE WHEN moved THEN -op ELSE op END AS op, CASE WHEN moved THEN -i ELSE i END AS i, CASE WHEN moved THEN -j ELSE j END AS j,
+         CASE WHEN moved THEN left(candidate, instr(candidate, ' ')) || {init_sql("substr(candidate, instr(candidate, ' ') + 1)")} ELSE candidate END AS candidate FROM told
+  UNION ALL SELECT word, clean, kind, {suggest.LOWERED}, {suggest.SPELLED}, 0, 0, low FROM wrong WHERE kind >= 3 AND low IN (SELECT word FROM shown)
+  UNION ALL SELECT word, clean, kind, {suggest.CAPITALISED}, {suggest.SPELLED}, 0, 0, {init_sql("low")} FROM wrong WHERE kind = 4 AND ({init_sql("low")} IN (SELECT word FROM shown) OR low IN (SELECT word FROM shown))),
+cased AS (SELECT *, CASE WHEN kind = 2 THEN upper(candidate) WHEN kind IN (1, 4) THEN {init_sql("candidate")} ELSE candidate END AS suggestion FROM all_),
+first AS (SELECT word, suggestion, min({{'v': variant_no, 'op': op, 'i': i, 'j': j}}) AS f FROM cased WHERE suggestion <> word AND suggestion <> clean GROUP BY ALL)
+SELECT word, CAST(rank AS INTEGER) AS rank, suggestion, CAST(f.op AS INTEGER) AS op FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY f, suggestion) AS rank FROM first) WHERE rank <= {suggest.MOST_SUGGESTIONS}"""
+
+
+@query(TYPED_SUGGESTIONS_SQL)
+def suggest_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All generators for the words of ``benchmark`` as typed that are wrong, in the case variants of each."""
+    lex, forms = typed_lexicon(spark, sf_dir), typed_forms(spark, sf_dir)
+    wrong = spell.check(typed_words(spark, sf_dir, "benchmark"), forms, lex, CONFIG).filter("NOT ok").select("word")
+    return suggest.suggest(wrong, forms, lex, CONFIG, fallback=False)
+
+
 GRAM = "len(list_filter(range(1, len(w) - {j} + 2), lambda i: contains(root, substr(w, i, {j}))))"
 
 
