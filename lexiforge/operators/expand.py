@@ -55,11 +55,7 @@ def expand(lexicon: DataFrame, rules: DataFrame, config: AffixConfig) -> DataFra
     if "COMPLEXPREFIXES" in config.switches:
         back = mirrored(config)
         turned = expand(lexicon.withColumn("word", F.reverse("word")), back.rules_df(lexicon.sparkSession), back)
-        kinds = {"prefix": "suffix", "suffix": "prefix", "two_suffixes": "two_prefixes", "prefix_two_suffixes": "two_prefixes_suffix"}
-        swapped = {f"{a}_{c}": F.col(f"{b}_{c}") for a, b in (("pfx", "sfx"), ("sfx", "pfx")) for c in ("rule", "morph")}
-        swapped |= {f"{a}_append": F.reverse(f"{b}_append") for a, b in (("pfx", "sfx"), ("sfx", "pfx"))}
-        kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("kind")), F.col("kind"))
-        return turned.withColumns({**swapped, "surface": F.reverse("surface"), "root": F.reverse("root"), "kind": kind})
+        return turned_back(turned)
     small = F.broadcast if rule_count(config) <= BROADCAST_RULES else (lambda df: df)
     full = "FULLSTRIP" in config.switches
     need, circumfix = F.lit(config.flag("NEEDAFFIX")), F.lit(config.flag("CIRCUMFIX"))
@@ -109,6 +105,15 @@ def expand(lexicon: DataFrame, rules: DataFrame, config: AffixConfig) -> DataFra
     return forms.dropDuplicates(["surface", "entry_id", "dict_no", "pfx_rule", "sfx_rule", "sfx2_rule"])
 
 
+def turned_back(forms: DataFrame) -> DataFrame:
+    """Forms that were made of words read backwards, the right way round: their prefixes are suffixes and the other way."""
+    kinds = {"prefix": "suffix", "suffix": "prefix", "two_suffixes": "two_prefixes", "prefix_two_suffixes": "two_prefixes_suffix"}
+    swapped = {f"{a}_{c}": F.col(f"{b}_{c}") for a, b in (("pfx", "sfx"), ("sfx", "pfx")) for c in ("rule", "morph")}
+    swapped |= {f"{a}_append": F.reverse(f"{b}_append") for a, b in (("pfx", "sfx"), ("sfx", "pfx"))}
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("kind")), F.col("kind"))
+    return forms.withColumns({**swapped, "surface": F.reverse("surface"), "root": F.reverse("root"), "kind": kind})
+
+
 def suggestible(forms: DataFrame, config: AffixConfig) -> DataFrame:
     """Forms that may be suggested: not of entries hidden, kept from suggestions or used in compounds only."""
     barred = [f for f in (ONLY_UPCASE, config.flag("NOSUGGEST"), config.flag("ONLYINCOMPOUND")) if f]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.functions.text import clean_word, field
+from lexiforge.functions.text import ALLCAP, HUHINITCAP, INITCAP, captype, clean_word, field, init_upper, upper_cp
 from lexiforge.operators import compound
-from lexiforge.operators.spell import case_variants
+from lexiforge.operators.spell import case_variants, check
 from lexiforge.sources.affix import AffixConfig
 
 #: Tags that make up an inflection's signature (fixed values of the format).
@@ -50,13 +50,67 @@ def signature(analysis: Column) -> Column:
     return F.filter(F.split(analysis, " "), lambda x: F.substring(x, 1, 3).isin(*SIGNATURE_TAGS))
 
 
+def derivation(forms: DataFrame) -> Column:
+    """The derivational suffixes of a form, or of its entry, before the first inflection."""
+    fields = F.filter(F.split(F.concat_ws(" ", "morph", "sfx_morph"), " "), lambda x: x != "")
+    inflected = F.array_position(F.transform(fields, lambda x: F.startswith(x, F.lit("is:"))), True).cast("int")
+    kept = F.when(inflected > 0, F.slice(fields, F.lit(1), inflected - 1)).otherwise(fields)
+    return F.filter(kept, lambda x: F.startswith(x, F.lit("ds:")))
+
+
+def targets(forms: DataFrame) -> DataFrame:
+    """``(stem, sig, generated)``: forms by the word they belong to and how they are inflected.
+
+    An allomorph belongs to the word that it names as its stem and that names it in turn.
+    """
+    own = F.element_at(F.when(F.size(field(F.col("morph"), "st")) > 0, field(F.col("morph"), "st")), 1)
+    rows = forms.select("root", "morph", own.alias("named"), signature(description(forms)).alias("sig"), F.col("surface").alias("generated"))
+    plain = rows.select(F.col("root").alias("stem"), "sig", "generated")
+    listed = rows.select(F.col("root").alias("stem"), F.explode(field(F.col("morph"), "al")).alias("allomorph")).distinct()
+    other = rows.filter(F.col("named") != F.col("root")).join(listed, (F.col("named") == F.col("stem")) & (F.col("root") == F.col("allomorph")))
+    return plain.unionByName(other.select("stem", "sig", "generated")).distinct()
+
+
 def generate(pairs: DataFrame, forms: DataFrame) -> DataFrame:
-    """``(word, example, generated)``: forms of the word's root that are inflected as the example is."""
-    described = forms.select("surface", "root", "entry_id", signature(description(forms)).alias("sig"))
-    of = lambda column, name: described.select(F.col("surface").alias(column), F.col("root").alias(f"{name}_root"), F.col("sig").alias(f"{name}_sig")).distinct()
-    wanted = pairs.select("word", "example").distinct().join(of("word", "w"), "word").join(of("example", "e"), "example")
-    targets = described.select(F.col("surface").alias("generated"), F.col("root").alias("w_root"), F.col("sig").alias("e_sig")).distinct()
-    return wanted.join(targets, ["w_root", "e_sig"]).select("word", "example", "generated").distinct()
+    """``(word, example, generated)``: forms of the word's root that are inflected as the example is.
+
+    A derived word keeps its derivational suffixes, with the example's after
+    them; where the root has no such form, it is inflected as the example alone.
+    """
+    told = forms.select("surface", "root", derivation(forms).alias("derived"), signature(description(forms)).alias("sig"))
+    wanted = pairs.select("word", "example").distinct().join(told.select(F.col("surface").alias("word"), F.col("root").alias("stem"), "derived").distinct(), "word")
+    wanted = wanted.join(told.select(F.col("surface").alias("example"), F.col("sig").alias("e_sig")).distinct(), "example")
+    ways = F.array(F.when(F.size("derived") > 0, F.struct(F.lit(0).alias("way"), F.concat("derived", "e_sig").alias("sig"))), F.struct(F.lit(1).alias("way"), F.col("e_sig").alias("sig")))
+    tried = wanted.select("*", F.inline(F.filter(ways, lambda x: x.isNotNull())))
+    found = tried.join(targets(forms), ["stem", "sig"])
+    first = F.min("way").over(Window.partitionBy("word", "example", "stem", "derived", "e_sig"))
+    return found.withColumn("first", first).filter("way = first").select("word", "example", "generated").distinct()
+
+
+def generate_cased(pairs: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig) -> DataFrame:
+    """:func:`generate` for words as typed: both are looked up in their case variants, results take the word's capitals, and wrong ones go."""
+    pairs = pairs.select("word", "example").filter("word IS NOT NULL AND example IS NOT NULL").distinct()
+    asked = pairs.select("word").union(pairs.select("example")).distinct().withColumn("c", clean_word(F.col("word")))
+    tried = asked.select("word", captype(F.col("c.word")).alias("case"), F.inline(case_variants(F.col("c.word"), dots=F.col("c.dots")))).drop("variant_no")
+    words = tried.select("word", "case", F.col("form").alias("own"))
+    examples = tried.select(F.col("word").alias("example"), F.col("form").alias("model"))
+    lowered = pairs.join(words, "word").join(examples, "example")
+    found = generate(lowered.select(F.col("own").alias("word"), F.col("model").alias("example")), forms).withColumnsRenamed({"word": "own", "example": "model"})
+    text = F.col("generated")
+    text = F.when(F.col("case") == ALLCAP, upper_cp(text)).when(F.col("case").isin(INITCAP, HUHINITCAP), init_upper(text)).otherwise(text)
+    made = lowered.join(found, ["own", "model"]).select("word", "example", text.alias("generated")).distinct()
+    return check(made, forms, lexicon, config, "generated").filter("ok").select("word", "example", "generated")
+
+
+def stem_derived(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(word, stem)``: stems of distinct words; where an analysis has derivational suffixes, the form that has these alone, after the surface of a prefix if it is named."""
+    cleaned = words.select("word").filter("word IS NOT NULL").distinct().withColumn("c", clean_word(F.col("word")))
+    tried = cleaned.select("word", F.inline(case_variants(F.col("c.word"), dots=F.col("c.dots"))))
+    whole = tried.join(forms, F.col("form") == F.col("surface")).select("word", "root", description(forms).alias("analysis"), derivation(forms).alias("derived"))
+    bare = stem(whole.filter(F.size("derived") == 0).select("word", "analysis"))
+    grown = whole.filter(F.size("derived") > 0).select("word", F.col("root").alias("stem"), F.col("derived").alias("sig"), F.array_join(field(F.col("analysis"), "sp"), "").alias("head"))
+    made = grown.distinct().join(targets(forms), ["stem", "sig"]).select("word", F.concat("head", "generated").alias("stem"))
+    return bare.unionByName(made).distinct()
 
 
 def generate_from(words: DataFrame, forms: DataFrame, wanted: list[str]) -> DataFrame:

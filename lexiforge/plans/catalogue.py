@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import phonetic, similarity, text
-from lexiforge.operators import command, compound, expand, morphology, overlay, rerank, root_index, spell, suggest
+from lexiforge.operators import affix_index, command, compound, expand, morphology, overlay, rerank, root_index, spell, suggest
 from lexiforge.sources.affix import AffixConfig, parse_affix
 from lexiforge.sources.dictionary import lexicon
 from lexiforge.store import once
@@ -333,6 +333,14 @@ def analyze_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.analyze(types(spark, sf_dir), document_forms(spark, sf_dir))
 
 
+@query(f"SELECT DISTINCT word, analysis FROM ({ANALYSIS_SQL}) WHERE word IN (SELECT word FROM ({TYPES_SQL}))")
+def analyze_by_affixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analyses of word types without stored forms: affixes are stripped and what is left looked up."""
+    words = types(spark, sf_dir).select("word")
+    forms = affix_index.forms_of(words.withColumnRenamed("word", "surface"), document_lexicon(spark, sf_dir), CONFIG)
+    return morphology.analyze(words, forms)
+
+
 @query(f"SELECT DISTINCT surface AS word, root AS stem FROM ({FORMS_SQL}) WHERE surface IN (SELECT word FROM ({TYPES_SQL}))")
 def stem_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.stem(morphology.analyze(types(spark, sf_dir), document_forms(spark, sf_dir)))
@@ -371,6 +379,54 @@ def generate_by_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.generate(pairs, document_forms(spark, sf_dir))
 
 
+#: A derivational suffix that plurals continue, for words that end in t.
+DERIVED_CONFIG: AffixConfig = parse_affix([*AFFIX.splitlines(), "SFX B Y 1", "SFX B 0 able/S . ds:able"])
+DERIVED_SQL = f"""
+  SELECT surface, root, concat_ws(' ', nullif(pfx, ''), nullif(sfx, '')) AS sig, false AS derived FROM ({FORMS_SQL})
+  UNION ALL SELECT root || x.tail, root, x.sig, true FROM (SELECT DISTINCT root FROM ({FORMS_SQL}) WHERE right(root, 1) = 't'), (VALUES ('able', 'ds:able'), ('ables', 'ds:able is:plural')) AS x(tail, sig)
+  UNION ALL SELECT 'un' || root || x.tail, root, x.sig, true FROM (SELECT DISTINCT root FROM ({FORMS_SQL}) WHERE right(root, 1) = 't' AND left(root, 1) = 'r'), (VALUES ('able', 'ds:neg ds:able'), ('ables', 'ds:neg ds:able is:plural')) AS x(tail, sig)"""
+
+
+def derived_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
+        more = F.when(F.endswith("word", F.lit("t")), F.array(F.lit(ord("B")))).otherwise(F.array().cast("array<int>"))
+        return expand.expand(document_lexicon(spark, sf_dir).withColumn("flags", F.array_sort(F.concat("flags", more))), DERIVED_CONFIG.rules_df(spark), DERIVED_CONFIG)
+
+    return stored("derived-forms", make, spark, sf_dir)
+
+
+@query(f"""WITH f AS MATERIALIZED (SELECT DISTINCT surface, root, derived FROM ({DERIVED_SQL}))
+SELECT DISTINCT surface AS word, CASE WHEN derived THEN root || 'able' ELSE root END AS stem FROM f""")
+def derived_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems of all forms of the lexicon; what is derived goes back to the derived word."""
+    forms = derived_forms(spark, sf_dir)
+    return morphology.stem_derived(forms.select(F.col("surface").alias("word")), forms)
+
+
+@query(f"""WITH f AS MATERIALIZED (SELECT DISTINCT surface, root, sig, derived FROM ({DERIVED_SQL})),
+m AS (SELECT sig, min(surface) AS example FROM f GROUP BY sig),
+w AS (SELECT DISTINCT surface FROM f WHERE root IN ({BENCH_SQL})),
+t AS (SELECT surface AS word, surface AS own FROM w UNION SELECT upper(surface), surface FROM w WHERE surface NOT LIKE '%ß%' UNION SELECT upper(left(surface, 1)) || substr(surface, 2), surface FROM w WHERE surface NOT LIKE 'ß%'),
+wanted AS (SELECT DISTINCT word, own, example, f.root, f.derived, e.sig FROM t JOIN f ON f.surface = own CROSS JOIN m JOIN f e ON e.surface = example),
+ways AS (SELECT *, 0 AS way, trim('ds:able ' || sig) AS target FROM wanted WHERE derived UNION ALL SELECT *, 1, sig FROM wanted),
+g AS (SELECT ways.*, h.surface AS generated, min(way) OVER (PARTITION BY word, own, example, ways.root, ways.derived, ways.sig) AS first FROM ways JOIN f h ON h.root = ways.root AND h.sig = target)
+SELECT DISTINCT word, example, CASE WHEN word = own THEN generated WHEN word = upper(own) AND len(own) > 1 THEN upper(generated) ELSE upper(left(generated, 1)) || substr(generated, 2) END AS generated
+FROM g WHERE way = first""")
+def derived_inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of ``benchmark`` words, in three kinds of capitals, inflected as one example of each kind of form is; derived ones in two steps."""
+    forms, lex = derived_forms(spark, sf_dir), document_lexicon(spark, sf_dir)
+    kinds = morphology.signature(morphology.description(forms))
+    examples = forms.groupBy(kinds.alias("sig")).agg(F.min("surface").alias("example")).select("example").distinct()  # one a kind of form
+    roots = bench_words(spark, sf_dir).withColumnRenamed("w", "root")
+    own = forms.join(roots, "root", "left_semi").select(F.col("surface").alias("w")).distinct()
+    big = F.when(~F.contains("w", F.lit("ß")), text.upper_cp(F.col("w")))
+    initial = F.when(~F.startswith("w", F.lit("ß")), text.init_upper(F.col("w")))
+    words = own.select(F.explode(F.array_compact(F.array("w", big, initial))).alias("word")).distinct()
+    models = F.array(*[F.lit(r["example"]) for r in examples.collect()]).cast("array<string>")
+    pairs = words.select("word", F.explode(models).alias("example"))
+    return morphology.generate_cased(pairs, forms, lex, DERIVED_CONFIG)
+
+
 @query(f"""
 WITH l AS (SELECT word FROM ({LEXICON_SQL})), b AS ({BENCH_SQL}), gone AS (SELECT word FROM ({TYPES_SQL}) WHERE n_docs >= 100)
 SELECT word, word IN (SELECT word FROM gone) AS forbidden FROM (SELECT word FROM l UNION SELECT w FROM b)""")
