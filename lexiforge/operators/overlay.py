@@ -16,8 +16,14 @@ def add(current: DataFrame, words: DataFrame, config: AffixConfig) -> DataFrame:
     cleared = cleared.withColumn("flags", F.when(F.col("_added"), F.array_remove("flags", config.forbidden)).otherwise(F.col("flags"))).drop("_word", "_added")
     shown = current.filter("NOT hidden").select(F.col("word").alias("_word")).distinct()
     fresh = words.join(shown, F.col("word") == F.col("_word"), "left_anti").dropDuplicates(["word"])
-    fresh = fresh.withColumn("entry_id", F.xxhash64("word").bitwiseOR(F.lit(1 << 62)))
-    return cleared.unionByName(lexicon(fresh, config))
+    fresh = lexicon(fresh.withColumn("entry_id", F.xxhash64("word").bitwiseOR(F.lit(1 << 62))), config)
+    return with_entries(cleared, fresh)
+
+
+def with_entries(current: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Both lexicons in one: visible entries take the place of hidden ones spelled alike, in whichever they stand."""
+    shown = F.max(~F.col("hidden")).over(Window.partitionBy("word"))
+    return current.unionByName(fresh).withColumn("_shown", shown).filter(~(F.col("hidden") & F.col("_shown"))).drop("_shown")
 
 
 def add_with_affix(current: DataFrame, pairs: DataFrame, config: AffixConfig) -> DataFrame:

@@ -74,9 +74,9 @@ def tokens(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
 
 
-def stored(name: str, make: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A relation made of ``documents``, written once and read by all queries."""
-    return once(spark, f"{sf_dir}/documents.parquet", name, lambda: make(spark, sf_dir))
+def stored(name: str, make: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str, bucket_by: str | None = None) -> DataFrame:
+    """A relation made of ``documents``, written once and read by all queries; in buckets of the column that it is looked up by, if one is named."""
+    return once(spark, f"{sf_dir}/documents.parquet", name, lambda: make(spark, sf_dir), bucket_by)
 
 
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def document_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored("forms", make_forms, spark, sf_dir)
+    return stored("forms", make_forms, spark, sf_dir, "surface")
 
 
 def make_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
