@@ -9,8 +9,8 @@ that model's penalty.
 
 The model is fitted on a bounded sample of labelled texts
 (``TRAIN_PER_LANG`` texts of each language, the first ones by a hash of id and
-text) and kept to the most frequent entries, so it has a proven size and is
-broadcast.  Every text is scored whole, by the sum over all its words; no
+text) and keeps every entry of it, so its size is bounded by the sample's and it
+is broadcast.  Every text is scored whole, by the sum over all its words; no
 language is left out, however many there are.
 """
 
@@ -35,8 +35,8 @@ UNKNOWN = "und"
 WORD_RUNS = re.compile(r"[^\W\d_]+")
 OTHER_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 ORDERS = (5, 4, 3, 2, 1)
-#: Bounds of the fitted model: labelled texts of a language and in all, and entries of a language and kind.
-TRAIN_PER_LANG, TRAIN_ROWS, WORDS_PER_LANG, GRAMS_PER_LANG = 1500, 300_000, 20_000, 10_000
+#: Bounds of the sample: labelled texts of a language and in all.
+TRAIN_PER_LANG, TRAIN_ROWS = 500, 100_000
 #: Log-frequency (base 10) of what a language's model lacks.
 PENALTY = -7.0
 #: Scored words after which the cache starts over, and texts scored at a time.
@@ -167,22 +167,19 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     counts = sample.mapInArrow(counted, "lang string, kind int, entry string, n bigint").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "lang-counts")
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    most = F.when(F.col("kind") == 0, WORDS_PER_LANG).otherwise(GRAMS_PER_LANG)
-    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "entry"))
-    ranked = counts.withColumn("place", place).filter(F.col("place") <= most)
-    logs = ranked.join(totals, ["lang", "kind"]).select("lang", "kind", "entry", F.log10(F.col("n") / F.col("total")).alias("log"))
-    rows = logs.toArrow().to_pydict()  # at most WORDS_PER_LANG + 5 * GRAMS_PER_LANG entries a language
+    logs = counts.join(totals, ["lang", "kind"])
+    # One row an entry: a gram of several orders takes its highest frequency.
+    one = logs.groupBy((F.col("kind") > 0).alias("gram"), "entry", "lang").agg(F.max(F.log10(F.col("n") / F.col("total"))).alias("log"))
+    rows = one.groupBy("gram", "entry").agg(F.map_from_entries(F.collect_list(F.struct("lang", "log"))).alias("logs"))
+    langs = [r["lang"] for r in totals.select("lang").distinct().orderBy("lang").collect()]
+    each = [F.coalesce(F.try_element_at("logs", F.lit(lang)), F.lit(PENALTY)) for lang in langs]
+    table = rows.select("gram", "entry", F.array(*each).cast("array<double>").alias("values")).orderBy("gram", "entry").toArrow()  # the entries of at most TRAIN_ROWS texts
     release(sample, counts)
-    langs = sorted(set(rows["lang"]))
-    at = {lang: i for i, lang in enumerate(langs)}
-    tables: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    places = [tables[kind > 0].setdefault(entry, len(tables[kind > 0])) for kind, entry in zip(rows["kind"], rows["entry"], strict=True)]
-    values = [np.full((len(table), len(langs)), -np.inf) for table in tables]
-    for lang, kind, place, log in zip(rows["lang"], rows["kind"], places, rows["log"], strict=True):
-        own = values[kind > 0]
-        own[place, at[lang]] = max(log, own[place, at[lang]])
-    grams = {entry: row + len(tables[0]) for entry, row in tables[1].items()}
-    return Model(langs, tables[0], grams, np.nan_to_num(np.concatenate(values), neginf=PENALTY))
+    split = table["gram"].to_pylist().index(True) if len(table) else 0
+    entries = table["entry"].to_pylist()
+    values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table["values"].chunks]).reshape(-1, len(langs)) if len(table) else np.zeros((0, 0))
+    words, grams = ({entry: row for row, entry in part} for part in (enumerate(entries[:split]), enumerate(entries[split:], split)))
+    return Model(langs, words, grams, values)
 
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -49,3 +49,10 @@ def test_rows_of_one_id_are_drawn_each_for_itself(spark):
     drawn, want = mix.draw(df).toPandas(), mix.mix_sources(df).toPandas()
     words = drawn.assign(size=drawn["text"].str.split().str.len()).groupby("source")["size"].sum()
     assert words.to_dict() == want.groupby("source")["taken"].sum().to_dict()
+
+
+def test_without_labels_nothing_is_judged(spark):
+    rows = [(1, "some words", None), (2, None, None), (3, "12 ..", None)]
+    with pytest.warns(UserWarning, match="no document is labelled"):
+        kept = stages.keep_known_languages(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "")
+    assert [r["doc_id"] for r in kept.collect()] == [1]
