@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm._common import WORD, fresh_name, materialize
 
+#: An odd number of 32 bits without a pattern, for multiplicative hashing.
+MULTIPLIER = 2_654_435_761
 #: A power of two.
 BUCKETS = 1 << 13
 #: Documents whose mean log-likelihood ratio is below this are dropped.
@@ -85,8 +87,9 @@ def token_buckets(text: Column, buckets: int = BUCKETS) -> Column:
 
 
 def pair(a: Column, b: Column, buckets: int) -> Column:
-    """The bucket of a pair of neighbours, from ``buckets`` on."""
-    return F.shiftleft(a.cast("int"), 1).bitwiseXOR(b.cast("int")).bitwiseAND(F.lit(buckets - 1)) + buckets
+    """The bucket of a pair of neighbours, from ``buckets`` on: the middle bits of a multiple of both numbers side by side."""
+    mixed = F.shiftright((a.cast("bigint") * buckets + b.cast("bigint")) * MULTIPLIER, 16)
+    return mixed.bitwiseAND(F.lit(buckets - 1).cast("bigint")).cast("int") + buckets
 
 
 def features(ones: Column, buckets: int = BUCKETS) -> Column:
