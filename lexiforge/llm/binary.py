@@ -2,8 +2,10 @@
 
 Documents are tokenised, overlong ones are cut into pieces without losing an
 id, and pieces are packed in blocks as they come: a task fills blocks of
-``BLOCK_PIECES`` pieces from its part of the input, so ids are never shuffled
-and memory is bounded.  Within a block, pieces in falling length take the
+``BLOCK_PIECES`` pieces from its part of the input, so most ids are never
+shuffled and memory is bounded.  A second pass gathers the sequences that were
+left with room, chiefly those of each task's last block, and packs their pieces
+anew, so that the fill does not depend on how the input is split.  Within a block, pieces in falling length take the
 sequence with the least room that still holds them.  The room is found in a
 segment tree over capacities, whose leaves count open sequences by room left,
 in log(capacity) steps.  A sequence becomes one row: its ids as a fixed-width little-endian
@@ -20,15 +22,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm._common import limit_batches
+from lexiforge.llm._common import limit_batches, materialize
 from lexiforge.llm.tokens import CAPACITY, END_ID, cuts, default_vocabulary, encoder
 
 PAD_ID = 0
 #: Pieces in a block: thousands of candidates for each gap, some 20 MB of ids.
 BLOCK_PIECES = 8192
+#: Sequences with more than this part of their room left are packed again; blocks of that pass are numbered from AGAIN on.
+SPARE, AGAIN = 64, 1 << 62
 MATRIX = "block bigint, sequence int, ids binary, n_ids int, cu_lengths array<int>, positions binary, doc_ids array<bigint>, pieces array<int>, starts array<bigint>"
 
 
@@ -79,6 +83,11 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[tuple[i
     return placed, opened
 
 
+def wasteful(capacity: int) -> Column:
+    """Sequences with more than a ``SPARE``-th of their room left."""
+    return F.lit(capacity) - F.col("n_ids") > capacity // SPARE
+
+
 def matrix_schema() -> pa.Schema:
     ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), ints, pa.binary(), longs, ints, longs)
@@ -118,7 +127,8 @@ def packed_matrices(docs: DataFrame, capacity: int = CAPACITY, path: str | None
     doc_id stays null; repeated rows are packed each for itself; ties in length
     go by id, piece and start.  A very long text becomes many pieces.  A block
     is numbered by its task and its place in the task, so the same splits of
-    the input give the same rows, after a lost executor too.
+    the input give the same rows, after a lost executor too.  The first pass is
+    written; the result reads it and packs what it left open once more.
     """
     limit_batches(docs.sparkSession)
     where = path or default_vocabulary()
@@ -139,7 +149,24 @@ def packed_matrices(docs: DataFrame, capacity: int = CAPACITY, path: str | None
         if rows:
             yield from pack_block(block, rows, capacity, pad_id)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pack, MATRIX)
+    first = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pack, MATRIX), "first-pass")
+    loose = first.filter(wasteful(capacity))
+    pieces = loose.agg(F.sum(F.size("pieces"))).head()[0] or 0
+    again = loose.repartition(max(1, pieces // block_pieces), F.xxhash64("block", "sequence")).sortWithinPartitions("block", "sequence")
+
+    def repack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = AGAIN + (TaskContext.get().partitionId() << 32), []
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, ends = np.frombuffer(row["ids"], kind), row["cu_lengths"]
+                rows.extend((doc_id, piece, start, ids[ends[at] : ends[at + 1]]) for at, (doc_id, piece, start) in enumerate(zip(row["doc_ids"], row["pieces"], row["starts"], strict=True)))
+            while len(rows) >= 2 * block_pieces:
+                yield from pack_block(block, rows[:block_pieces], capacity, pad_id)
+                rows, block = rows[block_pieces:], block + 1
+        if rows:
+            yield from pack_block(block, rows, capacity, pad_id)
+
+    return first.filter(~wasteful(capacity)).unionByName(again.mapInArrow(repack, MATRIX))
 
 
 def placements(matrices: DataFrame, id_bytes: int = 2) -> DataFrame:
