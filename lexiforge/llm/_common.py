@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.store import shared_folder
+
 #: Word separators of every contract: the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bounds of what Python receives at a time, in rows and bytes; whether Spark removes a query's shuffle files as soon as the query ends.
@@ -21,25 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share for intermediate tables.
-
-    It is ``spark.checkpoint.dir``.  Where that is unset, a local session gets a
-    temporary folder of its own; a cluster must name one, since no other folder
-    is known to be shared.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = getattr(spark.sparkContext, "_lexiforge_shared", None)
-    if own is None:
-        own = f"file://{tempfile.mkdtemp(prefix='lexiforge-')}"
-        spark.sparkContext._lexiforge_shared = own
-    return own
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder, deleted when the session's JVM ends."""
     path = f"{shared_folder(spark)}/lexiforge/{tag}-{uuid.uuid4().hex}"

@@ -16,7 +16,7 @@ import bisect
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm._common import buckets_for, materialize
+from lexiforge.llm._common import buckets_for, fresh_name, materialize
 from lexiforge.llm.tokens import CAPACITY, pieces
 
 PLAN = "length bigint, rank_from bigint, rank_to bigint, sequence_from bigint, place bigint"
@@ -64,19 +64,20 @@ def plan_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     return steps
 
 
-def rank_within_length(rows: DataFrame, order: list[str], spread: list[str], n: int) -> DataFrame:
-    """Add ``rank``, 0-based within ``length``, without sorting a length in one task.
+def rank_within_length(rows: DataFrame, order: list[str], spread: list[str], n: int, out: str = "rank") -> DataFrame:
+    """Add ``out``, the 0-based rank within ``length``, without sorting a length in one task.
 
     Rows are dealt by length and a hash of ``spread``; a row's rank is its
     place in its own part plus the rows in the parts before.
     """
     parts = buckets_for(n, 100_000)
-    keyed = rows.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(parts)))
-    sizes = keyed.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = sizes.select("length", "_part", (F.sum("_rows").over(Window.partitionBy("length").orderBy("_part")) - F.col("_rows")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("length", "_part").orderBy(*order)) - 1
-    ranked = keyed.withColumn("_own", own).join(before, ["length", "_part"])
-    return ranked.withColumn("rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
+    part, place, ahead = (fresh_name(rows, c) for c in ("part", "place", "before"))
+    keyed = rows.withColumn(part, F.pmod(F.xxhash64(*spread), F.lit(parts)))
+    sizes = keyed.groupBy("length", part).agg(F.count(F.lit(1)).alias("rows"))
+    before = sizes.select("length", part, (F.sum("rows").over(Window.partitionBy("length").orderBy(part)) - F.col("rows")).alias(ahead))
+    own = F.row_number().over(Window.partitionBy("length", part).orderBy(*order)) - 1
+    ranked = keyed.withColumn(place, own).join(before, ["length", part])
+    return ranked.withColumn(out, F.col(place) + F.col(ahead)).drop(place, ahead, part)
 
 
 def place_pieces(rows: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
@@ -88,13 +89,15 @@ def place_pieces(rows: DataFrame, order: list[str], capacity: int = CAPACITY) ->
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     steps = plan_counts(counts, capacity)
     plan = spark.createDataFrame(steps, PLAN) if steps else spark.createDataFrame([], PLAN)
+    # The plan's columns, and the rank, take names that the rows have not.
+    own = {c: fresh_name(rows, c) for c in (*plan.columns, "rank")}
+    plan = plan.withColumnsRenamed({c: own[c] for c in plan.columns})
+    at = {c: F.col(name) for c, name in own.items()}
     if len(steps) <= BROADCAST_STEPS:
         plan = F.broadcast(plan)
-    ranked = rank_within_length(rows, order, order, sum(counts.values()))
-    placed = ranked.join(plan, (ranked["length"] == plan["length"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))).drop(plan["length"])
-    return placed.withColumns(
-        {"sequence_id": F.col("sequence_from") + F.col("rank") - F.col("rank_from"), "offset": F.col("place")}
-    ).drop("rank", "rank_from", "rank_to", "sequence_from", "place")
+    ranked = rank_within_length(rows, order, order, sum(counts.values()), own["rank"])
+    placed = ranked.join(plan, (F.col("length") == at["length"]) & (at["rank"] >= at["rank_from"]) & (at["rank"] < at["rank_to"]))
+    return placed.withColumns({"sequence_id": at["sequence_from"] + at["rank"] - at["rank_from"], "offset": at["place"]}).drop(*own.values())
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, backend: str = "tiktoken") -> DataFrame:

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm._common import materialize
+from lexiforge.llm._common import fresh_name, materialize
 
 #: Base patterns (fixed by the contract), in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -201,15 +201,16 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``base_spans`` and ``tested_spans`` (runs outside base spans, with stratum and evidence) to ``docs``."""
     whole = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(match_spans(whole, ASSIGN, 0, 2, LEAST_ASSIGN), match_spans(whole, ACCESS, 1, None, LEAST_ACCESS), match_spans(whole, HEX, 2))
-    found = docs.withColumns({"base_spans": F.array_sort(base), "_runs": match_spans(whole, CANDIDATE, 3)})
-    free = F.filter("_runs", lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = found.withColumn("_runs", free)
+    runs = fresh_name(docs, "runs")
+    found = docs.withColumns({"base_spans": F.array_sort(base), runs: match_spans(whole, CANDIDATE, 3)})
+    free = F.filter(runs, lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    found = found.withColumn(runs, free)
 
     def tested(c: Column) -> Column:
         run = F.substring(whole, (c["start"] + 1).cast("int"), (c["end"] - c["start"]).cast("int"))
         return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), stratum(c["end"] - c["start"]).alias("stratum"), battery(run).alias("tenths"))
 
-    return found.withColumn("tested_spans", F.transform("_runs", tested)).drop("_runs")
+    return found.withColumn("tested_spans", F.transform(runs, tested)).drop(runs)
 
 
 def thresholds(scanned: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> dict[int, int]:

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm._common import materialize
+from lexiforge.llm._common import fresh_name, materialize
 
 ROUNDS = 6
 #: Walks along a cycle.  The domain exceeds n by at most 2 * sqrt(n) points, so
@@ -59,14 +59,15 @@ def number_rows(df: DataFrame, keys: list[str], out: str = "row_no") -> tuple[Da
     order; give all columns as keys where that matters.
     """
     order = [F.col(k).asc_nulls_first() for k in keys]
-    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    range_, rank, ahead = (fresh_name(df, c) for c in ("range", "rank", "before"))
+    ranged = materialize(df.repartitionByRange(*order).withColumn(range_, F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(range_).agg(F.count(F.lit(1)).alias("rows"))
     # One row for each range: at most spark.sql.shuffle.partitions rows.
-    before = counts.withColumn("_before", F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows"))
+    before = counts.select(range_, (F.sum("rows").over(Window.orderBy(range_)) - F.col("rows")).alias(ahead))
     n = ranged.count()
-    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
-    numbered = ranked.join(before.select("_range", "_before"), "_range")
-    return numbered.withColumn(out, F.col("_rank") + F.col("_before")).drop("_rank", "_before", "_range"), n
+    ranked = ranged.withColumn(rank, F.row_number().over(Window.partitionBy(range_).orderBy(*order)) - 1)
+    numbered = ranked.join(before, range_)
+    return numbered.withColumn(out, F.col(rank) + F.col(ahead)).drop(rank, ahead, range_), n
 
 
 def shard_rows(df: DataFrame, keys: list[str], n_shards: int = 16, seed: int = 17) -> DataFrame:
@@ -79,13 +80,14 @@ def shard_rows(df: DataFrame, keys: list[str], n_shards: int = 16, seed: int = 1
     """
     df = df.drop("row_no", "shard", "slot")
     numbered, n = number_rows(df, keys)
-    image = numbered.withColumn("_image", feistel(F.col("row_no"), n, seed))
+    at = fresh_name(numbered, "image")
+    image = numbered.withColumn(at, feistel(F.col("row_no"), n, seed))
     return image.withColumns(
         {
-            "shard": (F.col("_image") % F.lit(n_shards)).cast("int"),
-            "slot": F.floor(F.col("_image") / F.lit(n_shards)).cast("bigint"),
+            "shard": (F.col(at) % F.lit(n_shards)).cast("int"),
+            "slot": F.floor(F.col(at) / F.lit(n_shards)).cast("bigint"),
         }
-    ).drop("_image")
+    ).drop(at)
 
 
 def document_keys(docs: DataFrame) -> DataFrame:

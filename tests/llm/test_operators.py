@@ -178,6 +178,63 @@ def test_matrices(spark, docs):
     assert binary.packed_matrices(docs.limit(0)).count() == 0
 
 
+def test_fill_does_not_depend_on_splits(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, prose(int(n), EN, i)) for i, n in enumerate(r.integers(20, 500, 300))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counts = []
+    for parts in (1, 40):
+        matrices = binary.packed_matrices(df.repartition(parts)).cache()
+        counts.append(matrices.count())
+        places = binary.placements(matrices).toPandas()
+        assert len(places[["doc_id", "piece"]].drop_duplicates()) == len(places) and set(places["doc_id"]) == set(range(300))
+        assert (places.groupby(["block", "sequence"])["length"].sum() <= 1024).all()
+    assert counts[1] <= counts[0] * 1.005 + 1
+
+
+def test_random_plans_and_packings_against_brute_force():
+    r = np.random.default_rng(9)
+    for _ in range(200):
+        lengths = sorted(r.integers(1, 33, r.integers(1, 60)).tolist(), reverse=True)
+        rooms, want = [], []
+        for length in lengths:
+            fitting = [x for x in rooms if x >= length]
+            room = min(fitting) if fitting else 32
+            if fitting:
+                rooms.remove(room)
+            rooms.append(room - length)
+            want.append(32 - room)
+        placed, opened = binary.best_fit_decreasing(lengths, 32)
+        assert [offset for _, offset in placed] == want and opened == len(rooms)
+        steps = pack.plan_counts(Counter(lengths), 32)
+        spans = defaultdict(list)
+        for length, first, last, sequence, offset in steps:
+            for k in range(last - first):
+                spans[sequence + k].append((offset, length))
+        assert sorted(x for own in spans.values() for _, x in own) == sorted(lengths) and len(spans) == opened
+        for own in spans.values():
+            end = 0
+            for offset, length in sorted(own):
+                assert offset == end
+                end += length
+            assert end <= 32
+
+
+def test_every_entry_of_the_sample_is_known(spark):
+    words = ["".join(chr(97 + (k // 26**j) % 26) for j in range(4)) for k in range(30_000)]
+    model = langid.train(spark.createDataFrame([(1, " ".join(words), "xx"), (2, "other words here", "yy")], "doc_id bigint, text string, lang string"))
+    assert set(words) <= set(model.words) and model.langs == ["xx", "yy"]
+
+
+def test_library_leaves_clashing_columns(spark, docs):
+    names = ["runs", "range", "image", "rank", "before", "part", "place", "rank_from", "sequence_from"]
+    df = docs.select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    kept = lambda out: out.select(*names).distinct().collect() == [tuple(range(len(names)))]
+    assert kept(secrets.scan(df)) and kept(shard.shard_rows(df, ["doc_id", "text"]))
+    rows = df.withColumn("length", F.least(F.length(F.coalesce("text", F.lit(""))) + 1, F.lit(1024)).cast("bigint")).cache()
+    assert kept(pack.place_pieces(rows, ["doc_id", "text"]))
+
+
 def test_capacity_tree():
     tree, held = binary.CapacityTree(50), Counter()
     for _ in range(500):
@@ -552,7 +609,7 @@ def test_ratios_against_brute_force(spark, docs):
 
     def buckets_of(text):
         ones = [xxhash.xxh64_intdigest(t.encode(), 42) % buckets for t in tokens_of(text)]
-        return ones, [((2 * a) ^ b) % buckets for a, b in zip(ones, ones[1:], strict=False)]
+        return ones, [((a * buckets + b) * 2_654_435_761 >> 16) % buckets for a, b in zip(ones, ones[1:], strict=False)]
 
     raw, good = (Counter(), Counter()), (Counter(), Counter())
     for r in got.itertuples():
