@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge import sql
 from lexiforge.functions import phonetic, similarity, text
 from lexiforge.operators import affix_index, command, compound, expand, morphology, overlay, rerank, root_index, spell, suggest
 from lexiforge.sources.affix import AffixConfig, parse_affix
 from lexiforge.sources.dictionary import lexicon
-from lexiforge.store import once
+from lexiforge.store import once, temporary
 from lexiforge.streaming import keystrokes
+from lexiforge.streaming import latest as latest_stream
 
 VOWELS = "aeiou"
 LEAST_DOCS = 5
@@ -738,6 +740,46 @@ def typed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spell.check(typed_words(spark, sf_dir, "conversations"), typed_forms(spark, sf_dir), typed_lexicon(spark, sf_dir), CONFIG).select("word", "ok")
 
 
+# ---- the lexicon in SQL alone
+
+
+def asked(df: DataFrame, name: str) -> None:
+    df.createOrReplaceTempView(name)
+
+
+@query(f"""WITH {CASED_ENTRIES_SQL}, asked AS (SELECT DISTINCT word, rtrim(word, '.') AS clean FROM (SELECT unnest(regexp_extract_all(text, '{TYPED}')) AS word FROM conversations)), {VERDICT_SQL}
+SELECT DISTINCT word, form AS surface FROM forms WHERE form IN (SELECT word FROM shown) OR (kind = 2 AND form IN (SELECT word FROM hidden))""")
+def sql_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that words of conversations, as typed, are found under; by the table functions of :mod:`lexiforge.sql`."""
+    sql.register(spark, typed_forms(spark, sf_dir), typed_lexicon(spark, sf_dir), CONFIG, "typed")
+    asked(table(spark, sf_dir, "conversations"), "asked_conversations")
+    return spark.sql(rf"""
+      SELECT a.word, l.surface FROM (SELECT DISTINCT word FROM asked_conversations LATERAL VIEW explode(regexp_extract_all(text, r'{TYPED}', 0)) w AS word) a,
+      LATERAL typed_lookup(a.word) l""")
+
+
+@query(f"SELECT DISTINCT word, analysis FROM ({ANALYSIS_SQL}) WHERE word IN ({BENCH_SQL})")
+def sql_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark, document_forms(spark, sf_dir), document_lexicon(spark, sf_dir), CONFIG, "lexicon")
+    asked(bench_words(spark, sf_dir), "asked_words")
+    return spark.sql("SELECT a.w AS word, l.analysis FROM asked_words a, LATERAL lexicon_analyze(a.w) l")
+
+
+@query(f"""WITH s AS MATERIALIZED (SELECT DISTINCT surface FROM ({FORMS_SQL})), t AS MATERIALIZED (SELECT w FROM ({BENCH_SQL}) WHERE w NOT IN (SELECT surface FROM s)),
+sk AS (SELECT surface, surface AS key FROM s UNION SELECT surface, left(surface, k - 1) || substr(surface, k + 1) FROM (SELECT surface, unnest(range(1, len(surface) + 1)) AS k FROM s)),
+tk AS (SELECT w, w AS key FROM t UNION SELECT w, left(w, k - 1) || substr(w, k + 1) FROM (SELECT w, unnest(range(1, len(w) + 1)) AS k FROM t)),
+p AS (SELECT DISTINCT w, surface FROM tk JOIN sk USING (key))
+SELECT w AS word, surface AS suggestion, CAST(1 AS INTEGER) AS distance FROM p
+WHERE len(w) <> len(surface) OR len(list_filter(range(1, len(w) + 1), lambda k: substr(w, k, 1) <> substr(surface, k, 1))) = 1""")
+def sql_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms one edit away from the words of ``benchmark`` that no form makes right."""
+    sql.register(spark, document_forms(spark, sf_dir), document_lexicon(spark, sf_dir), CONFIG, "lexicon")
+    asked(bench_words(spark, sf_dir), "asked_words")
+    return spark.sql("""
+      SELECT a.w AS word, n.suggestion, n.distance FROM (SELECT w FROM asked_words LEFT ANTI JOIN lexicon_surfaces ON w = surface) a,
+      LATERAL lexicon_near(a.w) n""")
+
+
 EVERY_SQL = " UNION ALL ".join(
     [f"SELECT w, {suggest.CAPITALS} AS op, 0 AS i, 0 AS j, upper(w) AS candidate FROM t", f"SELECT w, {suggest.REPLACE}, i, j, candidate FROM ({REPLACED_SQL})"]
     + [
@@ -845,6 +887,23 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keystrokes.latest(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_wins_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream that reads the table in micro-batches, writes what is newer and ends."""
+    folder = temporary(spark, "stream")
+    # The pattern matches a table that is a file as well as one that is a folder.
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parquet*")
+    before = {name: spark.conf.get(name) for name in latest_stream.SETTINGS}
+    try:
+        for name, value in latest_stream.SETTINGS.items():
+            spark.conf.set(name, value)
+        latest_stream.publish(latest_stream.newest(events, "user_id", "event_id", "event_type"), f"{folder}/rows", f"{folder}/checkpoint", once=True).awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    return latest_stream.published(spark, f"{folder}/rows", "user_id", "event_id", "event_type")
+
+
 @query("SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_action FROM events")
 def last_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")

@@ -27,6 +27,14 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, whose files go when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/lexiforge-store/{name}-{uuid.uuid4().hex}"
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
+    return path
+
+
 def written(df: DataFrame, tag: str, bucket_by: str | None = None) -> DataFrame:
     """``df`` written as Parquet and read again; the files go when the session's JVM ends.
 
@@ -35,14 +43,11 @@ def written(df: DataFrame, tag: str, bucket_by: str | None = None) -> DataFrame:
     read it as it lies, without a shuffle.
     """
     spark = df.sparkSession
-    name = f"{tag}-{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/lexiforge-store/{name}"
-    target, files = _file_system(spark, path)
-    files.deleteOnExit(target)
+    path = temporary(spark, tag)
     if bucket_by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    named = f"lexiforge_{name.replace('-', '_')}"
+    named = f"lexiforge_{path.rsplit('/', 1)[1].replace('-', '_')}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Each bucket is one task's, so that it is one file.
     df.repartition(buckets, bucket_by).write.format("parquet").option("path", path).bucketBy(buckets, bucket_by).sortBy(bucket_by).saveAsTable(named)
