@@ -244,10 +244,11 @@ def manifest(rows: DataFrame, group: str = "lang", order: str = "doc_id", leaf:
         upper_text = "".join(s["before"] + s["after"] for s in above["steps"])
         upper_list = [upper_text[i : i + 64] for i in range(0, len(upper_text), 64)]
         proofs, folded, paths = [], [], []
-        for path, claim in zip(traverse(rows["_leaf"].to_pylist(), levels), rows["_claim"].to_pylist(), strict=True):
+        leaves, claims = rows["_leaf"].to_pylist(), rows["_claim"].to_pylist()
+        for path, leaf, claim in zip(traverse(leaves, levels), leaves, claims, strict=True):
             own = [d for before, after in path for part in (before, after) for d in part]
             proofs.append(joined([*own, upper_text]))
-            folded.append(above["root"] if claim is None else fold(fold(claim, path), steps))
+            folded.append(fold(fold(leaf if claim is None else claim, path), steps))
             if siblings:
                 paths.append(own + upper_list)
         n = len(rows)

@@ -87,6 +87,12 @@ def test_manifest(spark, kind):
     assert all(h(*r["siblings"]) == r["proof_sha256"] for r in got)
 
 
+def test_every_row_is_folded(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "fold", lambda digest, path: "folded")
+    df = spark.createDataFrame([("en", i, h(str(i)), h("x") if i % 3 == 0 else None) for i in range(20)], "lang string, doc_id bigint, leaf string, claim string")
+    assert {(r["folded_root"], r["verified"]) for r in merkle.manifest(df, claim="claim").collect()} == {("folded", False)}
+
+
 def test_empty_manifest(spark):
     assert merkle.manifest(spark.createDataFrame([], "lang string, doc_id bigint, leaf string")).count() == 0
 
