@@ -34,6 +34,9 @@ OPS = ("capitals", "replace", "map", "swap", "long_swap", "key", "extra", "forgo
 MOST_SUGGESTIONS, MOST_DISTANCE, MOST_ROOTS, MOST_EXPANSIONS, MOST_GUESSES, MOST_NGRAM, LENGTH_BAND = 15, 4, 100, 100, 200, 4, 4
 MOST_PHONETIC, MOST_COMPOUND, SOUND_BAND, LEAST_SOUND_SCORE = 2, 3, 3, 2
 
+#: Words whose candidates and keys (some hundred of 70 bytes each) are broadcast to the forms, and forms that are broadcast to words; more are shuffled.
+BROADCAST_WORDS, BROADCAST_FORMS = 5_000, 500_000
+
 CANDIDATES = "array<struct<op:int,i:int,j:int,candidate:string>>"
 
 
@@ -197,6 +200,22 @@ def map_matches(words: DataFrame, surfaces: DataFrame, classes: list[list[str]])
     return pairs.select("w", F.lit(MAP).alias("op"), order.alias("i"), F.lit(0).alias("j"), F.col("surface").alias("candidate"))
 
 
+def broadcast_up_to(rows: DataFrame, most: int) -> Callable[[DataFrame], DataFrame]:
+    """What is to be done with a table made of ``rows``: broadcast, if these are no more than ``most``."""
+    return F.broadcast if rows.limit(most + 1).count() <= most else (lambda df: df)
+
+
+def met(words: DataFrame, free: DataFrame, surfaces: DataFrame, dashes: bool) -> DataFrame:
+    """The surfaces that candidates of few words are made of; all of them where the words are many.  One pass over the surfaces, and no shuffle."""
+    if words.limit(BROADCAST_WORDS + 1).count() > BROADCAST_WORDS:
+        return surfaces
+    cut = words.select(F.inline(splits(F.col("w"))))
+    marks = [" ", "-"] if dashes else [" "]
+    asked = cut.select(F.explode(F.array("head", "tail", *[F.concat_ws(m, "head", "tail") for m in marks])).alias("surface"))
+    asked = asked.union(free.select("candidate")).union(free.select(F.explode(F.split("candidate", " ")))).distinct()
+    return written(surfaces.join(F.broadcast(asked), "surface", "left_semi"), "met")
+
+
 def deletion_keys(w: Column) -> Column:
     n = F.length(w)
     return F.array_distinct(F.concat(F.array(w), F.transform(_to(n), lambda i: F.concat(_cut(w, F.lit(1), i - 1), F.substr(w, i + 1)))))
@@ -208,7 +227,7 @@ def single_edits(words: DataFrame, surfaces: DataFrame, alphabet: str) -> DataFr
     Inserted and substituting characters must be in the alphabet, whose order
     ranks them; positions count from the right.
     """
-    left = words.select("w", F.explode(deletion_keys(F.col("w"))).alias("key"))
+    left = broadcast_up_to(words, BROADCAST_WORDS)(words.select("w", F.explode(deletion_keys(F.col("w"))).alias("key")))
     right = surfaces.select("surface", F.explode(deletion_keys(F.col("surface"))).alias("key"))
     pairs = left.join(right, "key").select("w", "surface").distinct().filter(F.levenshtein("w", "surface", 1) == 1)
     w, s = F.col("w"), F.col("surface")
@@ -231,6 +250,7 @@ def two_words(words: DataFrame, surfaces: DataFrame, dashes: bool = False) -> Da
     """
     cut = words.filter(F.octet_length("w") >= 3).select("w", F.inline(splits(F.col("w"))))
     known = surfaces.select("surface")
+    known = broadcast_up_to(known, BROADCAST_FORMS)(known)
     both = cut.join(known.withColumnRenamed("surface", "head"), "head").join(known.withColumnRenamed("surface", "tail"), "tail")
     apart = both.select("w", F.lit(TWO_WORDS).alias("op"), "i", F.lit(0).alias("j"), F.concat_ws(" ", "head", "tail").alias("candidate"))
     marks = [" ", "-"] if dashes else [" "]
@@ -268,12 +288,13 @@ def candidates(words: DataFrame, surfaces: DataFrame, config: AffixConfig, rules
     """
     spark = words.sparkSession
     free = generated(words, config).unionByName(replaced(words, config.replacements_df(spark) if rules is None else rules))
+    dashes = "-" in config.try_chars or "a" in config.try_chars
+    every, surfaces = surfaces, met(words, free, surfaces, dashes)
     single = free.filter(~F.contains("candidate", F.lit(" "))).join(surfaces.withColumnRenamed("surface", "candidate"), "candidate", "left_semi")
     phrases = free.filter(F.contains("candidate", F.lit(" "))).withColumn("part", F.explode(F.split("candidate", " ")))
     known = phrases.join(surfaces.withColumn("known", F.lit(1)), F.col("part") == F.col("surface"), "left")
     spaced = known.groupBy("w", "op", "i", "j", "candidate").agg(F.bool_and(F.col("known").isNotNull()).alias("all")).filter("all").drop("all")
-    dashes = "-" in config.try_chars or "a" in config.try_chars
-    found = single.unionByName(spaced).unionByName(map_matches(words, surfaces, config.classes)).unionByName(single_edits(words, surfaces, config.try_chars))
+    found = single.unionByName(spaced).unionByName(map_matches(words, every, config.classes)).unionByName(single_edits(words, every, config.try_chars))
     if "NOSPLITSUGS" not in config.switches:
         found = found.unionByName(two_words(words, surfaces, dashes))
     good = F.max(F.col("op").isin(CAPITALS, REPLACE)).over(Window.partitionBy("w"))

@@ -283,3 +283,14 @@ def test_mixed_capitals_are_suggested_first(spark):
     got = listed(suggest.suggest(words(spark, "something.The", "tHe", "LoNdon", "aNew", "TheOpenOffice.org", "NewNew"), forms, lex, config))
     assert got["something.The"][0] == "something. The" and got["tHe"][0] == "the" and got["LoNdon"][0] == "London"
     assert got["aNew"][0] == "a New" and got["TheOpenOffice.org"][0] == "The OpenOffice.org" and got["NewNew"][0] == "New New"
+
+
+def test_few_words_meet_the_forms_without_a_shuffle(spark, monkeypatch):
+    words = spark.createDataFrame([("thecat",), ("tehh",)], "w string")
+    surfaces = spark.createDataFrame([("the",), ("cat",), ("teh",), ("other",)], "surface string")
+    free = spark.createDataFrame([], "w string, op int, i int, j int, candidate string")
+    assert {r[0] for r in suggest.met(words, free, surfaces, False).collect()} == {"the", "cat", "teh"}
+    few = sorted(map(tuple, suggest.candidates(words, surfaces, parse_affix(["TRY esianrt"])).select("w", "op", "candidate").collect()))
+    monkeypatch.setattr(suggest, "BROADCAST_WORDS", 0)
+    assert suggest.met(words, free, surfaces, False) is surfaces
+    assert few == sorted(map(tuple, suggest.candidates(words, surfaces, parse_affix(["TRY esianrt"])).select("w", "op", "candidate").collect())) and ("thecat", suggest.TWO_WORDS, "the cat") in few
