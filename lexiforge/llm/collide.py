@@ -5,8 +5,8 @@ vectors of a cell are sorted and a query collides with those in a window around
 its own value, ``REACH`` times as wide to each side as a pair at the threshold
 is apart on average.  Collisions are counted for each pair; pairs with at least
 ``least`` of them are verified by their cosine in double precision.  ``least``
-is calibrated on pairs planted exactly at the threshold, from a bounded sample
-of the vectors: the largest count that ``RECALL`` of them reach.
+is calibrated on pairs planted exactly at the threshold, one from every vector:
+the largest count that ``RECALL`` of them reach.
 
 A pair that misses at most ``PROJECTIONS - least`` windows collides in all of at
 least one of ``PROJECTIONS - least + 1`` groups of projections.  So vectors are
@@ -41,7 +41,9 @@ from lexiforge.llm._common import materialize
 from lexiforge.llm.components import connected_components
 
 PROJECTIONS, REACH, RECALL = 24, 3.2, 0.999
-SAMPLE, SEED = 2048, 13
+SEED = 13
+#: Vectors from which pairs are planted together.
+TOGETHER = 2048
 #: Vectors of a cell or block.
 CELL = 5_000
 NODE = "struct<vec_id:bigint,a:bigint,b:bigint>"
@@ -74,36 +76,84 @@ def units(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def planted(sample: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors, and each turned towards another of the sample until their cosine is the given one."""
-    x = units(sample)
+def planted(vectors: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and each turned towards another of them until their cosine is the given one."""
+    x = units(vectors)
     other = np.roll(x, 1, axis=0) + 1e-3 * np.random.default_rng(SEED).standard_normal(x.shape)
     side = other - (other * x).sum(1, keepdims=True) * x
     return x, cosine * x + math.sqrt(1 - cosine * cosine) * units(side)
 
 
-def calibrate(sample: np.ndarray, cosine: float) -> Plan:
-    """The plan whose count RECALL of planted pairs reach; without a sample of two dimensions or more, two misses are allowed."""
-    plan = Plan(cosine, REACH * math.sqrt(2 - 2 * cosine))
-    if len(sample) < 2 or sample.shape[1] < 2:
+def reached(vectors: np.ndarray, plan: Plan) -> np.ndarray:
+    """How many of the pairs planted from vectors, two dimensions or more, collide 0, 1, ... PROJECTIONS times."""
+    x, y = planted(vectors, plan.cosine)
+    a = directions(vectors.shape[1])
+    return np.bincount((np.abs(x @ a - y @ a) <= plan.window).sum(1), minlength=PROJECTIONS + 1)
+
+
+def settled(many: np.ndarray, plan: Plan) -> Plan:
+    """The plan whose count RECALL of planted pairs reach; without pairs, two misses are allowed."""
+    total = int(many.sum())
+    if not total:
         return plan
-    a = directions(sample.shape[1])
-    x, y = planted(sample, cosine)
-    counts = np.sort((np.abs(x @ a - y @ a) <= plan.window).sum(1))
-    return Plan(cosine, plan.window, max(1, int(counts[int((1 - RECALL) * len(counts))])))
+    return Plan(plan.cosine, plan.window, max(1, int(np.searchsorted(np.cumsum(many), int((1 - RECALL) * total), "right"))))
+
+
+def open_plan(cosine: float) -> Plan:
+    return Plan(cosine, REACH * math.sqrt(2 - 2 * cosine))
+
+
+def calibrate(vectors: np.ndarray, cosine: float) -> Plan:
+    """The plan for vectors that are at hand."""
+    plan = open_plan(cosine)
+    return settled(reached(vectors, plan), plan) if len(vectors) > 1 and vectors.shape[1] > 1 else plan
+
+
+def matrix(rows: pa.Table) -> np.ndarray:
+    return rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+
 
+def calibrate_all(entries: DataFrame, cosine: float) -> Plan:
+    """The plan for all of ``entries``, by a pair planted from each vector of two dimensions or more.
 
-def grid_size(sample: np.ndarray, plan: Plan, largest: int) -> int:
-    """Dimensions of the grid for a label of ``largest`` vectors: the fewest for which the sample's fullest cell would fit."""
-    if largest <= CELL or len(sample) < 2:
+    Vectors are dealt by their names, so the plan depends on nothing but them.
+    """
+    plan = open_plan(cosine)
+    able = entries.filter("d > 1")
+    buckets = -(-able.count() // TOGETHER)
+    if not buckets:
+        return plan
+
+    def count(rows: pa.Table) -> pa.Table:
+        found = reached(matrix(rows.sort_by([("a", "ascending"), ("b", "ascending")])), plan)
+        return pa.table({"hits": pa.array(np.flatnonzero(found)), "many": pa.array(found[found > 0])})
+
+    dealt = able.select("d", F.col("node")["a"].alias("a"), F.col("node")["b"].alias("b"), "v", F.pmod(F.xxhash64(F.col("node")["a"], F.col("node")["b"]), F.lit(buckets)).alias("bucket"))
+    counts = dealt.groupBy("d", "bucket").applyInArrow(count, "hits bigint, many bigint").groupBy("hits").agg(F.sum("many").alias("many")).collect()  # at most PROJECTIONS + 1 rows
+    many = np.zeros(PROJECTIONS + 1, np.int64)
+    for r in counts:
+        many[r["hits"]] = r["many"]
+    return settled(many, plan)
+
+
+def grid_size(entries: DataFrame, plan: Plan, largest: int) -> int:
+    """Dimensions of the grid, where the largest label has ``largest`` vectors: the fewest for which its fullest cell fits a task."""
+    if largest <= CELL:
         return 0
-    cells = np.floor(units(sample) @ directions(sample.shape[1]) / (4 * plan.window)).astype(np.int64)
     group = plan.groups[0]
-    for dims in range(1, len(group) + 1):
-        _, counts = np.unique(cells[:, group[:dims]], axis=0, return_counts=True)
-        if counts.max() * largest <= CELL * len(sample) or counts.max() <= 2:
-            return dims
-    return len(group)
+
+    def cells(vectors: pd.Series) -> pd.Series:
+        out = []
+        for v in vectors:
+            unit = units(np.asarray(v, np.float64)[None, :])
+            at = np.floor((unit @ directions(unit.shape[1]))[0][group] / (4 * plan.window)).astype(np.int64).tolist()
+            out.append([hash(tuple(at[:dims])) for dims in range(1, len(at) + 1)])
+        return pd.Series(out)
+
+    each = entries.select("label", "d", F.posexplode(F.pandas_udf(cells, "array<bigint>")("v")).alias("at", "cell"))
+    fullest = each.groupBy("label", "d", "at", "cell").agg(F.count(F.lit(1)).alias("many")).groupBy("at").agg(F.max("many").alias("most"))
+    fit = [r["at"] + 1 for r in fullest.filter(F.col("most") <= CELL).collect()]  # at most PROJECTIONS rows
+    return min(fit, default=len(group))
 
 
 def visits(place: np.ndarray, plan: Plan, group: np.ndarray) -> list[int]:
@@ -134,7 +184,7 @@ def collisions(sorts: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np
 
 def cell_links(rows: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Of one cell: rows that are queries, the copies that each is linked with here, and edges that join what is linked."""
-    v = units(rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1))
+    v = units(matrix(rows))
     is_member, is_query = rows["member"].to_numpy(), rows["query"].to_numpy()
     members, queries = np.flatnonzero(is_member), np.flatnonzero(is_query)
     size = rows["size"].to_numpy()
@@ -210,15 +260,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
 
 def judged(entries: DataFrame, cosine: float) -> DataFrame:
     """``(node, links, other)``, written: rows with ``other`` are edges, the rest count a query's links in one cell."""
-    spark = entries.sparkSession
-    usual = entries.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").head()
     largest = entries.groupBy("label", "d").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()["n"] or 0
-    sample = np.zeros((0, 2))
-    if usual:
-        drawn = entries.filter(F.col("d") == usual["d"]).orderBy(F.xxhash64("node")).limit(SAMPLE).select(F.col("v").cast("array<double>").alias("v")).collect()  # at most SAMPLE rows
-        sample = np.array([r["v"] for r in drawn])
-    plan = calibrate(sample, cosine)
-    plan = Plan(plan.cosine, plan.window, plan.least, grid_size(sample, plan, largest))
+    plan = calibrate_all(entries, cosine)
+    plan = Plan(plan.cosine, plan.window, plan.least, grid_size(entries, plan, largest))
     dealt = entries.withColumns({"group": F.lit(0), "cell": F.lit(0).cast("bigint"), "own": F.lit(True)})
     if plan.grid:
         cells = F.pandas_udf(lambda v: visited_cells(v, plan), "array<array<bigint>>")

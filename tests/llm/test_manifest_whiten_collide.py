@@ -218,3 +218,19 @@ def test_calibrated_count_keeps_planted_pairs():
     assert whole.any(1)[passed].all()
     for q, m, inside in list(zip(x @ a, y @ a, whole, strict=True))[:500]:
         assert all(collide.visits(m, grid, g)[0] in collide.visits(q, grid, g) for g, ok in zip(grid.groups, inside, strict=True) if ok)
+
+
+def test_every_vector_calibrates(spark, monkeypatch):
+    monkeypatch.setattr(collide, "TOGETHER", 64)
+    monkeypatch.setattr(collide, "CELL", 50)
+    v = np.random.default_rng(5).normal(size=(300, 16))
+    rows = [(i, i % 2, {"vec_id": i, "a": i, "b": -i}, x.tolist(), 16) for i, x in enumerate(v)]
+    entries = spark.createDataFrame(rows, f"n int, label int, node {collide.NODE}, v array<double>, d int").repartition(5)
+    # All but the smallest counts of one pair in a thousand must be reached, whatever holds them.
+    monkeypatch.setattr(collide, "reached", lambda vectors, plan: np.bincount([7] * len(vectors), minlength=collide.PROJECTIONS + 1))
+    assert collide.calibrate_all(entries, 0.98).least == 7
+    plan = collide.Plan(0.98, collide.open_plan(0.98).window, 22)
+    group = plan.groups[0]
+    at = np.floor(collide.units(v) @ collide.directions(16) / (4 * plan.window))[:, group]
+    most = [max(np.unique(at[label::2, :k], axis=0, return_counts=True)[1].max() for label in (0, 1)) for k in range(1, len(group) + 1)]
+    assert collide.grid_size(entries, plan, 150) == next((k for k, m in enumerate(most, 1) if m <= 50), len(group))
