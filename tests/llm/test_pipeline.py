@@ -56,3 +56,12 @@ def test_without_labels_nothing_is_judged(spark):
     with pytest.warns(UserWarning, match="no document is labelled"):
         kept = stages.keep_known_languages(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "")
     assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
+def test_texts_are_scanned_for_secrets_once(spark, monkeypatch):
+    scans, scan = [], stages.secrets.scan
+    monkeypatch.setattr(stages.secrets, "scan", lambda *a: scans.append(1) or scan(*a))
+    rows = [(1, "password = hunter2hunter2 and more"), (2, None), (3, "nothing")]
+    got = stages.redact_secrets(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    texts = {r["doc_id"]: r["text"] for r in got}
+    assert len(scans) == 1 and texts[2] is None and texts[3] == "nothing" and "hunter2" not in texts[1]
