@@ -71,35 +71,69 @@ def targets(forms: DataFrame) -> DataFrame:
     return plain.unionByName(other.select("stem", "sig", "generated")).distinct()
 
 
-def generate(pairs: DataFrame, forms: DataFrame) -> DataFrame:
-    """``(word, example, generated)``: forms of the word's root that are inflected as the example is.
+def inflected(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(word, e_sig, generated)``: the forms of each distinct word's root, by the signature of the examples that ask for them.
 
     A derived word keeps its derivational suffixes, with the example's after
     them; where the root has no such form, it is inflected as the example alone.
     """
-    told = forms.select("surface", "root", derivation(forms).alias("derived"), signature(description(forms)).alias("sig"))
-    wanted = pairs.select("word", "example").distinct().join(told.select(F.col("surface").alias("word"), F.col("root").alias("stem"), "derived").distinct(), "word")
-    wanted = wanted.join(told.select(F.col("surface").alias("example"), F.col("sig").alias("e_sig")).distinct(), "example")
-    ways = F.array(F.when(F.size("derived") > 0, F.struct(F.lit(0).alias("way"), F.concat("derived", "e_sig").alias("sig"))), F.struct(F.lit(1).alias("way"), F.col("e_sig").alias("sig")))
-    tried = wanted.select("*", F.inline(F.filter(ways, lambda x: x.isNotNull())))
-    found = tried.join(targets(forms), ["stem", "sig"])
-    first = F.min("way").over(Window.partitionBy("word", "example", "stem", "derived", "e_sig"))
-    return found.withColumn("first", first).filter("way = first").select("word", "example", "generated").distinct()
+    own = forms.select(F.col("surface").alias("word"), F.col("root").alias("stem"), derivation(forms).alias("derived")).join(words.select("word").distinct(), "word", "left_semi").distinct()
+    n = F.size("derived")
+    kept = (n > 0) & (F.slice("sig", F.lit(1), n) == F.col("derived"))
+    ways = F.array(F.when(kept, F.struct(F.lit(0).alias("way"), F.slice("sig", n + 1, F.size("sig")).alias("e_sig"))), F.struct(F.lit(1).alias("way"), F.col("sig").alias("e_sig")))
+    tried = own.join(targets(forms), "stem").select("word", "stem", "derived", "generated", F.inline(F.filter(ways, lambda x: x.isNotNull())))
+    first = F.min("way").over(Window.partitionBy("word", "stem", "derived", "e_sig"))
+    return tried.withColumn("first", first).filter("way = first").select("word", "e_sig", "generated").distinct()
 
 
-def generate_cased(pairs: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig) -> DataFrame:
-    """:func:`generate` for words as typed: both are looked up in their case variants, results take the word's capitals, and wrong ones go."""
-    pairs = pairs.select("word", "example").filter("word IS NOT NULL AND example IS NOT NULL").distinct()
-    asked = pairs.select("word").union(pairs.select("example")).distinct().withColumn("c", clean_word(F.col("word")))
-    tried = asked.select("word", captype(F.col("c.word")).alias("case"), F.inline(case_variants(F.col("c.word"), dots=F.col("c.dots")))).drop("variant_no")
-    words = tried.select("word", "case", F.col("form").alias("own"))
-    examples = tried.select(F.col("word").alias("example"), F.col("form").alias("model"))
-    lowered = pairs.join(words, "word").join(examples, "example")
-    found = generate(lowered.select(F.col("own").alias("word"), F.col("model").alias("example")), forms).withColumnsRenamed({"word": "own", "example": "model"})
+def offers(made: DataFrame) -> DataFrame:
+    """``(word, made)``: what :func:`inflected` found, in one row a word; as many as its roots have forms."""
+    return made.groupBy("word").agg(F.collect_set(F.struct("e_sig", "generated")).alias("made"))
+
+
+def models(examples: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(example, sigs)``: how each of ``(example, model)`` is inflected, as any of its models is a form."""
+    told = forms.select(F.col("surface").alias("model"), signature(description(forms)).alias("e_sig")).distinct()
+    return told.join(examples.select("example", "model").distinct(), "model").groupBy("example").agg(F.collect_set("e_sig").alias("sigs"))
+
+
+def generated_as(both: DataFrame) -> DataFrame:
+    """``(word, example, generated)`` of distinct ``(word, made, example, sigs)``; nothing is shuffled."""
+    fitting = F.filter("made", lambda m: F.array_contains("sigs", m["e_sig"]))
+    return both.select("word", "example", F.explode(F.array_distinct(F.transform(fitting, lambda m: m["generated"]))).alias("generated"))
+
+
+def generate(pairs: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(word, example, generated)``: forms of the word's root that are inflected as the example is; pairs meet what each side alone has found."""
+    pairs = pairs.select("word", "example").distinct()
+    wanted = models(pairs.select("example", F.col("example").alias("model")), forms)
+    return generated_as(pairs.join(offers(inflected(pairs, forms)), "word").join(wanted, "example"))
+
+
+def variants(words: DataFrame) -> DataFrame:
+    """``(word, case, own)``: distinct words as typed, with the case variants in which they are looked up."""
+    asked = words.select("word").filter("word IS NOT NULL").distinct().withColumn("c", clean_word(F.col("word")))
+    return asked.select("word", captype(F.col("c.word")).alias("case"), F.inline(case_variants(F.col("c.word"), dots=F.col("c.dots")))).select("word", "case", F.col("form").alias("own"))
+
+
+def offers_cased(words: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig) -> DataFrame:
+    """:func:`offers` for words as typed: they are looked up in their case variants, results take the word's capitals, and wrong ones go."""
+    tried = variants(words)
+    found = inflected(tried.select(F.col("own").alias("word")), forms).withColumnRenamed("word", "own")
     text = F.col("generated")
     text = F.when(F.col("case") == ALLCAP, upper_cp(text)).when(F.col("case").isin(INITCAP, HUHINITCAP), init_upper(text)).otherwise(text)
-    made = lowered.join(found, ["own", "model"]).select("word", "example", text.alias("generated")).distinct()
-    return check(made, forms, lexicon, config, "generated").filter("ok").select("word", "example", "generated")
+    made = tried.join(found, "own").select("word", "e_sig", text.alias("generated")).distinct()
+    return offers(check(made, forms, lexicon, config, "generated").filter("ok"))
+
+
+def models_cased(examples: DataFrame, forms: DataFrame) -> DataFrame:
+    return models(variants(examples.select(F.col("example").alias("word"))).select(F.col("word").alias("example"), F.col("own").alias("model")), forms)
+
+
+def generate_cased(pairs: DataFrame, forms: DataFrame, lexicon: DataFrame, config: AffixConfig) -> DataFrame:
+    """:func:`generate` for words as typed: both are looked up in their case variants, results take the word's capitals, and wrong ones go."""
+    pairs = pairs.select("word", "example").distinct()
+    return generated_as(pairs.join(offers_cased(pairs, forms, lexicon, config), "word").join(models_cased(pairs, forms), "example"))
 
 
 def stem_derived(words: DataFrame, forms: DataFrame) -> DataFrame:
