@@ -240,26 +240,59 @@ def with_parts(words: DataFrame, forms: DataFrame, config: AffixConfig) -> DataF
     n = F.length("text")
     open_at = read.filter(n >= 2 * least).withColumn("s", F.explode(F.sequence(F.lit(0), n - least))).filter((F.col("s") == 0) | (F.col("s") >= least))
     spans = open_at.withColumn("e", F.explode(F.sequence(F.col("s") + least, F.least(n, F.col("s") + F.lit(max(longest, least)))))).filter((F.col("e") <= n) & ((F.col("e") == n) | (n - F.col("e") >= least)) & ((F.col("s") > 0) | (F.col("e") < n)))
+    if pairs_only(config):
+        spans = two_part_spans(read.filter(n >= 2 * least), known, least, longest)
     stretch = spans.withColumn("surface", F.substr("text", F.col("s") + 1, F.col("e") - F.col("s")))
     edge = F.struct("s", "e", "surface", "entry_id", "root", "morph", "sfx_morph", "carried", "affixed", "first", "inner", "last", "listed")
     keys = ["word", "capital", "text", "at"]
     grouped = stretch.join(known, "surface").groupBy(*keys).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
     grouped = grouped.filter(F.exists("edges", lambda x: x["s"] == 0) & F.exists("edges", lambda x: x["e"] == F.length("text")))
+    if not replaceable(config) and spaced(forms).isEmpty():
+        return grouped.withColumn("barred", F.array().cast("array<int>"))
     tails = grouped.select(*keys, F.explode(F.array_distinct(F.transform("edges", lambda x: x["s"]))).alias("s")).withColumn("w", F.substr("text", F.col("s") + 1))
     return grouped.join(barred_tails(tails, forms, config, keys), keys, "left").withColumn("barred", F.coalesce("barred", F.array().cast("array<int>")))
 
 
+def pairs_only(config: AffixConfig) -> bool:
+    """Whether the affix file permits no compound of more than two parts, so that each part is at an end."""
+    return config.numbers.get("COMPOUNDWORDMAX", 0) == 2 and not config.syllables
+
+
+def two_part_spans(read: DataFrame, known: DataFrame, least: int, longest: int) -> DataFrame:
+    """Both stretches of each place that divides a reading into two parts: ``s``, ``e``.
+
+    A place goes on only if what is before it may come first and what is after it last.
+    """
+    n = F.length("text")
+    low, high = F.greatest(F.lit(least), n - F.lit(longest)), F.least(n - least, F.lit(longest))
+    cuts = read.filter(low <= high).withColumn("cut", F.explode(F.sequence(low, high)))
+    may = lambda role, name: known.filter(F.col(role) | F.col("listed")).select(F.col("surface").alias(name)).distinct()
+    cuts = cuts.withColumn("_head", F.substr("text", F.lit(1), F.col("cut"))).join(may("first", "_head"), "_head", "left_semi").drop("_head")
+    cuts = cuts.withColumn("_tail", F.substr("text", F.col("cut") + 1)).join(may("last", "_tail"), "_tail", "left_semi").drop("_tail")
+    both = F.array(F.struct(F.lit(0).alias("s"), F.col("cut").alias("e")), F.struct(F.col("cut").alias("s"), F.length("text").alias("e")))
+    return cuts.select("word", "capital", "text", "at", F.inline(both))
+
+
+def spaced(forms: DataFrame) -> DataFrame:
+    """``(w)``: forms of two words, without the space."""
+    return forms.filter(F.size(F.split("surface", " ")) == 2).select(F.replace("surface", F.lit(" "), F.lit("")).alias("w"))
+
+
+def replaceable(config: AffixConfig) -> list[tuple]:
+    """The replacements within a word that bar a compound."""
+    if "CHECKCOMPOUNDREP" not in config.switches:
+        return []
+    return [(n, p, False, False, r) for n, p, start, end, r in config.replacements if not start and not end]
+
+
 def barred_tails(tails: DataFrame, forms: DataFrame, config: AffixConfig, keys: list[str]) -> DataFrame:
     """Places from which a word on is an entry of two words, or one replacement away from a form."""
     asked = tails.select("w").distinct()
-    pairs = forms.filter(F.size(F.split("surface", " ")) == 2).select(F.replace("surface", F.lit(" "), F.lit("")).alias("w"))
-    bad = asked.join(pairs.distinct(), "w", "left_semi")
-    if "CHECKCOMPOUNDREP" in config.switches and config.replacements:
-        free = [(n, p, False, False, r) for n, p, start, end, r in config.replacements if not start and not end]
-        if free:
-            rules = forms.sparkSession.createDataFrame(free, config.replacements_df(forms.sparkSession).schema)
-            near = replaced(asked, rules).join(forms.select(F.col("surface").alias("candidate")).distinct(), "candidate", "left_semi")
-            bad = bad.unionByName(near.select("w")).distinct()
+    bad = asked.join(spaced(forms).distinct(), "w", "left_semi")
+    if free := replaceable(config):
+        rules = forms.sparkSession.createDataFrame(free, config.replacements_df(forms.sparkSession).schema)
+        near = replaced(asked, rules).join(forms.select(F.col("surface").alias("candidate")).distinct(), "candidate", "left_semi")
+        bad = bad.unionByName(near.select("w")).distinct()
     return tails.join(bad, "w", "left_semi").groupBy(*keys).agg(F.collect_set("s").alias("barred"))
 
 

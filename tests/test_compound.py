@@ -1,5 +1,6 @@
 from itertools import product
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lexiforge.functions import phonetic
@@ -126,3 +127,19 @@ def test_sounding_words_are_suggested(spark):
     assert [r["candidate"] for r in suggest.sounding_roots(one, lex, surfaces, config, none).orderBy("i").collect()][0] == "fantastic"
     said = spark.createDataFrame([("phantastik", "fanta")], "w string, candidate string")
     assert "fantastic" not in [r["candidate"] for r in suggest.sounding_roots(one, lex, surfaces, config, said).collect()]
+
+
+def test_two_parts_take_no_stretches_within(spark, tmp_path):
+    from lexiforge.operators import compound
+    from lexiforge.plans import catalogue
+
+    docs = [(i, "x", "rain bow coat rainbow coats" + (" rainbowcoats rainbowcoat raincoat coatbow rainbow" if i == 0 else "")) for i in range(5)]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = catalogue.unknown_types(spark, str(tmp_path)).selectExpr("word", "false AS capital")
+    forms = catalogue.compound_forms(spark, str(tmp_path))
+    edges = {r["word"]: {(e["s"], e["e"]) for e in r["edges"]} for r in compound.with_parts(words, forms, catalogue.PAIR_CONFIG).collect()}
+    assert edges == {"rainbowcoats": {(0, 7), (7, 12)}, "rainbowcoat": {(0, 7), (7, 11)}, "raincoat": {(0, 4), (4, 8)}}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalogue.compound_analyses(spark, str(tmp_path)).select("word", "analysis")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT word, analysis FROM ({catalogue.ORACLES['compound_analyses']})").fetchall())
