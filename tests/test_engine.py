@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.operators import expand, morphology, overlay, rerank, spell, suggest
 from lexiforge.sources.affix import load_affix, parse_affix
-from lexiforge.sources.dictionary import parse_entries, phonetic_replacements, read_dictionary
+from lexiforge.sources.dictionary import lexicon, parse_entries, phonetic_replacements, read_dictionary
 
 AFFIX = """
 SET UTF-8
@@ -294,3 +294,13 @@ def test_few_words_meet_the_forms_without_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(suggest, "BROADCAST_WORDS", 0)
     assert suggest.met(words, free, surfaces, False) is surfaces
     assert few == sorted(map(tuple, suggest.candidates(words, surfaces, parse_affix(["TRY esianrt"])).select("w", "op", "candidate").collect())) and ("thecat", suggest.TWO_WORDS, "the cat") in few
+
+
+def test_only_texts_that_are_right_or_forbidden_are_noted(spark):
+    config = parse_affix(["SET UTF-8", "FORBIDDENWORD X"])
+    lex = lexicon(spark.createDataFrame([("walk", 1, ""), ("bad", 2, "X")], "word string, entry_id bigint, flag_text string"), config)
+    forms = expand.expand(lex, config.rules_df(spark), config)
+    texts = spark.createDataFrame([(t,) for t in ("walk", "Walk", "bad", "wolk", "1.5", "", "walk-wolk")], "text string")
+    assert sorted(map(tuple, spell.noted(texts, forms, lex, config).collect())) == [("1.5", True, False), ("Walk", True, False), ("bad", False, True), ("walk", True, False)]
+    words = spark.createDataFrame([(t,) for t in ("walk-walk", "walk-wolk", "walk-bad", "walk-1", "walk")], "word string")
+    assert {r["word"]: r["ok"] for r in spell.check_with_breaks(words, forms, lex, config).collect()} == {"walk-walk": True, "walk-wolk": False, "walk-bad": False, "walk-1": True, "walk": True}
