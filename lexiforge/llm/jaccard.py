@@ -302,28 +302,45 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
     prefixes = materialize(docs.select("text").mapInArrow(lambda it: prefix_lists(it, k, percent, heat.value), "node binary, l int, cold array<bigint>, warm array<bigint>"), "prefixes")
 
     # A shingle's group counts if it has two nodes.  Groups of rare shingles are
-    # small; those of warm ones are counted before they meet.
+    # small; those of warm ones are counted before they meet.  A group of two rows
+    # is one pair: it becomes one row, whose token is null.
     by_token = Window.partitionBy("token")
+    ends_of = {"lead": F.min("node"), "last": F.max("node"), "least": F.min("l"), "many": F.count(F.lit(1))}
+    two = F.col("many") == 2
+    counted = ~two | (F.col("node") == F.col("lead"))
+    row = [F.when(~two, F.col("token")).alias("token"), "node", F.when(two, F.col("least")).otherwise(F.col("l")).alias("l"), "lead", F.when(two, F.col("last")).alias("last")]
     parts = []
     for cold, warm in zip(slices(prefixes.select("node", "l", F.explode("cold").alias("token"))), slices(prefixes.select("node", "l", F.explode("warm").alias("token"))), strict=True):
-        cold = cold.select("*", F.min("node").over(by_token).alias("lead"), F.max("node").over(by_token).alias("last")).filter(F.col("lead") < F.col("last"))
-        ends = warm.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter(F.col("lead") < F.col("last"))
-        both = cold.select("token", "node", "l", "lead").unionByName(warm.join(ends, "token").select("token", "node", "l", "lead"))
-        parts.append(both.dropDuplicates(["token", "node"]))
-    shared = materialize(parts[0], "shared", *parts[1:])
+        cold = cold.select("*", *[of.over(by_token).alias(c) for c, of in ends_of.items()]).filter(F.col("lead") < F.col("last"))
+        ends = warm.groupBy("token").agg(*[of.alias(c) for c, of in ends_of.items()]).filter(F.col("lead") < F.col("last"))
+        # Dealt by both keys, so that a frequent shingle's rows may be split before; the rare ones lie as they are needed.
+        met = warm.join(ends, "token").filter(counted).repartition("token", "node")
+        parts.append(cold.filter(counted).dropDuplicates(["token", "node"]).select(*row).unionByName(met.dropDuplicates(["token", "node"]).select(*row)))
+    found = materialize(parts[0], "shared", *parts[1:])
     release(prefixes)
+    # Texts that share a passage share many groups of two, so these are added up a pair.
+    twos = materialize(found.filter(F.col("token").isNull()).groupBy(F.col("lead").alias("a"), F.col("last").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("l").alias("least")), "twos")
+    shared = found.filter(F.col("token").isNotNull()).select("token", "node", "l", "lead")
 
     # Stars: every node against the first node of each of its groups.
     facts = ["node", "n", *bits]
     # Only those that share enough groups with the same first node; the others are left to the pairs below.
     lead_l = shared.filter(F.col("node") == F.col("lead")).select("token", F.col("l").alias("lead_l"))
     met = shared.filter(F.col("node") > F.col("lead")).join(lead_l, "token")
-    stars = met.groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("l"), F.min("lead_l")).alias("least"))
-    stars = stars.filter(F.col("shared") >= F.col("least")).select("a", "b")
-    for s in ("a", "b"):
-        stars = stars.join(nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in facts]), F.col(s) == F.col(f"{s}_node"))
-    stars = stars.filter(possible(percent, "a_", "b_")).select("a", "b")
-    links = verified(stars, docs, nodes, k, percent)
+    met = met.groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("l"), F.min("lead_l")).alias("least"))
+
+    def enough(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter(F.col("shared") >= F.col("least")).select("a", "b")
+
+    def possible_pairs(pairs: DataFrame) -> DataFrame:
+        columns = pairs.columns
+        for s in ("a", "b"):
+            pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in facts]), F.col(s) == F.col(f"{s}_node"))
+        return pairs.filter(possible(percent, "a_", "b_")).select(*columns)
+
+    # A pair that is compared here, or ruled out, is settled and met no more.
+    settled = materialize(enough(met.unionByName(twos)), "settled")
+    links = verified(possible_pairs(settled), docs, nodes, k, percent)
     parts = connected_components(links)
 
     def open_groups(parts: DataFrame, tag: str) -> DataFrame:
@@ -341,19 +358,25 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
         return materialize(first, tag, *more)
 
     # A second round of stars, around another member in each group: who is not near the first node
-    # is mostly near some other member, and one found link is enough.
+    # is mostly near some other member, and one found link is enough.  Groups of two have no other member.
     left = open_groups(parts, "open-stars")
     around = left.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "node").alias("order"), "node", "part", "n", *bits)).alias("c"))
     around = around.select("token", *[F.col(f"c.{c}").alias(f"a_{c}") for c in ("node", "part", "n", *bits)])
     tried = side(left, "b_", ["node", "part", "n", *bits]).join(around, "token").filter((F.col("a_part") != F.col("b_part")) & possible(percent, "a_", "b_"))
     tried = tried.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    tried = materialize(tried.join(settled, ["a", "b"], "left_anti"), "tried")
     links = links.unionByName(verified(tried, docs, nodes, k, percent, spent=[left, parts]))
     parts = connected_components(links)
 
     # The rest: pairs of different components that share enough prefix shingles.  A group of many
     # pairs is dealt into cells: who is outside the main component into one each, everybody into all.
     left = open_groups(parts, "open")
-    release(shared, parts)
+    apart = twos.join(settled, ["a", "b"], "left_anti")
+    for s in ("a", "b"):
+        apart = apart.join(parts.select(F.col("node").alias(s), F.col("part").alias(f"{s}_part")), s, "left")
+    apart = apart.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b", "shared", "least")
+    apart = materialize(possible_pairs(apart), "apart")
+    release(found, twos, parts)
     columns = ["node", "l", "part", "n", *bits]
     outside = side(left.filter(F.col("part") != F.col("main")), "a_", columns, F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     inside = side(left, "b_", [*columns, "main"], F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
@@ -362,8 +385,9 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
     )
     least = F.least(F.min("a_l"), F.min("b_l"))
     ordered = cross.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), "a_l", "b_l")
-    candidates = ordered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), least.alias("least")).filter(F.col("shared") >= F.col("least")).select("a", "b")
-    more = verified(candidates, docs, nodes, k, percent, spent=[left])
+    crossed = ordered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), least.alias("least"))
+    candidates = enough(crossed.unionByName(apart)).join(settled.unionByName(tried), ["a", "b"], "left_anti")
+    more = verified(candidates, docs, nodes, k, percent, spent=[left, apart, settled, tried])
     parts = connected_components(links.unionByName(more))
 
     labeled = nodes.select("node", "first_row").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))

@@ -1,7 +1,10 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from lexiforge.llm import mix, queries, stages
+from lexiforge.llm import jaccard, mix, queries, stages
 from tests.llm.test_operators import EN, docs, prose  # noqa: F401
 
 
@@ -65,3 +68,29 @@ def test_texts_are_scanned_for_secrets_once(spark, monkeypatch):
     got = stages.redact_secrets(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
     texts = {r["doc_id"]: r["text"] for r in got}
     assert len(scans) == 1 and texts[2] is None and texts[3] == "nothing" and "hunter2" not in texts[1]
+
+
+def test_pairs_are_compared_once(spark, monkeypatch):
+    # Passages shared by two texts (40 to 95 % of each), by three and by five; half of the rows are written twice.
+    r, texts = np.random.default_rng(5), []
+    words = lambda n: [f"w{i}" for i in r.integers(0, 1 << 40, n)]
+    for members, percent in ((2, 40), (2, 55), (2, 70), (2, 95), (2, 95), (3, 60), (3, 93), (5, 70), (5, 95)):
+        passage = words(18 * percent)
+        texts += [" ".join(passage + words(18 * (100 - percent))) for _ in range(members)]
+    rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(texts) if i % 2]
+    compared, verified = Counter(), jaccard.verified
+
+    def watched(pairs, *args, **more):
+        compared.update((bytes(p["a"]), bytes(p["b"])) for p in pairs.collect())
+        return verified(pairs, *args, **more)
+
+    monkeypatch.setattr(jaccard, "verified", watched)
+    got = {p["doc_id"]: p["component_id"] for p in jaccard.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), 5, 80).collect()}
+    sets, part = {i: set(jaccard.shingle_set(t, 5).tolist()) for i, t in rows}, {i: i for i, _ in rows}
+    for i in sets:
+        for j in sets:
+            if part[i] != part[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((part[i], part[j]))
+                part = {d: low if c == high else c for d, c in part.items()}
+    assert got == part and len(set(part.values())) < len(texts)
+    assert compared and max(compared.values()) == 1
