@@ -18,9 +18,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     its smaller ones.  Minima are aggregated before they are joined back: a hub's
     side of that join is one row, so its neighbours are never sorted against each
     other and adaptive execution splits them over tasks where they outgrow one.
-    Every round is written to the shared folder, which cuts the lineage.
+    Every round is written to the shared folder, which cuts the lineage.  Without
+    links no round is planned.
     """
     edges = materialize(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if edges.isEmpty():
+        parts = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("part")), "parts")
+        release(edges)
+        return parts
     for _ in range(MOST_ROUNDS):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
@@ -40,3 +45,27 @@ def connected_components(links: DataFrame) -> DataFrame:
             return parts
         edges = small
     raise RuntimeError("components did not settle")
+
+
+def joined_components(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts``, a result of these functions, once ``links (a, b)`` are added; ``parts`` itself where they join nothing.
+
+    Only the links between components are followed, as links of their smallest
+    nodes.  Both tables are released once they are not needed.
+    """
+    if links.isEmpty():
+        release(links)
+        return parts
+    ends = links
+    for s in ("a", "b"):
+        ends = ends.join(parts.select(F.col("node").alias(s), F.col("part").alias(f"{s}_part")), s, "left")
+    between = connected_components(ends.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")))
+    release(links)
+    if between.isEmpty():
+        release(between)
+        return parts
+    moved = between.select(F.col("node").alias("part"), F.col("part").alias("to"))
+    old = parts.join(moved, "part", "left").select("node", F.coalesce("to", "part").alias("part"))
+    joined = materialize(old.unionByName(between.join(parts.select("node"), "node", "left_anti")), "parts")
+    release(parts, between)
+    return joined

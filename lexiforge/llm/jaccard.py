@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.llm._common import materialize, release
-from lexiforge.llm.components import connected_components
+from lexiforge.llm.components import connected_components, joined_components
 
 #: Entries of the heat table (one byte each), and the most that may be filled.
 HEAT_BITS = 24
@@ -54,6 +54,8 @@ EXPECTED = 0.05
 BITMAP_WORDS = 8
 #: Shingles are counted and grouped in as many slices by hash, one after the other, so that the disk holds the shuffle of one.
 SLICES = 4
+#: Shingles up to which one slice holds all: each slice is a query, which the driver plans and keeps.
+ONE_SLICE = 4_000_000
 #: Pairs of a shingle's group that meet in one task.
 TASK_PAIRS = 1_000_000
 #: Documents whose ids are broadcast to fetch their sets (8 bytes each); more are joined.
@@ -197,17 +199,19 @@ def linked(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def slices(rows: DataFrame) -> list[DataFrame]:
-    return [rows.filter(F.pmod(F.col("token"), F.lit(SLICES)) == i) for i in range(SLICES)]
+def slices(rows: DataFrame, many: int) -> list[DataFrame]:
+    if many == 1:
+        return [rows]
+    return [rows.filter(F.pmod(F.col("token"), F.lit(many)) == i) for i in range(many)]
 
 
-def heat_table(described_docs: DataFrame) -> np.ndarray:
+def heat_table(described_docs: DataFrame, sliced: int) -> np.ndarray:
     """Binary logarithms of document frequency, by the low bits of the shingle's hash.
 
     At most HEAT_FILL shingles are entered: the frequency from which a shingle
     counts as warm doubles until they fit.
     """
-    counts = [rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= WARM) for rows in slices(described_docs.select(F.explode("tokens").alias("token")))]
+    counts = [rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= WARM) for rows in slices(described_docs.select(F.explode("tokens").alias("token")), sliced)]
     first, *more = [c.select("token", F.floor(F.log2("df")).cast("int").alias("heat")) for c in counts]
     warm = materialize(first, "warm", *more)
     by_heat = {r["heat"]: r["many"] for r in warm.groupBy("heat").agg(F.count(F.lit(1)).alias("many")).collect()}  # at most 64 rows
@@ -240,10 +244,12 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
 
     Maps of a size in proportion to the set go first, so that few sets are sent
     to pairs that don't link.  ``spent`` tables are released once the pairs are
-    written.
+    written.  Without pairs nothing more is planned.
     """
     pairs = materialize(pairs, "pairs")
     release(*spent or [])
+    if pairs.isEmpty():
+        return pairs
     parts = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     found = wanted = materialize(nodes.join(parts, "node").select(F.col("first_id").alias("_wanted")), "wanted")
     if wanted.count() <= BROADCAST_IDS:
@@ -287,7 +293,9 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = ", ".join(f"b{i} bigint" for i in range(BITMAP_WORDS))
     known = materialize(keyed.mapInArrow(lambda it: described(it, k, percent), f"doc_id {kind}, key bigint, node binary, n int, {words}, tokens array<bigint>"), "described")
-    heat = spark.sparkContext.broadcast(heat_table(known))
+    shingles = known.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
+    sliced = SLICES if shingles > ONE_SLICE else 1
+    heat = spark.sparkContext.broadcast(heat_table(known, sliced))
     bits = [f"b{i}" for i in range(BITMAP_WORDS)]
     nodes = materialize(
         known.filter("n > 0")
@@ -300,6 +308,7 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
 
     # Each text is hashed once for its prefix, stored as two lists of 8 bytes a shingle.
     prefixes = materialize(docs.select("text").mapInArrow(lambda it: prefix_lists(it, k, percent, heat.value), "node binary, l int, cold array<bigint>, warm array<bigint>"), "prefixes")
+    heat.destroy()
 
     # A shingle's group counts if it has two nodes.  Groups of rare shingles are
     # small; those of warm ones are counted before they meet.  A group of two rows
@@ -310,7 +319,7 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
     counted = ~two | (F.col("node") == F.col("lead"))
     row = [F.when(~two, F.col("token")).alias("token"), "node", F.when(two, F.col("least")).otherwise(F.col("l")).alias("l"), "lead", F.when(two, F.col("last")).alias("last")]
     parts = []
-    for cold, warm in zip(slices(prefixes.select("node", "l", F.explode("cold").alias("token"))), slices(prefixes.select("node", "l", F.explode("warm").alias("token"))), strict=True):
+    for cold, warm in zip(slices(prefixes.select("node", "l", F.explode("cold").alias("token")), sliced), slices(prefixes.select("node", "l", F.explode("warm").alias("token")), sliced), strict=True):
         cold = cold.select("*", *[of.over(by_token).alias(c) for c, of in ends_of.items()]).filter(F.col("lead") < F.col("last"))
         ends = warm.groupBy("token").agg(*[of.alias(c) for c, of in ends_of.items()]).filter(F.col("lead") < F.col("last"))
         # Dealt by both keys, so that a frequent shingle's rows may be split before; the rare ones lie as they are needed.
@@ -342,6 +351,7 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
     settled = materialize(enough(met.unionByName(twos)), "settled")
     links = verified(possible_pairs(settled), docs, nodes, k, percent)
     parts = connected_components(links)
+    release(links)
 
     def open_groups(parts: DataFrame, tag: str) -> DataFrame:
         """Members of groups that still hold several components, with each group's largest one."""
@@ -354,7 +364,7 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
             main = tally.groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count(F.lit(1)).alias("parts"), cells).filter("parts > 1").drop("parts")
             return known_parts.join(main, "token").join(nodes.select(*facts), "node")
 
-        first, *more = map(of, slices(shared))
+        first, *more = map(of, slices(shared, sliced))
         return materialize(first, tag, *more)
 
     # A second round of stars, around another member in each group: who is not near the first node
@@ -365,8 +375,7 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
     tried = side(left, "b_", ["node", "part", "n", *bits]).join(around, "token").filter((F.col("a_part") != F.col("b_part")) & possible(percent, "a_", "b_"))
     tried = tried.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
     tried = materialize(tried.join(settled, ["a", "b"], "left_anti"), "tried")
-    links = links.unionByName(verified(tried, docs, nodes, k, percent, spent=[left, parts]))
-    parts = connected_components(links)
+    parts = joined_components(parts, verified(tried, docs, nodes, k, percent, spent=[left]))
 
     # The rest: pairs of different components that share enough prefix shingles.  A group of many
     # pairs is dealt into cells: who is outside the main component into one each, everybody into all.
@@ -376,7 +385,7 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
         apart = apart.join(parts.select(F.col("node").alias(s), F.col("part").alias(f"{s}_part")), s, "left")
     apart = apart.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b", "shared", "least")
     apart = materialize(possible_pairs(apart), "apart")
-    release(found, twos, parts)
+    release(found, twos)
     columns = ["node", "l", "part", "n", *bits]
     outside = side(left.filter(F.col("part") != F.col("main")), "a_", columns, F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     inside = side(left, "b_", [*columns, "main"], F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
@@ -387,8 +396,7 @@ def component_rows(docs: DataFrame, k: int, percent: int, key: Column) -> DataFr
     ordered = cross.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), "a_l", "b_l")
     crossed = ordered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), least.alias("least"))
     candidates = enough(crossed.unionByName(apart)).join(settled.unionByName(tried), ["a", "b"], "left_anti")
-    more = verified(candidates, docs, nodes, k, percent, spent=[left, apart, settled, tried])
-    parts = connected_components(links.unionByName(more))
+    parts = joined_components(parts, verified(candidates, docs, nodes, k, percent, spent=[left, apart, settled, tried]))
 
     labeled = nodes.select("node", "first_row").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     first = labeled.groupBy("part").agg(F.min("first_row").alias("lead"))

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lexiforge.llm import jaccard, mix, queries, stages
+from lexiforge.llm import components, jaccard, mix, queries, stages
+from lexiforge.llm._common import materialize
 from tests.llm.test_operators import EN, docs, prose  # noqa: F401
 
 
@@ -94,3 +95,32 @@ def test_pairs_are_compared_once(spark, monkeypatch):
                 part = {d: low if c == high else c for d, c in part.items()}
     assert got == part and len(set(part.values())) < len(texts)
     assert compared and max(compared.values()) == 1
+
+
+def test_links_between_components_join_them(spark):
+    # Paths, a link within a component, one of two components, one to a node without any, and two new nodes.
+    first, more = [(1, 2), (2, 3), (5, 6), (8, 9), (9, 10)], [(1, 3), (10, 6), (3, 4), (20, 21)]
+    kind = "a bigint, b bigint"
+    written = lambda rows: materialize(spark.createDataFrame(rows, kind).repartition(2), "links")
+    of = lambda df: {r["node"]: r["part"] for r in df.collect()}
+    parts = components.connected_components(written(first))
+    same = components.joined_components(parts, written([]))
+    assert same is parts and components.joined_components(parts, written([(1, 3)])) is parts
+    joined = of(components.joined_components(parts, written(more)))
+    assert joined == of(components.connected_components(written(first + more)))
+    assert joined == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 8: 5, 9: 5, 10: 5, 20: 20, 21: 20}
+
+
+def test_few_plans_where_little_is_left_to_do(spark, monkeypatch):
+    # Every written table is a plan that the driver makes, compiles and keeps.
+    made = []
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "materialize", lambda df, tag, *more: made.extend([tag] * (1 + len(more))) or materialize(df, tag, *more))
+    texts = [prose(60, EN, 900 + i) for i in range(12)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0], texts[1] + " end"])), "doc_id bigint, text string").repartition(3)
+    of = lambda: {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(df, 3, 80).collect()}
+    whole = of()
+    assert whole == {i: i for i in range(12)} | {12: 0, 13: 1}
+    assert len(made) <= 30, Counter(made)
+    monkeypatch.setattr(jaccard, "ONE_SLICE", 0, raising=False)
+    assert of() == whole
